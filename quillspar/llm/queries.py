@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspar.llm import decontaminate, exact_dedup, licenses, mixing, quality, sharding, token_store, tokens
+from quillspar.llm import decontaminate, exact_dedup, licenses, mixing, ngram_join, quality, sharding, token_store, tokens
 from quillspar.llm.tables import table
 
 SHARDS = 40
@@ -37,6 +37,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mix_sources": op4_mix_sources,
         "op5_license_scan": op5_license_scan,
         "op6_token_store": op6_token_store,
+        "op7_ngram_join": op7_ngram_join,
         "op8_exact_dedup": op8_exact_dedup,
         "op10_sharding": op10_sharding,
     }
