@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspar.llm import decontaminate, exact_dedup, licenses, mixing, ngram_join, quality, sharding, token_store, tokens
+from quillspar.llm import chat, decontaminate, exact_dedup, licenses, mixing, ngram_join, quality, sharding, token_store, tokens
 from quillspar.llm.tables import table
 
 SHARDS = 40
@@ -45,6 +45,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleaved_shards(table(spark, sf_dir, "documents"), SHARDS).drop("source")
 
@@ -59,12 +63,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_store": op6_token_store,
         "op7_ngram_join": op7_ngram_join,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_chat": op9_chat,
         "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_chat": chat.REPLY_ORDERED_SQL,
         "op8_exact_dedup": r"""
             WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
