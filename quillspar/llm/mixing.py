@@ -63,7 +63,11 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
 
 
 def plan_source(lengths: np.ndarray, counts: np.ndarray, target: int, fit: int = FIT_BUDGET) -> tuple[int, np.ndarray]:
-    """(whole passes, documents of each length to take once more) for one source."""
+    """(whole passes, further takes by length) for one source.
+
+    A small source whose documents, each taken once more at most, don't sum up
+    to its target may take one pass less and some documents more than once.
+    """
     total = int((lengths * counts).sum())
     if total <= 0:
         return 0, np.zeros(len(lengths), np.int64)
@@ -80,7 +84,14 @@ def plan_source(lengths: np.ndarray, counts: np.ndarray, target: int, fit: int =
             more = int(min(counts[i] - extra[i], (missing - fit) // lengths[i] + 1, missing // lengths[i]))
             extra[i] += more
             missing -= more * int(lengths[i])
-    return passes, extra + fit_budget(lengths, counts - extra, min(missing, 2 * fit))
+    extra = extra + fit_budget(lengths, counts - extra, min(missing, 2 * fit))
+    missing = rest - int((lengths * extra).sum())
+    fewer = max(passes - 1, 0)
+    if missing and passes < MAX_REPEATS and target - fewer * total <= 2 * fit:
+        other = fit_budget(lengths, counts * (MAX_REPEATS - fewer), target - fewer * total)
+        if target - fewer * total - int((lengths * other).sum()) < missing:
+            return fewer, other
+    return passes, extra
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -130,21 +141,21 @@ def mixed_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def plan(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size")
         passes, extra = plan_source(group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64), round(float(group["target"].iloc[0])), fit)
-        return pd.DataFrame({"source": group["source"], "size": group["size"], "passes": passes, "extra": extra})
+        return pd.DataFrame({"source": group["source"], "size": group["size"], "n": group["n"], "passes": passes, "extra": extra})
 
     # One row for each length of a source: as many as lengths, however many documents.
     counted = lengths.join(targets, lengths["source"].eqNullSafe(targets["source"])).select(lengths["source"], "size", "n", "target")
     source_type = docs.schema[source_col].dataType.simpleString()
-    plans = space.write(counted.groupBy("source").applyInPandas(plan, f"source {source_type}, size long, passes long, extra long"), "plans")
+    plans = space.write(counted.groupBy("source").applyInPandas(plan, f"source {source_type}, size long, n long, passes long, extra long"), "plans")
 
     offsets = exclusive_sum(buckets, ["source", "size"], ["bucket"], "n", "before")
     offsets = offsets.join(plans, offsets["source"].eqNullSafe(plans["source"]) & (offsets["size"] == plans["size"])).select(
-        offsets["source"].alias("o_source"), offsets["size"].alias("o_size"), F.col("bucket").alias("o_bucket"), "before", "passes", "extra"
+        offsets["source"].alias("o_source"), offsets["size"].alias("o_size"), F.col("bucket").alias("o_bucket"), "before", plans["n"].alias("of_length"), "passes", "extra"
     )
     offsets = offsets.join(targets, F.col("o_source").eqNullSafe(F.col("source"))).drop("source")
     placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("key", "id")))
     placed = placed.join(offsets, placed["source"].eqNullSafe(F.col("o_source")) & (F.col("size") == F.col("o_size")) & (F.col("bucket") == F.col("o_bucket")))
-    copies = F.col("passes") + (F.col("before") + F.col("place") <= F.col("extra")).cast("long")
+    copies = F.col("passes") + F.expr("extra div of_length") + (F.col("before") + F.col("place") <= F.expr("extra % of_length")).cast("long")
     return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
 
 
