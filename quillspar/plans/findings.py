@@ -101,3 +101,17 @@ def as_findings(matches: DataFrame, services: DataFrame, repository: str, scan_i
     )
     return labelled(rows, [F.col(c) for c in IDENTITY])
 
+def call_matches(calls: DataFrame, rules: DataFrame, entries: DataFrame, key_size_place: int = 1) -> DataFrame:
+    """Calls that a `python_call` rule's entries name, as matches: the first entry of each rule that fits the full name."""
+    from quillspar.plans.findings import first_of_rule
+
+    wanted = rules.where("match_type = 'python_call'").select("rule_id", "library", F.col("api").alias("rule_api"), "pattern")
+    # A cheap test of each distinct name first; entries are tried on what it leaves.
+    names = calls.select(F.col("name").alias("value")).distinct().join(small(wanted.select("rule_id", "pattern")), F.expr("value RLIKE pattern")).select("rule_id", "value")
+    hits = first_of_rule(names, entries).withColumnRenamed("value", "name").join(small(wanted.drop("pattern")), "rule_id")
+    rows = calls.join(hits, "name")
+    named = F.filter("ints", lambda i: F.coalesce(i["keyword"] == "key_size", F.lit(False)))
+    placed = F.filter("ints", lambda i: F.coalesce(i["place"] == key_size_place, F.lit(False)))
+    size = F.try_element_at(F.concat(named, placed), F.lit(1))["value"].cast("int")
+    api = F.coalesce("rule_api", F.regexp_extract("name", r"([^.]+\.)?[^.]+$", 0))
+    return rows.select("file", "line_start", "line_end", "rule_id", "algorithm", "primitive", "operation", "library", api.alias("api"), "scope", "evidence", "confidence", F.coalesce("key_size", size).alias("key_size"), F.lit(False).alias("comment_only"))
