@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspar.functions import text as T
-from quillspar.operators.matching import small
+from quillspar.operators.matching import longest_prefix, small
 from quillspar.session import ship
 
 IMPORT_DDL = "file string, language string, line int, kind string, spec string, names array<string>, evidence string"
@@ -66,13 +66,15 @@ def read_imports(files: DataFrame) -> DataFrame:
     return found.withColumn("evidence", T.redacted(T.evidence(F.col("evidence"), 200))).dropDuplicates(["file", "line", "spec", "kind"])
 
 
-def resolved_imports(imports: DataFrame, files: DataFrame, libraries: DataFrame) -> DataFrame:
+def resolved_imports(imports: DataFrame, files: DataFrame, libraries: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     """imports with targets, resolution, external and crypto_library; libraries has (language, root, library).
 
     Absolute Python and Java imports name a suffix of a module's path; relative
     ones and JavaScript's name exact candidates, tried in order. One file:
     resolved; several: ambiguous; a package: wildcard; none: external, or
-    unresolved where the name is relative.
+    unresolved where the name is relative. configs (sources.structured.
+    read_tsconfigs) gives aliases: the nearest config above the importer
+    decides by its first pattern that fits, even if no file is there.
     """
     rows = imports.withColumn("_row", F.xxhash64("file", "line", "spec", "kind"))
     paths = files.select("path", "kind")
@@ -114,10 +116,13 @@ def resolved_imports(imports: DataFrame, files: DataFrame, libraries: DataFrame)
     # `a/../b` steps up: segments are kept on a stack.
     stack = F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), lambda s, p: F.when((p == ".") | (p == ""), s).when(p == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.concat(s, F.array(p))))
     js = rows.where("language = 'js' AND startswith(spec, '.')").withColumn("base", F.array_join(stack, "/"))
+    js = js.select("_row", F.lit(0).alias("choice"), "base")
+    if configs is not None:
+        js = js.unionByName(_aliased(rows.where("language = 'js' AND NOT startswith(spec, '.')"), configs))
     endings = F.array(*map(F.lit, JS_ENDINGS))
     typed = F.regexp_replace("base", r"\.(m|c)?js$", ".$1ts")
-    js = js.select("_row", F.posexplode(F.concat(F.transform(endings, lambda e: F.concat("base", e)), F.array(typed))).alias("place", "path")).join(paths.select("path"), "path")
-    found = found.unionByName(js.groupBy("_row").agg(F.array(F.min_by("path", "place")).alias("targets")).withColumn("resolution", F.lit("resolved")))
+    js = js.select("_row", "choice", F.posexplode(F.concat(F.transform(endings, lambda e: F.concat("base", e)), F.array(typed))).alias("place", "path")).join(paths.select("path"), "path")
+    found = found.unionByName(js.groupBy("_row").agg(F.array(F.min_by("path", F.struct("choice", "place"))).alias("targets")).withColumn("resolution", F.lit("resolved")))
 
     out = rows.join(found, "_row", "left")
     relative = (F.col("kind") == "relative") | ((F.col("language") == "js") & F.col("spec").startswith("."))
@@ -128,6 +133,20 @@ def resolved_imports(imports: DataFrame, files: DataFrame, libraries: DataFrame)
     return out.join(small(known), ["language", "external"], "left").select("file", "language", "line", "kind", "spec", "names", "targets", "resolution", "external", "crypto_library", "evidence")
 
 
+def _aliased(rows: DataFrame, configs: DataFrame) -> DataFrame:
+    """(_row, choice, base): where the aliases of the nearest config say that a module may be."""
+    folders = configs.select("folder").distinct().withColumn("ord", F.lit(0)).withColumn("config", F.col("folder"))
+    near = longest_prefix(rows.select("_row", "spec", "file"), "file", folders, "folder", ["config"])
+    patterns = small(configs.withColumnRenamed("folder", "config"))
+    head, tail = F.substring_index("pattern", "*", 1), F.when(F.contains("pattern", F.lit("*")), F.substring_index("pattern", "*", -1)).otherwise("")
+    star = F.contains("pattern", F.lit("*"))
+    fits = (star & F.startswith("spec", head) & F.endswith("spec", tail)) | (~star & (F.col("spec") == F.col("pattern")))
+    best = near.join(patterns, "config").where(fits).withColumn("middle", F.when(star, F.substring("spec", F.length(head) + 1, F.length("spec") - F.length(head) - F.length(tail))).otherwise("")).groupBy("_row").agg(F.min_by(F.struct("base", "targets", "middle"), "ord").alias("b"))
+    tried = best.select("_row", "b.base", "b.middle", F.posexplode("b.targets").alias("choice", "target"))
+    path = F.regexp_replace(F.replace("target", F.lit("*"), F.col("middle")), r"^\./", "")
+    return tried.select("_row", "choice", F.concat_ws("/", F.nullif("base", F.lit("")), path).alias("base"))
+
+
 def _dotted(node: ast.AST) -> str | None:
     if isinstance(node, ast.Name):
         return node.id

@@ -10,8 +10,8 @@ from quillspar.functions import scoring
 from quillspar.functions import text as T
 from quillspar.operators.order import numbered
 from quillspar.plans import findings as plan
-from quillspar.plans import graph, inventory, migration, readiness
-from quillspar.sources import archives, files, imports, metadata
+from quillspar.plans import graph, inventory, migration, readiness, report
+from quillspar.sources import archives, code, files, imports, metadata, structured
 from quillspar.streaming import limits
 
 TREE = {
@@ -238,3 +238,48 @@ def test_limits_on_a_stream(spark, tmp_path):
         query.stop()
     assert {(r["user_id"], r["n"]) for r in spark.sql("SELECT user_id, count_if(admitted) AS n FROM admitted GROUP BY user_id").collect()} == {(0, 3), (1, 3)}
     assert spark.table("admitted").count() == 40
+
+
+def test_structured_values_and_aliases(spark):
+    tree = [
+        ("web/tsconfig.json", "json", '{ // top\n "compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*"], "@/x/only": ["alt/only"],}},\n}'),
+        ("web/src/x/only.ts", "js", ""),
+        ("web/src/y.ts", "js", ""),
+        ("web/alt/only.ts", "js", ""),
+        ("web/src/main.ts", "js", "import a from '@/x/only'\nimport b from '@/y'\nimport c from '@/none'\nimport d from 'react'\n"),
+        ("a.yaml", "yaml", "tls:\n  min: TLSv1\n  list: [a, b]\nref: &r {k: v}\nagain: *r\n"),
+        ("bad.json", "json", "{"),
+    ]
+    df = spark.createDataFrame(tree, "path string, kind string, text string")
+    rows = {(r["file"], r["key_path"], r["value"]): r["line"] for r in structured.read_values(df).where("error IS NULL").collect()}
+    assert rows["a.yaml", "tls.min", "TLSv1"] == 2 and rows["a.yaml", "tls.list", "b"] == 3 and ("a.yaml", "again.k", "v") not in rows
+    assert structured.read_values(df).where("error IS NOT NULL").select("file", "error").collect() == [("bad.json", "parse_error")]
+    libraries = spark.createDataFrame([], "language string, root string, library string")
+    got = {r["spec"]: (r["resolution"], r["targets"]) for r in imports.resolved_imports(imports.read_imports(df), df, libraries, structured.read_tsconfigs(df)).collect()}
+    assert got == {"@/x/only": ("resolved", ["web/alt/only.ts"]), "@/y": ("resolved", ["web/src/y.ts"]), "@/none": ("external", []), "react": ("external", [])}
+
+
+def test_code_matches(spark):
+    java = 'class Signer {\n  // Cipher.getInstance("RSA")\n  String s = "Cipher.getInstance(x)";\n  void make() {\n    Cipher.getInstance("RSA/ECB").init(Cipher.ENCRYPT_MODE);\n  }\n}\n'
+    df = spark.createDataFrame([("p/A.java", "java", java), ("p/B.java", "java", "package p;\nclass B { A a; C c; }"), ("p/C.java", "java", "package p;")], "path string, kind string, text string")
+    rules = spark.createDataFrame([("R", "java", "regex", r'Cipher\.getInstance\(\s*"([^"]+)"')], "rule_id string, language string, match_type string, pattern string")
+    (r,) = code.regex_matches(df, rules).collect()
+    assert (r["line_start"], r["value"], r["scope"]) == (5, "RSA/ECB", ["make"])
+    refine = spark.createDataFrame([("R", 0, 40, "DECRYPT", "decryption"), ("R", 1, 40, "ENCRYPT", "encryption")], "rule_id string, ord int, window int, pattern string, operation string")
+    assert code.refined(code.regex_matches(df, rules), refine).first()["operation"] == "encryption"
+    assert [(c["line"], c["text"]) for c in code.comments(df).collect()] == [(2, '// Cipher.getInstance("RSA")')]
+    explicit = spark.createDataFrame([("p/B.java", "Q")], "file string, name string")
+    assert [tuple(x) for x in code.same_package(df, explicit).collect()] == [("p/B.java", "p/C.java")]
+
+
+def test_private_keys_go(spark):
+    text = "x\n-----BEGIN RSA PRIVATE KEY-----\nMIIabc\n\nzz==\n-----END RSA PRIVATE KEY-----\ny\n-----BEGIN EC PRIVATE KEY----- AAAABBBBCCCCDDDD -----END EC PRIVATE KEY-----"
+    df = spark.createDataFrame([("f", i + 1, t) for i, t in enumerate(text.split("\n"))], "file string, line int, text string")
+    got = [r["text"] for r in code.without_private_keys(df).orderBy("line").collect()]
+    m = T.REDACTED
+    assert got == ["x", "-----BEGIN RSA PRIVATE KEY-----", m, "", m, "-----END RSA PRIVATE KEY-----", "y", f"-----BEGIN EC PRIVATE KEY-----{m}-----END EC PRIVATE KEY-----"]
+
+
+def test_report(found):
+    text = report.markdown(found[0], found[1], "Shop")
+    assert text.startswith("# Shop\n") and "| DH | 1 |" in text and "not_ready_blockers" in text
