@@ -18,14 +18,25 @@ BLOCK = 512
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct ids, and each id's place among them in the narrowest type."""
+    if not len(ids) or int(ids.max()) >= 1 << 22:
+        alphabet, codes = np.unique(ids, return_inverse=True)
+    else:  # vocabularies are small: a table takes the place of the sort
+        alphabet = np.flatnonzero(np.bincount(ids))
+        table = np.zeros(int(ids.max()) + 1, np.uint32)
+        table[alphabet] = np.arange(len(alphabet))
+        codes = table.astype(np.uint16)[ids] if len(alphabet) <= 1 << 16 else table[ids]
+    return alphabet, codes.astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32, copy=False)
+
+
 def build(ids: np.ndarray) -> bytes:
     """The blob of a sequence of unsigned 32-bit ids: header, alphabet, planes and rank blocks."""
-    alphabet, codes = np.unique(ids, return_inverse=True)
+    alphabet, codes = _numbered(ids)
     depth = max(1, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 0
-    codes = codes.astype(np.uint32)
     planes, zeros = [], []
     for shift in range(depth - 1, -1, -1):
-        bits = ((codes >> np.uint32(shift)) & 1).astype(bool)
+        bits = (codes & codes.dtype.type(1 << shift)).astype(bool)
         planes.append(np.packbits(bits))
         ones = codes[bits]
         zeros.append(len(codes) - len(ones))
@@ -140,13 +151,13 @@ class WaveletMatrix:
         """The whole sequence: planes from the last to the first, each sorting back what the one above it sorted."""
         if not self.depth:
             return np.zeros(0, np.uint32)
-        n = self.n
-        codes = np.zeros(n, np.uint32)
+        n, kind = self.n, np.dtype(np.uint16 if self.depth <= 16 else np.uint32)
+        codes = np.zeros(n, kind)
         for p in range(self.depth - 1, -1, -1):
             bits = np.unpackbits(self.planes[p], count=n).astype(bool)
             zeros = int(self.zeros[p])
-            back = np.empty(n, np.uint32)
+            back = np.empty(n, kind)
             back[~bits] = codes[:zeros]
-            back[bits] = codes[zeros:] | np.uint32(1 << (self.depth - 1 - p))
+            back[bits] = codes[zeros:] | kind.type(1 << (self.depth - 1 - p))
             codes = back
         return self.alphabet[codes]
