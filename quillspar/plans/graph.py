@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quillspar.functions.scoring import BANDS, band_rank
 from quillspar.operators.aggregates import closed_histogram, merged_edges
-from quillspar.operators.closure import MAX_DEPTH, reverse_closure, two_tier_closure
+from quillspar.operators.closure import MAX_DEPTH, induced, reverse_closure, two_tier_closure
+from quillspar.plans.migration import changes, track
 
 _EVIDENCE = ["file", "line", "text", "spec"]
 _SELECTABLE = ("algorithm", "library", "finding", "file")
@@ -114,3 +115,31 @@ def incident(graph_edges: DataFrame, node: str) -> DataFrame:
     out = F.col("source") == node
     rows = graph_edges.where(out | (F.col("target") == node))
     return rows.select(F.col("type").alias("relation"), F.when(out, "outgoing").otherwise("incoming").alias("direction"), F.when(out, F.col("target")).otherwise(F.col("source")).alias("other")).orderBy("relation", "direction", "other")
+
+
+def expanded(graph_edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """Nodes one step around reached files: their findings, what those use, and the services that hold the files."""
+    files = reached.select("node").distinct()
+    held = graph_edges.where("type = 'CONTAINS'").join(files.withColumnRenamed("node", "source"), "source", "left_semi").select(F.col("target").alias("node"))
+    used = graph_edges.where("type = 'USES'").join(held.withColumnRenamed("node", "source"), "source", "left_semi").select(F.col("target").alias("node"))
+    above = graph_edges.where("type = 'CONTAINS' AND source LIKE 'service:%'").join(files.withColumnRenamed("node", "target"), "target", "left_semi").select(F.col("source").alias("node"))
+    return reduce(DataFrame.union, [files, held, used, above]).distinct()
+
+
+def simulated(planned: DataFrame, graph_edges: DataFrame, node: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What changing a node's findings means: (changes by track and operation, files reached by track, edges among them).
+
+    Each track's files are its findings' own and what imports them, confirmed
+    paths before inferred ones.
+    """
+    uses = graph_edges.where((F.col("type") == "USES") & (F.col("target") == node)).select(F.expr("substring(source, 9)").alias("id"))
+    chosen = planned.join(uses, "id", "left_semi").withColumn("track", track(F.col))
+    imports = graph_edges.where("type = 'IMPORTS' AND target LIKE 'file:%'")
+    reached = None
+    for row in chosen.select("track").distinct().orderBy("track").collect():  # seven tracks
+        seeds = chosen.where(F.col("track") == row["track"]).select(F.concat(F.lit("file:"), "file").alias("node"))
+        found = two_tier_closure(imports, seeds, "confirmed")[0].withColumn("track", F.lit(row["track"]))
+        reached = found if reached is None else reached.unionByName(found)
+    if reached is None:
+        reached = two_tier_closure(imports, chosen.select(F.col("file").alias("node")), "confirmed")[0].withColumn("track", F.lit(""))
+    return changes(chosen), reached, induced(graph_edges, expanded(graph_edges, reached))

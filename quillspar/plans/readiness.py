@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspar.functions import text as T
 from quillspar.functions.scoring import BROKEN_HASHES, WEAK_CIPHERS
 from quillspar.operators.aggregates import first_seen_mode
+from quillspar.operators.order import top_per_group
 
 # Rules that find old protocol versions and weak suites.
 OLD_PROTOCOL_RULES = ("CFG-NGINX-TLS-001", "CFG-STRUCT-TLS-001", "CFG-STRUCT-TLS-002")
@@ -75,3 +76,39 @@ def libraries(findings: DataFrame, imports: DataFrame) -> DataFrame:
     used = findings.where("library IS NOT NULL").groupBy("library").agg(F.count("*").alias("findings"), F.count_if("quantum_vulnerable").alias("vulnerable"), F.count_distinct("file").alias("files"))
     named = imports.where("crypto_library IS NOT NULL").groupBy(F.col("crypto_library").alias("library")).agg(F.count_distinct("file").alias("importing_files"))
     return used.join(named, "library", "full_outer").fillna(0, ["findings", "vulnerable", "files", "importing_files"])
+
+
+# Fixed values: (recommendation, priority, kinds of evidence that call for it, what to do).
+RECOMMENDATIONS = (
+    ("hybrid_key_establishment", 1, ("hndl",), "Protect long-lived data first: hybrid key establishment"),
+    ("remove_disallowed", 1, ("legacy_symmetric", "old_protocols", "weak_suites", "sha1_certificates"), "Remove disallowed classical cryptography"),
+    ("plan_key_establishment", 2, ("key_establishment_rest",), "Plan a post-quantum KEM for the remaining key establishment"),
+    ("inventory_verifiers", 2, ("signatures", "certificates"), "Inventory verifiers, then plan post-quantum signatures"),
+    ("determine_roles", 3, ("undetermined",), "Determine the role of undetermined public-key usage"),
+    ("replace_hashes", 3, ("hashes",), "Replace broken hash functions"),
+    ("longer_keys", 4, ("symmetric_strength",), "Consider AES-256 for long-lived data"),
+)
+BLOCKERS = ("hndl", "legacy_symmetric", "old_protocols", "weak_suites", "sha1_certificates")
+#: Evidence rows that a recommendation shows; its total is given beside them.
+SHOWN = 25
+
+
+def blockers(findings: DataFrame) -> DataFrame:
+    """The categories that stand in the way, with their counts."""
+    return categories(findings).where(F.col("category").isin(*BLOCKERS)).orderBy("category")
+
+
+def recommendations(findings: DataFrame) -> DataFrame:
+    """(priority, recommendation, title, place, id, file, line_start, algorithm, service, evidence_total): called-for recommendations with their first evidence.
+
+    Each finding counts once in a recommendation. Remaining key establishment
+    is what is neither at risk by long lifetimes nor outside production.
+    """
+    rows = classified(findings)
+    rest = F.array_contains("classes", "key_establishment") & ~F.array_contains("classes", "hndl") & ~T.non_production(F.col("file"), F.col("test_path"))
+    rows = rows.withColumn("classes", F.when(rest, F.concat("classes", F.array(F.lit("key_establishment_rest")))).otherwise(F.col("classes")))
+    table = findings.sparkSession.createDataFrame(RECOMMENDATIONS, "recommendation string, priority int, wanted array<string>, title string")
+    called = rows.join(F.broadcast(table), F.arrays_overlap("classes", "wanted"))  # seven rows
+    totals = called.groupBy("recommendation").agg(F.count("*").alias("evidence_total"))
+    shown = top_per_group(called, ["recommendation"], [F.col("file"), F.col("line_start"), F.col("id")], SHOWN)
+    return shown.join(totals, "recommendation").select("priority", "recommendation", "title", "place", "id", "file", "line_start", "algorithm", "service", "evidence_total").orderBy("priority", "recommendation", "place")

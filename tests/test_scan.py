@@ -1,3 +1,4 @@
+import base64
 import datetime
 import io
 import tarfile
@@ -11,7 +12,7 @@ from quillspar.functions import text as T
 from quillspar.operators.order import numbered
 from quillspar.plans import findings as plan
 from quillspar.plans import graph, inventory, migration, readiness, report
-from quillspar.sources import archives, code, files, imports, metadata, structured
+from quillspar.sources import archives, certificates, code, files, imports, metadata, structured
 from quillspar.streaming import limits
 
 TREE = {
@@ -283,3 +284,46 @@ def test_private_keys_go(spark):
 def test_report(found):
     text = report.markdown(found[0], found[1], "Shop")
     assert text.startswith("# Shop\n") and "| DH | 1 |" in text and "not_ready_blockers" in text
+
+
+def _der(tag, *parts):
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else bytes([0x82]) + len(body).to_bytes(2)
+    return bytes([tag]) + size + body
+
+
+def _oid(text):
+    first, second, *rest = map(int, text.split("."))
+    out = bytes([40 * first + second])
+    for n in rest:
+        part = [n & 0x7F]
+        while n := n >> 7:
+            part.append(n & 0x7F | 0x80)
+        out += bytes(reversed(part))
+    return _der(6, out)
+
+
+def test_certificates(spark):
+    name = lambda n: _der(0x30, _der(0x31, _der(0x30, _oid("2.5.4.3"), _der(0x0C, n.encode()))))
+    sha1 = _der(0x30, _oid("1.2.840.113549.1.1.5"), _der(5))
+    key = _der(0x30, _der(0x30, _oid("1.2.840.113549.1.1.1"), _der(5)), _der(3, b"\0", _der(0x30, _der(2, b"\0" + b"\xff" * 256), _der(2, b"\1\0\1"))))
+    body = _der(0x30, _der(0xA0, _der(2, b"\2")), _der(2, b"\7"), sha1, name("root"), _der(0x30, _der(0x17, b"200101000000Z"), _der(0x17, b"230101000000Z")), name("shop"), key)
+    pem = "x\n-----BEGIN CERTIFICATE-----\n" + base64.encodebytes(_der(0x30, body, sha1, _der(3, b"\0\1"))).decode() + "-----END CERTIFICATE-----\n-----BEGIN CERTIFICATE-----\nAAAA\n-----END CERTIFICATE-----\n"
+    rows = certificates.read_certificates(spark.createDataFrame([("a.pem", "pem", pem)], "path string, kind string, text string")).cache()
+    good, bad = rows.orderBy("line").collect()
+    assert (good["line"], good["key_algorithm"], good["key_size"], good["signature_hash"], good["subject"], good["issuer"]) == (2, "RSA", 2048, "SHA-1", "shop", "root")
+    assert bad["error"] == "unreadable"
+    got = {(r["rule_id"], r["algorithm"], r["evidence"]) for r in certificates.certificate_matches(rows, "2024-01-01").collect()}
+    assert got == {("CFG-X509-001", "RSA", "subject shop, issuer root, expired 2023-01-01"), ("CFG-X509-002", "SHA-1", "subject shop, issuer root, expired 2023-01-01")}
+
+
+def test_recommendations_and_simulation(spark, scanned, found):
+    rows = [(r["priority"], r["recommendation"], r["evidence_total"]) for r in readiness.recommendations(found[0]).where("place = 1").collect()]
+    assert rows == [(1, "hybrid_key_establishment", 2), (1, "remove_disallowed", 2), (3, "determine_roles", 1), (3, "replace_hashes", 1)]
+    assert {r["category"] for r in readiness.blockers(found[0]).collect()} == {"hndl", "old_protocols"}
+    libraries = spark.createDataFrame([], "language string, root string, library string")
+    edges = graph.edges(found[0], imports.resolved_imports(imports.read_imports(scanned), scanned, libraries)).cache()
+    changed, reached, inside = graph.simulated(migration.planned(found[0]), edges, "algorithm:MD5")
+    assert [(r["track"], r["change"], r["findings"]) for r in changed.collect()] == [("hash", "hashing", 1)]
+    assert {(r["node"], r["depth"]) for r in reached.collect()} == {("file:app/keys.py", 0), ("file:app/api.py", 1), ("file:app/util.py", 1)}
+    assert ("file:app/api.py", "file:app/keys.py") in {(r["source"], r["target"]) for r in inside.collect()}
