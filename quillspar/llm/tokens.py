@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -24,8 +25,8 @@ from quillspar.session import ship
 
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 8 << 20
-#: Distinct pieces that one worker remembers before it starts afresh.
-MEMORY_PIECES = 600_000
+#: Distinct pieces of one generation of a worker's memory; two generations are kept.
+MEMORY_PIECES = 400_000
 #: The last code point below which the library's and Python's notion of a letter are the same.
 _PLAIN = "ԯ"
 
@@ -52,6 +53,7 @@ class Encoder:
         self.pieced = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("normalizer") is None and not strips and all("|" in t["content"] for t in spec.get("added_tokens", []))
         self.letters = dict(enumerate(_byte_letters()))
         self.memory: dict = {}
+        self.older: dict = {}
 
     def _whole(self, texts: list[str]) -> list:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -70,12 +72,19 @@ class Encoder:
             self.memory[text] = keep(ids)
 
     def _known(self, distinct: list[str], keep: Callable) -> list:
-        if len(self.memory) + len(distinct) > MEMORY_PIECES:
-            self.memory.clear()
-        memory = self.memory
-        new = [x for x in distinct if x not in memory]
+        """What keep() made of each piece. Pieces that are met again pass from the older generation to the new one."""
+        memory, older, new = self.memory, self.older, []
+        for piece in distinct:
+            if piece not in memory:
+                if (found := older.get(piece)) is None:
+                    new.append(piece)
+                else:
+                    memory[piece] = found
         self._new_pieces(new, keep)
-        return [memory[x] for x in distinct]
+        out = [memory[piece] for piece in distinct]
+        if len(memory) > MEMORY_PIECES:
+            self.older, self.memory = memory, {}
+        return out
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text."""
@@ -109,12 +118,13 @@ class Encoder:
             index = coded.indices.to_numpy()
             each = sizes[index]
             ends = np.cumsum(each)
-            at = np.arange(ends[-1]) + np.repeat(starts[index] - ends + each, each)
+            at = np.repeat((starts[index] - ends + each).astype(np.int32), each)  # a batch has fewer than 2**31 ids
+            at += np.arange(ends[-1], dtype=np.int32)
             yield flat[at], _row_sums(each, firsts)
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, np.uint32).tobytes()
+    return array("I", ids).tobytes()
 
 
 def _row_sums(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
