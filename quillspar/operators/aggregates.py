@@ -10,9 +10,8 @@ def closed_histogram(df: DataFrame, value: str, domain: list[str], keys: list[st
     """(keys, value, n) for every value of a closed domain, 0 where none occurs."""
     keys = keys or []
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    full = df.sparkSession.createDataFrame([(d,) for d in domain], f"{value} string")
-    if keys:
-        full = df.select(*keys).distinct().crossJoin(F.broadcast(full))  # groups times the few values of the domain
+    groups = df.select(*keys).distinct() if keys else df.sparkSession.range(1)
+    full = groups.select(*keys, F.explode(F.array(*map(F.lit, domain))).alias(value))
     return full.join(counts, [*keys, value], "left").select(*keys, value, F.coalesce("_n", F.lit(0)).alias("n"))
 
 

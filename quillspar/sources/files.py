@@ -47,8 +47,8 @@ def lines(files: DataFrame, text_col: str = "text") -> DataFrame:
 def without_single_root(files: DataFrame) -> DataFrame:
     """If all paths lie in one top folder, that folder is taken off."""
     top = F.substring_index("path", "/", 1)
-    one = files.agg((F.count_distinct(top) == 1).alias("same"), F.bool_and(F.col("path").contains("/")).alias("deep"))
-    return files.crossJoin(F.broadcast(one)).withColumn("path", F.when(F.col("same") & F.col("deep"), F.regexp_replace("path", "^[^/]+/", "")).otherwise(F.col("path"))).drop("same", "deep")
+    one = files.agg((F.count_distinct(top) == 1).alias("same"), F.bool_and(F.col("path").contains("/")).alias("deep")).first()
+    return files.withColumn("path", F.regexp_replace("path", "^[^/]+/", "")) if one["same"] and one["deep"] else files
 
 
 def skipped_by_reason(files: DataFrame) -> DataFrame:

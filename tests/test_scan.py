@@ -327,3 +327,10 @@ def test_recommendations_and_simulation(spark, scanned, found):
     assert [(r["track"], r["change"], r["findings"]) for r in changed.collect()] == [("hash", "hashing", 1)]
     assert {(r["node"], r["depth"]) for r in reached.collect()} == {("file:app/keys.py", 0), ("file:app/api.py", 1), ("file:app/util.py", 1)}
     assert ("file:app/api.py", "file:app/keys.py") in {(r["source"], r["target"]) for r in inside.collect()}
+
+
+def test_single_root_goes(spark):
+    df = spark.createDataFrame([("r/a",), ("r/b/c",)], "path string")
+    assert sorted(r["path"] for r in files.without_single_root(df).collect()) == ["a", "b/c"]
+    df = df.union(spark.createDataFrame([("x",)], "path string"))
+    assert sorted(r["path"] for r in files.without_single_root(df).collect()) == ["r/a", "r/b/c", "x"]
