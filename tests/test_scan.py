@@ -11,7 +11,7 @@ from quillspar.functions import scoring
 from quillspar.functions import text as T
 from quillspar.operators.order import numbered
 from quillspar.plans import findings as plan
-from quillspar.plans import graph, inventory, migration, readiness, report
+from quillspar.plans import coverage, graph, inventory, migration, readiness, report
 from quillspar.sources import archives, certificates, code, files, imports, metadata, structured
 from quillspar.streaming import limits
 
@@ -334,3 +334,20 @@ def test_single_root_goes(spark):
     assert sorted(r["path"] for r in files.without_single_root(df).collect()) == ["a", "b/c"]
     df = df.union(spark.createDataFrame([("x",)], "path string"))
     assert sorted(r["path"] for r in files.without_single_root(df).collect()) == ["r/a", "r/b/c", "x"]
+
+
+def test_manifest_and_warnings(spark, tree, found, tmp_path):
+    assessed = files.assessed(tree)
+    coverage.write_manifest(coverage.manifest(assessed, found[1], "s1"), str(tmp_path / "m"))
+    row = coverage.read_manifest(spark, str(tmp_path / "m")).first()
+    assert row["files"] == len(TREE) and row["services"] == ["shop", "tools"] and ("unsupported", 1) in [tuple(x) for x in row["skipped"]]
+    assert coverage.warnings(assessed).count() == 0
+
+
+def test_accuracy_counts_multisets(spark):
+    ddl = "case string, line int, algorithm string"
+    want = spark.createDataFrame([("a", 1, "RSA"), ("a", 2, "DH"), ("b", 1, "AES")], ddl)
+    got = spark.createDataFrame([("a", 1, "RSA"), ("a", 1, "RSA"), ("b", 1, "AES")], ddl)
+    cases = spark.createDataFrame([("a", "real"), ("b", "real"), ("c", "none")], "case string, kind string")
+    rows = {r["kind"]: (r["tp"], r["fp"], r["fn"], r["precision"]) for r in coverage.evaluated(want, got, cases).collect()}
+    assert rows[None] == (2, 1, 1, pytest.approx(2 / 3)) and rows["none"] == (0, 0, 0, 1.0)
