@@ -50,9 +50,23 @@ def mention_matches(texts: DataFrame, mentions: DataFrame) -> DataFrame:
 
     One row for each line and algorithm, whichever of its patterns hit.
     """
-    rows = lines(texts.select("path", "text")).where(F.trim("text") != "")
-    hits = rows.join(small(mentions), F.expr("text RLIKE pattern"))
-    return hits.groupBy(F.col("path").alias("file"), "line", "algorithm").agg(F.min(F.struct("ord", T.evidence(F.col("text")).alias("evidence"))).alias("_m")).select("file", "line", "algorithm", "_m.evidence")
+    rows = lines(texts.select("path", "text")).where(F.trim("text") != "").withColumnRenamed("path", "file")
+    return first_mentions(rows, mentions).select("file", "line", "algorithm", T.evidence(F.col("text")).alias("evidence"))
+
+
+def first_mentions(rows: DataFrame, mentions: DataFrame, text_col: str = "text") -> DataFrame:
+    """rows with each algorithm that their text mentions and first_pattern, the order of the first pattern that hits.
+
+    The pattern list is configuration: each pattern becomes a literal
+    predicate, compiled once, where a join would compile it for every row.
+    """
+    known = sorted((r["algorithm"], r["ord"], r["pattern"]) for r in mentions.select("algorithm", "ord", "pattern").collect())
+    hits = []
+    for algorithm in dict.fromkeys(k[0] for k in known):
+        first = F.coalesce(*[F.when(F.col(text_col).rlike(p), F.lit(o)) for a, o, p in known if a == algorithm])
+        hits.append(F.struct(F.lit(algorithm).alias("algorithm"), first.alias("first_pattern")))
+    found = F.filter(F.array(*hits), lambda h: h["first_pattern"].isNotNull())
+    return rows.withColumn("_m", F.explode(found)).select(*rows.columns, "_m.algorithm", "_m.first_pattern")
 
 
 def with_siblings(matches: DataFrame, targets: Column, confidence: Column) -> DataFrame:

@@ -13,6 +13,7 @@ from quillspar.operators import aggregates as A
 from quillspar.operators import matching as M
 from quillspar.operators.closure import reverse_closure, two_tier_closure
 from quillspar.operators.order import labelled, numbered, top_per_group, truncated
+from quillspar.plans.findings import first_mentions
 from quillspar.plans.inventory import searched
 from quillspar.streaming.limits import expired, limited, sliding_counts, windowed_counts
 
@@ -229,8 +230,7 @@ _MENTIONS = [(o, f"(?i)(?:^|[^a-z])(?:{w})(?:[^a-z]|$)", a) for o, w, a in [(0,
 """)
 def q14_mentions(spark, sf_dir):
     rows = _lines(spark, sf_dir).where(F.trim("text") != "")
-    hits = rows.join(M.small(_values(spark, "ord int, pattern string, algorithm string", _MENTIONS)), F.expr("text RLIKE pattern"))
-    return hits.groupBy("doc_id", "line", "algorithm").agg(F.min("ord").alias("first_pattern"))
+    return first_mentions(rows, _values(spark, "ord int, pattern string, algorithm string", _MENTIONS)).select("doc_id", "line", "algorithm", "first_pattern")
 
 
 @query(rf"""
