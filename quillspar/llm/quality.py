@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspar.llm import textkernel
@@ -124,11 +124,11 @@ class View:
             share = table / (counts[name].sum(axis=1, keepdims=True) + SMOOTHING * prior[:, None] * BINS)
             self.odds[name] = np.log(share[1] / share[0])
 
-    def raw(self) -> Column:
-        return sum((F.element_at(F.array(*map(F.lit, self.odds[n].tolist())), F.col(n) + 1) for n in self.names), F.lit(0.0))
+    def raw(self, columns: dict[str, np.ndarray]) -> np.ndarray:
+        return np.add.reduce([self.odds[n][columns[n]] for n in self.names])
 
-    def place(self, raw: Column) -> Column:
-        return F.floor(F.greatest(F.least(raw, F.lit(self.SPAN - 0.5)), F.lit(-self.SPAN + 0.5)) + self.SPAN).cast("int")
+    def place(self, columns: dict[str, np.ndarray]) -> np.ndarray:
+        return (np.clip(self.raw(columns), -self.SPAN + 0.5, self.SPAN - 0.5) + self.SPAN).astype(np.int64)
 
     def calibrate(self, counts: np.ndarray) -> None:
         """counts[label, place] of the labelled documents -> log-odds that rise with the sum (pool adjacent violators)."""
@@ -144,53 +144,74 @@ class View:
         share = np.clip(share, 1e-4, 1 - 1e-4)
         self.curve = np.log(share / (1 - share))
 
-    def log_odds(self) -> Column:
-        return F.element_at(F.array(*map(F.lit, self.curve.tolist())), self.place(self.raw()) + 1)
+    def log_odds(self, columns: dict[str, np.ndarray]) -> np.ndarray:
+        return self.curve[self.place(columns)]
 
 
-def _probability(log_odds: Column) -> Column:
-    return 1 / (1 + F.exp(-log_odds))
+def _probability(log_odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-log_odds))
 
 
-def _counted(rows: DataFrame, names: tuple[str, ...], label: str) -> dict[str, np.ndarray]:
-    """For each name, how many rows have each label and bin: summed in tasks, then over tasks; labels -1 don't count."""
+def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("label", *CONTENT, *METADATA)}
+
+
+def _told(columns: dict[str, np.ndarray], other: View, sure: float) -> np.ndarray:
+    """The labels that a view trains on: the known ones, and what the other view is sure of; -1 elsewhere."""
+    label = columns["label"]
+    if other.curve is None:
+        return label
+    p = _probability(other.log_odds(columns))
+    return np.where(label >= 0, label, np.where(p >= sure, 1, np.where(p <= 1 - sure, 0, -1)))
+
+
+def _summed(table: DataFrame, count, kinds: int, width: int) -> np.ndarray:
+    """count(columns, sums) adds to sums[kind, label * width + bin] in each task; sums over all tasks, at most kinds * 2 * width rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(names), 2 * BINS), np.int64)
+        sums = np.zeros((kinds, 2 * width), np.int64)
         for batch in batches:
-            labels = batch.column(0).to_numpy(zero_copy_only=False)
-            keep = labels >= 0
-            for i in range(len(names)):
-                sums[i] += np.bincount(labels[keep] * BINS + batch.column(i + 1).to_numpy(zero_copy_only=False)[keep], minlength=2 * BINS)
-        feature, cell = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(feature.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(sums[feature, cell])], names=["feature", "cell", "n"])
+            count(_columns(batch), sums)
+        kind, cell = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(sums[kind, cell])], names=["kind", "cell", "n"])
 
-    cells = rows.select(F.col(label).cast("int"), *names).mapInArrow(run, "feature int, cell int, n long").groupBy("feature", "cell").agg(F.sum("n").alias("n"))
-    out = {name: np.zeros((2, BINS)) for name in names}
-    for r in cells.collect():  # at most features * 2 * BINS rows
-        out[names[r["feature"]]][r["cell"] // BINS, r["cell"] % BINS] = r["n"]
-    return out
+    cells = table.select("label", *CONTENT, *METADATA).mapInArrow(run, "kind int, cell int, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n"))
+    out = np.zeros((kinds, 2 * width))
+    for r in cells.collect():
+        out[r["kind"], r["cell"]] = r["n"]
+    return out.reshape(kinds, 2, width)
 
 
 def co_train(table: DataFrame, rounds: int = ROUNDS, sure: float = SURE) -> tuple[View, View, float]:
-    """Both views and the prior log-odds from features with a column `label` (1, 0, or -1 where unknown)."""
+    """Both views and the prior log-odds from features with a column `label` (1, 0, or -1 where unknown).
+
+    Two jobs a round: counts of both views' bins under the labels that the
+    other view tells, then counts of the labelled documents' scores.
+    """
     content, metadata = View(CONTENT), View(METADATA)
-    marked = {0: table.withColumn("content_label", F.col("label")).withColumn("metadata_label", F.col("label"))}
+    names = [(view, other, name) for view, other in ((content, metadata), (metadata, content)) for name in view.names]
     prior = np.ones(2)
+
+    def bins(columns: dict[str, np.ndarray], sums: np.ndarray) -> None:
+        labels = {id(view): _told(columns, other, sure) for view, other in ((content, metadata), (metadata, content))}
+        for kind, (view, _, name) in enumerate(names):
+            label = labels[id(view)]
+            sums[kind] += np.bincount(label[label >= 0] * BINS + columns[name][label >= 0], minlength=2 * BINS)
+
+    def places(columns: dict[str, np.ndarray], sums: np.ndarray) -> None:
+        known = columns["label"] >= 0
+        for kind, view in enumerate((content, metadata)):
+            sums[kind] += np.bincount(columns["label"][known] * 2 * View.SPAN + view.place(columns)[known], minlength=4 * View.SPAN)
+
     for at in range(rounds):
-        for view, name in ((content, "content_label"), (metadata, "metadata_label")):
-            counts = _counted(marked[at], view.names, name)
-            if at == 0:
-                prior = counts[view.names[0]].sum(axis=1) + 1
-            view.train(counts, prior / prior.sum())
+        counts = _summed(table, bins, len(names), BINS)
+        if at == 0:
+            prior = counts[0].sum(axis=1) + 1
         for view in (content, metadata):
-            seen = table.where("label >= 0").withColumn("place", view.place(view.raw()))
-            places = np.zeros((2, 2 * View.SPAN))
-            for r in seen.groupBy("label", "place").count().collect():  # at most 4 * SPAN rows
-                places[r["label"], r["place"]] = r["count"]
-            view.calibrate(places)
-        told = lambda view: F.when(F.col("label") >= 0, F.col("label")).when(_probability(view.log_odds()) >= sure, 1).when(_probability(view.log_odds()) <= 1 - sure, 0).otherwise(-1)
-        marked[at + 1] = table.withColumn("content_label", told(metadata)).withColumn("metadata_label", told(content))
+            view.train({name: counts[kind] for kind, (owner, _, name) in enumerate(names) if owner is view}, prior / prior.sum())
+        found = _summed(table, places, 2, 2 * View.SPAN)
+        for kind, view in enumerate((content, metadata)):
+            view.calibrate(found[kind])
     return content, metadata, float(np.log(prior[1] / prior[0]))
 
 
@@ -208,8 +229,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
     known = features(docs, id_col=id_col, **columns)
     table = space.write(known.join(told, "id", "left").withColumn("label", F.coalesce("label", F.lit(-1))), "features")
     content, metadata, prior = co_train(table, rounds)
-    both = content.log_odds() + metadata.log_odds() - F.lit(prior)
-    scored = table.select(F.col("id").alias(id_col), _probability(content.log_odds()).alias("p_content"), _probability(metadata.log_odds()).alias("p_metadata"), _probability(both).alias("score"))
+    kind = table.schema["id"].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _columns(batch)
+            one, two = content.log_odds(found), metadata.log_odds(found)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(_probability(x)) for x in (one, two, one + two - prior))], names=[id_col, "p_content", "p_metadata", "score"])
+
+    scored = table.mapInArrow(score, f"`{id_col}` {kind}, p_content double, p_metadata double, score double")
     return scored.withColumn("kept", F.col("score") >= keep)
 
 
