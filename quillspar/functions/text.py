@@ -13,19 +13,19 @@ KINDS = {
     "python": ("py", "pyw"),
     "java": ("java",),
     "js": ("js", "jsx", "mjs", "cjs", "ts", "tsx"),
-    "doc": ("md", "rst", "txt", "adoc"),
+    "doc": ("md", "rst", "txt"),
     "pem": ("pem", "crt", "cer", "cert"),
     "json": ("json",),
     "yaml": ("yaml", "yml"),
-    "text": ("conf", "cfg", "ini", "dockerfile"),
+    "text": ("conf", "dockerfile"),
 }
-TEXT_NAMES = ("dockerfile", "sshd_config", "ssh_config")
+TEXT_NAMES = ("dockerfile", "sshd_config", "ssh_config", "jenkinsfile")
 #: Characters that make a spreadsheet read a cell as a formula.
 FORMULA = r"^[=+\-@\t\r]"
 EVIDENCE_LENGTH = 300
 LONGEST_LINE = 10_000
 #: Folders of third-party or generated code.
-VENDOR_FOLDERS = ("node_modules", ".git", "vendor", "dist", "build", "target", ".venv", "venv", "__pycache__")
+VENDOR_FOLDERS = (".git", "node_modules", ".venv", "venv", "__pycache__", "site-packages", ".tox", ".mypy_cache")
 REDACTED = "[REDACTED]"
 
 # Credential shapes, as (kind, pattern, group that is the secret).
@@ -64,17 +64,17 @@ def base_name(path: Column) -> Column:
 
 
 def extension(path: Column) -> Column:
-    """Lower-case extension of the base name, or an empty text."""
-    return F.lower(F.regexp_extract(base_name(path), r"\.([^.]+)$", 1))
+    """Lower-case extension of the base name, or an empty text; a name that only begins with a dot has none."""
+    return F.lower(F.regexp_extract(base_name(path), r"[^.]\.([^.]+)$", 1))
 
 
 def classify(path: Column) -> Column:
     """The kind of file that a path names, or null."""
     base, ext = F.lower(base_name(path)), extension(path)
-    out = F.when(base.isin(*TEXT_NAMES), F.lit("text")).when(base.startswith("dockerfile."), F.lit("text"))
+    out = F.when(F.lit(False), F.lit(""))
     for kind, extensions in KINDS.items():
         out = out.when(ext.isin(*extensions), F.lit(kind))
-    return out
+    return out.when(base.isin(*TEXT_NAMES) | base.startswith("dockerfile."), F.lit("text"))
 
 
 def vendored(path: Column) -> Column:
@@ -198,8 +198,9 @@ def context_of(tokens: Column, algorithm: Column, primitive: Column, operation:
 
 
 def test_path(path: Column) -> Column:
-    words = F.split(F.lower(base_name(path)), r"[._\-]")
-    return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, TEST_FOLDERS))) | F.arrays_overlap(words, F.array(F.lit("test"), F.lit("tests"), F.lit("spec")))
+    named = F.array(*map(F.lit, TEST_FOLDERS))
+    words = F.concat(F.split(F.lower(path), "/"), F.split(F.lower(base_name(path)), r"[._\-]"))
+    return F.arrays_overlap(words, named)
 
 
 def non_production(path: Column, is_test: Column) -> Column:

@@ -50,9 +50,9 @@ def _sql_values(rows: list[tuple]) -> str:
 
 @query("""
     SELECT page_id, CASE WHEN ext IN ('py', 'pyw') THEN 'python' WHEN ext = 'java' THEN 'java' WHEN ext IN ('js', 'jsx', 'mjs', 'cjs', 'ts', 'tsx') THEN 'js'
-           WHEN ext IN ('md', 'rst', 'txt', 'adoc') THEN 'doc' WHEN ext IN ('pem', 'crt', 'cer', 'cert') THEN 'pem' WHEN ext = 'json' THEN 'json'
-           WHEN ext IN ('yaml', 'yml') THEN 'yaml' WHEN ext IN ('conf', 'cfg', 'ini', 'dockerfile') THEN 'text' ELSE 'none' END AS kind
-    FROM (SELECT page_id, lower(regexp_extract(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '\\.([^.]+)$', 1)) AS ext FROM pages)
+           WHEN ext IN ('md', 'rst', 'txt') THEN 'doc' WHEN ext IN ('pem', 'crt', 'cer', 'cert') THEN 'pem' WHEN ext = 'json' THEN 'json'
+           WHEN ext IN ('yaml', 'yml') THEN 'yaml' WHEN ext IN ('conf', 'dockerfile') OR base IN ('dockerfile', 'sshd_config', 'ssh_config', 'jenkinsfile') OR starts_with(base, 'dockerfile.') THEN 'text' ELSE 'none' END AS kind
+    FROM (SELECT page_id, base, regexp_extract(base, '[^.]\\.([^.]+)$', 1) AS ext FROM (SELECT page_id, lower(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1]) AS base FROM pages))
 """.replace("\\\\", "\\"))
 def q01_classify(spark, sf_dir):
     path = F.regexp_replace("url", r"[?#].*$", "")

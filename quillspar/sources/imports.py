@@ -129,8 +129,12 @@ def resolved_imports(imports: DataFrame, files: DataFrame, libraries: DataFrame,
     targets = F.array_remove(F.coalesce("targets", F.array().cast("array<string>")), F.col("file"))
     resolution = F.when(F.size(targets) > 0, F.col("resolution")).when(relative, "unresolved").otherwise("external")
     out = out.withColumns({"targets": targets, "resolution": resolution, "external": F.when(resolution == "external", T.import_root(F.col("spec"), F.col("language")))})
-    known = libraries.select("language", F.col("root").alias("external"), F.col("library").alias("crypto_library"))
-    return out.join(small(known), ["language", "external"], "left").select("file", "language", "line", "kind", "spec", "names", "targets", "resolution", "external", "crypto_library", "evidence")
+    known = libraries.groupBy("language", "root").agg(F.min("library").alias("crypto_library"))
+    # A Java library may be known by three segments; that goes before two.
+    longer = small(known.where("language = 'java'").select(F.col("root").alias("_root3"), F.col("crypto_library").alias("_library3")))
+    out = out.withColumn("_root3", F.when((F.col("language") == "java") & F.col("external").isNotNull(), F.substring_index("spec", ".", 3))).join(longer, "_root3", "left")
+    out = out.withColumn("external", F.when(F.col("_library3").isNotNull(), F.col("_root3")).otherwise(F.col("external")))
+    return out.join(small(known.withColumnRenamed("root", "external")), ["language", "external"], "left").select("file", "language", "line", "kind", "spec", "names", "targets", "resolution", "external", "crypto_library", "evidence")
 
 
 def _aliased(rows: DataFrame, configs: DataFrame) -> DataFrame:
