@@ -49,7 +49,12 @@ def _slots(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def passage_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, words: hashes of the passage, seed, place) with one row for each window and mask."""
+    """(item_id, key, words, seed, place) with one row for each window and mask.
+
+    key is a 64-bit hash of the passage's words: rows that share an id, or have
+    none, keep keys of their own. words, the hashes of the passage, stand on its
+    first row only.
+    """
     rows = items.select(F.col(id_col).alias("item_id"), F.lower(text_or_empty(text_col)).alias("text"))
     kind = rows.schema["item_id"].dataType.simpleString()
 
@@ -67,12 +72,13 @@ def passage_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     places = np.concatenate([np.arange(len(f)) for f in found])
                     n = len(seeds)
                     same = pa.array(np.zeros(n, np.int32))
+                    key = textkernel.combine(words, list(range(len(words))), salt=len(words)).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [names.slice(row, 1).take(same), pa.array([words.view(np.int64)], pa.list_(pa.int64())).take(same), pa.array(seeds.view(np.int64)), pa.array(places.astype(np.int32))],
-                        names=["item_id", "words", "seed", "place"],
+                        [names.slice(row, 1).take(same), pa.array(key).take(same), pa.array([words.view(np.int64)] + [None] * (n - 1), pa.list_(pa.int64())), pa.array(seeds.view(np.int64)), pa.array(places.astype(np.int32))],
+                        names=["item_id", "key", "words", "seed", "place"],
                     )
 
-    return rows.mapInArrow(run, f"item_id {kind}, words array<bigint>, seed long, place int")
+    return rows.mapInArrow(run, f"item_id {kind}, key long, words array<bigint>, seed long, place int")
 
 
 def _filter(seeds: DataFrame) -> np.ndarray:
@@ -168,24 +174,27 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     has fewer), of which at most REPLACED_SHARE are replaced by others; words
     are compared in lower case. Null and empty texts overlap with nothing, and
     so do passages of fewer than PASSAGE_WORDS words. Rows with one id count
-    as one document. first_word counts the document's words from 0.
+    as one document. first_word counts the document's words from 0. Passages
+    that share an item_id, null included, are searched each by itself; the best
+    of their overlaps stands for the id.
     """
     spark = docs.sparkSession
     ship(spark)
     space = Workspace(spark)
     passages = space.write(passage_seeds(items, item_id_col, item_text_col), "passages")
     regions = space.write(_regions(docs, _filter(passages), id_col, text_col), "regions")
-    seeds = passages.select("item_id", "seed", "place").distinct()
+    seeds = passages.select("key", "seed", "place").distinct()
     hits = regions.select("region", "start", F.explode("hits").alias("hit")).select("region", "start", F.col("hit.seed").alias("seed"), F.col("hit.at").alias("at"))
-    lines = hits.join(seeds, "seed").select("region", "item_id", (F.col("at") - F.col("start") - F.col("place")).cast("long").alias("shift")).distinct()
-    words = passages.groupBy("item_id").agg(F.first("words").alias("item_words"))
-    beside = lines.join(regions.drop("hits"), "region").join(words, "item_id")
+    lines = hits.join(seeds, "seed").select("region", "key", (F.col("at") - F.col("start") - F.col("place")).cast("long").alias("shift")).distinct()
+    whole = passages.where("words IS NOT NULL")
+    words = whole.groupBy("key").agg(F.first("words").alias("item_words"))  # one key, one array
+    beside = lines.join(regions.drop("hits"), "region").join(words, "key")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [overlap(np.asarray(d), np.asarray(i), int(s)) for d, i, s in zip(frame["words"], frame["item_words"], frame["shift"], strict=True)]
             keep = [f is not None for f in found]
-            rows = frame.loc[keep, ["id", "item_id"]].reset_index(drop=True)
+            rows = frame.loc[keep, ["id", "key"]].reset_index(drop=True)
             found = [f for f in found if f]
             rows["first_word"] = frame.loc[keep, "start"].to_numpy() + frame.loc[keep, "shift"].to_numpy() + np.array([f[0] for f in found], np.int64)
             rows["n_words"] = np.array([f[1] for f in found], np.int64)
@@ -193,7 +202,8 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
             yield rows
 
     kinds = beside.schema
-    checked = beside.mapInPandas(verify, f"id {kinds['id'].dataType.simpleString()}, item_id {kinds['item_id'].dataType.simpleString()}, first_word long, n_words long, matched long")
+    checked = beside.mapInPandas(verify, f"id {kinds['id'].dataType.simpleString()}, key long, first_word long, n_words long, matched long")
+    checked = checked.join(whole.select("key", "item_id").distinct(), "key")
     best = F.max(F.struct("matched", "n_words", (-F.col("first_word")).alias("at"))).alias("best")
     return checked.groupBy("id", "item_id").agg(best).select(F.col("id").alias(id_col), "item_id", (-F.col("best.at")).alias("first_word"), "best.n_words", "best.matched")
 

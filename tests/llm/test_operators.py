@@ -194,6 +194,15 @@ def test_overlaps_equal_brute_force(docs, spark, data):
     assert set(wanted) <= set(got) and all(got[k] == n for k, n in wanted.items())
 
 
+def test_passages_without_an_id_of_their_own(spark):
+    passages = [" ".join(f"{name}{i}" for i in range(20)) for name in ("a", "b", "c", "d")]
+    items = spark.createDataFrame([(None, passages[0]), (1, passages[1]), (1, passages[2]), (None, passages[3]), (2, passages[2])], "item_id long, text string")
+    planted = spark.createDataFrame(rows_of([f"before {p} after" for p in passages] + ["nothing of it"]), SCHEMA)
+    found = collections.Counter(map(tuple, decontaminate.contaminations(planted, items).collect()))
+    assert found == collections.Counter([(0, None, 1, 20, 20), (1, 1, 1, 20, 20), (2, 1, 1, 20, 20), (2, 2, 1, 20, 20), (3, None, 1, 20, 20)])
+    assert [r["doc_id"] for r in decontaminate.decontaminated(planted, items).collect()] == [4]
+
+
 # ---- licenses
 
 
