@@ -22,8 +22,10 @@ from quillspar.llm import textkernel
 from quillspar.llm.tables import text_or_empty
 from quillspar.session import Workspace, ship
 
-#: Windows compare the words at 1 and ignore those at 0; six words are compared by each.
-MASKS = ("111111", "1110111", "110110011", "1011001011")
+#: Windows compare the words at 1 and ignore those at 0. The first five, of six words each, serve all passages; the
+#: others, of five words, only those of fewer than OVERLAP_WORDS. A test enumerates that no accepted overlap is left without a seed.
+MASKS = ("111111", "1110111", "110110011", "1011001011", "110101011", "11111", "101111", "110111", "111011", "111101")
+LONG_MASKS = 5
 #: Shortest accepted overlap in words (or the whole passage where it is shorter) and its largest share of replaced words.
 OVERLAP_WORDS = 13
 REPLACED_SHARE = 0.2
@@ -43,13 +45,18 @@ def _seeds(hashes: np.ndarray, mask: int) -> np.ndarray:
     return textkernel.combine(hashes, _positions(MASKS[mask]), salt=mask + 1)
 
 
+def masks_of(n_words: int) -> range:
+    """The masks that a passage of so many words is searched by."""
+    return range(len(MASKS) if n_words < OVERLAP_WORDS else LONG_MASKS)
+
+
 def _slots(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two places of a seed in the filter."""
     return (seeds >> np.uint64(64 - FILTER_BITS)).astype(np.int64), (seeds & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
 
 def passage_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, key, words, seed, place) with one row for each window and mask.
+    """(item_id, key, words, mask, seed, place) with one row for each window and mask.
 
     key is a 64-bit hash of the passage's words: rows that share an id, or have
     none, keep keys of their own. words, the hashes of the passage, stand on its
@@ -67,18 +74,19 @@ def passage_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     words = hashes[firsts[row] : firsts[row + 1]]
                     if len(words) < PASSAGE_WORDS:
                         continue
-                    found = [_seeds(words, m) for m in range(len(MASKS))]
+                    found = [_seeds(words, m) for m in masks_of(len(words))]
                     seeds = np.concatenate(found)
                     places = np.concatenate([np.arange(len(f)) for f in found])
+                    masks = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
                     n = len(seeds)
                     same = pa.array(np.zeros(n, np.int32))
                     key = textkernel.combine(words, list(range(len(words))), salt=len(words)).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [names.slice(row, 1).take(same), pa.array(key).take(same), pa.array([words.view(np.int64)] + [None] * (n - 1), pa.list_(pa.int64())), pa.array(seeds.view(np.int64)), pa.array(places.astype(np.int32))],
-                        names=["item_id", "key", "words", "seed", "place"],
+                        [names.slice(row, 1).take(same), pa.array(key).take(same), pa.array([words.view(np.int64)] + [None] * (n - 1), pa.list_(pa.int64())), pa.array(masks), pa.array(seeds.view(np.int64)), pa.array(places.astype(np.int32))],
+                        names=["item_id", "key", "words", "mask", "seed", "place"],
                     )
 
-    return rows.mapInArrow(run, f"item_id {kind}, key long, words array<bigint>, seed long, place int")
+    return rows.mapInArrow(run, f"item_id {kind}, key long, words array<bigint>, mask int, seed long, place int")
 
 
 def _filter(seeds: DataFrame) -> np.ndarray:
@@ -91,7 +99,7 @@ def _filter(seeds: DataFrame) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def _regions(docs: DataFrame, bits: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+def _regions(docs: DataFrame, bits: np.ndarray, masks: list[int], id_col: str, text_col: str) -> DataFrame:
     """(region, id, start, words, hits(seed, at)): stretches of documents around windows that the filter lets through."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bits)
@@ -105,15 +113,17 @@ def _regions(docs: DataFrame, bits: np.ndarray, id_col: str, text_col: str) -> D
     def hits(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places, seeds and masks of windows inside one document that pass."""
         found = []
-        for m in range(len(MASKS)):
+        for m in masks:
             seeds = _seeds(hashes, m)
             at = np.flatnonzero(ask(shared.value, (seeds >> np.uint64(64 - FILTER_BITS)).astype(np.int64)))
             at = at[ask(shared.value, _slots(seeds[at])[1]).astype(bool)]
             at = at[at + spans[m] <= ends[at]]
             found.append((at, seeds[at], np.full(len(at), m)))
-        at, seeds, masks = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((masks, at))
-        return at[order], seeds[order], masks[order]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        at, seeds, by = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((by, at))
+        return at[order], seeds[order], by[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
@@ -182,7 +192,8 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     ship(spark)
     space = Workspace(spark)
     passages = space.write(passage_seeds(items, item_id_col, item_text_col), "passages")
-    regions = space.write(_regions(docs, _filter(passages), id_col, text_col), "regions")
+    masks = sorted(row["mask"] for row in passages.select("mask").distinct().collect())  # those of MASKS at most
+    regions = space.write(_regions(docs, _filter(passages), masks, id_col, text_col), "regions")
     seeds = passages.select("key", "seed", "place").distinct()
     hits = regions.select("region", "start", F.explode("hits").alias("hit")).select("region", "start", F.col("hit.seed").alias("seed"), F.col("hit.at").alias("at"))
     lines = hits.join(seeds, "seed").select("region", "key", (F.col("at") - F.col("start") - F.col("place")).cast("long").alias("shift")).distinct()

@@ -1,4 +1,5 @@
 import collections
+import itertools
 import hashlib
 import re
 import zlib
@@ -203,6 +204,27 @@ def test_passages_without_an_id_of_their_own(spark):
     assert [r["doc_id"] for r in decontaminate.decontaminated(planted, items).collect()] == [4]
 
 
+def test_every_accepted_overlap_has_a_seed():
+    # An overlap of 26 words or more holds one of 13 to 25 with as small a share of replaced words.
+    for n in range(decontaminate.PASSAGE_WORDS, 26):
+        # A passage of 13 words or more may be any longer than the overlap, a shorter one is the overlap.
+        masks = [decontaminate.MASKS[m] for m in decontaminate.masks_of(n)]
+        windows = [sum(1 << (at + i) for i, c in enumerate(mask) if c == "1") for mask in masks for at in range(n - len(mask) + 1)]
+        most = int(n * decontaminate.REPLACED_SHARE + 1e-9)
+        for places in itertools.combinations(range(n), most):  # fewer replaced words leave more windows whole
+            gone = sum(1 << i for i in places)
+            assert any(not w & gone for w in windows), (n, places)
+
+
+def test_short_and_spoiled_passages_are_found(spark):
+    patterns = [(n, (i,)) for n in (6, 7, 8) for i in range(n)] + [(10, (2, 4)), (15, (2, 7, 9)), (12, ())]
+    passages = [[f"p{k}w{i}" for i in range(n)] for k, (n, _) in enumerate(patterns)]
+    items = spark.createDataFrame([(k, " ".join(words)) for k, words in enumerate(passages)], "item_id long, text string")
+    texts = [" ".join(["before"] + ["changed" if i in gone else w for i, w in enumerate(words)] + ["after"]) for words, (_, gone) in zip(passages, patterns, strict=True)]
+    found = decontaminate.contaminations(spark.createDataFrame(rows_of(texts), SCHEMA), items).collect()
+    assert {(r["doc_id"], r["item_id"], r["matched"]) for r in found} == {(k, k, n - len(gone)) for k, (n, gone) in enumerate(patterns)}
+
+
 # ---- licenses
 
 
