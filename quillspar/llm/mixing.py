@@ -16,10 +16,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspar.llm.tables import exclusive_sum
+from quillspar.llm.textkernel import mix
 from quillspar.session import Workspace, ship
 
-#: Largest budget that the dynamic programme fits; what is above is met by seeded shares of all lengths.
+#: Budget that the dynamic programme fits at least; what is above is met by seeded shares of all lengths.
 FIT_BUDGET = 1 << 16
+#: So many of a source's longest documents fit into the window, if that is larger.
+WINDOW_DOCUMENTS = 8
+#: Lengths and copies that are tried once sums are too many to keep all.
+STEPS = 256
 RANK_BUCKETS = 256
 #: No document is taken more often.
 MAX_REPEATS = 3
@@ -62,35 +67,98 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     return take
 
 
-def plan_source(lengths: np.ndarray, counts: np.ndarray, target: int, fit: int = FIT_BUDGET) -> tuple[int, np.ndarray]:
+def fit_sums(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = 2 * FIT_BUDGET) -> np.ndarray:
+    """As fit_budget, for budgets of any size: sums are listed, not tabled.
+
+    Up to `most` sums the answer is exact. Beyond, one sum is kept in each of
+    `most` stretches of the budget, and the largest, for STEPS further steps.
+    """
+    take = np.zeros(len(lengths), np.int64)
+    use = np.flatnonzero((lengths > 0) & (lengths <= budget) & (counts > 0))
+    sums, before, how, used = np.zeros(1, np.int64), np.full(1, -1), np.full(1, -1), np.zeros(1, np.int64)
+    goal = budget - budget % int(np.gcd.reduce(lengths[use])) if len(use) else 0  # no sum lies between
+    width, full, top, steps = budget // most + 1, None, 0, 0  # full: the stretches that hold a sum, once sums are too many
+    for i in use[np.argsort(-lengths[use], kind="stable")].tolist():
+        size, base = int(lengths[i]), len(sums)
+        for copies in range(1, int(min(counts[i], budget // size)) + 1):
+            values, origin = np.unique(sums[:base] + copies * size, return_index=True)
+            values, origin = values[values <= budget], origin[: int((values <= budget).sum())]
+            if full is None:
+                fresh = np.flatnonzero(~np.isin(values, sums))
+            else:
+                _, first = np.unique(values // width, return_index=True)
+                fresh = first[~full[values[first] // width]]
+                if len(values) and values[-1] > top and values[-1] not in values[fresh]:
+                    fresh = np.append(fresh, len(values) - 1)
+            steps += full is not None
+            if not len(fresh):
+                break
+            values, origin = values[fresh], origin[fresh]
+            sums, before = np.append(sums, values), np.append(before, origin)
+            how, used = np.append(how, np.full(len(values), i)), np.append(used, np.full(len(values), copies))
+            top = max(top, int(values.max()))
+            if full is None and len(sums) > most:
+                full = np.zeros(most + 1, bool)
+                full[sums // width] = True
+            elif full is not None:
+                full[values // width] = True
+            if top == goal:
+                break
+        if top == goal or steps > STEPS:
+            break
+    at = int(np.argmax(sums))
+    while before[at] >= 0:
+        take[how[at]] += used[at]
+        at = int(before[at])
+    return take
+
+
+def _fitted(lengths: np.ndarray, counts: np.ndarray, budget: int, fit: int) -> np.ndarray:
+    return fit_budget(lengths, counts, budget) if budget <= 2 * fit else fit_sums(lengths, counts, budget)
+
+
+def _coarse(lengths: np.ndarray, counts: np.ndarray, budget: float, seed: int) -> np.ndarray:
+    """How many of each length make the same share of all and sum up to the budget, or less by no more than one document.
+
+    A share that isn't whole is rounded up for lengths in a seeded order, those with the larger fractions sooner.
+    """
+    take = np.zeros(len(lengths), np.int64)
+    total = int((lengths * counts).sum())
+    if budget <= 0 or not total:
+        return take
+    ideal = np.where(lengths > 0, counts * min(1.0, budget / total), 0.0)
+    take = np.floor(ideal).astype(np.int64)
+    with np.errstate(over="ignore"):
+        drawn = mix(lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) / 2.0**64
+    order = np.argsort(drawn - (ideal - take), kind="stable")
+    order = order[(lengths[order] > 0) & (take[order] < counts[order])]
+    fits = np.cumsum(lengths[order]) <= budget - int((lengths * take).sum())
+    take[order[fits]] += 1
+    return take
+
+
+def plan_source(lengths: np.ndarray, counts: np.ndarray, target: int, fit: int = FIT_BUDGET, seed: int = 29) -> tuple[int, np.ndarray]:
     """(whole passes, further takes by length) for one source.
 
-    A small source whose documents, each taken once more at most, don't sum up
-    to its target may take one pass less and some documents more than once.
+    A source whose documents, each taken once more at most, don't sum up to
+    its target may take a smaller share of all first and then some documents
+    more than once, each up to MAX_REPEATS times.
     """
     total = int((lengths * counts).sum())
     if total <= 0:
         return 0, np.zeros(len(lengths), np.int64)
     passes = min(MAX_REPEATS, target // total)
     rest = target - passes * total if passes < MAX_REPEATS else 0
-    share = max(0.0, rest - fit / 2) / total
-    extra = np.floor(counts * share).astype(np.int64)
-    missing = rest - int((lengths * extra).sum())
-    order = np.argsort(-lengths, kind="stable")  # a share rounded down leaves at most one document of each length
-    for i in order.tolist():
-        if missing <= fit:
-            break
-        if lengths[i]:
-            more = int(min(counts[i] - extra[i], (missing - fit) // lengths[i] + 1, missing // lengths[i]))
-            extra[i] += more
-            missing -= more * int(lengths[i])
-    extra = extra + fit_budget(lengths, counts - extra, min(missing, 2 * fit))
+    # The window that is fitted holds several of the longest documents.
+    window = max(fit, WINDOW_DOCUMENTS * int(lengths.max()))
+    extra = _coarse(lengths, counts, rest - fit, seed)
+    extra = extra + _fitted(lengths, counts - extra, rest - int((lengths * extra).sum()), fit)
     missing = rest - int((lengths * extra).sum())
-    fewer = max(passes - 1, 0)
-    if missing and passes < MAX_REPEATS and target - fewer * total <= 2 * fit:
-        other = fit_budget(lengths, counts * (MAX_REPEATS - fewer), target - fewer * total)
-        if target - fewer * total - int((lengths * other).sum()) < missing:
-            return fewer, other
+    if target - target % int(np.gcd.reduce(lengths)) > target - missing and passes < MAX_REPEATS:
+        other = _coarse(lengths, counts * MAX_REPEATS, target - window, seed)
+        other = other + _fitted(lengths, counts * MAX_REPEATS - other, target - int((lengths * other).sum()), fit)
+        if target - int((lengths * other).sum()) < missing:
+            return 0, other
     return passes, extra
 
 
@@ -140,7 +208,7 @@ def mixed_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def plan(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size")
-        passes, extra = plan_source(group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64), round(float(group["target"].iloc[0])), fit)
+        passes, extra = plan_source(group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64), round(float(group["target"].iloc[0])), fit, seed)
         return pd.DataFrame({"source": group["source"], "size": group["size"], "n": group["n"], "passes": passes, "extra": extra})
 
     # One row for each length of a source: as many as lengths, however many documents.

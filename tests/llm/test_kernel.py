@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from quillspar.llm import textkernel as tk
 from quillspar.llm import wavelet
-from quillspar.llm.mixing import fit_budget, plan_source
+from quillspar.llm.mixing import fit_budget, fit_sums, plan_source
 
 TEXTS = st.lists(st.text(alphabet="abAB \t\n.,'é漢|9", max_size=40), max_size=8)
 
@@ -90,3 +90,32 @@ def test_plan_never_repeats_a_document_too_often():
         assert (extra >= 0).all() and (passes * counts + extra <= 3 * counts).all()
         got = passes * total + int((lengths * extra).sum())
         assert got <= target and target - got < 50_000
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 4), max_size=5), st.integers(0, 90))
+def test_listed_sums_equal_the_table(counts, budget):
+    lengths = np.array(sorted(counts), np.int64)
+    amounts = np.array([counts[x] for x in lengths.tolist()], np.int64)
+    take = fit_sums(lengths, amounts, budget)
+    assert (take <= amounts).all() and int((take * lengths).sum()) == int((fit_budget(lengths, amounts, budget) * lengths).sum())
+    rough = fit_sums(lengths, amounts, budget, most=8)
+    assert (rough <= amounts).all() and int((rough * lengths).sum()) <= budget
+
+
+def test_long_documents_are_fitted_as_short_ones():
+    for scale in (1, 10, 1_000):
+        lengths = np.array([5_000, 6_000, 7_000]) * scale
+        passes, extra = plan_source(lengths, np.array([1, 1, 1]), 15_000 * scale)
+        assert int(((passes + extra) * lengths).sum()) == 15_000 * scale and (passes + extra <= 3).all()
+
+
+def test_coarse_part_is_drawn_from_all_lengths():
+    lengths = np.arange(1_000, 3_000)
+    counts = np.ones(len(lengths), np.int64)
+    target = int(lengths.sum()) // 3
+    passes, extra = plan_source(lengths, counts, target)
+    assert passes == 0 and int((lengths * extra).sum()) == target
+    quarters = extra.reshape(4, -1).mean(axis=1)
+    assert (quarters > 0.2).all() and (quarters < 0.5).all()
+    assert (extra != plan_source(lengths, counts, target, seed=30)[1]).any()
