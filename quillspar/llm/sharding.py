@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspar.llm.tables import exclusive_sum
+from quillspar.operators.order import numbered
 from quillspar.session import Workspace
 
-#: Sub-groups that ranks are counted in, so that no source or stretch of the order meets in one task.
+#: Sub-groups that ranks are counted in, so that no source meets in one task.
 RANK_BUCKETS = 1024
 
 
@@ -48,17 +49,12 @@ def interleaved_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", tex
 
     ranked = Workspace(docs.sparkSession).write(ranked, "ranked")  # a few numbers a row; texts are read once
 
-    # The same again for the place in the whole order; fractions are spread evenly by construction.
-    ranked = ranked.withColumn("stretch", F.least(F.floor(F.col("fraction") * RANK_BUCKETS), F.lit(RANK_BUCKETS - 1)).cast("int"))
-    stretches = ranked.groupBy("stretch").agg(F.count("*").alias("n"))
-    stretches = exclusive_sum(stretches, [], ["stretch"], "n", "before").withColumn("total", F.sum("n").over(Window.partitionBy())).drop("n")
-    order = Window.partitionBy("stretch").orderBy("fraction", F.col("source").asc_nulls_last(), "key", "id", "text_crc32", "size")
-    placed = ranked.withColumn("place", F.row_number().over(order)).join(stretches, "stretch")
-    at = F.col("before") + F.col("place") - 1
-    shard = F.expr(f"(before + place - 1) * {shards} div total")
-    first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
+    # The place in the whole order, by ranges of all its columns: sources of one row all have the fraction 1/2.
+    total = max(ranked.count(), 1)
+    placed = numbered(ranked, [F.col("fraction"), F.col("source").asc_nulls_last(), F.col("key"), F.col("id"), F.col("text_crc32"), F.col("size")], "at", start=0)
+    shard = F.expr(f"at * {shards} div {total}")
+    first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
     return (
-        placed.withColumn("at", at)
-        .withColumn("shard", shard.cast("int"))
+        placed.withColumn("shard", shard.cast("int"))
         .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("at") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -32,19 +34,31 @@ def limited(events: DataFrame, key: str, at: str, order: str, limit: int, second
     """(key, order, at, admitted): events by time, each admitted while fewer than `limit` were within the window.
 
     What was refused doesn't count later, so the answer is sequential within a
-    key: a key's times (two numbers an event) meet in one task. For keys whose
-    events never end, limited_stream carries `limit` times from batch to batch.
+    key: a key's events pass one task, sorted (what memory doesn't hold is
+    spilled), and what stays from one Arrow batch to the next is the recent
+    admitted times, at most `limit`. A null key is one key; an event without a
+    time is admitted and doesn't count.
     """
 
     rows = events.select(key, order, at, F.unix_micros(F.col(at).cast("timestamp")).alias("_t"))
     kinds = dict(rows.dtypes)
 
-    def whole(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["_t", order], kind="stable")
-        flags, _ = _admit(frame["_t"].tolist(), [], limit, seconds * 1_000_000)
-        return frame.drop(columns="_t").assign(admitted=flags)
-
-    return rows.groupBy(key).applyInPandas(whole, f"{key} {kinds[key]}, {order} {kinds[order]}, {at} {kinds[at]}, admitted boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, recent = None, []
+        for batch in batches:
+            flags = []
+            for k, events_of in itertools.groupby(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True), lambda x: x[0]):
+                if k != last:
+                    last, recent = k, []
+                times = [t for _, t in events_of]
+                timed = [t for t in times if t is not None]  # those without a time are sorted last
+                found, recent = _admit(timed, recent, limit, seconds * 1_000_000)
+                flags += found + [True] * (len(times) - len(timed))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(flags, pa.bool_())], names=[key, order, at, "admitted"])
+
+    # Sorting is Spark's own, so a hot key is spilled to disk where it has to be.
+    sorted_rows = rows.repartition(key).sortWithinPartitions(F.col(key), F.col("_t").asc_nulls_last(), F.col(order).asc_nulls_last())
+    return sorted_rows.mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {at} {kinds[at]}, admitted boolean")
 
 
 def limited_stream(events: DataFrame, key: str, at: str, limit: int, seconds: int, late: str = "10 minutes") -> DataFrame:

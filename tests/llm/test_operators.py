@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillspar.llm import chat, decontaminate, exact_dedup, licenses, mixing, ngram_join, quality, sharding, token_store, tokens
+from quillspar.operators import order
 from tests.llm.conftest import SCHEMA, rows_of
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -335,6 +336,22 @@ def test_shards(docs, awkward, shards):
     assert all(abs(by_source[k, s] - n / 4) <= 2 for s, n in per.items() for k in range(4))
 
 
+def test_single_row_sources_share_no_task(spark, monkeypatch):
+    written = {}
+    write = order.Workspace.write
+    monkeypatch.setattr(order.Workspace, "write", lambda self, df, name, *a, **k: written.setdefault(name, write(self, df, name, *a, **k)))
+    df = spark.range(8_000).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"), F.concat(F.lit("domain"), "id").alias("source"))
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = sharding.interleaved_shards(df, 7).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert len({(r["shard"], r["slot"]) for r in rows}) == 8_000
+    tasks = [r["count"] for r in written["ranged"].groupBy("_range").count().collect()]
+    assert len(tasks) > 1 and max(tasks) < 4_000
+
+
 # ---- chat
 
 

@@ -1,8 +1,12 @@
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillspar.operators import aggregates, closure, matching
 from quillspar.operators.order import labelled, numbered, truncated
+from quillspar.streaming.limits import limited
 
 
 def test_first_glob_in_order_wins(spark):
@@ -84,3 +88,23 @@ def test_cycles_diamonds_and_tiers(spark):
     got = {r["node"]: (r["depth"], r["confirmed"], r["path"]) for r in both.collect()}
     assert got == {"a": (0, True, ["a"]), "b": (1, True, ["a", "b"]), "c": (2, True, ["a", "b", "c"]), "d": (3, True, ["a", "b", "c", "d"])}
     assert {(r["source"], r["target"]) for r in closure.induced(edges, both).collect()} == {("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("a", "d"), ("c", "b")}
+
+
+def test_limits_carry_over_batches(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice([1, 1, 1, 2, None]), i, None if i % 50 == 0 else datetime(2024, 1, 1) + timedelta(seconds=rnd.randrange(4_000))) for i in range(600)]
+    events = spark.createDataFrame(rows, "user long, event long, at timestamp")
+    wanted, recent = {}, {}
+    for user, event, at in sorted(rows, key=lambda r: (r[2] is None, r[2] or datetime.min, r[1])):
+        kept = [] if at is None else [r for r in recent.get(user, []) if r > at - timedelta(seconds=60)]
+        wanted[event] = at is None or len(kept) < 2
+        if at is not None:
+            recent[user] = kept + [at] * wanted[event]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = limited(events, "user", "at", "event", 2, 60)
+        assert {r["event"]: r["admitted"] for r in found.collect()} == wanted and found.columns == ["user", "event", "at", "admitted"]
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()  # no frame of a whole key
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
