@@ -31,7 +31,7 @@ def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build(ids: np.ndarray) -> bytes:
-    """The blob of a sequence of unsigned 32-bit ids: header, alphabet, planes and rank blocks."""
+    """The blob of a sequence of unsigned 32-bit ids: header, alphabet and planes; ranks are counted when it is opened."""
     alphabet, codes = _numbered(ids)
     depth = max(1, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 0
     planes, zeros = [], []
