@@ -1,99 +1,128 @@
 """Exact duplicates by an extendible-hash index on shared files, in DataFrame operations only.
 
 Texts are equal when they are identical after each run of ASCII white space
-became one space. The index holds one entry for each distinct text: its 64-bit
-hash, SHA-256, the smallest id and the number of copies. A directory of
-2**depth slots points to buckets by the hash's first bits; a bucket with more
-entries than it may hold is split by one more bit, which doubles the directory
-when no bucket had so many bits before. Buckets are written as sorted key
-ranges, each range by the task that owns it.
+became one space. A directory of 2**depth slots points, by the first bits of a
+text's hash, to buckets. A bucket with more hashes than it may hold is split by
+one more bit, and the directory doubles when that bucket had as many bits as
+the directory. Every row finds its bucket through the directory; the task that
+owns the bucket's key range compares whole texts, gives each different text of
+a hash a place in the hash's chain, and tells which id stays. Rows then look
+their chain entry up in their bucket.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspar.llm.tables import WHITE_RUN, text_or_empty
 from quillspar.session import Workspace
 
-#: Most bits of the hash that the directory may use, and entries that a bucket may hold.
-MAX_DEPTH = 20
+#: Hashes that a bucket may hold.
 BUCKET_ENTRIES = 4096
+#: A bucket with a hash of more rows than this is dealt over several tasks, whose results are merged.
+SHARE_ROWS = 1 << 16
+#: A directory of at most so many slots (some 32 MB) is sent to all tasks; a larger one is joined by slot.
+BROADCAST_SLOTS = 1 << 20
 
 
 def normalised(text: str | Column) -> Column:
     return F.regexp_replace(text_or_empty(text), WHITE_RUN, " ")
 
 
-def directory(entries: DataFrame, key: str = "key", capacity: int = BUCKET_ENTRIES, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(slot, depth, bucket_from): one row for each bucket, the slot being its hash prefix of `depth` bits.
+def _slot(depth: int) -> Column:
+    return F.shiftrightunsigned("key", 64 - depth)
+
 
-    Splitting an overfull bucket again and again ends at the shortest prefix
-    that holds at most `capacity` entries, or at max_depth; so all prefixes are
-    counted, each from the counts one bit longer, and each fine prefix takes
-    its shortest one that fits. The tables here have at most 2**max_depth rows
-    whatever the input. Entries of one hash can't be split and chain.
+class Directory:
+    """slots: (slot, bucket, local, shares), one row for each slot of the last doubling that any hash falls in.
+
+    A bucket is named by the lowest hash of its range; `local` is the number
+    of bits that all its hashes share; `shares` the tasks that its rows are
+    dealt over, more than one only where a hash has very many rows.
     """
-    fine = entries.groupBy(F.shiftrightunsigned(key, 64 - max_depth).alias("fine")).agg(F.count("*").alias("n"))
-    levels = fine.select("fine", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"))
-    levels = levels.withColumn("slot", F.expr(f"shiftright(fine, {max_depth} - depth)"))
-    fits = levels.groupBy("depth", "slot").agg(F.sum("n").alias("entries")).where((F.col("entries") <= capacity) | (F.col("depth") == max_depth))
-    # A fitting prefix is a bucket when the prefix one bit shorter doesn't fit.
-    parents = fits.select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("slot") * 2, F.col("slot") * 2 + 1)).alias("slot"))
-    buckets = fits.join(parents, ["depth", "slot"], "left_anti")
-    return buckets.select("slot", "depth", "entries", F.expr(f"shiftleft(slot, {max_depth} - depth)").alias("bucket_from"))
+
+    def __init__(self, keys: DataFrame, space: Workspace, capacity: int, share_rows: int):
+        """keys: (key, rows), one row for each hash."""
+        total = keys.count()
+        self.doublings = 0
+        self.depth = min(64, max(1, math.ceil(math.log2(max(total / capacity, 1)))))  # as deep as even hashes need
+        state = space.write(self._counts(keys).select("*", self._bucket(F.lit(self.depth)).alias("bucket"), F.lit(self.depth).alias("local")), "directory0")
+        while self.depth < 64:
+            sizes = state.groupBy("bucket").agg(F.sum("entries").alias("entries"), F.min("low").alias("low"), F.max("high").alias("high"))
+            overfull = sizes.where((F.col("entries") > capacity) & (F.col("low") != F.col("high"))).select("bucket", F.lit(1).alias("overfull"))
+            if overfull.isEmpty():
+                break
+            # The buckets to split have as many bits as the directory: those with fewer didn't overflow when they had them.
+            old = state.join(overfull, "bucket", "left").select(F.explode(F.array(F.col("slot") * 2, F.col("slot") * 2 + 1)).alias("slot"), "bucket", "local", "overfull")
+            self.depth += 1
+            self.doublings += 1
+            doubled = self._counts(keys).join(old, "slot")
+            split = F.col("overfull").isNotNull()
+            state = doubled.select("slot", "entries", "low", "high", "most", F.when(split, self._bucket(F.lit(self.depth))).otherwise(F.col("bucket")).alias("bucket"), F.when(split, F.lit(self.depth)).otherwise(F.col("local")).alias("local"))
+            state = space.write(state, f"directory{self.doublings}")
+        shares = state.groupBy("bucket").agg(F.ceil(F.max("most") / share_rows).cast("int").alias("shares"))
+        self.slots = space.write(state.select("slot", "bucket", "local").join(shares, "bucket"), "directory")
+        self.small = self.slots.count() <= BROADCAST_SLOTS
+
+    def _counts(self, keys: DataFrame) -> DataFrame:
+        return keys.groupBy(_slot(self.depth).alias("slot")).agg(F.count("*").alias("entries"), F.min("key").alias("low"), F.max("key").alias("high"), F.max("rows").alias("most"))
+
+    def _bucket(self, local: Column) -> Column:
+        return F.call_function("shiftleft", F.col("slot"), (F.lit(64) - local).cast("int"))
+
+    def route(self, rows: DataFrame) -> DataFrame:
+        """rows (with their `key`) with bucket, shares and the share that each falls in."""
+        slots = self.slots.select("slot", "bucket", "shares")
+        found = rows.withColumn("slot", _slot(self.depth)).join(F.broadcast(slots) if self.small else slots, "slot").drop("slot")
+        return found.withColumn("share", F.when(F.col("shares") > 1, F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("shares"))).otherwise(F.lit(0)))
 
 
 class ExactIndex:
-    """The index of a document table: `entries` and `buckets` are tables on shared files."""
+    """The index of a document table: `directory`, and `entries` (bucket, key, chain, text_sha256, keep_id, group_size, shares) on shared files."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES, max_depth: int = MAX_DEPTH):
-        self.id_col, self.text_col, self.max_depth = id_col, text_col, max_depth
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES, share_rows: int = SHARE_ROWS, hashed: Callable[[str], Column] = F.xxhash64):
+        self.id_col = id_col
         space = Workspace(docs.sparkSession)
-        texts = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
-        # Grouping compares keys first and then all bytes; copies are summed before they move.
-        chains = texts.groupBy("key", "text").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-        staged = space.write(chains.select("key", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size", F.octet_length("text").alias("bytes")), "staged")
-        self.buckets = space.write(directory(staged, "key", capacity, max_depth), "directory")
-        # A fine prefix lies in the last bucket that begins at or before it: bucket ranges don't overlap.
-        fine = F.shiftrightunsigned("key", 64 - max_depth)
-        starts = self.buckets.select(F.col("bucket_from").alias("fine"), F.col("bucket_from"))
-        owned = staged.select(fine.alias("fine")).distinct().unionByName(starts.select("fine")).distinct().join(starts, "fine", "left")
-        # Carried forward in runs of slots, so that no task orders the whole directory.
-        run = F.shiftright("fine", max(0, max_depth - 8))
-        filled = owned.withColumn("run", run)
-        inner = Window.partitionBy("run").orderBy("fine").rowsBetween(Window.unboundedPreceding, 0)
-        filled = filled.withColumn("own", F.last("bucket_from", ignorenulls=True).over(inner))
-        lasts = filled.groupBy("run").agg(F.max("bucket_from").alias("last"))
-        carried = lasts.withColumn("carry", F.last("last", ignorenulls=True).over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1))).drop("last")
-        lookup = filled.join(carried, "run").select("fine", F.coalesce("own", "carry").alias("bucket"))
-        placed = staged.withColumn("fine", fine).join(lookup, "fine").drop("fine")
-        in_chain = Window.partitionBy("bucket", "key").orderBy("keep_id", "text_sha256")
-        placed = placed.repartitionByRange("bucket", "key").withColumn("chain", F.row_number().over(in_chain))
-        self.entries = space.write(placed, "entries")
-        space.drop("staged")
-
-    def classes(self, docs: DataFrame) -> DataFrame:
-        """Per row of docs: id, keep_id, group_size, kept and text_sha256, looked up in the index."""
-        rows = docs.select(F.col(self.id_col), normalised(self.text_col).alias("text"))
-        rows = rows.select(self.id_col, F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("text_sha256"))
-        found = rows.join(self.entries.select("key", "text_sha256", "keep_id", "group_size"), ["key", "text_sha256"])
-        return found.select(self.id_col, "keep_id", "group_size", F.coalesce(F.col(self.id_col) == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
-
-
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES, max_depth: int = MAX_DEPTH) -> DataFrame:
+        texts = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("text")).withColumn("key", hashed("text").cast("long"))
+        self.postings = space.write(texts.select("id", "key", F.sha2("text", 256).alias("text_sha256")), "postings")
+        keys = space.write(self.postings.groupBy("key").agg(F.count("*").alias("rows")), "keys")
+        self.directory = Directory(keys, space, capacity, share_rows)
+        # Owner tasks: whole texts meet by bucket and are compared there; nothing is shuffled again for that.
+        owned = self.directory.route(texts).repartition("bucket", "share")
+        same = owned.groupBy("bucket", "share", "shares", "key", "text").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+        # One row for each text and share; the texts of buckets with several shares go along and are compared once more.
+        same = same.select("bucket", "shares", "key", F.sha2("text", 256).alias("text_sha256"), F.when(F.col("shares") > 1, F.col("text")).alias("text"), "keep_id", "group_size")
+        merged = same.repartition("bucket", "key").groupBy("bucket", "shares", "key", "text_sha256", "text").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy(F.col("keep_id").asc_nulls_last(), "text_sha256"))
+        self.entries = space.write(merged.withColumn("chain", chain).drop("text"), "entries")
+
+    def classes(self) -> DataFrame:
+        """Per row of the indexed table: id, keep_id, group_size, kept and text_sha256, from its entry in its bucket."""
+        rows = self.directory.route(self.postings)
+        entries = self.entries.select("bucket", "key", "text_sha256", "keep_id", "group_size", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+        found = rows.join(entries, ["bucket", "key", "share", "text_sha256"])
+        kept = F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull())
+        return found.select(F.col("id").alias(self.id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256 (lower-case hex of the normalised text).
 
     Of equal texts the smallest id stays. Null and empty texts are equal to
     each other. Rows that repeat an id with the same text are one document
     written twice: both show kept where that id is the smallest. A null id
-    stays only where the whole group has none.
+    stays only where the whole group has none. Texts are compared whole; other
+    columns are not read.
     """
-    return ExactIndex(docs, id_col, text_col, capacity, max_depth).classes(docs)
+    return ExactIndex(docs, id_col, text_col, **options).classes()
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows whose text an earlier id has; all columns stay."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_keep_id"]), "left_semi")
+    kept = exact_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")).distinct()
+    same = docs[id_col].eqNullSafe(kept["_keep_id"]) & (F.sha2(normalised(docs[text_col]), 256) == kept["_keep_sha"])
+    return docs.join(kept, same, "left_semi")
