@@ -3,7 +3,7 @@
 Everything here works on one bounded chunk of an Arrow string column at a time
 and on the UTF-8 bytes themselves, so that no Python string is made per word:
 byte classes come from look-up tables, word boundaries from comparisons of
-neighbours, word hashes from prefix sums modulo 2**64.
+neighbours, word hashes from mixed blocks of eight bytes.
 """
 
 from __future__ import annotations
@@ -38,28 +38,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _byte_values() -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(np.arange(1, 257, dtype=np.uint64) * _BASE)[LOWER]
-
-
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least; kept by each worker."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _powers.clear()
-        for base in (_BASE, inverse):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers.append(np.multiply.accumulate(steps))
-    return _powers[0], _powers[1]
-
-
 def chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of rows of about max_bytes; a longer row stands alone.
 
@@ -99,12 +77,25 @@ def word_counts(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> np
     return np.diff(word_spans(data, offsets, inside)[2])
 
 
+#: Keeps the first n of eight bytes.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words are cut into blocks of eight bytes; each is mixed with its place, their sum with the length."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    low = np.concatenate((LOWER[data], np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", low, 0, (1,))  # the eight bytes from each place on
+    size = ends - starts
+    blocks = (size + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    at = np.repeat(starts, blocks) + 8 * place
     with np.errstate(over="ignore"):
-        power, inverse = _power_tables(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_byte_values()[data] * power[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _BASE)
+        found = eight[at] & _MASKS[np.minimum(np.repeat(ends, blocks) - at, 8)]
+        found = mix(mix(found) + (place.astype(np.uint64) + np.uint64(1)) * _BASE)
+        return mix(np.add.reduceat(found, first) + size.astype(np.uint64) * _BASE)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

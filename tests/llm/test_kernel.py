@@ -42,6 +42,13 @@ def test_long_rows_are_hashed_piece_by_piece_alike(monkeypatch):
     assert (whole == pieces).all() and (firsts == again).all()
 
 
+def test_words_that_a_polynomial_would_confuse():
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    words = [a, a.translate(str.maketrans("ab", "ba")), a[:-1], "\0" * 8, "\0" * 16, "a", "a\0", "abcdefgh" * 2, "abcdefgh"]
+    (_, _, data, offsets), = tk.chunks(pa.array(words))
+    assert len(set(tk.word_hashes(data, offsets, tk.NON_SPACE)[0].tolist())) == len(words)
+
+
 @settings(max_examples=150, deadline=None)
 @given(TEXTS)
 def test_shingles(texts):

@@ -85,22 +85,30 @@ def test_tokens_are_found_without_decoding(spark, docs, tmp_path):
 # ---- exact copies
 
 
+def wanted_copies(df):
+    groups = collections.defaultdict(list)
+    for i, text in texts_of(df):
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", text)].append(i)
+    least = {t: min((i for i in g if i is not None), default=None) for t, g in groups.items()}
+    return collections.Counter((i, least[t], len(g), i == least[t], hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g)
+
+
 def test_exact_copies(awkward, docs):
-    for df, capacity in ((awkward.where("doc_id IS NOT NULL"), 2), (docs, 16)):
-        groups = collections.defaultdict(list)
-        for i, text in texts_of(df):
-            groups[re.sub(r"[\x20\x09-\x0D]+", " ", text)].append(i)
-        want = collections.Counter((i, min(g), len(g), i == min(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g)
-        assert collections.Counter(map(tuple, exact_dedup.exact_duplicates(df, capacity=capacity, max_depth=6).collect())) == want
+    every = lambda c: F.lit(7)  # noqa: E731 - all hashes collide: one chain of all texts
+    for df, options in ((awkward, {"capacity": 2}), (docs, {"capacity": 16, "share_rows": 3}), (docs, {"hashed": every, "share_rows": 50}), (docs, {"hashed": lambda c: F.length(c) % 40, "capacity": 30})):
+        assert collections.Counter(map(tuple, exact_dedup.exact_duplicates(df, **options).collect())) == wanted_copies(df)
 
 
-def test_directory_splits_overfull_buckets(docs):
-    index = exact_dedup.ExactIndex(docs, capacity=8, max_depth=12)
+def test_directory_splits_overfull_buckets_and_rows_go_through_it(docs):
+    # Half of the hashes share their first bits, so that buckets of different depths come about.
+    index = exact_dedup.ExactIndex(docs, capacity=8, hashed=lambda c: F.when(F.xxhash64(c) > 0, F.xxhash64(c)).otherwise(F.shiftrightunsigned(F.xxhash64(c), 5)))
     sizes = {r["bucket"]: r["count"] for r in index.entries.groupBy("bucket").count().collect()}
-    buckets = index.buckets.collect()
-    assert max(sizes.values()) <= 8 and len(sizes) == len([b for b in buckets if b["entries"]])
-    assert {b["bucket_from"]: b["entries"] for b in buckets} == sizes
-    assert sum(2.0 ** -b["depth"] for b in buckets) <= 1  # prefixes don't overlap
+    slots = index.directory.slots.collect()
+    assert max(sizes.values()) <= 8 and {s["bucket"] for s in slots} == set(sizes)
+    assert index.directory.doublings > 0 and len({s["local"] for s in slots}) > 2
+    assert all((s["bucket"] % (1 << 64)) >> (64 - s["local"]) == s["slot"] >> (index.directory.depth - s["local"]) for s in slots)
+    index.directory.slots = index.directory.slots.limit(0)
+    assert index.classes().count() == 0
 
 
 def test_copies_go(awkward):
@@ -354,26 +362,91 @@ def test_single_row_sources_share_no_task(spark, monkeypatch):
 
 # ---- chat
 
+MESSAGES = "conv_id long, turn long, role string, text string"
+
+
+def brute_replies(rows):
+    """Parent turns, told by plain loops over passages and windows."""
+
+    def passages(text):
+        out = []
+        for line in (text or "").split("\n"):
+            prefix = re.match(r"[ \t>]*", line)[0]
+            level = prefix.count(">")
+            words = re.sub(r"[\x20\x09-\x0D\x01\x02]+", " ", (line[len(prefix) :] if level else line).lower()).split(" ")
+            if not out or out[-1][0] != level:
+                out.append((level, []))
+            out[-1][1].extend(w for w in words if w)
+        return out
+
+    parents, asked = {}, collections.defaultdict(list)
+    for conv, turn, _, text in rows:
+        for level, words in passages(text):
+            n = min(5, len(words))
+            if level and n:
+                asked[conv, turn] += [(level, tuple(words[i : i + n])) for i in range(len(words) - n + 1)]
+    for (conv, turn), windows in asked.items():
+        votes = collections.Counter()
+        for level, window in windows:
+            said = [t for c, t, _, text in rows if c == conv and t is not None for lv, words in passages(text) if not lv for i in range(len(words) - len(window) + 1) if tuple(words[i : i + len(window)]) == window]
+            if turn is not None and said and min(said) < turn:
+                votes[level, min(said)] += 1
+        parents[conv, turn] = max(votes, key=lambda v: (-v[0], votes[v], v[1]))[1] if votes else None
+    return parents
+
 
 def test_quotes_link_and_go(spark):
     rows = [
-        (1, 0, "a", "Hello all.\nHow does it work?\n\n\n\nBye"),
-        (1, 1, "b", "On Monday a wrote:\n> Hello all.\n> how does  it work?\nIt works well."),
+        (1, 0, "a", "Hello all.\nHow does it work? I would really like to know how the engine is started today\n\n\n\nBye"),
+        (1, 1, "b", "On Monday a wrote:\n> Hello all.\n> how does  it\n> work? I would really like to know how\n> the engine is started\nIt works well."),
         (1, 2, "c", "Unrelated"),
-        (1, 3, "a", "b wrote:\n>> Hello all.\n> It works well.\nThanks"),
+        (1, 3, "a", "b wrote:\n>> how does it work? I would really\n>> like to know\n> It works well.\nThanks"),
         (1, 4, "d", "> Unrelated\nok"),
         (1, 5, None, "> nobody said this\nx"),
         (2, 0, "u", "> Hello all.\nhm"),
         (2, 0, "u", "> Hello all.\nhm"),
-        (None, 0, "a", None),
+        (None, 0, "a", "hello there\r\n"),
+        (None, 1, "b", "> hello there\nyes"),
         (None, None, "b", ""),
+        (None, None, "b", "> hello there\nno"),
+        (None, 2, "b", None),
     ]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df = spark.createDataFrame(rows, MESSAGES).withColumn("own", F.lit("extra")).withColumn("passages", F.lit(1)).withColumn("range", F.lit(2)).withColumn("_raw", F.lit(None).cast("string"))
     out = {(r["conv_id"], r["position"]): r for r in chat.reply_ordered(df).collect()}
     assert [out[1, k]["turn"] for k in range(6)] == [0, 1, 3, 2, 4, 5]
     assert [out[1, k]["parent_turn"] for k in range(6)] == [None, 0, 1, None, 2, None]
-    assert out[1, 1]["text"] == "It works well." and out[1, 5]["formatted"] == "<|unknown|>\nx\n"
-    assert out[2, 1]["text"] == "hm" and out[None, 1]["text"] == ""
+    assert out[1, 0]["text"].endswith("today\n\nBye") and out[1, 1]["text"] == "It works well." and out[1, 5]["formatted"] == "<|unknown|>\nx\n"
+    assert out[2, 1]["text"] == "hm" and out[None, 1]["text"] == "no" and out[None, 3]["parent_turn"] == 0
+    wanted = brute_replies(rows)
+    assert all(r["parent_turn"] == wanted.get((r["conv_id"], r["turn"])) for r in out.values())
+
+
+def test_random_rewrapped_quotes(spark):
+    rnd = np.random.default_rng(11)
+    rows = []
+    for conv in range(6):
+        texts = []
+        for turn in range(12):
+            own = [f"w{x}" for x in rnd.integers(0, 30, rnd.integers(1, 25))]
+            lines = []
+            for level in (2, 1):
+                if texts and rnd.random() < 0.6:
+                    words = texts[rnd.integers(0, len(texts))]
+                    lo = rnd.integers(0, len(words))
+                    cut, width = words[lo : lo + rnd.integers(1, 20)], int(rnd.integers(1, 6))
+                    lines += ["> " * level + " ".join(cut[i : i + width]) for i in range(0, len(cut), width)]
+            texts.append(own)
+            rows.append((conv, turn, "r", "\n".join(lines + [" ".join(own)])))
+    wanted = brute_replies(rows)
+    got = chat.reply_ordered(spark.createDataFrame(rows, MESSAGES)).collect()
+    assert all(r["parent_turn"] == wanted.get((r["conv_id"], r["turn"])) for r in got) and sum(r["parent_turn"] is not None for r in got) > 20
+
+
+def test_very_long_messages(spark):
+    n = 200_000
+    rows = [(1, 0, "a", ">" * n), (1, 1, "a", "\n" * n), (1, 2, "a", "wrote " * n), (1, 3, "a", "> \n" * n + "x"), (1, 4, "b", "x y z " * n), (1, 5, "b", "> x y z x y z\nq"), (1, 6, "b", "\n \r" * n + " wrote:" * n)]
+    out = {r["turn"]: r for r in chat.reply_ordered(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert out[5]["parent_turn"] == 4 and out[1]["text"] == "" and out[3]["text"] == "x" and out[3]["quoted_lines"] == n
 
 
 # ---- empty tables
