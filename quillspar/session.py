@@ -26,10 +26,12 @@ def session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; only where it is unset, a folder of our own."""
+    """spark.checkpoint.dir as the cluster names it; only where it is unset and all tasks run on this machine, a folder of our own."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors share no other folder")
         folder = Path(tempfile.mkdtemp(prefix="quillspar-")).as_uri()
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -50,11 +52,15 @@ class Workspace:
         writer = df.write.options(**options)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(f"{self.path}/{name}")
-        path, system = self._at("")
-        system.deleteOnExit(path)  # results may read these tables until the application ends
+        writer.parquet(self.place(name))
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def place(self, name: str) -> str:
+        """The path of a table of this workspace; all are deleted when the application ends, for results may read them until then."""
+        path, system = self._at("")
+        system.deleteOnExit(path)
+        return f"{self.path}/{name}"
+
     def drop(self, name: str) -> None:
         """Removes a table that nothing reads any more."""
         path, system = self._at(name)
