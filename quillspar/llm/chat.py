@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspar.llm.tables import exclusive_sum, text_or_empty
+from quillspar.llm.tables import dealt, exclusive_sum, for_each_part, text_or_empty
 from quillspar.session import Workspace
 
 #: White space and quote marks at the start of a line. One character class repeated: no recursion in the matcher.
@@ -23,8 +23,6 @@ PREFIX = r"^[ \t>]*"
 ANNOUNCES = r"(?i)\b(?:wrote|writes|schrieb|escribió|a écrit)[ \t]*:[ \t\r]*$"
 #: Words of a window; shorter passages are one window.
 WINDOW = 5
-#: Rows of one conversation, reply target or quoted window are dealt over so many parts where they meet another table.
-PARTS = 16
 # Marks between passages and after a passage's level; lines hold neither, for both count as white space.
 _CUT, _LEVEL = "\x01", "\x02"
 
@@ -72,14 +70,6 @@ def _windows(passages: DataFrame, size: Column) -> DataFrame:
     return said.withColumn("key", F.xxhash64("said"))
 
 
-def _part(*columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(PARTS))
-
-
-def _for_each_part(df: DataFrame) -> DataFrame:
-    return df.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>")))
-
-
 def reply_links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, parent_turn) from parsed messages: one earlier turn for each turn whose outermost linked quotes tell one.
 
@@ -93,11 +83,11 @@ def reply_links(messages: DataFrame) -> DataFrame:
     quotes = space.write(quotes, "quotes")
     # Only conversations with quotes are searched, by windows of the sizes that their quotes have.
     sizes = quotes.withColumn("n", F.size(F.split("said", " "))).groupBy("conv_id").agg(F.collect_set("n").alias("sizes"))
-    own = _passages(messages, F.col("level") == 0).where("turn IS NOT NULL").withColumn("_part", _part("turn", "words")).alias("o").join(_for_each_part(sizes).alias("s"), F.col("o.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("o._part") == F.col("s._part")))
+    own = dealt(_passages(messages, F.col("level") == 0).where("turn IS NOT NULL"), "turn", "words").alias("o").join(for_each_part(sizes).alias("s"), F.col("o.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("o._part") == F.col("s._part")))
     own = own.select("o.conv_id", "turn", "words", F.explode("sizes").alias("n")).where(F.size("words") >= F.col("n"))
     origins = _windows(own, F.col("n")).groupBy("conv_id", "key", "said").agg(F.min("turn").alias("origin"))
-    asked = quotes.groupBy("conv_id", "turn", "level", "key", "said").agg(F.count("*").alias("n")).withColumn("_part", _part("turn")).alias("q")
-    origins = _for_each_part(origins).alias("o")
+    asked = dealt(quotes.groupBy("conv_id", "turn", "level", "key", "said").agg(F.count("*").alias("n")), "turn").alias("q")
+    origins = for_each_part(origins).alias("o")
     same = F.col("q.conv_id").eqNullSafe(F.col("o.conv_id")) & (F.col("q.key") == F.col("o.key")) & (F.col("q.said") == F.col("o.said")) & (F.col("q._part") == F.col("o._part"))
     found = asked.join(origins, same).where("origin < turn").select("q.conv_id", "turn", "level", "n", "origin")
     votes = found.groupBy("conv_id", "turn", "level", "origin").agg(F.sum("n").alias("n"))
@@ -111,8 +101,8 @@ def thread_roots(links: DataFrame) -> DataFrame:
     roots = space.write(links.withColumn("root_turn", F.col("parent_turn")), "roots0")
     turn = 0
     while True:
-        above = _for_each_part(roots.select("conv_id", F.col("turn").alias("at"), F.col("root_turn").alias("above"))).alias("a")
-        below = roots.withColumn("_part", _part("turn")).alias("b")
+        above = for_each_part(roots.select("conv_id", F.col("turn").alias("at"), F.col("root_turn").alias("above"))).alias("a")
+        below = dealt(roots, "turn").alias("b")
         roots = below.join(above, F.col("b.conv_id").eqNullSafe(F.col("a.conv_id")) & (F.col("root_turn") == F.col("at")) & (F.col("b._part") == F.col("a._part")), "left")
         roots = roots.select("b.conv_id", "turn", "parent_turn", "root_turn", "above")
         turn += 1

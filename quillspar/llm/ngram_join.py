@@ -29,22 +29,24 @@ from pyspark.sql import functions as F
 
 from quillspar.llm import textkernel
 from quillspar.llm.components import components
-from quillspar.llm.tables import WHITE_RUN, text_or_empty
+from quillspar.llm.tables import WHITE_RUN, dealt, for_each_part, meet, text_or_empty
 from quillspar.session import Workspace, ship
 
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Fragments that pair overlaps are counted in.
-FRAGMENTS = 4
+#: Fragments that rare and that frequent shingles are cut into; pair overlaps are counted in each.
+FRAGMENTS = 2
 #: Shingles of so many rows are frequent: last in the global order.
 FREQUENT = 32
 #: Hash bits that are counted; shingles that agree in them count together, which can only weaken pruning.
 COUNT_BITS = 40
 #: Most bits of the index of the class bitmaps, which are broadcast: 16 MB each whatever the input.
 CLASS_BITS = 27
+#: Rows of a block that one task compares with the block's others.
+BLOCK_ROWS = 256
 #: Hashes that a task sorts at once, and that a counted fragment holds about.
-RUN = 1 << 21
+RUN = 1 << 20
 
 
 def least_overlap(n: int, percent: int = PERCENT) -> int:
@@ -169,9 +171,10 @@ def candidates(docs: DataFrame, bitmaps: tuple[np.ndarray, np.ndarray, int], id_
     """(node, n, own, keys, parts) of documents that can have a partner.
 
     own: shingles that occur nowhere else, which stand first in the global
-    order; keys: the rest of the prefix; parts: the other shingles, cut into
-    fragments of the order, as sorted 64-bit numbers. A node that one task sees
-    again isn't repeated.
+    order; keys: the rest of the prefix; parts: the other shingles, cut where
+    the order goes from rare to frequent ones and at equal steps of the hash
+    inside either, as sorted 64-bit numbers. A node that one task sees again
+    isn't repeated.
     """
     seen, often, bits = bitmaps
     shared = docs.sparkSession.sparkContext.broadcast((seen, often))
@@ -183,6 +186,7 @@ def candidates(docs: DataFrame, bitmaps: tuple[np.ndarray, np.ndarray, int], id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, often = shared.value
+        steps = np.array([(i << 64) // fragments for i in range(1, fragments)], np.uint64)
         given: set[int] = set()
         for _, sets in _sets(batches, words):
             out: list[tuple] = []
@@ -202,14 +206,13 @@ def candidates(docs: DataFrame, bitmaps: tuple[np.ndarray, np.ndarray, int], id_
                 node = _node(s)
                 if node in given:
                     continue
-                if len(given) < 1 << 20:
+                if len(given) < 1 << 18:
                     given.add(node)
                 own = n - int(here.sum())
-                order = np.concatenate((s[here & ~hot], s[hot]))
-                keys = order[: n - least + 1 - own]
-                kept = s[here]
-                edges = np.searchsorted(kept, np.arange(fragments + 1, dtype=np.float64) / fragments * 2.0**64)
-                out.append((node, n, own, keys.view(np.int64), [kept[edges[i] : edges[i + 1]].tobytes() for i in range(fragments)]))
+                classes = (s[here & ~hot], s[hot])
+                keys = np.concatenate(classes)[: n - least + 1 - own]
+                parts = [part.tobytes() for c in classes for part in np.split(c, np.searchsorted(c, steps))]
+                out.append((node, n, own, keys.view(np.int64), parts))
             if out:
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -221,7 +224,7 @@ def candidates(docs: DataFrame, bitmaps: tuple[np.ndarray, np.ndarray, int], id_
 
 
 def verified(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of pairs(a, b, n_a, n_b) that are links: partial overlaps are counted in each fragment and summed per pair."""
+    """Those of pairs(a, b, n_a, n_b), a written table, that are links: partial overlaps are counted in each fragment and summed per pair."""
     left = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("part_a"))
     right = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("part_b"))
 
@@ -234,7 +237,7 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> Data
                 found[i] = np.count_nonzero(both[1:] == both[:-1])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(found)], names=["a", "b", "n_a", "n_b", "partial"])
 
-    beside = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", "part_a", "part_b")
+    beside = meet(pairs, right, ["b"], ["a"]).join(left, ["a", "fragment"]).select("a", "b", "n_a", "n_b", "part_a", "part_b")
     sums = beside.mapInArrow(run, "a long, b long, n_a long, n_b long, partial long").groupBy("a", "b", "n_a", "n_b").agg(F.sum("partial").alias("shared"))
     return sums.where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
@@ -257,21 +260,29 @@ def node_classes(docs: DataFrame, total: int, id_col: str = "doc_id", text_col:
     keys = one.select("node", "n", "own", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", (F.col("n") - F.col("own")).alias("usable"), (F.col("n") - F.col("own") - F.col("at")).alias("rest"), "own")
 
     leads = keys.groupBy("key").agg(F.min(F.struct("own", "node", "n", "usable")).alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", "lead")
-    first = keys.join(leads, "key").where((F.col("node") != F.col("lead.node")) & _possible(F.col("n"), F.col("usable"), F.col("lead.n"), F.col("lead.usable"), percent))
+    first = meet(keys, leads, ["key"], ["node"]).where((F.col("node") != F.col("lead.node")) & _possible(F.col("n"), F.col("usable"), F.col("lead.n"), F.col("lead.usable"), percent))
     first = first.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), F.col("n").alias("n_a"), F.col("lead.n").alias("n_b")).distinct()
+    first = space.write(first, "first")
     links = space.write(verified(first, parts, percent), "links")
     classes = components(links)
 
     labelled = keys.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least_n")).where("low <> high").select("key", "least_n")
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least_n"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts")).where("low <> high").select("key", "least_n", "parts")
     floor_n = F.greatest("least_n", F.ceil(F.col("n") * percent / 100))
-    left_over = labelled.join(open_keys, "key").where(F.col("rest") >= _pair_overlap(F.col("n"), floor_n, percent)).drop("least_n")
-    left_over = space.write(left_over.select("key", "node", "n", "rest", "label"), "open")
-    x, y = left_over.alias("x"), left_over.alias("y")
-    across = (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _possible(F.col("x.n"), F.col("x.rest"), F.col("y.n"), F.col("y.rest"), percent)
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & across).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
+    left_over = dealt(labelled, "node").join(for_each_part(open_keys), ["key", "_part"]).where(F.col("rest") >= _pair_overlap(F.col("n"), floor_n, percent))
+    # Sizes of a linked pair differ by a factor of 100 / percent at most, so it lies in one band or in two that touch.
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n")
+    left_over = space.write(left_over.select("key", "node", "n", "rest", "label", "parts", band.cast("int").alias("band")), "open")
+    # A block is cut into bands, and its rows are dealt over parts that each meet the whole band.
+    x = left_over.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("x")
+    y = left_over.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("beside", F.explode(F.array(F.col("band"), F.col("band") - 1))).alias("y")
+    across = (F.struct("x.n", "x.node") < F.struct("y.n", "y.node")) & (F.col("x.label") != F.col("y.label")) & _possible(F.col("x.n"), F.col("x.rest"), F.col("y.n"), F.col("y.rest"), percent)
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.beside")) & (F.col("x.part") == F.col("y.part")) & across)
+    swap = F.col("x.node") > F.col("y.node")
+    ends = lambda one, other, name: F.when(swap, F.col(other)).otherwise(F.col(one)).alias(name)
+    more = more.select(ends("x.node", "y.node", "a"), ends("y.node", "x.node", "b"), ends("x.n", "y.n", "n_a"), ends("y.n", "x.n", "n_b")).distinct()
     more = more.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    new = space.write(verified(more, parts, percent), "new_links")
+    new = space.write(verified(space.write(more, "more"), parts, percent), "new_links")
     if new.isEmpty():
         return classes
     return components(links.unionByName(new))
@@ -297,8 +308,9 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = known.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least_id"))
     placed = least.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
     reached = placed.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    named = placed.join(reached, "label").select("node", "component_id")
-    return known.join(named, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    named = meet(placed, reached, ["label"], ["node"]).select("node", "component_id")
+    # The copies of one set of shingles are many rows of one node.
+    return meet(known, named, ["node"], ["id"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Columns of the `documents` table.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows of a table that are ranked together, at most about so many.
+RANGE_ROWS = 50_000
 WHITE_RUN = r"[\x20\x09-\x0D]+"
 
 
@@ -20,9 +23,35 @@ def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def spread(df: DataFrame, least: int) -> DataFrame:
-    """df over at least so many partitions, where one file split would hold too much work for one task."""
-    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
+#: Rows of one key are dealt over so many parts where they meet another table's row of that key.
+PARTS = 16
+
+
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """df with `_part`, drawn from the columns: the side of a join on which one key may have very many rows."""
+    return df.withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(PARTS)).cast("int"))
+
+
+def for_each_part(df: DataFrame) -> DataFrame:
+    """df once for each `_part`: the side of a join with one or few narrow rows a key."""
+    return df.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+
+def hash_range(key: str, rows: int) -> Column:
+    """The number of the range that a 64-bit hash lies in; ranges follow each other as the hashes do, each with some RANGE_ROWS of so many rows."""
+    bits = max(0, math.ceil(math.log2(max(rows / RANGE_ROWS, 1))))
+    return F.shiftright(key, 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def meet(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """The join of many, which may have very many rows of one key, with one, which has one narrow row a key.
+
+    The rows of a key are dealt over parts by the columns `by`, and each part
+    that a key has is given its row.
+    """
+    many = dealt(many, *by)
+    given = many.select(*keys, "_part").distinct().join(one, keys)
+    return many.join(given, [*keys, "_part"], how).drop("_part")
 
 
 def exclusive_sum(counts: DataFrame, keys: Iterable[str], order: Iterable[str], value: str, to: str) -> DataFrame:
