@@ -9,6 +9,7 @@ accepted where enough of them agree.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,22 +20,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspar.llm import textkernel
-from quillspar.llm.tables import text_or_empty
+from quillspar.llm.tables import dealt, for_each_part, text_or_empty
 from quillspar.session import Workspace, ship
 
-#: Windows compare the words at 1 and ignore those at 0. The first five, of six words each, serve all passages; the
-#: others, of five words, only those of fewer than OVERLAP_WORDS. A test enumerates that no accepted overlap is left without a seed.
-MASKS = ("111111", "1110111", "110110011", "1011001011", "110101011", "11111", "101111", "110111", "111011", "111101")
-LONG_MASKS = 5
+# Windows compare the words at 1 and ignore those at 0. LONG, of six words each, serve all passages of six words or more,
+# SHORT, of five words, also those of fewer than OVERLAP_WORDS; FIVE, of four words, those of five words; a passage of one
+# to four words is searched whole. A test enumerates that no accepted overlap is left without a seed.
+LONG = ("111111", "1110111", "110110011", "1011001011", "110101011")
+SHORT = ("11111", "101111", "110111", "111011", "111101")
+FIVE = ("1111", "10111", "11011", "11101")
+WHOLE = ("1", "11", "111", "1111")
+MASKS = LONG + SHORT + FIVE + WHOLE
 #: Shortest accepted overlap in words (or the whole passage where it is shorter) and its largest share of replaced words.
 OVERLAP_WORDS = 13
 REPLACED_SHARE = 0.2
-#: Passages with fewer words can't be told from ordinary language and are not searched.
-PASSAGE_WORDS = 6
 #: Words around a hit that go along for verification.
 AROUND = 64
-#: Bits of the filter that tasks ask before they give out a window: a fixed size, whatever the benchmark's.
-FILTER_BITS = 23
+#: Least and most bits of the index of the filter that tasks ask before they give out a window: 1 to 4 MB. Benchmarks of
+#: more than a million seeds make it let more windows through, which the join then drops.
+FILTER_BITS = (23, 25)
 
 
 def _positions(mask: str) -> list[int]:
@@ -47,12 +51,10 @@ def _seeds(hashes: np.ndarray, mask: int) -> np.ndarray:
 
 def masks_of(n_words: int) -> range:
     """The masks that a passage of so many words is searched by."""
-    return range(len(MASKS) if n_words < OVERLAP_WORDS else LONG_MASKS)
-
-
-def _slots(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two places of a seed in the filter."""
-    return (seeds >> np.uint64(64 - FILTER_BITS)).astype(np.int64), (seeds & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+    long, short, five = len(LONG), len(LONG) + len(SHORT), len(LONG) + len(SHORT) + len(FIVE)
+    if n_words > 5:
+        return range(long if n_words >= OVERLAP_WORDS else short)
+    return range(short, five) if n_words == 5 else range(five + n_words - 1, five + n_words)
 
 
 def passage_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -72,12 +74,13 @@ def passage_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 names = batch.column(0).slice(lo, hi - lo)
                 for row in range(hi - lo):
                     words = hashes[firsts[row] : firsts[row + 1]]
-                    if len(words) < PASSAGE_WORDS:
+                    if not len(words):
                         continue
-                    found = [_seeds(words, m) for m in masks_of(len(words))]
+                    used = masks_of(len(words))
+                    found = [_seeds(words, m) for m in used]
                     seeds = np.concatenate(found)
                     places = np.concatenate([np.arange(len(f)) for f in found])
-                    masks = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
+                    masks = np.repeat(np.array(used, np.int32), [len(f) for f in found])
                     n = len(seeds)
                     same = pa.array(np.zeros(n, np.int32))
                     key = textkernel.combine(words, list(range(len(words))), salt=len(words)).view(np.int64)
@@ -89,20 +92,23 @@ def passage_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"item_id {kind}, key long, words array<bigint>, mask int, seed long, place int")
 
 
-def _filter(seeds: DataFrame) -> np.ndarray:
-    """A bitmap of 2**FILTER_BITS bits of which every seed sets two; what comes to the driver is bounded by that."""
-    first = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
-    second = F.col("seed").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    slots = seeds.select(F.explode(F.array(first, second)).alias("slot")).distinct().toArrow()["slot"].to_numpy()
-    bits = np.zeros(1 << FILTER_BITS, bool)
+def _filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of which every seed sets two bits, and the bits of its index; what comes to the driver is bounded by its size."""
+    width = min(max(FILTER_BITS[0], math.ceil(math.log2(max(32 * seeds.count(), 1)))), FILTER_BITS[1])
+    first = F.shiftrightunsigned("seed", 64 - width)
+    second = F.col("seed").bitwiseAND(F.lit((1 << width) - 1))
+    slots = seeds.select(F.explode(F.array(first.cast("int"), second.cast("int"))).alias("slot")).distinct().toArrow()["slot"].to_numpy()
+    bits = np.zeros(1 << width, bool)
     bits[slots] = True
-    return np.packbits(bits, bitorder="little")
+    return np.packbits(bits, bitorder="little"), width
 
 
-def _regions(docs: DataFrame, bits: np.ndarray, masks: list[int], id_col: str, text_col: str) -> DataFrame:
+def _regions(docs: DataFrame, bitmap: tuple[np.ndarray, int], masks: list[int], id_col: str, text_col: str) -> DataFrame:
     """(region, id, start, words, hits(seed, at)): stretches of documents around windows that the filter lets through."""
     spark = docs.sparkSession
+    bits, width = bitmap
     shared = spark.sparkContext.broadcast(bits)
+    whole = len(MASKS) - len(WHOLE)
     rows = docs.select(F.col(id_col).alias("id"), F.lower(text_or_empty(text_col)).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     spans = np.array([len(m) for m in MASKS])
@@ -111,13 +117,17 @@ def _regions(docs: DataFrame, bits: np.ndarray, masks: list[int], id_col: str, t
         return (table[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1
 
     def hits(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places, seeds and masks of windows inside one document that pass."""
+        """Places, seeds and masks of windows inside one document that pass; of a passage that is one window, its first place."""
         found = []
         for m in masks:
             seeds = _seeds(hashes, m)
-            at = np.flatnonzero(ask(shared.value, (seeds >> np.uint64(64 - FILTER_BITS)).astype(np.int64)))
-            at = at[ask(shared.value, _slots(seeds[at])[1]).astype(bool)]
+            at = np.flatnonzero(ask(shared.value, (seeds >> np.uint64(64 - width)).astype(np.int64)))
+            at = at[ask(shared.value, (seeds[at] & np.uint64((1 << width) - 1)).astype(np.int64)).astype(bool)]
             at = at[at + spans[m] <= ends[at]]
+            if m >= whole and len(at):
+                order = np.lexsort((at, seeds[at], ends[at]))
+                by = at[order]
+                at = by[np.concatenate(([True], (seeds[by[1:]] != seeds[by[:-1]]) | (ends[by[1:]] != ends[by[:-1]])))]
             found.append((at, seeds[at], np.full(len(at), m)))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -182,8 +192,9 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
     An overlap has at least OVERLAP_WORDS words of the passage (all where it
     has fewer), of which at most REPLACED_SHARE are replaced by others; words
-    are compared in lower case. Null and empty texts overlap with nothing, and
-    so do passages of fewer than PASSAGE_WORDS words. Rows with one id count
+    are compared in lower case. Null and empty texts overlap with nothing; a
+    passage of a few words is searched as any other, so very short ones are
+    better left out of the benchmark. Rows with one id count
     as one document. first_word counts the document's words from 0. Passages
     that share an item_id, null included, are searched each by itself; the best
     of their overlaps stands for the id.
@@ -196,10 +207,11 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     regions = space.write(_regions(docs, _filter(passages), masks, id_col, text_col), "regions")
     seeds = passages.select("key", "seed", "place").distinct()
     hits = regions.select("region", "start", F.explode("hits").alias("hit")).select("region", "start", F.col("hit.seed").alias("seed"), F.col("hit.at").alias("at"))
-    lines = hits.join(seeds, "seed").select("region", "key", (F.col("at") - F.col("start") - F.col("place")).cast("long").alias("shift")).distinct()
+    # A seed, or a passage, may be found in very many places: those are dealt over parts that each get the benchmark's few rows.
+    lines = dealt(hits, "region", "at").join(for_each_part(seeds), ["seed", "_part"]).select("region", "key", (F.col("at") - F.col("start") - F.col("place")).cast("long").alias("shift")).distinct()
     whole = passages.where("words IS NOT NULL")
     words = whole.groupBy("key").agg(F.first("words").alias("item_words"))  # one key, one array
-    beside = lines.join(regions.drop("hits"), "region").join(words, "key")
+    beside = dealt(lines.join(regions.drop("hits"), "region"), "region", "shift").join(for_each_part(words), ["key", "_part"]).drop("_part")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -214,12 +226,13 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
     kinds = beside.schema
     checked = beside.mapInPandas(verify, f"id {kinds['id'].dataType.simpleString()}, key long, first_word long, n_words long, matched long")
-    checked = checked.join(whole.select("key", "item_id").distinct(), "key")
     best = F.max(F.struct("matched", "n_words", (-F.col("first_word")).alias("at"))).alias("best")
+    checked = checked.groupBy("id", "key").agg(best).select("id", "key", "best.matched", "best.n_words", (-F.col("best.at")).alias("first_word"))
+    checked = dealt(checked, "id").join(for_each_part(whole.select("key", "item_id").distinct()), ["key", "_part"])
     return checked.groupBy("id", "item_id").agg(best).select(F.col("id").alias(id_col), "item_id", (-F.col("best.at")).alias("first_word"), "best.n_words", "best.matched")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those that overlap with a passage; rows with a null id are kept, for overlaps are told by id."""
+    """docs without those that overlap with a passage; rows with one id, null ones too, stay or go together."""
     leaks = contaminations(docs, items, id_col, **options).select(F.col(id_col).alias("_leak")).distinct()
-    return docs.join(leaks, docs[id_col] == leaks["_leak"], "left_anti")
+    return docs.join(leaks, docs[id_col].eqNullSafe(leaks["_leak"]), "left_anti")
