@@ -3,8 +3,11 @@
 A notice that stands in a text with at most k edits contains one of its k + 1
 pieces unchanged (pigeonhole), so exact search for the pieces finds all places
 that can hold it. Around them the regex library's bounded-error matching
-counts the edits. Texts are compared as words: A-Z in lower case, everything
-that is no word character as one space.
+counts the edits. The words that name the license are compared apart from the
+sentence around them: short names exactly, long ones with an edit of their own,
+for the edits of a sentence would turn one license's name into another's.
+Matches begin and end with words. Texts are compared as words: A-Z in lower
+case, everything that is no word character as one space.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -22,63 +26,166 @@ from pyspark.sql import functions as F
 from quillspar.llm import textkernel
 from quillspar.session import ship
 
-# Exact phrases and their labels, and the notices of widely used licenses.
+# Exact phrases and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+#: Names of licenses as sentences give them, and their labels.
+NAMES = {
+    "mit": "mit",
+    "apache": "apache",
+    "gnu general public": "gpl",
+    "gpl": "gpl",
+    "gnu lesser general public": "lgpl",
+    "lgpl": "lgpl",
+    "gnu affero general public": "agpl",
+    "agpl": "agpl",
+    "bsd": "bsd",
+    "mozilla public": "mpl",
+    "mpl": "mpl",
+    "eclipse public": "epl",
+    "epl": "epl",
+    "isc": "isc",
+    "boost software": "bsl-1",
+    "business source": "busl",
+    "zlib": "zlib",
+    "artistic": "artistic",
+    "european union public": "eupl",
+    "creative commons attribution": "cc-by",
+}
+#: Sentences around a name, whose place is marked by braces.
+SENTENCES = ("licensed under the {} license", "released under the {} license", "distributed under the {} license", "under the terms of the {} license", "available under the {} license")
+#: Notices with names of their own, which braces enclose.
 NOTICES = {
-    "released under the mit license": "mit",
-    "licensed under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
-    "licensed under the apache license version 2 0": "apache",
-    "licensed under the gnu general public license": "gpl",
-    "under the terms of the gnu general public license": "gpl",
-    "gnu lesser general public license": "lgpl",
-    "gnu affero general public license": "agpl",
     "redistribution and use in source and binary forms": "bsd",
-    "released under the bsd license": "bsd",
-    "mozilla public license": "mpl",
-    "eclipse public license": "epl",
-    "licensed under cc by nc": "cc-by-nc",
-    "licensed under cc by sa": "cc-by-sa",
-    "creative commons attribution": "cc-by",
     "permission to use copy modify and or distribute this software": "isc",
     "this is free and unencumbered software": "unlicense",
+    "{gnu} lesser general public license": "lgpl",
+    "gnu {affero} general public license": "agpl",
+    "{mozilla} public license version": "mpl",
+    "{eclipse} public license version": "epl",
+    "licensed under {cc by} 4 0": "cc-by",
+    "licensed under {cc by nc}": "cc-by-nc",
+    "licensed under {cc by sa}": "cc-by-sa",
+    "licensed under {cc by nd}": "cc-by-nd",
+    "{creative commons attribution} 4 0 international": "cc-by",
+    "{creative commons attribution noncommercial}": "cc-by-nc",
+    "{creative commons attribution sharealike}": "cc-by-sa",
+    "{creative commons zero}": "cc0",
 }
-#: A piece has about this many bytes, so that a notice of n bytes may have n // PIECE_BYTES - 1 edits, one at least.
+NOTICES |= {sentence.format("{" + name + "}"): label for name, label in NAMES.items() for sentence in SENTENCES}
+#: A piece has about this many bytes, so that the n bytes around a name may have n // PIECE_BYTES - 1 edits, one at least.
 PIECE_BYTES = 10
+#: A name with a word of at least so many bytes may have one edit.
+LONG_WORD = 6
 #: What a bare phrase without a notice around it scores.
 PHRASE_SCORE = 0.5
 
 _SPACED = np.where(textkernel.ALNUM, textkernel.LOWER, 0x20).astype(np.uint8)
 
 
+def _literal(text: str) -> str:
+    return regex.escape(text, literal_spaces=True)
+
+
 @dataclass(frozen=True)
 class Notice:
-    text: bytes
+    text: str
     label: str
+    before: str
+    name: str
+    after: str
     edits: int
-    pieces: tuple[tuple[int, bytes], ...]
-    pattern: object
+    name_edits: int
 
     @classmethod
-    def of(cls, text: str, label: str, piece_bytes: int) -> Notice:
-        raw = text.encode()
-        edits = max(1, len(raw) // piece_bytes - 1)
-        cuts = [round(i * len(raw) / (edits + 1)) for i in range(edits + 2)]
-        pieces = tuple((lo, raw[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True))
-        return cls(raw, label, edits, pieces, regex.compile(rb"(?e)(?:%s){e<=%d}" % (regex.escape(raw, literal_spaces=True), edits)))
+    def of(cls, template: str, label: str, piece_bytes: int = PIECE_BYTES) -> Notice:
+        before, _, rest = template.partition("{")
+        name, _, after = rest.partition("}") if rest else ("", "", "")
+        edits = max(1, (len(before) + len(after)) // piece_bytes - 1)
+        return cls(before + name + after, label, before.rstrip(), name, after.lstrip(), edits, int(max(map(len, name.split()), default=0) >= LONG_WORD))
+
+    @property
+    def pieces(self) -> list[tuple[int, str]]:
+        """(place, piece): one more than all edits, so that one of them is free of any."""
+        n = self.edits + self.name_edits + 1
+        cuts = [round(i * len(self.text) / n) for i in range(n + 1)]
+        return [(lo, self.text[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    @property
+    def pattern(self) -> regex.Pattern:
+        """Between spaces: the parts around the name with all edits together at most `edits`, the name with its own."""
+        part = lambda text, most: f"(?:{_literal(text)}){{e<={most}}}" if most else _literal(text)
+        if not self.name:
+            ways = [part(self.before, self.edits)]
+        elif not self.before or not self.after:
+            name = part(self.name, self.name_edits)
+            ways = [f"{part(self.before, self.edits)} {name}" if self.before else f"{name} {part(self.after, self.edits)}" if self.after else name]
+        else:  # the edits are shared out between both sides
+            ways = [f"{part(self.before, i)} {part(self.name, self.name_edits)} {part(self.after, self.edits - i)}" for i in range(self.edits + 1)]
+        return regex.compile(f"(?e)(?<= )(?:{'|'.join(ways)})(?= )")
+
+
+class Scanner:
+    """The notices, their patterns, and one automaton that finds all pieces of all notices."""
+
+    def __init__(self, items: tuple[tuple[str, str], ...], piece_bytes: int):
+        self.notices = [Notice.of(text, label, piece_bytes) for text, label in items]
+        self.patterns = [n.pattern for n in self.notices]
+        found: dict[str, list[tuple[int, int]]] = {}
+        for i, notice in enumerate(self.notices):
+            for place, piece in notice.pieces:
+                found.setdefault(piece, []).append((i, place))
+        self.automaton = ahocorasick.Automaton()
+        for piece, where in found.items():
+            self.automaton.add_word(piece, (len(piece), where))
+        if found:
+            self.automaton.make_automaton()
+        self.empty = not found
+
+    def windows(self, text: str) -> dict[int, list[tuple[int, int]]]:
+        """For each notice that may stand in the text, the stretches that hold all its places."""
+        if self.empty:
+            return {}
+        starts: dict[int, list[int]] = {}
+        for end, (size, where) in self.automaton.iter(text):
+            for i, place in where:
+                starts.setdefault(i, []).append(end + 1 - size - place)
+        out = {}
+        for i, at in starts.items():
+            notice = self.notices[i]
+            slack = notice.edits + notice.name_edits + 1
+            short = notice.name and not notice.name_edits
+            name, found = f" {notice.name} ", []
+            for s in sorted(set(at)):
+                lo, hi = max(s - slack, 0), s + len(notice.text) + slack
+                if short and text.find(name, lo, hi) < 0:
+                    continue
+                if found and lo <= found[-1][1]:
+                    found[-1] = (found[-1][0], hi)
+                else:
+                    found.append((lo, hi))
+            if found:
+                out[i] = found
+        return out
+
+    def spans(self, text: str) -> Iterator[tuple[Notice, int, int, int]]:
+        """(notice, start, end, edits) of the places where notices stand; overlapping places of one notice give one."""
+        for i, stretches in self.windows(text).items():
+            for lo, hi in stretches:
+                for m in self.patterns[i].finditer(text, lo, min(hi, len(text))):
+                    yield self.notices[i], m.start(), m.end(), sum(m.fuzzy_counts)
 
 
 @lru_cache(maxsize=4)
-def _notices(items: tuple[tuple[str, str], ...], piece_bytes: int) -> list[Notice]:
-    return [Notice.of(text, label, piece_bytes) for text, label in items]
+def _scanner(items: tuple[tuple[str, str], ...], piece_bytes: int) -> Scanner:
+    return Scanner(items, piece_bytes)
 
 
 def _normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words with one space between; each row begins with a space and ends with one (two between rows)."""
     rows = len(offsets) - 1
     spaced = np.full(len(data) + 2 * rows, 0x20, np.uint8)
-    for row, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-        spaced[lo + 2 * row + 1 : hi + 2 * row + 1] = _SPACED[data[lo:hi]]
+    spaced[np.arange(len(data)) + 2 * np.repeat(np.arange(rows), np.diff(offsets)) + 1] = _SPACED[data]
     blank = spaced == 0x20
     keep = np.ones(len(spaced), bool)
     keep[1:] = ~(blank[1:] & blank[:-1])
@@ -98,37 +205,12 @@ def _places(raw: bytes, what: bytes) -> list[int]:
     return out
 
 
-def _fuzzy(raw: bytes, bounds: np.ndarray, notice: Notice) -> Iterator[tuple[int, int, int, int]]:
-    """(row, start, end, edits) of the places where the notice stands, in bytes of the normalised chunk."""
-    starts = sorted({at - offset for offset, piece in notice.pieces for at in _places(raw, piece)})
-    k, n, i = notice.edits, len(notice.text), 0
-    done = -1  # end of the last match: the next begins after it
-    while i < len(starts):
-        j = i
-        while j + 1 < len(starts) and starts[j + 1] - starts[j] <= k + 1:
-            j += 1
-        anchor = min(max(starts[i] + n // 2, 0), int(bounds[-1]) - 1)
-        row = int(np.searchsorted(bounds, anchor, side="right")) - 1
-        lo = max(starts[i] - k, int(bounds[row]), done)
-        hi = min(starts[j] + n + k, int(bounds[row + 1]))
-        exact = raw.find(notice.text, lo, hi) if i == j else -1
-        if exact >= 0:
-            yield row, exact, exact + n, 0
-            done = exact + n
-        else:
-            for m in notice.pattern.finditer(raw, lo, hi):
-                lead = len(m[0]) - len(m[0].lstrip())
-                yield row, m.start() + lead, m.end() - (len(m[0]) - len(m[0].rstrip())), sum(m.fuzzy_counts)
-                done = m.end()
-        i = j + 1
-
-
 SPANS = pa.list_(pa.struct([("label", pa.string()), ("notice", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int32())]))
 SPANS_DDL = "array<struct<label: string, notice: string, first_word: bigint, last_word: bigint, edits: int>>"
 _NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
 
 
-def scan_chunk(data: np.ndarray, offsets: np.ndarray, phrases: dict[str, str], notices: list[Notice]) -> list[tuple]:
+def scan_chunk(data: np.ndarray, offsets: np.ndarray, phrases: dict[str, str], scanner: Scanner) -> list[tuple]:
     """One tuple of _NAMES for each row of the chunk."""
     clean, bounds = _normalised(data, offsets)
     raw = clean.tobytes()
@@ -141,15 +223,18 @@ def scan_chunk(data: np.ndarray, offsets: np.ndarray, phrases: dict[str, str], n
             base.setdefault(row, []).append((int(np.searchsorted(words, at + 1)) - int(firsts[row]), label))
     spans: dict[int, list[dict]] = {}
     scores: dict[int, float] = {}
-    for notice in notices:
-        for row, lo, hi, edits in _fuzzy(raw, bounds, notice):
-            first = max(int(np.searchsorted(words, lo, side="right")) - 1, int(firsts[row])) - int(firsts[row])
-            last = max(int(np.searchsorted(words, hi)) - 1 - int(firsts[row]), first)
-            spans.setdefault(row, []).append({"label": notice.label, "notice": notice.text.decode(), "first_word": first, "last_word": last, "edits": edits})
-            scores[row] = max(scores.get(row, 0.0), 1 - edits / len(notice.text))
+    # Rows are searched as one text; a run of line feeds between them is longer than all edits of any notice can bridge.
+    gap = max((n.edits + n.name_edits for n in scanner.notices), default=0) + 1
+    text = np.insert(clean, np.repeat(bounds[1:-1], gap), 0x0A).tobytes().decode("latin-1")
+    begins = bounds + gap * np.arange(len(bounds))
+    for notice, lo, hi, edits in scanner.spans(text):
+        row = int(np.searchsorted(begins, lo, side="right")) - 1
+        lo, hi = lo - gap * row, hi - gap * row
+        first, last = int(np.searchsorted(words, lo)) - int(firsts[row]), int(np.searchsorted(words, hi)) - 1 - int(firsts[row])
+        spans.setdefault(row, []).append({"label": notice.label, "notice": notice.text, "first_word": first, "last_word": last, "edits": edits})
+        scores[row] = max(scores.get(row, 0.0), 1 - edits / len(notice.text))
     out = []
-    counts = np.diff(firsts).tolist()
-    for row, n in enumerate(counts):
+    for row, n in enumerate(np.diff(firsts).tolist()):
         hits, found = base.get(row), spans.get(row)
         if not hits and not found:
             out.append((n, 0, None, None, "", "", 0.0, []))
@@ -183,7 +268,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), SPANS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = _notices(items, piece_bytes)
+        wanted = _scanner(items, piece_bytes)
         for batch in batches:
             for lo, hi, data, offsets in textkernel.chunks(batch.column(1), 4 * textkernel.CHUNK_BYTES):
                 columns = zip(*scan_chunk(data, offsets, phrases, wanted), strict=True)
