@@ -109,8 +109,7 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
 
 def token_digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = 0, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes the shards under spark.checkpoint.dir and reads the digest of each document back from them."""
-    space = Workspace(docs.sparkSession)
-    path = f"{space.path}/tokens"
+    path = Workspace(docs.sparkSession).place("tokens")
     write_tokens(docs, tokenizer, path, id_col, text_col, end, shard_ids)
     return read_tokens(docs.sparkSession, path, id_col)
 
