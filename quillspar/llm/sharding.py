@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspar.llm.tables import exclusive_sum
+from quillspar.llm.tables import exclusive_sum, hash_range
 from quillspar.operators.order import numbered
 from quillspar.session import Workspace
 
-#: Sub-groups that ranks are counted in, so that no source meets in one task.
-RANK_BUCKETS = 1024
-
 
 def interleaved_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
     """Per row: id, source, size, text_crc32, law, shard, slot, grown_shard.
@@ -24,7 +21,7 @@ def interleaved_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", tex
     shard would move rows between all.
 
     Ranks are exact without bringing a source together: a row's rank is the
-    number of rows in its source's lower hash buckets plus its rank in its own.
+    number of rows in its source's lower hash ranges plus its rank in its own.
 
     A null text has 0 bytes and the checksum of the empty text; null sources
     are a source of their own; null ids are ordered first. Repeated rows are
@@ -36,21 +33,22 @@ def interleaved_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", tex
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
     ).withColumn("key", F.xxhash64(F.lit(seed), "id"))
-    rows = rows.withColumn("bucket", F.pmod("key", F.lit(RANK_BUCKETS)).cast("int"))
+    space = Workspace(docs.sparkSession)
+    rows = space.write(rows, "rows")  # a few numbers a row; texts are read once
+    total = rows.count()
+    rows = rows.withColumn("bucket", hash_range("key", total))
 
     same_source = F.col("r.source").eqNullSafe(F.col("c.source"))
     counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
     counts = exclusive_sum(counts, ["source"], ["bucket"], "n", "before")
-    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("source"))).drop("n")
+    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("source"))).drop("n").hint("merge")
     ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("key", "id", "text_crc32", "size")))
     ranked = ranked.alias("r").join(counts.alias("c"), same_source & (F.col("r.bucket") == F.col("c.bucket")))
     rank = F.col("before") + F.col("place")
     ranked = ranked.select("id", "r.source", "size", "text_crc32", "key", ((2 * rank - 1) / (2 * F.col("total"))).alias("fraction"))
 
-    ranked = Workspace(docs.sparkSession).write(ranked, "ranked")  # a few numbers a row; texts are read once
-
     # The place in the whole order, by ranges of all its columns: sources of one row all have the fraction 1/2.
-    total = max(ranked.count(), 1)
+    total = max(total, 1)
     placed = numbered(ranked, [F.col("fraction"), F.col("source").asc_nulls_last(), F.col("key"), F.col("id"), F.col("text_crc32"), F.col("size")], "at", start=0)
     shard = F.expr(f"at * {shards} div {total}")
     first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
