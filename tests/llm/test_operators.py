@@ -188,20 +188,44 @@ def test_planted_passages(spark, docs, data):
     assert kept.columns == planted.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6, 7]
 
 
-def test_overlaps_equal_brute_force(docs, spark, data):
-    items = spark.read.parquet(f"{data}/benchmark.parquet")
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    wanted = {}
-    passages = {r["item_id"]: np.array(word.findall(r["text"].lower())) for r in items.collect()}
-    for i, text in texts_of(docs.where("n_chars < 4000")):
-        words = np.array(word.findall(text.lower()))
-        for j, item in passages.items():
-            if len(words) and len(np.intersect1d(words, item)) >= 0.5 * len(set(item)):
-                found = [o for s in range(-len(item), len(words)) if (o := decontaminate.overlap(words, item, s))]
-                if found:
-                    wanted[i, j] = max(o[2] for o in found)
-    got = {(r["doc_id"], r["item_id"]): r["matched"] for r in decontaminate.contaminations(docs.where("n_chars < 4000"), items).collect()}
-    assert set(wanted) <= set(got) and all(got[k] == n for k, n in wanted.items())
+def longest_overlap(doc, item):
+    """(agreeing words, words, -first word) of the best accepted overlap, over all starts, shifts and lengths."""
+    best = None
+    for shift in range(-len(item) + 1, len(doc)):
+        for lo in range(max(0, -shift), len(item)):
+            agree = 0
+            for hi in range(lo, min(len(item), len(doc) - shift)):
+                agree += doc[hi + shift] == item[hi]
+                n = hi + 1 - lo
+                if n >= min(decontaminate.OVERLAP_WORDS, len(item)) and 5 * (n - agree) <= n:
+                    best = max(best or (0, 0, 0), (n, -lo - shift, agree))
+    return best
+
+
+def test_overlaps_equal_brute_force(spark, awkward):
+    rnd = np.random.default_rng(2)
+    say = lambda n: [f"v{x}" for x in rnd.integers(0, 12, n)]  # noqa: E731 - few words, so that much overlaps by chance
+    passages = [say(n) for n in (1, 2, 3, 4, 5, 6, 8, 12, 13, 14, 17, 22, 30)]
+    texts = []
+    for _ in range(25):
+        words = say(int(rnd.integers(0, 60)))
+        item = passages[rnd.integers(0, len(passages))]
+        for at in rnd.integers(0, len(item), len(item) // 5):
+            item = [*item[:at], "new", *item[at + 1 :]]
+        at = int(rnd.integers(0, len(words) + 1))
+        texts.append(words[:at] + item + words[at:])
+    items = spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(passages)], "item_id long, text string")
+    docs = spark.createDataFrame(rows_of([" ".join(t) for t in texts]), SCHEMA)
+    wanted = {(i, k): found for i, t in enumerate(texts) for k, p in enumerate(passages) if (found := longest_overlap(t, p))}
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminations(docs, items).collect()}
+    assert set(got) == set(wanted) and len(got) > 40
+    for k, (n, _, agree) in wanted.items():
+        assert 5 * (got[k]["n_words"] - got[k]["matched"]) <= got[k]["n_words"] and got[k]["matched"] >= agree
+    # Awkward rows: a passage that a long text, a copy and a row without an id hold.
+    long = max((r["text"] or "" for r in awkward.collect()), key=len).split()
+    items = spark.createDataFrame([(1, " ".join(long[30_000:30_020])), (2, "no id"), (3, None)], "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.contaminations(awkward, items).collect()), key=str) == sorted([(9, 1, 30_000, 20, 20), (None, 2, 0, 2, 2)], key=str)
+    assert decontaminate.decontaminated(awkward, items).count() == awkward.count() - 2
 
 
 def test_passages_without_an_id_of_their_own(spark):
@@ -215,7 +239,7 @@ def test_passages_without_an_id_of_their_own(spark):
 
 def test_every_accepted_overlap_has_a_seed():
     # An overlap of 26 words or more holds one of 13 to 25 with as small a share of replaced words.
-    for n in range(decontaminate.PASSAGE_WORDS, 26):
+    for n in range(1, 26):
         # A passage of 13 words or more may be any longer than the overlap, a shorter one is the overlap.
         masks = [decontaminate.MASKS[m] for m in decontaminate.masks_of(n)]
         windows = [sum(1 << (at + i) for i, c in enumerate(mask) if c == "1") for mask in masks for at in range(n - len(mask) + 1)]
@@ -226,10 +250,10 @@ def test_every_accepted_overlap_has_a_seed():
 
 
 def test_short_and_spoiled_passages_are_found(spark):
-    patterns = [(n, (i,)) for n in (6, 7, 8) for i in range(n)] + [(10, (2, 4)), (15, (2, 7, 9)), (12, ())]
+    patterns = [(n, (i,)) for n in (5, 6, 7, 8) for i in range(n)] + [(10, (2, 4)), (15, (2, 7, 9)), (12, ()), (1, ()), (2, ()), (3, ()), (4, ())]
     passages = [[f"p{k}w{i}" for i in range(n)] for k, (n, _) in enumerate(patterns)]
     items = spark.createDataFrame([(k, " ".join(words)) for k, words in enumerate(passages)], "item_id long, text string")
-    texts = [" ".join(["before"] + ["changed" if i in gone else w for i, w in enumerate(words)] + ["after"]) for words, (_, gone) in zip(passages, patterns, strict=True)]
+    texts = [" ".join(["before"] + ["changed" if i in gone else w for i, w in enumerate(words)] + ["after"] + [words[0]] * (len(words) == 1)) for words, (_, gone) in zip(passages, patterns, strict=True)]
     found = decontaminate.contaminations(spark.createDataFrame(rows_of(texts), SCHEMA), items).collect()
     assert {(r["doc_id"], r["item_id"], r["matched"]) for r in found} == {(k, k, n - len(gone)) for k, (n, gone) in enumerate(patterns)}
 
@@ -251,12 +275,78 @@ def test_license_places_equal_brute_force(awkward, docs, spark):
         assert got == want
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def stands_in(notice, words):
+    """Whether any words in a row are the notice within its edits, its name within the name's."""
+    for lo in range(len(words)):
+        for hi in range(lo + 1, len(words) + 1):
+            if not notice.name:
+                if edit_distance(notice.before, " ".join(words[lo:hi])) <= notice.edits:
+                    return True
+                continue
+            for a in range(lo, hi + 1):
+                for b in range(a, hi + 1):
+                    if (a == lo) != (not notice.before) or (b == hi) != (not notice.after):
+                        continue
+                    if edit_distance(notice.name, " ".join(words[a:b])) <= notice.name_edits and edit_distance(notice.before, " ".join(words[lo:a])) + edit_distance(notice.after, " ".join(words[b:hi])) <= notice.edits:
+                        return True
+    return False
+
+
+def test_notices_equal_brute_force(spark):
+    rnd = np.random.default_rng(4)
+    templates = ["licensed under the {mit} license", "licensed under the {apache} license", "licensed under {cc by nc}", "{mozilla} public license version", "this is free and unencumbered software"]
+    notices = {t: licenses.NOTICES[t] for t in templates}
+    texts = []
+    for k in range(120):
+        letters = list(templates[k % len(templates)].replace("{", "").replace("}", ""))
+        for at in rnd.integers(0, len(letters), rnd.integers(0, 5)):
+            letters[at] = ["", "x", " ", letters[at] + "y"][rnd.integers(0, 4)]
+        texts.append("ab " * rnd.integers(0, 2) + "".join(letters) + " cd" * rnd.integers(0, 2))
+    got = {r["doc_id"]: {s["notice"]: s for s in r["spans"]} for r in licenses.license_scan(spark.createDataFrame(rows_of(texts), SCHEMA), notices=notices).collect()}
+    found = 0
+    for k, text in enumerate(texts):
+        words = text.split()
+        for template, label in notices.items():
+            notice = licenses.Notice.of(template, label)
+            assert (notice.text in got[k]) == stands_in(notice, words), (text, template)
+            if notice.text in got[k]:
+                span = got[k][notice.text]
+                found += 1
+                assert edit_distance(notice.text, " ".join(words[span["first_word"] : span["last_word"] + 1])) <= span["edits"] <= notice.edits + notice.name_edits
+    assert found > 30
+
+
 def test_fuzzy_notices(spark):
-    texts = ["Licensd under the Apache License, Verson 2.0", "released   UNDER the MIT licence!", "licensed under rocks and water", "Licensed under CC BY-NC 4.0."]
-    rows = licenses.license_scan(spark.createDataFrame(rows_of(texts), SCHEMA)).orderBy("doc_id").collect()
-    assert [r["labels"] for r in rows] == ["apache", "mit", "", "cc-by-nc"]
-    assert [s["edits"] for s in rows[0]["spans"]] == [2] and (rows[0]["spans"][0]["first_word"], rows[0]["spans"][0]["last_word"]) == (0, 7)
-    assert all(0 <= r["score"] <= 1 for r in rows) and rows[2]["score"] == 0
+    told = {
+        "Licensd under the Apache License, Verson 2.0": "apache",
+        "released   UNDER the MIT licence!": "mit",
+        "licensed under rocks and water": "",
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "Licensed under CC BY-ND 4.0": "cc-by-nd",
+        "Licensed under the MPL License": "mpl",
+        "released under the ISC license": "isc",
+        "released under the BSL license": "",
+        "Licensed under the BSD License": "bsd",
+        "unlicensed under the mit licenses": "",
+        "licensed under the limit license": "",
+        "the licensed under": "",
+        "(see the Mozila Public License, version 2)": "mpl",
+    }
+    rows = licenses.license_scan(spark.createDataFrame(rows_of(told), SCHEMA)).orderBy("doc_id").collect()
+    assert [r["labels"] for r in rows] == list(told.values())
+    assert [s["edits"] for s in rows[0]["spans"]] == [1] and (rows[0]["spans"][0]["first_word"], rows[0]["spans"][0]["last_word"]) == (0, 4)
+    assert all(0 <= r["score"] <= 1 and (r["score"] > 0) == (r["labels"] != "") for r in rows)
+    halves = licenses.license_scan(spark.createDataFrame(rows_of(["licensed under the", "mit license", "licensed under the mit", "license"]), SCHEMA)).orderBy("doc_id").collect()
+    assert [len(r["spans"]) for r in halves] == [0, 0, 0, 0]
 
 
 # ---- quality
@@ -323,9 +413,67 @@ def test_mixed_documents_repeat_whole_rows(docs):
     assert collections.Counter(r["doc_id"] for r in mixed.collect()) == collections.Counter({i: n for i, n in taken.items() if n})
 
 
+def test_mixed_documents_of_awkward_rows(awkward, spark):
+    # Other column names, names of the operator's own, repeated and missing ids.
+    df = awkward.withColumnRenamed("text", "body").withColumnRenamed("source", "host").withColumn("copies", F.lit(1)).withColumn("row", F.lit("r")).withColumn("sharers", F.lit(2)).withColumn("name", F.lit("n"))
+    mixed = mixing.mixed_documents(df, text_col="body", source_col="host")
+    assert mixed.columns == df.columns
+    total = lambda d: collections.Counter((r["doc_id"], r["host"], r["words"]) for r in d.select("doc_id", "host", F.regexp_count("body", F.lit(mixing.WORD)).alias("words")).collect())
+    rows = mixing.mixed_sources(df, text_col="body", source_col="host").join(df.select("doc_id", "host").distinct(), "doc_id").collect()
+    wanted = collections.Counter()
+    for r in rows:
+        wanted[r["doc_id"], r["host"], r["size"]] += r["taken"] // max(r["size"], 1)
+    got = total(mixed)
+    assert all(got[k] == n for k, n in wanted.items() if n) and all(k in wanted or k[0] is None for k in got)
+    twice = spark.createDataFrame([(1, "a b c", "s")] * 2 + [(2, "d e f g", "t"), (3, "h i j k l", "u")] * 3, "doc_id long, text string, source string")
+    copies = collections.Counter(r["doc_id"] for r in mixing.mixed_documents(twice).collect())
+    taken = collections.Counter()
+    for r in mixing.mixed_sources(twice).collect():
+        taken[r["doc_id"]] += r["taken"] // r["size"]
+    assert copies == +taken
+
+
+def test_many_sources_share_by_weight(spark):
+    rows = [(i, " ".join(["w"] * (i % 13 + 1)), f"host{i % 400:03}") for i in range(2_000)]
+    got = mixing.source_targets(spark.createDataFrame(rows, "doc_id long, text string, source string").groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("w")).cast("long")).alias("source_size"))).collect()
+    sizes = {r["source"]: r["source_size"] for r in got}
+    names, left = sorted(sizes), float(sum(sizes.values()))
+    weights, target, open_ = {s: i % 3 + 1 for i, s in enumerate(names)}, dict.fromkeys(names, 0.0), set(names)
+    while left > 1e-6 and open_:
+        share = {s: left * weights[s] / sum(weights[o] for o in open_) for s in open_}
+        left = 0.0
+        for s, x in share.items():
+            target[s] += x
+            if target[s] > 3 * sizes[s]:
+                left += target[s] - 3 * sizes[s]
+                target[s] = 3.0 * sizes[s]
+                open_.discard(s)
+    assert all(r["target"] == pytest.approx(target[r["source"]]) for r in got)
+
+
 # ---- shards
 
 
+def brute_shards(df, shards, seed=17):
+    """(id, crc32, shard, slot), from one sorted list."""
+    rows = [(r["doc_id"], r["source"], r["key"], zlib.crc32(t := (r["text"] or "").encode()), len(t) + 16) for r in df.withColumn("key", F.xxhash64(F.lit(seed), "doc_id")).collect()]
+    low = lambda x: (x is not None, x or 0)
+    sources = collections.defaultdict(list)
+    for r in rows:
+        sources[r[1]].append(r)
+    line = []
+    for source, group in sources.items():
+        group.sort(key=lambda r: (r[2], low(r[0]), r[3], r[4]))
+        line += [((2 * k + 1) / (2 * len(group)), source is None, source or "", r[2], low(r[0]), r[3], r[4], r[0]) for k, r in enumerate(group)]
+    line.sort()
+    at, out = 0, []
+    cuts = [k for k in range(len(line)) if k == 0 or k * shards // len(line) != (k - 1) * shards // len(line)]
+    for k, r in enumerate(line):
+        at = 0 if k in cuts else at + 1
+        out.append((r[-1], r[5], k * shards // len(line), at))
+    return out
+
+
 @pytest.mark.parametrize("shards", [7, 40])
 def test_shards(docs, awkward, shards):
     for df in (docs, awkward):
@@ -339,6 +487,7 @@ def test_shards(docs, awkward, shards):
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
         counts = [len(slots.get(k, [])) for k in range(shards)]
         assert max(counts) - min(counts) <= 1
+        assert sorted(((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in rows), key=str) == sorted(brute_shards(df, shards), key=str)
     by_source = collections.Counter((r["shard"], r["source"]) for r in sharding.interleaved_shards(docs, 4).collect())
     per = collections.Counter(r["source"] for r in docs.collect())
     assert all(abs(by_source[k, s] - n / 4) <= 2 for s, n in per.items() for k in range(4))
@@ -468,5 +617,5 @@ def test_empty_tables(spark, nothing):
 
 
 def test_empty_benchmark_leaves_all(awkward, spark):
-    items = spark.createDataFrame([(1, None), (2, ""), (3, "too short")], "item_id long, text string")
+    items = spark.createDataFrame([(1, None), (2, ""), (3, " -- ")], "item_id long, text string")
     assert decontaminate.decontaminated(awkward, items).count() == awkward.count()
