@@ -1,12 +1,13 @@
 """Quality classifier by co-training two views of a page.
 
-The content view sees what the text is made of (case, symbols, repetition,
-word lengths); the metadata view sees what is recorded about the page (source,
-language, size, lines). Each is a naive Bayes classifier over binned features,
-so that training is one sum of counts over all documents and a model is a
-small table. In each round a view labels the unlabelled documents that it is
-sure about for the other view's next training. At the end both are calibrated
-on the labelled documents and their log-odds added.
+The content view sees the text: its words and how words begin and end, hashed,
+and what it is made of (case, symbols, repetition, lengths of words and lines).
+The metadata view sees only what is recorded about the page (source, language,
+size). Each is a naive Bayes classifier over binned features, so that training
+is one sum of counts over all documents and a model is a small table. In each
+round a view labels the unlabelled documents that it is sure about for the
+other view's next training. Both are calibrated on labelled documents that
+neither is trained on, and their log-odds added.
 """
 
 from __future__ import annotations
@@ -16,20 +17,31 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspar.llm import textkernel
 from quillspar.session import Workspace, ship
 
-CONTENT = ("upper", "symbols", "stutter", "top_word", "word_bytes", "digits")
-METADATA = ("source", "lang", "size", "lines", "line_bytes", "longest_line")
+CONTENT = ("upper", "symbols", "stutter", "top_word", "word_bytes", "digits", "lines", "line_bytes", "longest_line")
+METADATA = ("source", "lang", "size")
 BINS = 64
+#: Bits of the hashed words, and as many bins again for the first and last three bytes of words.
+WORD_BITS = 14
+WORD_BINS = 2 << WORD_BITS
+#: One labelled document in so many is kept for calibration and never trained on.
+HELD_OUT = 4
 ROUNDS = 3
 #: A view labels documents for the other at this calibrated probability, or at 1 minus it.
 SURE = 0.99
 #: Documents that each bin is taken to hold before any is counted.
 SMOOTHING = 0.5
+#: The same for bins of words, of which many are seen once by chance.
+WORD_SMOOTHING = 4.0
+#: Largest log-odds that a view may claim.
+LIMIT = 9.0
+#: Weight of the calibration's pull towards the share of good documents.
+RIDGE = 10.0
 #: A document is kept at this score.
 KEEP = 0.5
 _SHARES = np.array([0.0, 0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3, 0.5, 0.7, 0.9])
@@ -50,7 +62,7 @@ def _per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def text_features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Bins of the content features, then of lines, line_bytes and longest_line."""
+    """Bins of the content features."""
     size = np.diff(offsets)
     starts, ends, firsts = textkernel.word_spans(data, offsets, textkernel.NON_SPACE)
     hashes, _ = textkernel.word_hashes(data, offsets, textkernel.NON_SPACE)
@@ -87,22 +99,53 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     ]
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars") -> DataFrame:
-    """id and one small integer for each feature of both views."""
-    ship(docs.sparkSession)
+def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row its distinct bins of words and of the three bytes that words begin and end with; and each row's number of them."""
+    starts, ends, firsts = textkernel.word_spans(data, offsets, textkernel.NON_SPACE)
+    hashes, _ = textkernel.word_hashes(data, offsets, textkernel.NON_SPACE)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))
+    long = ends - starts >= 3
+    found = [row << (WORD_BITS + 1) | (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
+    for tag, at in ((1, starts[long]), (2, ends[long] - 3)):
+        three = data[at].astype(np.uint64) | data[at + 1].astype(np.uint64) << np.uint64(8) | data[at + 2].astype(np.uint64) << np.uint64(16)
+        found.append(row[long] << (WORD_BITS + 1) | 1 << WORD_BITS | (textkernel.mix(three | np.uint64(tag << 24)) >> np.uint64(64 - WORD_BITS)).astype(np.int64))
+    every = np.unique(np.concatenate(found))
+    return (every & (WORD_BINS - 1)).astype("<u2"), np.bincount(every >> (WORD_BITS + 1), minlength=len(offsets) - 1)
+
+
+def _packed(bins: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], 2 * np.cumsum(sizes))).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(bins)])
+
+
+def _unpacked(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    words = words.cast(pa.large_binary())
+    _, offsets, data = words.buffers()
+    stops = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1] >> 1
+    bins = np.frombuffer(data, "<u2")[stops[0] : stops[-1]] if data is not None else np.zeros(0, "<u2")
+    return bins, np.diff(stops)
+
+
+def _rows(docs: DataFrame, text_col: str, lang_col: str, source_col: str, size_col: str) -> list[Column]:
+    """text, and the bins of the metadata features."""
     hashed = lambda name: F.pmod(F.xxhash64(F.coalesce(F.col(name).cast("string"), F.lit(""))), F.lit(BINS)).cast("int")
     size = F.least(F.floor(2 * F.log2(F.greatest(F.coalesce(F.col(size_col).cast("double"), F.lit(0.0)), F.lit(0.0)) + 1)), F.lit(BINS - 1)).cast("int")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), hashed(source_col).alias("source"), hashed(lang_col).alias("lang"), size.alias("size"))
-    from_text = (*CONTENT, "lines", "line_bytes", "longest_line")
+    return [F.col(text_col).alias("text"), hashed(source_col).alias("source"), hashed(lang_col).alias("lang"), size.alias("size")]
+
+
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars") -> DataFrame:
+    """id, one small integer for each feature of both views, and `words`: the hashed words as packed 16-bit bins."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), *_rows(docs, text_col, lang_col, source_col, size_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in textkernel.chunks(batch.column(1)):
                 rest = [batch.column(i).slice(lo, hi - lo) for i in (0, 2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([*rest, *map(pa.array, text_features(data, offsets))], names=["id", "source", "lang", "size", *from_text])
+                yield pa.RecordBatch.from_arrays([*rest, *map(pa.array, text_features(data, offsets)), _packed(*word_features(data, offsets))], names=["id", "source", "lang", "size", *CONTENT, "words"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, source int, lang int, size int, " + ", ".join(f"{n} int" for n in from_text))
+    return rows.mapInArrow(run, f"id {kind}, source int, lang int, size int, " + ", ".join(f"{n} int" for n in CONTENT) + ", words binary")
 
 
 @dataclass
@@ -120,29 +163,46 @@ class View:
         """counts[name][label, bin]; bins that were hardly seen say nothing."""
         for name in self.names:
             # Smoothing by the class prior, so that an unseen bin has odds of 1.
-            table = counts[name] + SMOOTHING * prior[:, None]
-            share = table / (counts[name].sum(axis=1, keepdims=True) + SMOOTHING * prior[:, None] * BINS)
+            table = counts[name] + (WORD_SMOOTHING if name == "words" else SMOOTHING) * prior[:, None]
+            share = table / table.sum(axis=1, keepdims=True)
             self.odds[name] = np.log(share[1] / share[0])
 
     def raw(self, columns: dict[str, np.ndarray]) -> np.ndarray:
-        return np.add.reduce([self.odds[n][columns[n]] for n in self.names])
+        total = np.add.reduce([self.odds[n][columns[n]] for n in self.names if n != "words"])
+        if "words" in self.names:
+            # Words of one text depend on each other, so their sum counts by the root of their number.
+            bins, sizes = columns["words"]
+            sums = np.concatenate(([0.0], np.cumsum(self.odds["words"][bins])))
+            stops = np.cumsum(sizes)
+            total = total + (sums[stops] - sums[stops - sizes]) / np.sqrt(np.maximum(sizes, 1))
+        return total
 
     def place(self, columns: dict[str, np.ndarray]) -> np.ndarray:
         return (np.clip(self.raw(columns), -self.SPAN + 0.5, self.SPAN - 0.5) + self.SPAN).astype(np.int64)
 
     def calibrate(self, counts: np.ndarray) -> None:
-        """counts[label, place] of the labelled documents -> log-odds that rise with the sum (pool adjacent violators)."""
-        prior = counts.sum(axis=1) + 1.0
-        good, total = counts[1] + prior[1] / prior.sum(), counts.sum(axis=0) + 1.0
-        blocks: list[list[float]] = []
-        for g, t in zip(good.tolist(), total.tolist(), strict=True):
-            blocks.append([g, t, 1])
-            while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
-                last = blocks.pop()
-                blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
-        share = np.concatenate([np.full(int(n), g / t) for g, t, n in blocks])
-        share = np.clip(share, 1e-4, 1 - 1e-4)
-        self.curve = np.log(share / (1 - share))
+        """counts[label, place] of held-out documents -> log-odds that are linear in the sum, fitted by Newton steps.
+
+        Targets are drawn in by one document of each label, so that a sum that
+        separates all documents doesn't make them certain.
+        """
+        bad, good = counts.sum(axis=1)
+        total = counts.sum(axis=0)
+        aim = (counts[1] * (good + 1) / (good + 2) + counts[0] / (bad + 2)) / np.maximum(total, 1)
+        x = np.arange(2 * self.SPAN) - self.SPAN + 0.5
+        slope, shift = 0.0, np.log((good + 1) / (bad + 1))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(slope * x + shift, -40, 40)))
+            gap, weight = total * (aim - p), total * p * (1 - p)
+            # A slope of 0 is what few documents can tell: RIDGE of them weigh against a unit of it.
+            gradient = np.array([(gap * x).sum() - RIDGE * slope, gap.sum()])
+            curve = np.array([[(weight * x * x).sum() + RIDGE, (weight * x).sum()], [(weight * x).sum(), weight.sum() + 1e-9]])
+            step = np.linalg.solve(curve, gradient)
+            slope, shift = slope + step[0], shift + step[1]
+            if np.abs(step).max() < 1e-9:
+                break
+        slope = max(slope, 0.0)
+        self.curve = np.clip(slope * x + shift, -LIMIT, LIMIT)
 
     def log_odds(self, columns: dict[str, np.ndarray]) -> np.ndarray:
         return self.curve[self.place(columns)]
@@ -152,96 +212,137 @@ def _probability(log_odds: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-log_odds))
 
 
-def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    return {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("label", *CONTENT, *METADATA)}
+VIEWS = ((*CONTENT, "words"), METADATA)
+#: Where the counts of each view's features stand in one row of cells: two labels of so many bins each.
+_WIDTHS = [(view, name, WORD_BINS if name == "words" else BINS) for view, names in enumerate(VIEWS) for name in names]
+
+
+def _columns(batch: pa.RecordBatch) -> dict:
+    plain = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("label", "held", *CONTENT, *METADATA) if n in batch.schema.names}
+    return plain | {"words": _unpacked(batch.column("words"))}
 
 
-def _told(columns: dict[str, np.ndarray], other: View, sure: float) -> np.ndarray:
-    """The labels that a view trains on: the known ones, and what the other view is sure of; -1 elsewhere."""
-    label = columns["label"]
+def _told(columns: dict, other: View, sure: float) -> np.ndarray:
+    """The labels that a view trains on: the known ones but those held out, and what the other view is sure of; -1 elsewhere."""
+    label = np.where(columns["held"], -1, columns["label"])
     if other.curve is None:
         return label
     p = _probability(other.log_odds(columns))
-    return np.where(label >= 0, label, np.where(p >= sure, 1, np.where(p <= 1 - sure, 0, -1)))
+    unknown = columns["label"] < 0
+    return np.where(unknown & (p >= sure), 1, np.where(unknown & (p <= 1 - sure), 0, label))
 
 
-def _summed(table: DataFrame, count, kinds: int, width: int) -> np.ndarray:
-    """count(columns, sums) adds to sums[kind, label * width + bin] in each task; sums over all tasks, at most kinds * 2 * width rows."""
+def _summed(table: DataFrame, count, cells: int) -> np.ndarray:
+    """count(columns, sums) adds to sums[cell] in each task; sums over all tasks, at most `cells` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((kinds, 2 * width), np.int64)
+        sums = np.zeros(cells, np.int64)
         for batch in batches:
             count(_columns(batch), sums)
-        kind, cell = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(sums[kind, cell])], names=["kind", "cell", "n"])
+        cell = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(sums[cell])], names=["cell", "n"])
 
-    cells = table.select("label", *CONTENT, *METADATA).mapInArrow(run, "kind int, cell int, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n"))
-    out = np.zeros((kinds, 2 * width))
-    for r in cells.collect():
-        out[r["kind"], r["cell"]] = r["n"]
-    return out.reshape(kinds, 2, width)
+    found = table.select("label", "held", *CONTENT, *METADATA, "words").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(cells)
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out
 
 
 def co_train(table: DataFrame, rounds: int = ROUNDS, sure: float = SURE) -> tuple[View, View, float]:
-    """Both views and the prior log-odds from features with a column `label` (1, 0, or -1 where unknown).
+    """Both views and the prior log-odds from features with columns `label` (1, 0, or -1 where unknown) and `held`.
 
     Two jobs a round: counts of both views' bins under the labels that the
-    other view tells, then counts of the labelled documents' scores.
+    other view tells, then counts of the held-out documents' scores.
     """
-    content, metadata = View(CONTENT), View(METADATA)
-    names = [(view, other, name) for view, other in ((content, metadata), (metadata, content)) for name in view.names]
+    content, metadata = views = View(VIEWS[0]), View(VIEWS[1])
+    stops = np.cumsum([0] + [2 * width for _, _, width in _WIDTHS]).tolist()
     prior = np.ones(2)
 
-    def bins(columns: dict[str, np.ndarray], sums: np.ndarray) -> None:
-        labels = {id(view): _told(columns, other, sure) for view, other in ((content, metadata), (metadata, content))}
-        for kind, (view, _, name) in enumerate(names):
-            label = labels[id(view)]
-            sums[kind] += np.bincount(label[label >= 0] * BINS + columns[name][label >= 0], minlength=2 * BINS)
-
-    def places(columns: dict[str, np.ndarray], sums: np.ndarray) -> None:
-        known = columns["label"] >= 0
-        for kind, view in enumerate((content, metadata)):
-            sums[kind] += np.bincount(columns["label"][known] * 2 * View.SPAN + view.place(columns)[known], minlength=4 * View.SPAN)
+    def bins(columns: dict, sums: np.ndarray) -> None:
+        labels = [_told(columns, other, sure) for other in (metadata, content)]
+        for (view, name, width), at in zip(_WIDTHS, stops, strict=False):
+            label = labels[view]
+            if name == "words":
+                found, sizes = columns["words"]
+                label = np.repeat(label, sizes)
+            else:
+                found = columns[name]
+            use = label >= 0
+            sums[at : at + 2 * width] += np.bincount(label[use] * width + found[use], minlength=2 * width)
+
+    def places(columns: dict, sums: np.ndarray) -> None:
+        known = columns["held"]
+        for view in range(2):
+            at = view * 4 * View.SPAN
+            sums[at : at + 4 * View.SPAN] += np.bincount(columns["label"][known] * 2 * View.SPAN + views[view].place(columns)[known], minlength=4 * View.SPAN)
 
     for at in range(rounds):
-        counts = _summed(table, bins, len(names), BINS)
+        counts = _summed(table, bins, stops[-1])
+        by_name = [counts[lo:hi].reshape(2, -1) for lo, hi in zip(stops[:-1], stops[1:], strict=True)]
         if at == 0:
-            prior = counts[0].sum(axis=1) + 1
-        for view in (content, metadata):
-            view.train({name: counts[kind] for kind, (owner, _, name) in enumerate(names) if owner is view}, prior / prior.sum())
-        found = _summed(table, places, 2, 2 * View.SPAN)
-        for kind, view in enumerate((content, metadata)):
-            view.calibrate(found[kind])
+            prior = by_name[0].sum(axis=1) + 1
+        for view, model in enumerate(views):
+            model.train({name: table_ for (owner, name, _), table_ in zip(_WIDTHS, by_name, strict=True) if owner == view}, prior / prior.sum())
+        found = _summed(table, places, 8 * View.SPAN).reshape(2, 2, -1)
+        for model, seen in zip(views, found, strict=True):
+            model.calibrate(seen)
     return content, metadata, float(np.log(prior[1] / prior[0]))
 
 
+def _trained(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, rounds: int, columns: dict) -> tuple[DataFrame, tuple[View, View, float]]:
+    """The features of all documents, written, and what co-training made of them."""
+    space = Workspace(docs.sparkSession)
+    told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
+    # Rows without an id have no label; they are dealt out so that they don't meet in one task of the join.
+    part = F.when(F.col("id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)) + 1).otherwise(F.lit(0))
+    known = features(docs, id_col=id_col, **columns).withColumn("part", part).join(told.withColumn("part", F.lit(0).cast("long")), ["id", "part"], "left").drop("part")
+    drawn = F.pmod(F.xxhash64(F.lit("held out"), "id"), F.lit(HELD_OUT)) == 0
+    table = known.withColumn("label", F.coalesce("label", F.lit(-1))).withColumn("held", (F.col("label") >= 0) & drawn)
+    table = space.write(table, "features")
+    return table, co_train(table, rounds)
+
+
+def _scores(found: dict, content: View, metadata: View, prior: float) -> list[np.ndarray]:
+    one, two = content.log_odds(found), metadata.log_odds(found)
+    return [_probability(x) for x in (one, two, one + two - prior)]
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", keep: float = KEEP, rounds: int = ROUNDS, **columns) -> DataFrame:
     """Per document: id, p_content, p_metadata, score (probability of good quality by both views) and kept (score >= keep).
 
-    All labelled documents train; where an id has several labels, the majority
-    counts and a tie counts as good. Documents without a label, and all
-    documents, are scored. Without any label every score is 1/2 and all are
-    kept. Null and empty texts are documents of size 0; null sources and
-    languages are a value of their own; each row gives one row.
+    Labelled documents train the views, but those of one id in HELD_OUT, which
+    calibrate them; where an id has several labels, the majority counts and a
+    tie counts as good. Documents without a label, and all documents, are
+    scored. Without any label every score is 1/2 and all are kept. Null and
+    empty texts are documents without words; null sources and languages are a
+    value of their own, a null size is 0; each row gives one row.
     """
-    space = Workspace(docs.sparkSession)
-    told = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
-    known = features(docs, id_col=id_col, **columns)
-    table = space.write(known.join(told, "id", "left").withColumn("label", F.coalesce("label", F.lit(-1))), "features")
-    content, metadata, prior = co_train(table, rounds)
+    table, model = _trained(docs, labels, id_col, label_col, rounds, columns)
     kind = table.schema["id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _columns(batch)
-            one, two = content.log_odds(found), metadata.log_odds(found)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(_probability(x)) for x in (one, two, one + two - prior))], names=[id_col, "p_content", "p_metadata", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, _scores(_columns(batch), *model))], names=[id_col, "p_content", "p_metadata", "score"])
 
-    scored = table.mapInArrow(score, f"`{id_col}` {kind}, p_content double, p_metadata double, score double")
+    scored = table.drop("label", "held").mapInArrow(score, f"`{id_col}` {kind}, p_content double, p_metadata double, score double")
     return scored.withColumn("kept", F.col("score") >= keep)
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those that the classifier rejects."""
-    bad = quality_scores(docs, labels, id_col, **options).where("NOT kept").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", keep: float = KEEP, rounds: int = ROUNDS, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars") -> DataFrame:
+    """docs without the rows that the classifier rejects; each row is judged by itself, whatever its id, and keeps its columns."""
+    columns = {"text_col": text_col, "lang_col": lang_col, "source_col": source_col, "size_col": size_col}
+    _, model = _trained(docs, labels, id_col, label_col, rounds, columns)
+    n = len(docs.columns)
+    beside = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), *_rows(docs, **columns))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = {name: batch.column(n + 1 + i) for i, name in enumerate(("source", "lang", "size"))}
+            for lo, hi, data, offsets in textkernel.chunks(batch.column(n)):
+                found = {name: c.slice(lo, hi - lo).to_numpy(zero_copy_only=False) for name, c in rest.items()}
+                found |= dict(zip(CONTENT, text_features(data, offsets), strict=True)) | {"words": word_features(data, offsets)}
+                good = pa.array(_scores(found, *model)[2] >= keep)
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in range(n)], names=[f"c{i}" for i in range(n)]).filter(good)
+
+    kept = beside.mapInArrow(judge, ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(docs.columns)))
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
