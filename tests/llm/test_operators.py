@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspar.llm import chat, decontaminate, exact_dedup, licenses, mixing, ngram_join, quality, sharding, token_store, tokens
+from quillspar.llm import chat, decontaminate, exact_dedup, licenses, mixing, ngram_join, quality, sharding, textkernel, token_store, tokens
 from quillspar.operators import order
 from tests.llm.conftest import SCHEMA, rows_of
 
@@ -362,6 +362,105 @@ def test_held_out_accuracy(spark):
     assert sum(r["kept"] for r in good) / len(good) > 0.97
 
 
+def plain_features(r, hashed):
+    """The features of one row, told by plain loops."""
+    text = r["text"] or ""
+    raw, words = text.encode(), [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    share = lambda x, of: sum(s < x / max(of, 1) for s in quality._SHARES)
+    log = lambda x, step=1.0: min(int(np.log2(max(x, 0) + 1) / step), quality.BINS - 1)
+    keys = [low(w.decode()) for w in words]
+    lines = raw.split(b"\n")
+    marks = set(range(0x21, 0x7F)) - {*b"0123456789.,;:'\"?-()"} - {*range(65, 91), *range(97, 123)}
+    found = {
+        "upper": share(sum(65 <= b <= 90 for b in raw), sum(65 <= (b & 0xDF) <= 90 and b < 128 for b in raw)),
+        "symbols": share(sum(b in marks for b in raw), len(raw)),
+        "stutter": share(max(sum(a == b for a, b in zip(keys, keys[1:])) - 1, 0), len(keys)),
+        "top_word": share(max(max(collections.Counter(keys).values(), default=0) - 3, 0), len(keys)),
+        "word_bytes": log(sum(map(len, words)) / max(len(words), 1), 0.5),
+        "digits": share(sum(48 <= b <= 57 for b in raw), len(raw)),
+        "lines": log(len(lines)),
+        "line_bytes": log(len(raw) / len(lines), 0.5),
+        "longest_line": log(max(map(len, lines)), 0.5),
+        "source": hashed[r["source"] or ""],
+        "lang": hashed[r["lang"] or ""],
+        "size": min(int(2 * np.log2(max(r["n_chars"] or 0, 0) + 1)), quality.BINS - 1),
+    }
+    bins = set()
+    for word in words:
+        data = np.frombuffer(word, np.uint8)
+        bins.add(int(textkernel.word_hashes(data, np.array([0, len(word)]), textkernel.NON_SPACE)[0][0]) >> (64 - quality.WORD_BITS))
+        if len(word) >= 3:
+            for tag, three in ((1, word[:3]), (2, word[-3:])):
+                code = np.array([int.from_bytes(three, "little") | tag << 24], np.uint64)
+                bins.add(1 << quality.WORD_BITS | int(textkernel.mix(code)[0]) >> (64 - quality.WORD_BITS))
+    return found | {"words": sorted(bins)}
+
+
+def plain_co_training(rows, label, held):
+    """(p_content, p_metadata, score) of each row by one machine's loops; label and held by row."""
+    span, views = quality.View.SPAN, quality.VIEWS
+    curves, odds, prior = [None, None], [{}, {}], None
+    raw = lambda v, f: sum(odds[v][n][f[n]] for n in views[v] if n != "words") + (sum(odds[v]["words"][w] for w in f["words"]) / max(len(f["words"]), 1) ** 0.5 if "words" in views[v] else 0.0)
+    place = lambda v, f: int(min(max(raw(v, f), 0.5 - span), span - 0.5) + span)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for turn in range(quality.ROUNDS):
+        told = []
+        for v in range(2):
+            known = [y if y >= 0 and not h else -1 for y, h in zip(label, held)]
+            if curves[1 - v] is not None:
+                for i, f in enumerate(rows):
+                    p = sigmoid(curves[1 - v][place(1 - v, f)])
+                    if label[i] < 0 and (p >= quality.SURE or p <= 1 - quality.SURE):
+                        known[i] = int(p >= quality.SURE)
+            told.append(known)
+        if turn == 0:
+            prior = np.array([told[0].count(0) + 1.0, told[0].count(1) + 1.0])
+        weight = prior / prior.sum()
+        new = [{}, {}]
+        for v in range(2):
+            for name in views[v]:
+                counts = np.zeros((2, quality.WORD_BINS if name == "words" else quality.BINS))
+                for f, y in zip(rows, told[v]):
+                    for b in f[name] if name == "words" else [f[name]]:
+                        if y >= 0:
+                            counts[y, b] += 1
+                counts += (quality.WORD_SMOOTHING if name == "words" else quality.SMOOTHING) * weight[:, None]
+                new[v][name] = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+        odds[:] = new
+        for v in range(2):
+            seen = [(place(v, f) - span + 0.5, y) for f, y, h in zip(rows, label, held) if h]
+            good, bad = sum(y for _, y in seen), sum(1 - y for _, y in seen)
+            aims = [(x, (good + 1) / (good + 2) if y else 1 / (bad + 2)) for x, y in seen]
+            slope, shift = 0.0, np.log((good + 1) / (bad + 1))
+            for _ in range(50):
+                g, c = np.array([-quality.RIDGE * slope, 0.0]), np.array([[quality.RIDGE, 0.0], [0.0, 1e-9]])
+                for x, aim in aims:
+                    p = sigmoid(np.clip(slope * x + shift, -40, 40))
+                    g += np.array([x, 1]) * (aim - p)
+                    c += p * (1 - p) * np.array([[x * x, x], [x, 1]])
+                slope, shift = np.array([slope, shift]) + np.linalg.solve(c, g)
+            curves[v] = [min(max(max(slope, 0.0) * (k - span + 0.5) + shift, -quality.LIMIT), quality.LIMIT) for k in range(2 * span)]
+    out = []
+    for f in rows:
+        one, two = (curves[v][place(v, f)] for v in range(2))
+        out.append((sigmoid(one), sigmoid(two), sigmoid(one + two - np.log(prior[1] / prior[0]))))
+    return out
+
+
+def test_quality_equals_a_plain_version(docs, spark, data, awkward):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    same = docs.where("doc_id < 150").unionByName(awkward.select(*docs.columns).where("length(text) < 20000 OR text IS NULL"))
+    rows = same.withColumn("h", F.xxhash64(F.lit("held out"), "doc_id") % quality.HELD_OUT == 0).withColumn("s", F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(quality.BINS))).withColumn("l", F.pmod(F.xxhash64(F.coalesce("lang", F.lit(""))), F.lit(quality.BINS))).collect()
+    hashed = {r["source"] or "": r["s"] for r in rows} | {r["lang"] or "": r["l"] for r in rows}
+    told = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    label = [told.get(r["doc_id"], -1) for r in rows]
+    wanted = plain_co_training([plain_features(r, hashed) for r in rows], label, [r["h"] and y >= 0 for r, y in zip(rows, label)])
+    got = sorted(map(tuple, quality.quality_scores(same, labels).drop("kept").collect()), key=str)
+    wanted = sorted([(r["doc_id"], *w) for r, w in zip(rows, wanted)], key=str)
+    assert [g[0] for g in got] == [w[0] for w in wanted]
+    assert all(g[1:] == pytest.approx(w[1:], abs=1e-6) for g, w in zip(sorted(got, key=lambda g: (g[0] is None, g)), sorted(wanted, key=lambda g: (g[0] is None, g))))
+
+
 def test_quality_of_awkward_rows(awkward, spark):
     labels = spark.createDataFrame([(5, 1, 0), (5, 0, 0), (None, 1, 0), (9, None, None)], "doc_id long, quality int, toxic int")
     rows = quality.quality_scores(awkward, labels).collect()
@@ -370,6 +469,21 @@ def test_quality_of_awkward_rows(awkward, spark):
     assert all(r["score"] == 0.5 and r["kept"] for r in rows)
 
 
+def test_good_documents_are_judged_row_by_row(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_scores(docs, labels).collect()}
+    assert {r["doc_id"] for r in quality.good_documents(docs, labels).collect()} == {i for i, k in kept.items() if k}
+    bad = next(i for i, k in kept.items() if not k)
+    # Rows without an id, and a good row under a rejected row's id; a column with one of the operator's names.
+    more = docs.where(F.col("doc_id") == bad).withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs.where(F.col("doc_id") == min(i for i, k in kept.items() if k)).withColumn("doc_id", F.lit(bad).cast(docs.schema["doc_id"].dataType)))
+    every = docs.unionByName(more).withColumn("words", F.lit("w")).withColumn("score", F.lit(0.5))
+    left = quality.good_documents(every, labels)
+    assert left.columns == every.columns
+    ids = [r["doc_id"] for r in left.collect()]
+    assert None not in ids and ids.count(bad) == 1
+
+
 # ---- mixing
 
 
