@@ -87,11 +87,10 @@ def band_rank(name: Column) -> Column:
 def scored(findings: DataFrame, services: DataFrame) -> DataFrame:
     """findings with role, factors, raw, qmp, band, cap, hndl, hndl_severity and badges; all null for comment mentions.
 
-    services has one row for each service. Missing or unknown metadata take
+    Of several descriptions of one service the last by file counts. Missing or unknown metadata take
     midpoints and leave badges; harvest-now-decrypt-later is then not assessed.
     """
-    meta = services.select(F.col("service").alias("_service"), "data_classification", "business_criticality", "internet_exposed", "data_lifetime_years")
-    meta = meta.dropDuplicates(["_service"])
+    meta = services.groupBy(F.col("service").alias("_service")).agg(F.max_by(F.struct("data_classification", "business_criticality", "internet_exposed", "data_lifetime_years"), "metadata_file").alias("_m")).select("_service", "_m.*")
     x = findings.join(meta, findings["service"] == meta["_service"], "left").drop("_service")
     f = F.col
     x = x.withColumn("role", role(f("algorithm"), f("primitive"), f("operation"), f("context")))
@@ -107,6 +106,7 @@ def scored(findings: DataFrame, services: DataFrame) -> DataFrame:
     x = x.withColumn("hndl", F.coalesce(at_risk, F.lit(False)))
     x = x.withColumn("hndl_severity", F.when(f("hndl"), F.when(f("data_lifetime_years") >= 10, "elevated").otherwise("noted")))
     grover = (f("primitive") == "symmetric") & ~f("algorithm").isin(*WEAK_CIPHERS)
+    # Texts of badges.
     badges = F.array(
         F.when(known_ds.isNull(), "metadata missing: data_classification"),
         F.when(known_bc.isNull(), "metadata missing: business_criticality"),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import bisect
+import io
 import re
+import tokenize
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,30 +13,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspar.functions import text as T
+from quillspar.operators.matching import BROADCAST_RULES, small
 from quillspar.session import ship
 
-_TOKENS = re.compile(r'(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\[\s\S])*`)')
+# What starts something that isn't code: comments, strings, text blocks, and in JavaScript templates and regex literals (where a
+# value may stand, so not after a name, a number or a closing bracket).
+_STRING = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
+_COMMENT = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)"
+_LITERAL = r"(?:(?<=[(,=:\[!&|?{};+\n])|(?<=return)|\A)[ \t]*/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+_STARTS = {
+    "java": re.compile(rf'(?P<comment>{_COMMENT})|(?P<string>"""(?:[^\\]|\\[\s\S])*?(?:"""|\Z)|{_STRING})'),
+    "js": re.compile(rf"(?P<comment>{_COMMENT})|(?P<string>{_STRING}|{_LITERAL})|(?P<template>`)|(?P<open>\{{)|(?P<close>\}})"),
+}
+_TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{|\Z)")
+#: Templates inside templates that are followed.
+MAX_TEMPLATES = 32
 _DECLARED = re.compile(r"\b(?:class|interface|enum|function)\s+([A-Za-z_$][\w$]*)|\b([A-Za-z_$][\w$]*)\s*\([^()\n]{0,200}\)\s*(?:throws [\w., ]+)?\{")
 _WORDS = {"if", "for", "while", "switch", "catch", "synchronized", "return", "new", "else", "do", "try", "function"}
-MATCH_DDL = "file string, line_start int, rule_id string, found string, value string, scope array<string>, after string"
+MATCH_DDL = "file string, line_start int, at int, rule_id string, found string, value string, scope array<string>, after string"
 COMMENT_DDL = "file string, line int, text string"
 #: Characters after a match that refinements may look at.
 AFTER = 600
 
 
-def regions(text: str) -> tuple[list[int], list[int], list[tuple[int, int]]]:
-    """Starts and ends of strings and comments, and the comments alone; one pass over the text."""
-    starts, ends, comments = [], [], []
-    for m in _TOKENS.finditer(text):
-        starts.append(m.start())
+def regions(text: str, language: str = "js") -> tuple[list[int], list[int], list[tuple[int, int]]]:
+    """Starts and ends of strings and comments, and the comments alone; one pass over the text.
+
+    What stands between `${` and `}` of a template is code again.
+    """
+    starts, ends, comments, pattern = [], [], [], _STARTS[language]
+    braces: list[int] = []  # for each template that is open, the braces open inside its `${`
+    at = 0
+
+    def template(begin: int, after: int) -> int:
+        m = _TEMPLATE.match(text, after)
+        starts.append(begin)
         ends.append(m.end())
-        if m.lastgroup == "comment":
-            comments.append(m.span())
+        if m[1] == "${" and len(braces) < MAX_TEMPLATES:
+            braces.append(0)
+        return max(m.end(), after)
+
+    while m := pattern.search(text, at):
+        at = max(m.end(), m.start() + 1)
+        kind = m.lastgroup
+        if kind == "template":
+            at = template(m.start(), m.end())
+        elif kind == "open":
+            if braces:
+                braces[-1] += 1
+        elif kind == "close":
+            if braces and braces[-1]:
+                braces[-1] -= 1
+            elif braces:
+                braces.pop()
+                at = template(m.start(), m.end())
+        else:
+            starts.append(m.start())
+            ends.append(m.end())
+            if kind == "comment":
+                comments.append(m.span())
     return starts, ends, comments
 
 
-def _matches(path: str, text: str, rules: list[tuple]) -> Iterator[tuple]:
-    starts, ends, _ = regions(text)
+def _python_comments(text: str) -> list[tuple[int, str]]:
+    """(line, comment) by Python's own tokens, as far as they can be read."""
+    out = []
+    try:
+        for token in tokenize.generate_tokens(io.StringIO(text).readline):
+            if token.type == tokenize.COMMENT:
+                out.append((token.start[0], token.string))
+    except (tokenize.TokenError, SyntaxError, ValueError):
+        pass
+    return out
+
+
+def _matches(path: str, language: str, text: str, rules: list[tuple]) -> Iterator[tuple]:
+    starts, ends, _ = regions(text, language)
 
     def in_code(at: int) -> bool:
         i = bisect.bisect_right(starts, at) - 1
@@ -42,11 +96,13 @@ def _matches(path: str, text: str, rules: list[tuple]) -> Iterator[tuple]:
 
     declared = [(m.start(), m[1] or m[2]) for m in _DECLARED.finditer(text) if (m[1] or m[2]) not in _WORDS and in_code(m.start())]
     places, lines = [d[0] for d in declared], [0, *(m.end() for m in re.finditer("\n", text))]
-    for rule_id, pattern in rules:
+    for rule_id, pattern, requires in rules:
+        if requires and not requires.search(text):
+            continue
         for m in pattern.finditer(text):
             if in_code(m.start()):
                 i = bisect.bisect_right(places, m.start()) - 1
-                yield path, bisect.bisect_right(lines, m.start()), rule_id, m[0], m[1] if m.re.groups else m[0], [declared[i][1]] if i >= 0 else [], text[m.end() : m.end() + AFTER]
+                yield path, bisect.bisect_right(lines, m.start()), m.start(), rule_id, m[0], m[1] if m.re.groups else m[0], [declared[i][1]] if i >= 0 else [], text[m.end() : m.end() + AFTER]
 
 
 def regex_matches(files: DataFrame, rules: DataFrame) -> DataFrame:
@@ -55,24 +111,28 @@ def regex_matches(files: DataFrame, rules: DataFrame) -> DataFrame:
     The rule pack is configuration and goes to tasks with the function.
     """
     ship(files.sparkSession)
-    pack = [(r["language"], r["rule_id"], r["pattern"]) for r in rules.where("match_type = 'regex'").select("language", "rule_id", "pattern").collect()]
+    requires = "file_requires" if "file_requires" in rules.columns else F.lit(None).alias("file_requires")
+    few = rules.where("match_type = 'regex'").select("language", "rule_id", "pattern", requires).limit(BROADCAST_RULES + 1).collect()
+    if len(few) > BROADCAST_RULES:
+        raise ValueError(f"more than {BROADCAST_RULES} rules")
+    pack = [tuple(r) for r in few]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled: dict[str, list[tuple]] = {}
-        for language, rule_id, pattern in pack:
-            compiled.setdefault(language, []).append((rule_id, re.compile(pattern)))
+        for language, rule_id, pattern, needed in pack:
+            compiled.setdefault(language, []).append((rule_id, re.compile(pattern), re.compile(needed) if needed else None))
         for frame in frames:
-            rows = [r for path, kind, text in frame.itertuples(index=False) for r in _matches(path, text, compiled.get(kind, []))]
-            yield pd.DataFrame(rows, columns=["file", "line_start", "rule_id", "found", "value", "scope", "after"])
+            rows = [r for path, kind, text in frame.itertuples(index=False) for r in _matches(path, kind, text, compiled.get(kind, []))]
+            yield pd.DataFrame(rows, columns=["file", "line_start", "at", "rule_id", "found", "value", "scope", "after"])
 
     return files.where("kind IN ('java', 'js')").select("path", "kind", "text").mapInPandas(run, MATCH_DDL)
 
 
 def refined(matches: DataFrame, refinements: DataFrame) -> DataFrame:
     """matches with `operation`: of the first refinement(rule_id, ord, window, pattern, operation) that occurs in the window after the match."""
-    hits = matches.join(F.broadcast(refinements), "rule_id").where(F.expr("left(after, window) RLIKE pattern"))
-    best = hits.groupBy("file", "line_start", "rule_id", "found").agg(F.min_by("operation", "ord").alias("operation"))
-    return matches.join(best, ["file", "line_start", "rule_id", "found"], "left")
+    hits = matches.join(small(refinements), "rule_id").where(F.expr("left(after, window) RLIKE pattern"))
+    best = hits.groupBy("file", "at", "rule_id").agg(F.min_by("operation", "ord").alias("operation"))
+    return matches.join(best, ["file", "at", "rule_id"], "left")
 
 
 def comments(files: DataFrame) -> DataFrame:
@@ -82,14 +142,17 @@ def comments(files: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for path, text in frame.itertuples(index=False):
-                for lo, hi in regions(text)[2]:
+            for path, kind, text in frame.itertuples(index=False):
+                if kind == "python":
+                    rows += [(path, *found) for found in _python_comments(text)]
+                    continue
+                for lo, hi in regions(text, kind)[2]:
                     first = text.count("\n", 0, lo) + 1
                     rows += [(path, first + i, line) for i, line in enumerate(text[lo:hi].split("\n"))]
             yield pd.DataFrame(rows, columns=["file", "line", "text"])
 
-    code = files.where("kind IN ('java', 'js')").select("path", "text").mapInPandas(run, COMMENT_DDL)
-    rows = files.where("kind IN ('python', 'yaml', 'text', 'doc')").select("path", "kind", F.posexplode(F.split("text", "\n")).alias("at", "line_text"))
+    code = files.where("kind IN ('java', 'js', 'python')").select("path", "kind", "text").mapInPandas(run, COMMENT_DDL)
+    rows = files.where("kind IN ('yaml', 'text', 'doc')").select("path", "kind", F.posexplode(F.split("text", "\n")).alias("at", "line_text"))
     hashed = F.regexp_extract("line_text", r"(?:^|\s)(#.*)$", 1)
     said = F.when(F.col("kind") == "doc", F.col("line_text")).otherwise(hashed)
     rows = rows.select(F.col("path").alias("file"), (F.col("at") + 1).alias("line"), said.alias("text"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspar.functions import text as T
+from quillspar.session import ship
 
 #: Larger files are skipped; structured files have a smaller bound.
 MAX_FILE_BYTES = 5 << 20
@@ -22,16 +26,53 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def assessed(files: DataFrame) -> DataFrame:
-    """files with kind and skip: null, or why a file isn't scanned (vendored, unsupported, too_large, binary, minified)."""
+    """files with kind, text, sha256 and skip: null, or why a file isn't scanned (vendored, unsupported, too_large, binary, minified).
+
+    text is what may be kept: private keys and other secrets are replaced by a
+    marker, lines stay where they are; sha256 is that of the kept text, or of
+    the content where there is none.
+    """
     kind = T.classify(F.col("path"))
     large = (F.col("size") > MAX_FILE_BYTES) | (kind.isin("json", "yaml") & (F.col("size") > MAX_STRUCTURED_BYTES))
     binary = F.position(F.lit(b"\x00"), F.substring("content", 1, 8192)) > 0
     readable = kind.isin("python", "java", "js", "text")
+    ship(files.sparkSession)
     rows = files.withColumn("kind", kind).withColumn("text", F.when(~large & ~binary & kind.isNotNull(), T.decoded(F.col("content"))))
+    rows = rows.withColumn("text", F.pandas_udf(without_keys, "string")("text")).withColumn("text", T.redacted_file(F.col("path"), F.col("text")))
     skip = (
         F.when(T.vendored(F.col("path")), "vendored").when(kind.isNull(), "unsupported").when(large, "too_large").when(binary, "binary").when(readable & T.minified(F.col("text")), "minified")
     )
-    return rows.withColumn("sha256", F.sha2("content", 256)).withColumn("skip", skip).drop("content")
+    return rows.withColumn("sha256", F.sha2(F.coalesce(F.col("text").cast("binary"), "content"), 256)).withColumn("skip", skip).drop("content")
+
+
+_KEY_HEADER = re.compile(r"-----BEGIN (?:(?!-----).)*?PRIVATE KEY(?:(?!-----).)*?-----")
+_KEY_FOOTER = re.compile(r"-----END .{0,48}?PRIVATE KEY")
+_KEY_BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
+
+
+def _keyless(text: str) -> str:
+    """Lines of private-key blocks replaced; a block ends at its footer, at the next header or with the text."""
+    out, inside = [], False
+    for line in text.split("\n"):
+        header, shown = _KEY_HEADER.search(line), line
+        if header:
+            footer = _KEY_FOOTER.search(line, header.end())
+            body = line[header.end() : footer.start()] if footer else line[header.end() :]
+            if footer:
+                shown = line[: header.end()] + (T.REDACTED if body.strip() else body) + line[footer.start() :]
+            else:
+                shown = line[: header.end()] + _KEY_BODY.sub(T.REDACTED, body)
+            inside = footer is None
+        elif inside:
+            footer = _KEY_FOOTER.search(line)
+            shown = _KEY_BODY.sub(T.REDACTED, line[: footer.start()]) + line[footer.start() :] if footer else T.REDACTED if line.strip() else line
+            inside = footer is None
+        out.append(shown)
+    return "\n".join(out)
+
+
+def without_keys(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _keyless(t) if t is not None and "PRIVATE KEY" in t else t)
 
 
 def scannable(files: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def resolved_imports(imports: DataFrame, files: DataFrame, libraries: DataFrame,
     read_tsconfigs) gives aliases: the nearest config above the importer
     decides by its first pattern that fits, even if no file is there.
     """
-    rows = imports.withColumn("_row", F.xxhash64("file", "line", "spec", "kind"))
+    rows = imports.withColumn("_row", F.struct("file", "line", "spec", "kind"))
     paths = files.select("path", "kind")
     folder = F.regexp_replace("file", r"/?[^/]+$", "")
     # Python modules and Java classes by every dotted suffix of their path.
@@ -173,18 +173,21 @@ class _Calls(ast.NodeVisitor):
                 self.names |= {a.asname or a.name: f"{node.module}.{a.name}" for a in node.names if a.name != "*"}
             elif isinstance(node, ast.Name) and isinstance(node.ctx, ast.Store):
                 bound.setdefault(node.id, []).append(None)
+            elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                bound.setdefault(node.name, []).append(None)
         for node in ast.walk(tree):
             if isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
                 name, value = node.targets[0].id, _dotted(node.value)
-                if value and len(bound[name]) == 1 and name not in self.names:
-                    self.names[name] = self.full(value)
+                if value and len(bound[name]) == 1 and name not in self.names and (full := self.full(value)):
+                    self.names[name] = full
         self.scope: list[str] = []
         self.found: list[tuple] = []
         self.parents: dict[ast.AST, str] = {}
 
-    def full(self, name: str) -> str:
+    def full(self, name: str) -> str | None:
+        """The name by the file's imports; none where its root isn't imported, so that a class of the file's own isn't taken for a library's."""
         head, dot, rest = name.partition(".")
-        return self.names.get(head, head) + dot + rest
+        return self.names[head] + dot + rest if head in self.names else None
 
     def _scoped(self, node) -> None:
         self.scope.append(node.name)
@@ -197,7 +200,7 @@ class _Calls(ast.NodeVisitor):
         values = [*((i, None, a) for i, a in enumerate(node.args)), *((None, k.arg, k.value) for k in node.keywords)]
         if isinstance(node.func, ast.Attribute):
             self.parents |= {a: node.func.attr for _, _, a in values}
-        if name := _dotted(node.func):
+        if (name := _dotted(node.func)) and (name := self.full(name)):
             ints, texts = [], []
             for place, keyword, value in values:
                 items = value.elts if isinstance(value, (ast.List, ast.Tuple, ast.Set)) else [value]
@@ -206,12 +209,12 @@ class _Calls(ast.NodeVisitor):
                         ints.append((place, keyword, item.value))
                     elif isinstance(item, ast.Constant) and isinstance(item.value, str):
                         texts.append((place, keyword, item.value))
-            self.found.append((node, self.full(name), self.parents.get(node), list(self.scope), ints, texts))
+            self.found.append((node, name, self.parents.get(node), list(self.scope), ints, texts))
         self.generic_visit(node)
 
 
 def read_calls(files: DataFrame) -> DataFrame:
-    """CALL_DDL rows of Python files(path, kind, text): one for each call of a name, with literal arguments.
+    """CALL_DDL rows of Python files(path, kind, text): one for each call of an imported name, with literal arguments.
 
     `parent` is the method that the call is a direct argument of. A file that
     can't be parsed gives no rows.
@@ -232,4 +235,4 @@ def read_calls(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["file", "line_start", "line_end", "name", "parent", "scope", "ints", "texts", "evidence"])
 
     found = files.where("kind = 'python'").select("path", "text").mapInPandas(run, CALL_DDL)
-    return found.withColumn("evidence", T.evidence(F.col("evidence")))
+    return found.withColumn("evidence", T.redacted(T.evidence(F.col("evidence"))))
