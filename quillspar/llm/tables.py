@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Columns of the `documents` table.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rows of a table that are ranked together, at most about so many.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 5_000
 WHITE_RUN = r"[\x20\x09-\x0D]+"
 
 
