@@ -1,22 +1,24 @@
 """Reverse closures over an edge table: who reaches a set of seeds, how deep and by which path.
 
-Each level is one join of the frontier with the edges and one anti-join with
-what was reached before; levels are written to shared files, so a plan never
-grows with depth and a cycle ends by itself.
+A step takes HOPS joins of the frontier with the edges in one job and one
+anti-join with what was reached before. Steps are written to shared files, so a
+plan never grows with depth and a cycle ends by itself.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillspar.session import Workspace
 
 MAX_DEPTH = 25
-#: Levels whose reached nodes are put together into one table, so that a plan reads few of them.
-MERGE_LEVELS = 5
+#: Joins that one job takes; what one step reaches by several lengths counts by the shortest.
+HOPS = 6
+#: Steps whose reached nodes are put together into one table, so that a plan reads few of them.
+MERGE_STEPS = 6
 
 
 def reverse_closure(edges: DataFrame, seeds: DataFrame, source: str = "source", target: str = "target", node: str = "node", max_depth: int | None = MAX_DEPTH, paths: bool = False) -> tuple[DataFrame, bool]:
@@ -31,24 +33,32 @@ def reverse_closure(edges: DataFrame, seeds: DataFrame, source: str = "source",
     start = seeds.select(F.col(seeds.columns[0]).alias(node)).where(f"{node} IS NOT NULL").distinct().withColumn("depth", F.lit(0))
     if paths:
         start = start.withColumn("path", F.array(node))
-    levels = [space.write(start, "level0")]
-    old = levels[0].select(node).limit(0)  # what the levels before the last MERGE_LEVELS reached, as one table
+    steps = [space.write(start, "step0")]
+    frontier, depth, merged = steps[0].drop("depth"), 0, steps[0].select(node).limit(0)
     while True:
-        frontier, depth = levels[-1], len(levels)
-        if depth % MERGE_LEVELS == 0:
-            old = space.write(reduce(DataFrame.unionByName, [old, *[x.select(node) for x in levels[depth - MERGE_LEVELS :]]]), f"old{depth}")
-        fresh = levels[depth - depth % MERGE_LEVELS :]
-        seen = reduce(DataFrame.unionByName, [old, *[x.select(node) for x in fresh]]).select(F.col(node).alias("_from"))
-        step = kept.join(frontier.withColumnRenamed(node, "_to"), "_to").join(seen, "_from", "left_anti")
-        if max_depth is not None and depth > max_depth:
-            return reduce(DataFrame.unionByName, levels), not step.isEmpty()
-        if paths:
-            new = step.groupBy("_from").agg(F.min("path").alias("path")).select(F.col("_from").alias(node), F.lit(depth).alias("depth"), F.concat("path", F.array("_from")).alias("path"))
-        else:
-            new = step.select(F.col("_from").alias(node)).distinct().withColumn("depth", F.lit(depth))
-        levels.append(space.write(new, f"level{depth}"))
-        if levels[-1].isEmpty():
-            return reduce(DataFrame.unionByName, levels[:-1]), False
+        # One hop beyond the bound shows whether it cuts anything off.
+        hops = HOPS if max_depth is None else min(HOPS, max_depth + 1 - depth)
+        found, at = [], frontier
+        for hop in range(1, hops + 1):
+            met = kept.join(at.withColumnRenamed(node, "_to"), "_to")
+            if paths:
+                at = met.groupBy("_from").agg(F.min("path").alias("path")).select(F.col("_from").alias(node), F.concat("path", F.array("_from")).alias("path"))
+            else:
+                at = met.select(F.col("_from").alias(node)).distinct()
+            found.append(at.withColumn("depth", F.lit(depth + hop)))
+        best = reduce(DataFrame.unionByName, found).groupBy(node).agg(F.min(F.struct("depth", *(["path"] if paths else []))).alias("_best"))
+        if len(steps) % MERGE_STEPS == 0:
+            merged = space.write(reduce(DataFrame.unionByName, [merged, *[x.select(node) for x in steps[-MERGE_STEPS:]]]), f"merged{len(steps)}")
+        seen = reduce(DataFrame.unionByName, [merged, *[x.select(node) for x in steps[len(steps) - len(steps) % MERGE_STEPS :]]])
+        counts = Observation()
+        new = best.join(seen, node, "left_anti").select(node, "_best.*").observe(counts, F.max("depth").alias("deepest"))
+        steps.append(space.write(new, f"step{len(steps)}"))
+        deepest, depth = counts.get["deepest"], depth + hops
+        if deepest is None or deepest < depth or (max_depth is not None and depth > max_depth):
+            every = reduce(DataFrame.unionByName, steps)
+            capped = max_depth is not None and deepest is not None and deepest > max_depth
+            return (every.where(F.col("depth") <= max_depth) if capped else every), capped
+        frontier = steps[-1].where(F.col("depth") == depth).drop("depth")
 
 
 def two_tier_closure(edges: DataFrame, seeds: DataFrame, confirmed: str, **options) -> tuple[DataFrame, bool]:

@@ -87,6 +87,28 @@ def confidence_level(confidence: Column) -> Column:
     return F.when(confidence >= 0.9, "high").when(confidence >= 0.5, "medium").otherwise("low")
 
 
+#: Enumerations of a finding, checked by `violations`.
+OPERATIONS = ("key_generation", "key_agreement", "encryption", "decryption", "signature", "verification", "hashing", "mac", "encapsulation", "decapsulation", "config", "unknown")
+LEVELS = ("high", "medium", "low")
+
+
+def violations(findings: DataFrame) -> DataFrame:
+    """(id, problem): what a finding must not be; no row where all are sound."""
+    f = F.col
+    tests = {
+        "no id": f("id").isNull() | (f("id") == ""),
+        "no file": f("file").isNull() | (f("file") == "") | f("file").startswith("/") | F.array_contains(F.split("file", "/"), ".."),
+        "bad lines": f("line_start").isNull() | (f("line_start") < 1) | (f("line_end") < f("line_start")),
+        "unknown operation": f("operation").isNull() | ~f("operation").isin(*OPERATIONS),
+        "confidence out of range": f("confidence").isNull() | (f("confidence") <= 0) | (f("confidence") > 1),
+        "level and confidence differ": F.coalesce(f("confidence_level") != confidence_level(f("confidence")), F.lit(True)),
+        "bad key size": F.coalesce(f("key_size") <= 0, F.lit(False)),
+        "evidence too long": F.length("evidence") > T.EVIDENCE_LENGTH,
+    }
+    found = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]), lambda p: p.isNotNull())
+    return findings.select("id", F.explode(found).alias("problem"))
+
+
 def as_findings(matches: DataFrame, services: DataFrame, repository: str, scan_id: str = "scan") -> DataFrame:
     """Findings with ids from matches(file, line_start, line_end, rule_id, algorithm, primitive, operation, library, api, scope, evidence, confidence, key_size, comment_only).
 
@@ -115,17 +137,41 @@ def as_findings(matches: DataFrame, services: DataFrame, repository: str, scan_i
     )
     return labelled(rows, [F.col(c) for c in IDENTITY])
 
+
 def call_matches(calls: DataFrame, rules: DataFrame, entries: DataFrame, key_size_place: int = 1) -> DataFrame:
-    """Calls that a `python_call` rule's entries name, as matches: the first entry of each rule that fits the full name."""
-    from quillspar.plans.findings import first_of_rule
+    """Calls that `python_call` rules name, as matches.
 
-    wanted = rules.where("match_type = 'python_call'").select("rule_id", "library", F.col("api").alias("rule_api"), "pattern")
+    A rule's entries are tried on the call's full name, the first that fits
+    counts; a rule with value_from `literal` tries them on the call's literal
+    texts instead, those of its first literal_args (keyword, else place) that
+    has any, one match for each that fits. The method that the call is a direct
+    argument of may give another operation.
+    """
+    wanted = rules.where("match_type = 'python_call'").select("rule_id", "library", F.col("api").alias("rule_api"), "pattern", "value_from", "literal_args", "operation_by_parent")
     # A cheap test of each distinct name first; entries are tried on what it leaves.
-    names = calls.select(F.col("name").alias("value")).distinct().join(small(wanted.select("rule_id", "pattern")), F.expr("value RLIKE pattern")).select("rule_id", "value")
-    hits = first_of_rule(names, entries).withColumnRenamed("value", "name").join(small(wanted.drop("pattern")), "rule_id")
-    rows = calls.join(hits, "name")
+    names = calls.select("name").distinct().join(small(wanted.select("rule_id", "pattern", "value_from", "literal_args")), F.expr("name RLIKE pattern")).drop("pattern")
+    rows = calls.join(names, "name")
+    given = F.transform("literal_args", lambda a: F.filter("texts", lambda t: F.coalesce(t["keyword"] == a["keyword"], F.lit(False)) | F.coalesce(t["place"] == a["place"], F.lit(False))))
+    literals = F.transform(F.coalesce(F.try_element_at(F.filter(given, lambda g: F.size(g) > 0), F.lit(1)), F.slice("texts", 1, 0)), lambda t: t["value"])
+    rows = rows.withColumn("value", F.explode(F.when(F.col("value_from") == "literal", literals).otherwise(F.array("name")))).drop("literal_args")
+    hits = first_of_rule(rows.select("rule_id", "value").distinct(), entries)
+    rows = rows.join(hits, ["rule_id", "value"]).join(small(wanted.select("rule_id", "library", "rule_api", "operation_by_parent")), "rule_id")
     named = F.filter("ints", lambda i: F.coalesce(i["keyword"] == "key_size", F.lit(False)))
     placed = F.filter("ints", lambda i: F.coalesce(i["place"] == key_size_place, F.lit(False)))
     size = F.try_element_at(F.concat(named, placed), F.lit(1))["value"].cast("int")
-    api = F.coalesce("rule_api", F.regexp_extract("name", r"([^.]+\.)?[^.]+$", 0))
-    return rows.select("file", "line_start", "line_end", "rule_id", "algorithm", "primitive", "operation", "library", api.alias("api"), "scope", "evidence", "confidence", F.coalesce("key_size", size).alias("key_size"), F.lit(False).alias("comment_only"))
+    last_two = F.regexp_extract("name", r"([^.]+\.)?[^.]+$", 0)
+    api = F.when(F.col("value_from") == "literal", F.col("rule_api")).otherwise(F.coalesce("rule_api", last_two))
+    operation = F.coalesce(F.when(F.col("parent").isNotNull(), F.try_element_at("operation_by_parent", F.col("parent"))), "operation")
+    return rows.select("file", "line_start", "line_end", "rule_id", "algorithm", "primitive", operation.alias("operation"), "library", api.alias("api"), "scope", "evidence", "confidence", F.coalesce("key_size", size).alias("key_size"), F.lit(False).alias("comment_only"))
+
+
+def as_matches(rows: DataFrame, comment_only: bool = False) -> DataFrame:
+    """Rows of a line-wise scan (file, line or line_start, rule_id, ...) in the columns that as_findings takes; what they lack is null."""
+    have = rows.columns
+    line = F.col("line_start" if "line_start" in have else "line").cast("int")
+    text = lambda name: (F.col(name) if name in have else F.lit(None)).cast("string").alias(name)
+    return rows.select(
+        "file", line.alias("line_start"), (F.col("line_end") if "line_end" in have else line).cast("int").alias("line_end"), "rule_id", "algorithm", "primitive", text("operation"), text("library"), text("api"),
+        F.coalesce("scope", F.array().cast("array<string>")).alias("scope") if "scope" in have else F.array().cast("array<string>").alias("scope"),
+        T.redacted(F.col("evidence")).alias("evidence"), F.col("confidence").cast("double").alias("confidence"), (F.col("key_size") if "key_size" in have else F.lit(None)).cast("int").alias("key_size"), F.lit(comment_only).alias("comment_only"),
+    )

@@ -143,3 +143,34 @@ def simulated(planned: DataFrame, graph_edges: DataFrame, node: str) -> tuple[Da
     if reached is None:
         reached = two_tier_closure(imports, chosen.select(F.col("file").alias("node")), "confirmed")[0].withColumn("track", F.lit(""))
     return changes(chosen), reached, induced(graph_edges, expanded(graph_edges, reached))
+
+
+def stats(graph_edges: DataFrame, graph_nodes: DataFrame) -> DataFrame:
+    """One row: nodes and edges, nodes of each type, files with and without findings, imports between files, inferred edges."""
+    kinds = ("service", "file", "finding", "algorithm", "library")
+    f = F.col
+    n = graph_nodes.agg(F.count("*").alias("nodes"), *[F.count_if(f("type") == k).alias(f"{k}_nodes") for k in kinds], F.count_if((f("type") == "file") & (f("findings") > 0)).alias("crypto_files"), F.count_if((f("type") == "file") & (f("findings") == 0)).alias("dependent_files"))
+    between = (f("type") == "IMPORTS") & f("target").startswith("file:")
+    e = graph_edges.agg(F.count("*").alias("edges"), F.count_if(between).alias("import_edges"), F.count_if(~f("confirmed")).alias("inferred_edges"))
+    return n.crossJoin(e)  # one row each
+
+
+def indirect(reached: DataFrame, graph_edges: DataFrame, shown: int = 2) -> DataFrame:
+    """(node, depth, confirmed, path, steps) of files reached through imports: nearest first, then confirmed ones, then by name.
+
+    steps lists, from the direct file outwards, each import's two ends, whether
+    it is confirmed, its basis and its first evidence.
+    """
+    deep = reached.where("depth > 0")
+    legs = deep.select("node", "path", F.posexplode(F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path") - 1), lambda a, b: F.struct(b.alias("source"), a.alias("target")))).alias("at", "leg"))
+    imports = graph_edges.where("type = 'IMPORTS'").select("source", "target", F.col("confirmed").alias("_sure"), "basis", F.slice("evidence", 1, shown).alias("evidence"))
+    rows = legs.select("node", "at", "leg.*").join(imports, ["source", "target"])
+    steps = rows.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "source", "target", F.col("_sure").alias("confirmed"), "basis", "evidence"))), lambda x: x.dropFields("at")).alias("steps"))  # a path's length
+    return deep.join(steps, "node", "left").orderBy("depth", F.desc("confirmed"), "node")
+
+
+def finding_edges(graph_edges: DataFrame) -> DataFrame:
+    """(file, target, findings): edges of findings drawn from their files instead, for views that hide findings."""
+    held = graph_edges.where("type = 'CONTAINS' AND target LIKE 'finding:%'").select(F.col("source").alias("file"), F.col("target").alias("finding"))
+    used = graph_edges.where("type = 'USES'").select(F.col("source").alias("finding"), "target")
+    return held.join(used, "finding").groupBy("file", "target").agg(F.count_distinct("finding").alias("findings"))

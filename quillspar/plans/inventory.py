@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspar.functions import text as T
@@ -103,3 +103,43 @@ def suppress(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
     """findings with `suppressed` as the suppression table (scan_id, id, reason) says."""
     told = suppressions.groupBy("scan_id", "id").agg(F.max(F.col("reason").isNotNull()).alias("_told"))
     return findings.join(told, ["scan_id", "id"], "left").withColumn("suppressed", F.coalesce("_told", F.lit(False))).drop("_told")
+
+
+def counted(findings: DataFrame, column: str) -> DataFrame:
+    """(column, n) of all findings, most first: by rule, primitive or algorithm."""
+    return findings.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
+
+
+def by_language(assessed: DataFrame) -> DataFrame:
+    """(language, n) of the files that were scanned; configuration of all forms is one language."""
+    language = F.when(F.col("kind").isin("python", "java", "js"), F.col("kind")).when(F.col("kind") == "doc", "doc").otherwise("config")
+    return assessed.where("skip IS NULL").groupBy(language.alias("language")).agg(F.count("*").alias("n"))
+
+
+def scan_list(scans: DataFrame) -> DataFrame:
+    """Scans, the newest first."""
+    return scans.orderBy(F.desc("created_at"), "scan_id")
+
+
+def finding(findings: DataFrame, scan_id: str, id_: str) -> DataFrame:
+    """One finding of one scan; both are plain predicates, so that only that scan's files are read."""
+    return findings.where((F.col("scan_id") == scan_id) & (F.col("id") == id_))
+
+
+def has_room(scans: DataFrame, capacity: int) -> bool:
+    """Whether another scan may be kept."""
+    return scans.limit(capacity).count() < capacity
+
+
+def repository_name(root: Column, archive: Column) -> Column:
+    """The stripped root folder, else the archive's name without its endings, else `repo`."""
+    stem = F.regexp_replace(F.regexp_replace(archive, "^.*/", ""), r"(?i)\.(zip|tar|tgz|tar\.(gz|bz2|xz))$", "")
+    return F.coalesce(F.nullif(F.trim(root), F.lit("")), F.nullif(F.trim(stem), F.lit("")), F.lit("repo"))
+
+
+CARD = ["id", "file", "line_start", "algorithm", "operation", "service", "confidence_level", "quantum_vulnerable", "band", "qmp", "rank"]
+
+
+def cards(ranked: DataFrame) -> DataFrame:
+    """What a list shows of each finding."""
+    return ranked.select(*CARD)

@@ -101,3 +101,27 @@ def changes(scored: DataFrame) -> DataFrame:
         covered = covered | ((F.col("track") == name) & F.col("operation").isin(*operations))
     rows = rows.withColumn("change", F.when(covered, F.col("operation")).otherwise("other"))
     return rows.groupBy("track", "change").agg(F.count("*").alias("findings"), F.count_distinct("file").alias("files"), F.count_distinct("service").alias("services"))
+
+
+def classical_sizes(planned: DataFrame) -> DataFrame:
+    """(algorithm, measure, bytes): how long the public values of what is there now are, as far as algorithm and key sizes tell.
+
+    Fixed values: an uncompressed P-256 point has 65 bytes, an Ed25519 or
+    X25519 key 32, either signature 64; RSA and DH values are as long as their
+    modulus, all sizes that occur are listed in order.
+    """
+    f = F.col
+    bits = planned.where("quantum_vulnerable").groupBy("algorithm").agg(F.array_sort(F.collect_set(F.when(f("key_size") > 0, f("key_size")))).alias("bits"))
+    modulus = F.array_join(F.transform("bits", lambda b: F.floor(b / 8).cast("string")), " / ")
+    first = F.floor(F.try_element_at("bits", F.lit(1)) / 8).cast("string")
+    unknown = F.lit("not determined")
+    row = lambda measure, size: F.struct(F.lit(measure).alias("measure"), size.alias("bytes"))
+    rows = (
+        F.when((f("algorithm") == "RSA") & (F.size("bits") > 0), F.array(row("modulus", modulus), row("signature or ciphertext", modulus)))
+        .when(f("algorithm") == "RSA", F.array(row("modulus", unknown)))
+        .when(f("algorithm").isin("ECDSA", "EC"), F.array(row("public key", F.lit("65")), row("signature", F.lit("64"))))
+        .when(f("algorithm") == "EdDSA", F.array(row("public key", F.lit("32")), row("signature", F.lit("64"))))
+        .when(f("algorithm").isin("ECDH", "DH/ECDH"), F.array(row("public key share", F.lit("32 / 65"))))
+        .when(f("algorithm") == "DH", F.array(row("public key share", F.coalesce(first, unknown))))
+    )
+    return bits.select("algorithm", F.explode(rows).alias("r")).select("algorithm", "r.measure", "r.bytes")

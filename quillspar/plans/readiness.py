@@ -55,14 +55,19 @@ def algorithms(findings: DataFrame) -> DataFrame:
 
 def level(findings: DataFrame) -> DataFrame:
     """One row: the level, from which kinds of evidence there are at all."""
+    return levels(findings, [])
+
+
+def levels(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, level): the same for each group, a service for instance."""
     rows = classified(findings)
     has = lambda *names: F.coalesce(F.bool_or(F.arrays_overlap("classes", F.array(*map(F.lit, names)))), F.lit(False))
-    seen = rows.agg(
+    seen = rows.groupBy(*keys).agg(
         has("hndl", "legacy_symmetric", "old_protocols", "weak_suites", "sha1_certificates").alias("blocked"),
         F.coalesce(F.bool_or("quantum_vulnerable"), F.lit(False)).alias("vulnerable"),
         has("pqc_production").alias("started"),
     )
-    return seen.select(F.when(F.col("blocked"), LEVELS[0]).when(F.col("vulnerable") & F.col("started"), LEVELS[1]).when(F.col("vulnerable"), LEVELS[2]).otherwise(LEVELS[3]).alias("level"))
+    return seen.select(*keys, F.when(F.col("blocked"), LEVELS[0]).when(F.col("vulnerable") & F.col("started"), LEVELS[1]).when(F.col("vulnerable"), LEVELS[2]).otherwise(LEVELS[3]).alias("level"))
 
 
 def main_algorithm(findings: DataFrame) -> DataFrame:
@@ -78,15 +83,18 @@ def libraries(findings: DataFrame, imports: DataFrame) -> DataFrame:
     return used.join(named, "library", "full_outer").fillna(0, ["findings", "vulnerable", "files", "importing_files"])
 
 
-# Fixed values: (recommendation, priority, kinds of evidence that call for it, what to do).
+#: (recommendation, priority, kinds of evidence that call for it, what to do), in the order in which they are given.
 RECOMMENDATIONS = (
-    ("hybrid_key_establishment", 1, ("hndl",), "Protect long-lived data first: hybrid key establishment"),
-    ("remove_disallowed", 1, ("legacy_symmetric", "old_protocols", "weak_suites", "sha1_certificates"), "Remove disallowed classical cryptography"),
-    ("plan_key_establishment", 2, ("key_establishment_rest",), "Plan a post-quantum KEM for the remaining key establishment"),
-    ("inventory_verifiers", 2, ("signatures", "certificates"), "Inventory verifiers, then plan post-quantum signatures"),
-    ("determine_roles", 3, ("undetermined",), "Determine the role of undetermined public-key usage"),
-    ("replace_hashes", 3, ("hashes",), "Replace broken hash functions"),
-    ("longer_keys", 4, ("symmetric_strength",), "Consider AES-256 for long-lived data"),
+    ("hybrid_key_establishment", 1, ("hndl",), "Start where recorded traffic stays secret for long: add a post-quantum KEM beside the classical exchange"),
+    ("remove_disallowed", 1, ("legacy_symmetric", "old_protocols", "weak_suites", "sha1_certificates"), "Retire ciphers, protocols and certificates that are no longer allowed"),
+    ("plan_key_establishment", 2, ("key_establishment_rest",), "Schedule a post-quantum KEM for all other key exchanges"),
+    ("inventory_verifiers", 2, ("signatures", "certificates"), "List who checks signatures, then schedule post-quantum ones"),
+    ("determine_roles", 3, ("undetermined",), "Find out what public keys without a visible use are for"),
+    ("central_interface", 3, ("hub",), "Put cryptography behind the files that others import already"),
+    ("replace_hashes", 3, ("hashes",), "Move off MD5 and SHA-1"),
+    ("longer_keys", 4, ("symmetric_strength",), "Use 256-bit keys for data that lives long"),
+    ("pqc_to_production", 4, ("pqc_trial",), "Bring post-quantum code from trials into production paths"),
+    ("verify_libraries", 4, ("library",), "Check what the installed library versions support"),
 )
 BLOCKERS = ("hndl", "legacy_symmetric", "old_protocols", "weak_suites", "sha1_certificates")
 #: Evidence rows that a recommendation shows; its total is given beside them.
@@ -98,17 +106,44 @@ def blockers(findings: DataFrame) -> DataFrame:
     return categories(findings).where(F.col("category").isin(*BLOCKERS)).orderBy("category")
 
 
-def recommendations(findings: DataFrame) -> DataFrame:
-    """(priority, recommendation, title, place, id, file, line_start, algorithm, service, evidence_total): called-for recommendations with their first evidence.
+def recommendations(findings: DataFrame, hub_files: DataFrame | None = None) -> DataFrame:
+    """(priority, ord, recommendation, title, place, id, file, line_start, algorithm, service, evidence_total): called-for recommendations with their first evidence.
 
     Each finding counts once in a recommendation. Remaining key establishment
-    is what is neither at risk by long lifetimes nor outside production.
+    is what is neither at risk by long lifetimes nor outside production;
+    trials are post-quantum findings where none is in production; hub_files
+    (plans.graph.hubs) are files that others import. Recommendations of one
+    priority keep the order of their table (ord).
     """
     rows = classified(findings)
-    rest = F.array_contains("classes", "key_establishment") & ~F.array_contains("classes", "hndl") & ~T.non_production(F.col("file"), F.col("test_path"))
-    rows = rows.withColumn("classes", F.when(rest, F.concat("classes", F.array(F.lit("key_establishment_rest")))).otherwise(F.col("classes")))
-    table = findings.sparkSession.createDataFrame(RECOMMENDATIONS, "recommendation string, priority int, wanted array<string>, title string")
-    called = rows.join(F.broadcast(table), F.arrays_overlap("classes", "wanted"))  # seven rows
+    has = lambda name: F.array_contains("classes", name)
+    rest = has("key_establishment") & ~has("hndl") & ~T.non_production(F.col("file"), F.col("test_path"))
+    started = rows.agg(F.coalesce(F.bool_or(has("pqc_production")), F.lit(False)).alias("_started"))
+    rows = rows.crossJoin(F.broadcast(started))  # one row
+    if hub_files is not None:
+        rows = rows.join(hub_files.select("file").distinct().withColumn("_hub", F.lit(True)), "file", "left")
+    else:
+        rows = rows.withColumn("_hub", F.lit(False))
+    more = F.array(F.when(rest, F.lit("key_establishment_rest")), F.when(F.coalesce("_hub", F.lit(False)) & F.col("quantum_vulnerable"), F.lit("hub")), F.when(has("pqc") & ~F.col("_started"), F.lit("pqc_trial")), F.when(F.col("library").isNotNull(), F.lit("library")))
+    rows = rows.withColumn("classes", F.concat("classes", F.filter(more, lambda c: c.isNotNull()))).drop("_hub", "_started")
+    table = findings.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(RECOMMENDATIONS)], "ord int, recommendation string, priority int, wanted array<string>, title string")
+    called = rows.join(F.broadcast(table), F.arrays_overlap("classes", "wanted"))  # ten rows
     totals = called.groupBy("recommendation").agg(F.count("*").alias("evidence_total"))
     shown = top_per_group(called, ["recommendation"], [F.col("file"), F.col("line_start"), F.col("id")], SHOWN)
-    return shown.join(totals, "recommendation").select("priority", "recommendation", "title", "place", "id", "file", "line_start", "algorithm", "service", "evidence_total").orderBy("priority", "recommendation", "place")
+    return shown.join(totals, "recommendation").select("priority", "ord", "recommendation", "title", "place", "id", "file", "line_start", "algorithm", "service", "evidence_total").orderBy("priority", "ord", "place")
+
+
+#: Libraries of which support for post-quantum algorithms is known, as (library, support); others are `not verified`.
+SUPPORT = (("cryptography", "by OpenSSL 3.5"), ("liboqs", "yes"), ("bouncycastle", "yes"), ("openssl", "from 3.5"))
+
+
+def library_support(used: DataFrame, support: DataFrame | None = None) -> DataFrame:
+    """libraries(...) with `support` from the table, null where it isn't known, and `status`."""
+    known = support if support is not None else used.sparkSession.createDataFrame(SUPPORT, "library string, support string")
+    return used.join(F.broadcast(known), "library", "left").withColumn("status", F.when(F.col("support").isNull(), "not verified").otherwise("known"))
+
+
+def overview(findings: DataFrame) -> DataFrame:
+    """One row: the level, the number of blockers and the first recommendation."""
+    first = recommendations(findings).agg(F.min_by("recommendation", "ord").alias("first_recommendation"))
+    return level(findings).crossJoin(blockers(findings).agg(F.count("*").alias("blockers"))).crossJoin(first)  # one row each

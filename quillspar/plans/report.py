@@ -10,9 +10,10 @@ from quillspar.plans import inventory, migration, readiness
 
 
 def _table(rows: DataFrame, columns: list[str], most: int = 50) -> list[str]:
-    """A Markdown table of at most `most` rows; the report shows heads of tables, the tables hold all."""
-    cells = rows.select(*[markdown_cell(F.col(c).cast("string")).alias(c) for c in columns]).limit(most).collect()
-    return ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *("| " + " | ".join(r) + " |" for r in cells), ""]
+    """A Markdown table of at most `most` rows; the report shows heads of tables and says so, the tables hold all."""
+    cells = rows.select(*[markdown_cell(F.col(c).cast("string")).alias(c) for c in columns]).limit(most + 1).collect()
+    note = [f"The first {most} of {rows.count()} rows.", ""] if len(cells) > most else []
+    return ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *("| " + " | ".join(r) + " |" for r in cells[:most]), "", *note]
 
 
 def markdown(ranked: DataFrame, services: DataFrame, title: str) -> str:

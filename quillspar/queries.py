@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,27 +13,10 @@ from quillspar.operators.closure import reverse_closure, two_tier_closure
 from quillspar.operators.order import labelled, numbered, top_per_group, truncated
 from quillspar.plans.findings import first_mentions
 from quillspar.plans.inventory import searched
+from quillspar.registry import QUERIES, SQL, Query, query
+from quillspar.registry import table as _t
 from quillspar.streaming.limits import expired, limited, sliding_counts, windowed_counts
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _values(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, columns)
 
@@ -551,9 +532,12 @@ def q50_star_join(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    from quillspar import queries_scan  # noqa: F401 - registers its own
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    queries()
+    return dict(SQL)
 
