@@ -9,13 +9,16 @@ from quillspar.functions import scoring as S
 from quillspar.functions import text as T
 from quillspar.operators import aggregates as A
 from quillspar.operators import matching as M
-from quillspar.operators.closure import reverse_closure, two_tier_closure
+from quillspar.operators.closure import induced, reverse_closure, two_tier_closure
 from quillspar.operators.order import labelled, numbered, top_per_group, truncated
-from quillspar.plans.findings import first_mentions
+from quillspar.plans.coverage import evaluated
+from quillspar.plans.findings import directive_matches, first_mentions
+from quillspar.plans.graph import impact_summary
 from quillspar.plans.inventory import searched
 from quillspar.registry import QUERIES, SQL, Query, query
 from quillspar.registry import table as _t
-from quillspar.streaming.limits import expired, limited, sliding_counts, windowed_counts
+from quillspar.sources.files import assessed
+from quillspar.streaming.limits import expired, limited, orphans, sliding_counts, windowed_counts
 
 def _values(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, columns)
@@ -162,20 +165,25 @@ def q10_filter_search(spark, sf_dir):
     return searched(rows, "The AND", ["lang", "source", "text"]).select("doc_id", "lang", "source")
 
 
-@query(r"""
-    SELECT doc_id, CASE WHEN regexp_matches(cell, '^[=+\-@\t\r]') THEN '''' || cell ELSE cell END AS cell
-    FROM (SELECT doc_id, substr(text, 1 + (doc_id % 50)::INTEGER, 40) AS cell FROM documents)
-""")
+@query(r"SELECT doc_id, CASE WHEN left(text, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || text ELSE text END AS cell FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '=' || text WHEN 1 THEN chr(9) || text WHEN 2 THEN '@' ELSE text END AS text FROM documents)")
 def q11_csv_guard(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").select("doc_id", F.expr("substring(text, 1 + cast(doc_id % 50 AS int), 40)").alias("cell"))
-    return rows.select("doc_id", T.csv_safe(F.col("cell")).alias("cell"))
-
-
-_SQL_NAMES = r"(?:api[_-]?key|secret(?:[_-]?key)?|access[_-]?key|auth[_-]?token|token|passw(?:or)?d|pwd)"
-_SQL_ASSIGNED = rf"""(?i)\b{_SQL_NAMES}\b["'']?\s*[:=]\s*(?:"[^"''\s\\]{{8,}}"|''[^"''\s\\]{{8,}}'')"""
-_SQL_SHAPES = [p for _, p, _ in T.SECRETS]
-_SQL_REDACTED = rf"""regexp_replace(text, '(?i)(\b{_SQL_NAMES}\b["'']?\s*[:=]\s*)(?:(")([^"''\s\\]{{8,}})"|('')([^"''\s\\]{{8,}})'')', '\1\2\4[REDACTED]\2\4', 'g')"""
-for _shape in _SQL_SHAPES:
+    cell = F.expr("CASE doc_id % 7 WHEN 0 THEN concat('=', text) WHEN 1 THEN concat(chr(9), text) WHEN 2 THEN '@' ELSE text END")
+    return _t(spark, sf_dir, "documents").select("doc_id", T.csv_safe(cell).alias("cell"))
+
+
+# The shapes of secrets, written for SQL from their public descriptions: key ids of 20 letters, tokens with their prefixes, JSON web tokens.
+_SQL_SHAPES = {
+    "aws_access_key_id": r"\bA(?:KIA|SIA)[A-Z0-9]{16}\b",
+    "github_token": r"\b(?:ghp|gho|ghu|ghs|ghr)_[0-9a-zA-Z]{36,}\b",
+    "slack_token": r"\bxox(?:a|b|p|r|s)-[-0-9a-zA-Z]{10,}",
+    "google_api_key": r"\bAIza[-_0-9a-zA-Z]{35}\b",
+    "stripe_key": r"\b(?:sk|rk)_(?:test|live)_[a-zA-Z0-9]{16,}\b",
+    "jwt": r"\beyJ[-_0-9a-zA-Z]{5,}[.]eyJ[-_0-9a-zA-Z]{5,}[.][-_0-9a-zA-Z]*",
+}
+_SQL_NAMED = r"(?:api[-_]?key|secret[-_]?key|secret|access[-_]?key|auth[-_]?token|token|password|passwd|pwd)"
+_SQL_ASSIGNED = rf"""(?i)\b{_SQL_NAMED}\b[''"]?\s*[=:]\s*(?:"[^\s''"\\]{{8,}}"|''[^\s''"\\]{{8,}}'')"""
+_SQL_REDACTED = rf"""regexp_replace(regexp_replace(text, '(?i)(\b{_SQL_NAMED}\b[''"]?\s*[=:]\s*)"[^\s''"\\]{{8,}}"', '\1"[REDACTED]"', 'g'), '(?i)(\b{_SQL_NAMED}\b[''"]?\s*[=:]\s*)''[^\s''"\\]{{8,}}''', '\1''[REDACTED]''', 'g')"""
+for _shape in _SQL_SHAPES.values():
     _SQL_REDACTED = f"regexp_replace({_SQL_REDACTED}, '{_shape}', '[REDACTED]', 'g')"
 
 
@@ -194,7 +202,7 @@ def _lines(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""
-    WITH l AS ({_SQL_LINES}), k AS ({" UNION ALL ".join(f"SELECT doc_id, line, '{kind}' AS kind FROM l WHERE regexp_matches(text, '{p}')" for kind, p, _ in T.SECRETS)}
+    WITH l AS ({_SQL_LINES}), k AS ({" UNION ALL ".join(f"SELECT doc_id, line, '{kind}' AS kind FROM l WHERE regexp_matches(text, '{p}')" for kind, p in _SQL_SHAPES.items())}
       UNION ALL SELECT doc_id, line, 'credential_assignment' FROM l WHERE regexp_matches(text, '{_SQL_ASSIGNED}'))
     SELECT doc_id, line, kind FROM k
 """)
@@ -214,14 +222,20 @@ def q14_mentions(spark, sf_dir):
     return first_mentions(rows, _values(spark, "ord int, pattern string, algorithm string", _MENTIONS)).select("doc_id", "line", "algorithm", "first_pattern")
 
 
+_VALUES = [("D", 0, "mit*", "permissive"), ("D", 1, "*ed", "past"), ("D", 2, "*a*", "with a"), ("D", 3, "*", "other")]
+
+
 @query(rf"""
-    WITH l AS ({_SQL_LINES}), v AS (SELECT doc_id, line, trim(unnest(string_split(regexp_extract(text, '^[ \t]*([A-Za-z]+(?: \| [A-Za-z]+)+)', 1), '|')), ' ;.,') AS value FROM l)
-    SELECT doc_id, value, count(*) AS n FROM v WHERE value <> '' AND NOT starts_with(value, 'th') GROUP BY ALL
+    WITH l AS ({_SQL_LINES}), c AS (SELECT doc_id, line, regexp_replace(text, '(^|\s)#.*$', '\1') AS text FROM l WHERE length(text) <= 10000),
+    v AS (SELECT doc_id, line, trim(unnest(string_split(regexp_extract(text, '^[ \t]*([A-Za-z]+(?:[ ,]+[A-Za-z]+)*)', 1), ' ')), chr(39) || '";+^ ' || chr(9)) AS value FROM c WHERE regexp_matches(text, '^[ \t]*([A-Za-z]+(?:[ ,]+[A-Za-z]+)*)'))
+    SELECT doc_id, line, value, CASE WHEN starts_with(lower(value), 'mit') THEN 'permissive' WHEN ends_with(lower(value), 'ed') THEN 'past' WHEN contains(lower(value), 'a') THEN 'with a' ELSE 'other' END AS algorithm, count(*) AS n
+    FROM v WHERE value <> '' AND NOT starts_with(value, 'th') GROUP BY ALL
 """)
 def q15_directive_values(spark, sf_dir):
-    listed = F.split(F.regexp_extract("text", r"^[ \t]*([A-Za-z]+(?: \| [A-Za-z]+)+)", 1), r"\|")
-    values = _lines(spark, sf_dir).select("doc_id", F.explode(listed).alias("value")).select("doc_id", F.btrim("value", F.lit(" ;.,")).alias("value"))
-    return values.where("value <> '' AND NOT startswith(value, 'th')").groupBy("doc_id", "value").agg(F.count("*").alias("n"))
+    files = _t(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".conf")).alias("path"), "text", "doc_id").drop("doc_id")
+    rules = _values(spark, "rule_id string, match_type string, pattern string, file_pattern string, split string, skip_prefixes array<string>, library string, api string", [("D", "directive", r"^[ \t]*([A-Za-z]+(?:[ ,]+[A-Za-z]+)*)", r"\.conf$", " ", ["th"], None, None)])
+    found = directive_matches(files, rules, _values(spark, "rule_id string, ord int, pattern string, algorithm string", _VALUES))
+    return found.groupBy(F.regexp_extract("file", r"^\d+", 0).cast("long").alias("doc_id"), F.col("line").cast("long").alias("line"), "value", "algorithm").agg(F.count("*").alias("n"))
 
 
 @query(r"""
@@ -237,20 +251,32 @@ def q17_minified(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", T.longest_line(F.col("text")).cast("long").alias("longest"), T.minified(F.col("text")).alias("minified"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
-def q18_sha256(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+_SQL_KIND = "CASE doc_id % 6 WHEN 0 THEN 'py' WHEN 1 THEN 'md' WHEN 2 THEN 'bin' WHEN 3 THEN 'java' WHEN 4 THEN 'json' ELSE 'ts' END"
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, text, {_SQL_KIND} AS ext, doc_id % 11 = 0 AS vendored, doc_id % 13 = 0 AS bin FROM documents),
+    r AS (SELECT doc_id, ext, vendored, bin, text, {_SQL_REDACTED} AS kept, list_max(list_transform(string_split({_SQL_REDACTED}, chr(10)), lambda x: length(x))) AS longest, strlen(text) + bin::INT AS size FROM d)
+    SELECT doc_id, CASE ext WHEN 'py' THEN 'python' WHEN 'md' THEN 'doc' WHEN 'bin' THEN NULL WHEN 'java' THEN 'java' WHEN 'json' THEN 'json' ELSE 'js' END AS kind,
+           CASE WHEN vendored THEN 'vendored' WHEN ext = 'bin' THEN 'unsupported' WHEN size > 5242880 OR (ext = 'json' AND size > 1048576) THEN 'too_large' WHEN bin THEN 'binary' WHEN ext IN ('py', 'java', 'ts') AND longest > 10000 THEN 'minified' END AS skip,
+           CASE WHEN ext = 'bin' OR bin THEN NULL ELSE sha256(kept) END AS sha256 FROM r
+""")
+def q18_assessed_files(spark, sf_dir):
+    ext = F.expr(_SQL_KIND)
+    path = F.concat(F.when(F.col("doc_id") % 11 == 0, "a/node_modules/").otherwise("a/"), F.col("doc_id").cast("string"), F.lit("."), ext)
+    content = F.concat(F.when(F.col("doc_id") % 13 == 0, F.lit(b"\x00")).otherwise(F.lit(b"")), F.col("text").cast("binary"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", path.alias("path"), content.alias("content"), F.octet_length(content).cast("long").alias("size"))
+    return assessed(rows).select("doc_id", "kind", "skip", F.when(F.col("text").isNotNull(), F.col("sha256")).alias("sha256"))
 
 
 @query(f"""
-    WITH l AS ({_SQL_LINES}), f AS (SELECT doc_id, min(line) AS line FROM l WHERE contains(lower(text), 'license') GROUP BY doc_id)
+    WITH l AS ({_SQL_LINES}), f AS (SELECT doc_id, line FROM l WHERE contains(lower(text), 'license'))
     SELECT f.doc_id, f.line, greatest(1, f.line - 3) AS start_line, string_agg(l.text, chr(10) ORDER BY l.line) AS snippet
     FROM f JOIN l ON l.doc_id = f.doc_id AND l.line BETWEEN f.line - 3 AND f.line + 3 GROUP BY f.doc_id, f.line
 """)
 def q19_snippet(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    at = F.array_position(F.transform(F.split("text", "\n"), lambda x: F.contains(F.lower(x), F.lit("license"))), True)
-    rows = docs.withColumn("line", at.cast("int")).where("line > 0")
+    said = F.transform(F.split("text", "\n"), lambda x, i: F.when(F.contains(F.lower(x), F.lit("license")), i + 1))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.filter(said, lambda i: i.isNotNull())).alias("line"))
     return M.snippet(rows, "text", "line").select("doc_id", F.col("line").cast("long"), F.col("start_line").cast("long"), "snippet")
 
 
@@ -292,14 +318,14 @@ def q22_first_candidate(spark, sf_dir):
 
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def q23_anti(spark, sf_dir):
-    done = _t(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-    return _t(spark, sf_dir, "customer").join(done, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    done = _t(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return orphans(_t(spark, sf_dir, "customer"), done, "c_custkey").select("c_custkey", "c_name")
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 48)")
-def q24_semi(spark, sf_dir):
-    large = _t(spark, sf_dir, "lineitem").where("l_quantity > 48")
-    return _t(spark, sf_dir, "orders").join(large, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_custkey")
+@query("SELECT o_custkey AS source, l_suppkey AS target, o_orderkey, l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 2 = 0) AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = l_suppkey AND c_custkey % 2 = 0)")
+def q24_induced(spark, sf_dir):
+    edges = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("source"), F.col("l_suppkey").alias("target"), "o_orderkey", "l_linenumber")
+    return induced(edges, _t(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("node")))
 
 
 @query("""
@@ -317,9 +343,17 @@ def q26_distinct_keys(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey", "l_returnflag").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first_row"))
 
 
-@query("SELECT l_linestatus AS status FROM lineitem INTERSECT ALL SELECT o_orderstatus FROM orders")
-def q27_multiset_intersect(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("status")).intersectAll(_t(spark, sf_dir, "orders").select("o_orderstatus"))
+@query("""
+    WITH e AS (SELECT l_linestatus || l_returnflag AS c, l_linenumber AS line, l_suppkey % 10 AS a FROM lineitem WHERE l_quantity <= 25), f AS (SELECT l_linestatus || l_returnflag AS c, l_linenumber AS line, l_suppkey % 10 AS a FROM lineitem WHERE l_quantity > 25),
+    t AS (SELECT c, 'tp' AS o FROM (SELECT * FROM e INTERSECT ALL SELECT * FROM f) UNION ALL SELECT c, 'fp' FROM (SELECT * FROM f EXCEPT ALL SELECT * FROM e) UNION ALL SELECT c, 'fn' FROM (SELECT * FROM e EXCEPT ALL SELECT * FROM f)),
+    k AS (SELECT DISTINCT l_linestatus || l_returnflag AS c, l_linestatus AS kind FROM lineitem),
+    s AS (SELECT kind, count(*) FILTER (o = 'tp') AS tp, count(*) FILTER (o = 'fp') AS fp, count(*) FILTER (o = 'fn') AS fn FROM k LEFT JOIN t ON t.c = k.c GROUP BY ROLLUP (kind))
+    SELECT kind, tp, fp, fn, CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp) END::DOUBLE AS precision, CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn) END::DOUBLE AS recall, CASE WHEN 2 * tp + fp + fn = 0 THEN 1.0 ELSE 2 * tp / (2 * tp + fp + fn) END::DOUBLE AS f1 FROM s
+""")
+def q27_multiset_evaluation(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select(F.concat("l_linestatus", "l_returnflag").alias("case"), F.col("l_linenumber").alias("line"), (F.col("l_suppkey") % 10).cast("string").alias("algorithm"), "l_quantity")
+    cases = rows.select("case", F.substring("case", 1, 1).alias("kind")).distinct()
+    return evaluated(rows.where("l_quantity <= 25"), rows.where("l_quantity > 25"), cases)
 
 
 @query("SELECT l_suppkey AS k FROM lineitem EXCEPT ALL SELECT s_suppkey FROM supplier")
@@ -361,7 +395,10 @@ def q31_node_rollup(spark, sf_dir):
     return A.node_rollup(_t(spark, sf_dir, "lineitem"), "l_suppkey", F.col("l_returnflag") == "R", "l_returnflag", ["R", "A", "N"], "l_partkey")
 
 
-# ---- closures over part keys: halves (a tree), predecessors of every 40th (chains beyond the depth limit), and a cycle
+# ---- closures over part keys: halves (a tree), predecessors, a cycle, and a chain of all keys on nodes of its own, longer than the depth limit
+
+
+_CHAIN = 1_000_000_000
 
 
 def _part_edges(spark, sf_dir) -> DataFrame:
@@ -369,24 +406,30 @@ def _part_edges(spark, sf_dir) -> DataFrame:
     tree = k.where("k > 1").select(F.col("k").alias("source"), F.expr("k div 2").alias("target"), (F.col("k") % 3 != 0).alias("sure"))
     chain = k.where("k % 64 <> 0 AND k > 1").select(F.col("k").alias("source"), (F.col("k") - 1).alias("target"), (F.col("k") % 2 == 0).alias("sure"))
     cycle = k.where("k % 100 = 7").select((F.col("k") - 5).alias("source"), F.col("k").alias("target"), F.lit(False).alias("sure"))
-    return tree.unionByName(chain.where("source % 5 = 0")).unionByName(cycle)
+    long = k.where("k > 1").select((F.col("k") + _CHAIN).alias("source"), (F.col("k") - 1 + _CHAIN).alias("target"), (F.col("k") % 7 != 0).alias("sure"))
+    return tree.unionByName(chain.where("source % 5 = 0")).unionByName(cycle).unionByName(long)
+
+
+def _part_seeds(spark, sf_dir) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    return part.where("p_partkey IN (3, 50)").select(F.col("p_partkey").alias("k")).unionByName(part.where("p_partkey = 1").select((F.col("p_partkey") + _CHAIN).alias("k")))
 
 
 _PART_EDGES = """
     k AS (SELECT p_partkey AS k FROM part),
-    e AS (SELECT k AS source, k // 2 AS target, k % 3 <> 0 AS sure FROM k WHERE k > 1 UNION ALL SELECT k, k - 1, k % 2 = 0 FROM k WHERE k % 64 <> 0 AND k > 1 AND k % 5 = 0 UNION ALL SELECT k - 5, k, false FROM k WHERE k % 100 = 7)
+    e AS (SELECT k AS source, k // 2 AS target, k % 3 <> 0 AS sure FROM k WHERE k > 1 UNION ALL SELECT k, k - 1, k % 2 = 0 FROM k WHERE k % 64 <> 0 AND k > 1 AND k % 5 = 0 UNION ALL SELECT k - 5, k, false FROM k WHERE k % 100 = 7
+          UNION ALL SELECT k + 1000000000, k + 999999999, k % 7 <> 0 FROM k WHERE k > 1)
 """
 
 
 def _sql_reach(name: str, where: str) -> str:
-    return f"""{name}_r AS (SELECT k AS node, 0 AS depth FROM k WHERE k IN (3, 50) UNION SELECT e.source, r.depth + 1 FROM {name}_r r JOIN e ON e.target = r.node WHERE {where} r.depth < 25),
+    return f"""{name}_r AS (SELECT unnest([3, 50, 1000000001])::BIGINT AS node, 0 AS depth UNION SELECT e.source, r.depth + 1 FROM {name}_r r JOIN e ON e.target = r.node WHERE {where} r.depth < 25),
     {name} AS (SELECT node, min(depth) AS depth FROM {name}_r GROUP BY node)"""
 
 
 @query(f"WITH RECURSIVE {_PART_EDGES}, {_sql_reach('a', '')} SELECT node, depth FROM a")
 def q32_reverse_closure(spark, sf_dir):
-    seeds = _t(spark, sf_dir, "part").where("p_partkey IN (3, 50)").select("p_partkey")
-    return reverse_closure(_part_edges(spark, sf_dir), seeds)[0]
+    return reverse_closure(_part_edges(spark, sf_dir), _part_seeds(spark, sf_dir))[0]
 
 
 @query(f"""
@@ -394,8 +437,7 @@ def q32_reverse_closure(spark, sf_dir):
     SELECT a.node, coalesce(s.depth, a.depth) AS depth, s.node IS NOT NULL AS confirmed FROM a LEFT JOIN s ON s.node = a.node
 """)
 def q33_two_tier(spark, sf_dir):
-    seeds = _t(spark, sf_dir, "part").where("p_partkey IN (3, 50)").select("p_partkey")
-    return two_tier_closure(_part_edges(spark, sf_dir), seeds, "sure")[0]
+    return two_tier_closure(_part_edges(spark, sf_dir), _part_seeds(spark, sf_dir), "sure")[0]
 
 
 @query("""
@@ -411,12 +453,13 @@ def q34_shortest_path(spark, sf_dir):
 
 
 @query(f"""
-    WITH RECURSIVE {_PART_EDGES}, {_sql_reach('a', '')}
-    SELECT p_brand, count(*) FILTER (depth = 0) AS direct, count(*) FILTER (depth > 0) AS indirect, max(depth) AS max_depth, count(DISTINCT p_size) AS sizes FROM a JOIN part ON p_partkey = node GROUP BY p_brand
+    WITH RECURSIVE {_PART_EDGES}, {_sql_reach('a', '')}, {_sql_reach('s', 'e.sure AND')}, t AS (SELECT a.node, coalesce(s.depth, a.depth) AS depth, s.node IS NOT NULL AS sure FROM a LEFT JOIN s ON s.node = a.node)
+    SELECT count(*) FILTER (depth = 0) AS direct_files, count(*) FILTER (depth > 0) AS indirect_files, count(*) FILTER (depth > 0 AND sure) AS indirect_confirmed, count(*) FILTER (depth > 0 AND NOT sure) AS indirect_inferred, count(DISTINCT p_brand) AS components, max(depth) AS max_depth
+    FROM t LEFT JOIN part ON p_partkey = node
 """)
 def q35_blast_summary(spark, sf_dir):
-    reached = q32_reverse_closure(spark, sf_dir).join(_t(spark, sf_dir, "part"), F.col("node") == F.col("p_partkey"))
-    return reached.groupBy("p_brand").agg(F.count_if(F.col("depth") == 0).alias("direct"), F.count_if(F.col("depth") > 0).alias("indirect"), F.max("depth").alias("max_depth"), F.count_distinct("p_size").alias("sizes"))
+    reached = q33_two_tier(spark, sf_dir)
+    return impact_summary(reached, _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("service")))
 
 
 @query("SELECT l_suppkey, count(DISTINCT o_custkey) AS customers FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_suppkey ORDER BY customers DESC, l_suppkey LIMIT 20")
@@ -462,7 +505,13 @@ def q40_sliding_count(spark, sf_dir):
     return sliding_counts(_t(spark, sf_dir, "events"), "user_id", "ts", 3600).select("event_id", "user_id", "n")
 
 
-@query()
+@query("""
+    WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT event_id, user_id, n, true AS admitted, [t] AS recent FROM e WHERE n = 1
+      UNION ALL SELECT e.event_id, e.user_id, e.n, len(k) < 2, CASE WHEN len(k) < 2 THEN list_append(k, e.t) ELSE k END
+      FROM (SELECT r.user_id, r.n, e.event_id, e.t, list_filter(r.recent, lambda x: x > e.t - 21600000000) AS k FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) j JOIN e ON e.user_id = j.user_id AND e.n = j.n + 1)
+    SELECT event_id, user_id, admitted FROM r
+""")
 def q41_rate_limit(spark, sf_dir):
     return limited(_t(spark, sf_dir, "events"), "user_id", "ts", "event_id", limit=2, seconds=6 * 3600).select("event_id", "user_id", "admitted")
 
