@@ -7,6 +7,7 @@ yields flat rows; everything after that (resolution, rules) is joins.
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from quillspar.functions import text as T
 from quillspar.operators.matching import longest_prefix, small
 from quillspar.session import ship
+from quillspar.sources.code import regions
 
 IMPORT_DDL = "file string, language string, line int, kind string, spec string, names array<string>, evidence string"
 CALL_DDL = "file string, line_start int, line_end int, name string, parent string, scope array<string>, ints array<struct<place: int, keyword: string, value: bigint>>, texts array<struct<place: int, keyword: string, value: string>>, evidence string"
@@ -39,7 +41,12 @@ def _imports(kind: str, source: str) -> Iterator[tuple]:
     if kind == "python":
         yield from _python_imports(source)
     elif kind == "js":
+        starts, ends, _ = regions(source, "js")
         for m in _JS.finditer(source):
+            first = m.start() + len(m[0]) - len(m[0].lstrip())
+            i = bisect.bisect_right(starts, first) - 1
+            if i >= 0 and first < ends[i]:
+                continue  # inside a comment, string or template
             yield source.count("\n", 0, m.start(1)) + 1, "js", m[1], []
     elif kind == "java":
         for m in _JAVA.finditer(source):
