@@ -87,11 +87,14 @@ def band_rank(name: Column) -> Column:
 def scored(findings: DataFrame, services: DataFrame) -> DataFrame:
     """findings with role, factors, raw, qmp, band, cap, hndl, hndl_severity and badges; all null for comment mentions.
 
-    Of several descriptions of one service the last by file counts. Missing or unknown metadata take
+    Of several descriptions of one service the last by file counts; where both
+    tables have a scan_id, a service is one of its scan. Missing or unknown metadata take
     midpoints and leave badges; harvest-now-decrypt-later is then not assessed.
     """
-    meta = services.groupBy(F.col("service").alias("_service")).agg(F.max_by(F.struct("data_classification", "business_criticality", "internet_exposed", "data_lifetime_years"), "metadata_file").alias("_m")).select("_service", "_m.*")
-    x = findings.join(meta, findings["service"] == meta["_service"], "left").drop("_service")
+    scans = ["scan_id"] if "scan_id" in services.columns and "scan_id" in findings.columns else []
+    meta = services.groupBy(*scans, F.col("service").alias("_service")).agg(F.max_by(F.struct("data_classification", "business_criticality", "internet_exposed", "data_lifetime_years"), "metadata_file").alias("_m")).select(*[F.col(c).alias(f"_{c}") for c in scans], "_service", "_m.*")
+    same = [findings["service"] == meta["_service"], *[findings[c] == meta[f"_{c}"] for c in scans]]
+    x = findings.join(meta, same, "left").drop("_service", *[f"_{c}" for c in scans])
     f = F.col
     x = x.withColumn("role", role(f("algorithm"), f("primitive"), f("operation"), f("context")))
     known_ds, known_bc = _lookup(SENSITIVITY, f("data_classification")), _lookup(CRITICALITY, f("business_criticality"))

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from quillspar.functions import text as T
 from quillspar.operators.matching import glob_key, glob_matches, longest_prefix, small
-from quillspar.operators.order import labelled
+from quillspar.operators.order import numbered
 from quillspar.sources.files import lines
+from quillspar.sources.scopes import bare, scan_of
 
 #: What makes two matches one finding.
 IDENTITY = ["file", "line_start", "line_end", "rule_id", "algorithm", "operation", "evidence"]
 COMMENT_CONFIDENCE = 0.45
+ID = "CRYPTO-%03d"
 
 
 def directive_matches(files: DataFrame, rules: DataFrame, entries: DataFrame) -> DataFrame:
@@ -24,7 +26,7 @@ def directive_matches(files: DataFrame, rules: DataFrame, entries: DataFrame) ->
     file_pattern wants are dropped before lines are made.
     """
     wanted = small(rules.where("match_type = 'directive'").select("rule_id", "pattern", "file_pattern", "split", "skip_prefixes", "library", "api"))
-    chosen = files.join(wanted, F.col("file_pattern").isNull() | F.expr("path RLIKE file_pattern"))
+    chosen = files.join(wanted, F.col("file_pattern").isNull() | F.call_function("regexp_like", bare(F.col("path")), F.col("file_pattern")))
     rows = lines(chosen.select("path", "rule_id", "pattern", "split", "skip_prefixes", "library", "api", "text"))
     rows = rows.where(F.length("text") <= T.LONGEST_LINE).withColumn("text", F.regexp_replace("text", r"(^|\s)#.*$", "$1"))
     value = F.expr("regexp_extract(text, pattern, 1)")
@@ -109,12 +111,14 @@ def violations(findings: DataFrame) -> DataFrame:
     return findings.select("id", F.explode(found).alias("problem"))
 
 
-def as_findings(matches: DataFrame, services: DataFrame, repository: str, scan_id: str = "scan") -> DataFrame:
+def as_findings(matches: DataFrame, services: DataFrame, repository: str | Column, scan_id: str = "scan") -> DataFrame:
     """Findings with ids from matches(file, line_start, line_end, rule_id, algorithm, primitive, operation, library, api, scope, evidence, confidence, key_size, comment_only).
 
     Of matches with one identity the surest counts (then the smallest key).
     A file belongs to the service with the longest root above it, else to the
-    repository. Ids follow the order of the identity.
+    repository. Ids follow the order of the identity. Where files and roots are
+    scoped (sources.scopes), findings are those of many scans: scan_id is each
+    file's own, and ids count from 1 in each scan.
     """
     rest = [c for c in matches.columns if c not in IDENTITY]
     best = F.min_by(F.struct(*rest), F.struct((-F.col("confidence")).alias("c"), F.coalesce("key_size", F.lit(-1)).alias("k")))
@@ -122,11 +126,11 @@ def as_findings(matches: DataFrame, services: DataFrame, repository: str, scan_i
     roots = services.where("service IS NOT NULL").select("root", "service", F.col("metadata_file").alias("ord"))
     placed = longest_prefix(one.withColumnRenamed("file", "path"), "path", roots, "root", ["service"]).withColumnRenamed("path", "file")
     level = F.round(F.when(F.col("comment_only"), F.least("confidence", F.lit(COMMENT_CONFIDENCE))).otherwise(F.col("confidence")), 2)
+    placed = placed.withColumns({"scan_id": F.coalesce(scan_of(F.col("file")), F.lit(scan_id)), "file": bare(F.col("file"))})
     tokens = T.identifier_tokens(F.col("file"), F.coalesce("scope", F.array().cast("array<string>")))
     rows = placed.withColumns(
         {
-            "scan_id": F.lit(scan_id),
-            "service": F.coalesce(F.nullif("service", F.lit("")), F.lit(repository)),
+            "service": F.coalesce(F.nullif("service", F.lit("")), repository if isinstance(repository, Column) else F.lit(repository)),
             "confidence": level,
             "confidence_level": confidence_level(level),
             "context": T.context_of(tokens, F.col("algorithm"), F.col("primitive"), F.col("operation")),
@@ -135,7 +139,9 @@ def as_findings(matches: DataFrame, services: DataFrame, repository: str, scan_i
             "test_path": T.test_path(F.col("file")),
         }
     )
-    return labelled(rows, [F.col(c) for c in IDENTITY])
+    ordered = numbered(rows, [F.col(c) for c in ("scan_id", *IDENTITY)], "_number")
+    firsts = ordered.groupBy("scan_id").agg(F.min("_number").alias("_first"))  # one row a scan
+    return ordered.join(firsts, "scan_id").withColumn("id", F.format_string(ID, F.col("_number") - F.col("_first") + 1)).select(*rows.columns, "id")
 
 
 def call_matches(calls: DataFrame, rules: DataFrame, entries: DataFrame, key_size_place: int = 1) -> DataFrame:

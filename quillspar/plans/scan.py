@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspar.functions import scoring
 from quillspar.functions import text as T
 from quillspar.operators.order import numbered
 from quillspar.plans import findings as plan
-from quillspar.sources import certificates, code, files, imports, metadata, structured
+from quillspar.sources import certificates, code, files, imports, metadata, scopes, structured
 
 
 def matches(scannable: DataFrame, rules: DataFrame, entries: DataFrame, mentions: DataFrame | None = None, refinements: DataFrame | None = None, as_of: str | None = None) -> DataFrame:
@@ -39,11 +39,17 @@ def matches(scannable: DataFrame, rules: DataFrame, entries: DataFrame, mentions
     return reduce(DataFrame.unionByName, parts)
 
 
-def scan(tree: DataFrame, rules: DataFrame, entries: DataFrame, repository: str, scan_id: str = "scan", **options) -> DataFrame:
-    """Scored findings with ranks of a tree(path, size, content): read, redacted, matched, placed in services, scored."""
-    assessed = files.assessed(tree)
+def scan(tree: DataFrame, rules: DataFrame, entries: DataFrame, repository: str | Column, scan_id: str = "scan", **options) -> DataFrame:
+    """Scored findings with ranks of a tree(path, size, content): read, redacted, matched, placed in services, scored.
+
+    A tree of many scans has their scan_id as a column too: paths are scoped by
+    it for the whole way, services and ids are each scan's own, and ranks order
+    all findings (inside a scan by its own order).
+    """
+    many = "scan_id" in tree.columns
+    assessed = files.assessed(scopes.scoped(tree).drop("scan_id") if many else tree)
     readable = assessed.where("skip IS NULL").drop("skip")
     services = metadata.read_services(assessed.select("path", "size", "text"))
     rows = plan.as_findings(matches(readable, rules, entries, **options), services, repository, scan_id)
-    scored = scoring.scored(rows, services).withColumn("suppressed", F.lit(False))
-    return numbered(scored, scoring.priority_order())
+    scored = scoring.scored(rows, services.withColumn("scan_id", scopes.scan_of(F.col("metadata_file"))) if many else services).withColumn("suppressed", F.lit(False))
+    return numbered(scored, [*([F.col("scan_id")] if many else []), *scoring.priority_order()])

@@ -19,6 +19,7 @@ from quillspar.functions import text as T
 from quillspar.operators.matching import longest_prefix, small
 from quillspar.session import ship
 from quillspar.sources.code import regions
+from quillspar.sources.scopes import scan_of
 
 IMPORT_DDL = "file string, language string, line int, kind string, spec string, names array<string>, evidence string"
 CALL_DDL = "file string, line_start int, line_end int, name string, parent string, scope array<string>, ints array<struct<place: int, keyword: string, value: bigint>>, texts array<struct<place: int, keyword: string, value: string>>, evidence string"
@@ -81,30 +82,32 @@ def resolved_imports(imports: DataFrame, files: DataFrame, libraries: DataFrame,
     resolved; several: ambiguous; a package: wildcard; none: external, or
     unresolved where the name is relative. configs (sources.structured.
     read_tsconfigs) gives aliases: the nearest config above the importer
-    decides by its first pattern that fits, even if no file is there.
+    decides by its first pattern that fits, even if no file is there. Files of
+    several scans (sources.scopes) resolve within their own.
     """
     rows = imports.withColumn("_row", F.struct("file", "line", "spec", "kind"))
     paths = files.select("path", "kind")
+    scope = lambda column: F.coalesce(scan_of(F.col(column)), F.lit("")).alias("_scan")  # noqa: E731 - suffixes meet within a scan
     folder = F.regexp_replace("file", r"/?[^/]+$", "")
     # Python modules and Java classes by every dotted suffix of their path.
     stem = F.regexp_replace(F.regexp_replace("path", r"\.[^.]+$", ""), "/__init__$", "")
     parts = F.split(stem, "/")
-    suffixes = paths.where("kind IN ('python', 'java')").select(F.col("kind").alias("language"), F.col("path").alias("target"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("wanted"))
+    suffixes = paths.where("kind IN ('python', 'java')").select(F.col("kind").alias("language"), scope("path"), F.col("path").alias("target"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("wanted"))
     packages = paths.where("kind = 'java'").select("path", F.regexp_replace("path", "/?[^/]+$", "").alias("folder"))
     package_parts = F.split("folder", "/")
-    packaged = packages.select(F.lit("java").alias("language"), F.col("path").alias("target"), F.explode(F.transform(F.sequence(F.lit(1), F.size(package_parts)), lambda i: F.array_join(F.slice(package_parts, i, F.size(package_parts)), "."))).alias("wanted"))
+    packaged = packages.select(F.lit("java").alias("language"), scope("path"), F.col("path").alias("target"), F.explode(F.transform(F.sequence(F.lit(1), F.size(package_parts)), lambda i: F.array_join(F.slice(package_parts, i, F.size(package_parts)), "."))).alias("wanted"))
 
     absolute = rows.where("kind IN ('import', 'from', 'java', 'static')")
     module = F.when(F.col("kind") == "static", F.regexp_replace("spec", r"\.[^.]+$", "")).otherwise(F.col("spec"))
-    asked = absolute.select("_row", "language", "file", F.explode(F.when(F.col("kind") == "from", F.concat(F.array(module), F.transform("names", lambda n: F.concat(module, F.lit("."), n)))).otherwise(F.array(module))).alias("wanted"))
-    hits = asked.join(suffixes, ["language", "wanted"])
+    asked = absolute.select("_row", "language", scope("file"), "file", F.explode(F.when(F.col("kind") == "from", F.concat(F.array(module), F.transform("names", lambda n: F.concat(module, F.lit("."), n)))).otherwise(F.array(module))).alias("wanted"))
+    hits = asked.join(suffixes, ["language", "_scan", "wanted"])
     # A bare name is a file beside the importer, or none of the repository.
     local = F.contains("wanted", F.lit(".")) | (F.regexp_replace("target", r"/?[^/]+$", "") == folder) | F.col("target").endswith("/__init__.py")
     by_module = hits.where(local).groupBy("_row", "wanted").agg(F.array_sort(F.collect_set("target")).alias("t"))
     found = by_module.groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("t")))).alias("targets"), F.max(F.size("t")).alias("most"))
     found = found.select("_row", "targets", F.when(F.col("most") == 1, "resolved").otherwise("ambiguous").alias("resolution"))
 
-    wild = rows.where("kind = 'wildcard'").select("_row", "language", F.col("spec").alias("wanted")).join(packaged, ["language", "wanted"])
+    wild = rows.where("kind = 'wildcard'").select("_row", "language", scope("file"), F.col("spec").alias("wanted")).join(packaged, ["language", "_scan", "wanted"])
     found = found.unionByName(wild.groupBy("_row").agg(F.array_sort(F.collect_set("target")).alias("targets")).withColumn("resolution", F.lit("wildcard")))
 
     up = F.length(F.regexp_extract("spec", r"^\.*", 0))

@@ -13,7 +13,7 @@ from quillspar.functions import text as T
 from quillspar.operators.order import numbered
 from quillspar.plans import findings as plan
 from quillspar.plans import coverage, graph, inventory, migration, readiness, report, scan
-from quillspar.sources import archives, certificates, code, files, imports, metadata, structured
+from quillspar.sources import archives, certificates, code, files, imports, metadata, scopes, structured
 from quillspar.streaming import limits
 
 TREE = {
@@ -449,3 +449,18 @@ def test_steps_of_indirect_files(spark):
     assert [(r["node"], r["depth"], r["confirmed"]) for r in rows] == [("file:b", 1, True), ("file:d", 1, False), ("file:c", 2, False)]
     assert [(s["source"], s["target"], s["confirmed"], len(s["evidence"])) for s in rows[2]["steps"]] == [("file:b", "file:a", True, 2), ("file:c", "file:b", False, 2)]
     assert [tuple(r) for r in graph.finding_edges(edges).collect()] == [("file:a", "algorithm:X", 1)]
+
+
+def test_many_scans_do_not_mix(spark, tree, pack):
+    rules, entries = pack
+    other = tree.where("path LIKE 'app/%' OR path = 'service.yaml'").withColumn("content", F.when(F.col("path") == "service.yaml", F.lit(b"service: shop\ndata_classification: public\n")).otherwise(F.col("content")))
+    both = tree.withColumn("scan_id", F.lit("auth1")).unionByName(other.withColumn("scan_id", F.lit("two")))
+    rows = scan.scan(both, rules, entries, "repo").cache()
+    got = {(r["scan_id"], r["id"], r["file"], r["algorithm"], r["data"], r["context"]) for r in rows.withColumn("data", F.col("ds")).collect()}
+    assert {g[:4] for g in got if g[0] == "two"} == {("two", "CRYPTO-001", "app/keys.py", "RSA"), ("two", "CRYPTO-002", "app/keys.py", "MD5")}
+    assert len([g for g in got if g[0] == "auth1"]) == 6 and {g[4] for g in got if g[2] == "app/keys.py"} == {3.0, 0.0} and not [g for g in got if g[5] == "authentication"]
+    ready = files.scannable(scopes.scoped(both).drop("scan_id"))
+    found = imports.resolved_imports(imports.read_imports(ready), ready, spark.createDataFrame([], "language string, root string, library string"))
+    targets = {(r["file"], r["spec"]): r["targets"] for r in found.collect()}
+    for name in ("auth1", "two"):
+        assert targets[f"{name}\x01/app/api.py", "app"] == [f"{name}\x01/app/keys.py"] and targets[f"{name}\x01/app/util.py", ".keys"] == [f"{name}\x01/app/keys.py"]
