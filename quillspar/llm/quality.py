@@ -271,10 +271,9 @@ def co_train(table: DataFrame, rounds: int = ROUNDS, sure: float = SURE) -> tupl
             sums[at : at + 2 * width] += np.bincount(label[use] * width + found[use], minlength=2 * width)
 
     def places(columns: dict, sums: np.ndarray) -> None:
-        known = columns["held"]
         for view in range(2):
             at = view * 4 * View.SPAN
-            sums[at : at + 4 * View.SPAN] += np.bincount(columns["label"][known] * 2 * View.SPAN + views[view].place(columns)[known], minlength=4 * View.SPAN)
+            sums[at : at + 4 * View.SPAN] += np.bincount(columns["label"] * 2 * View.SPAN + views[view].place(columns), minlength=4 * View.SPAN)
 
     for at in range(rounds):
         counts = _summed(table, bins, stops[-1])
@@ -283,7 +282,7 @@ def co_train(table: DataFrame, rounds: int = ROUNDS, sure: float = SURE) -> tupl
             prior = by_name[0].sum(axis=1) + 1
         for view, model in enumerate(views):
             model.train({name: table_ for (owner, name, _), table_ in zip(_WIDTHS, by_name, strict=True) if owner == view}, prior / prior.sum())
-        found = _summed(table, places, 8 * View.SPAN).reshape(2, 2, -1)
+        found = _summed(table.where("held"), places, 8 * View.SPAN).reshape(2, 2, -1)
         for model, seen in zip(views, found, strict=True):
             model.calibrate(seen)
     return content, metadata, float(np.log(prior[1] / prior[0]))

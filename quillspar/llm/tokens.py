@@ -38,6 +38,12 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + next(others)) for b in range(256)]
 
 
+def _is_cut(special: str) -> bool:
+    """Whether a text would be cut inside this string."""
+    data = np.frombuffer(f"a{special}a".encode(), np.uint8)
+    return any(1 < cut < len(data) - 1 for cut in textkernel.piece_offsets(data, np.array([0, len(data)])).tolist())
+
+
 class Encoder:
     """Encodes texts with one tokenizer file; remembers pieces between batches."""
 
@@ -50,7 +56,7 @@ class Encoder:
             spec = json.load(file)
         pre = spec.get("pre_tokenizer") or {}
         strips = any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] or " " in t["content"] for t in spec.get("added_tokens", []))
-        self.pieced = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("normalizer") is None and not strips and all("|" in t["content"] for t in spec.get("added_tokens", []))
+        self.pieced = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("normalizer") is None and not strips and not any(_is_cut(t["content"]) for t in spec.get("added_tokens", []))
         self.letters = dict(enumerate(_byte_letters()))
         self.memory: dict = {}
         self.older: dict = {}

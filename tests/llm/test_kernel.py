@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillspar.llm import textkernel as tk
-from quillspar.llm import wavelet
+from quillspar.llm import tokens, wavelet
 from quillspar.llm.mixing import fit_budget, fit_sums, plan_source
 
 TEXTS = st.lists(st.text(alphabet="abAB \t\n.,'é漢|9", max_size=40), max_size=8)
@@ -126,3 +126,7 @@ def test_coarse_part_is_drawn_from_all_lengths():
     quarters = extra.reshape(4, -1).mean(axis=1)
     assert (quarters > 0.2).all() and (quarters < 0.5).all()
     assert (extra != plan_source(lengths, counts, target, seed=30)[1]).any()
+
+
+def test_special_strings_are_not_cut():
+    assert not tokens._is_cut("<|endoftext|>") and tokens._is_cut("<|fim_prefix|>")
