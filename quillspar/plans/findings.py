@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspar.functions import text as T
-from quillspar.operators.matching import glob_key, glob_matches, longest_prefix, small
+from quillspar.operators.matching import BROADCAST_RULES, glob_key, glob_matches, longest_prefix, small
 from quillspar.operators.order import numbered
 from quillspar.sources.files import lines
 from quillspar.sources.scopes import bare, scan_of
@@ -62,7 +62,10 @@ def first_mentions(rows: DataFrame, mentions: DataFrame, text_col: str = "text")
     The pattern list is configuration: each pattern becomes a literal
     predicate, compiled once, where a join would compile it for every row.
     """
-    known = sorted((r["algorithm"], r["ord"], r["pattern"]) for r in mentions.select("algorithm", "ord", "pattern").collect())
+    rows_ = mentions.select("algorithm", "ord", "pattern").limit(BROADCAST_RULES + 1).collect()
+    if len(rows_) > BROADCAST_RULES:
+        raise ValueError(f"more than {BROADCAST_RULES} patterns")
+    known = sorted((r["algorithm"], r["ord"], r["pattern"]) for r in rows_)
     hits = []
     for algorithm in dict.fromkeys(k[0] for k in known):
         first = F.coalesce(*[F.when(F.col(text_col).rlike(p), F.lit(o)) for a, o, p in known if a == algorithm])
