@@ -7,7 +7,7 @@ beyond that.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 #: Rules up to this count are sent to every executor.
@@ -19,6 +19,14 @@ def small(rules: DataFrame) -> DataFrame:
     return F.broadcast(rules) if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else rules
 
 
+def rule_rows(rules: DataFrame) -> list[Row]:
+    """The rows of a rule table: configuration, of a bounded number."""
+    found = rules.limit(BROADCAST_RULES + 1).collect()
+    if len(found) > BROADCAST_RULES:
+        raise ValueError(f"more than {BROADCAST_RULES} rules")
+    return found
+
+
 def glob_key(value: str | Column) -> Column:
     """What patterns are compared with: lower case without white space."""
     return F.regexp_replace(F.lower(F.col(value) if isinstance(value, str) else value), r"\s+", "")

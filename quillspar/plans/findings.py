@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from quillspar.functions import text as T
-from quillspar.operators.matching import BROADCAST_RULES, glob_key, glob_matches, longest_prefix, small
+from quillspar.operators.matching import glob_key, glob_matches, longest_prefix, rule_rows, small
 from quillspar.operators.order import numbered
 from quillspar.sources.files import lines
 from quillspar.sources.scopes import bare, scan_of
@@ -17,23 +21,40 @@ COMMENT_CONFIDENCE = 0.45
 ID = "CRYPTO-%03d"
 
 
+def with_rules(rows: DataFrame, pack: list[Row], fits: Callable[[Row], Column], gives: Callable[[Row], Column]) -> DataFrame:
+    """rows once for each rule that fits, with the struct that it gives as `rule`.
+
+    Each rule's test is a literal predicate, compiled once, on rows that are
+    read once; a join with the rule table would take its pattern from a column
+    and multiply the rows before they are tested.
+    """
+    if not pack:
+        return rows.limit(0).withColumn("rule", F.lit(None).cast("struct<rule_id: string, library: string, api: string, values: array<string>>"))
+    hits = F.array(*[F.when(fits(r), gives(r)) for r in pack])
+    return rows.withColumn("rule", F.explode(F.filter(hits, lambda h: h.isNotNull())))
+
+
 def directive_matches(files: DataFrame, rules: DataFrame, entries: DataFrame) -> DataFrame:
     """(file, line, rule_id, value, algorithm, ...) of configuration lines.
 
-    Rules are few and join by kind of match; a line without its comment is
-    matched by each rule's pattern, whose first group is split into values, and
-    a value takes the first entry whose pattern fits. Files that no rule's
-    file_pattern wants are dropped before lines are made.
+    A line without its comment is tested by each rule's pattern, whose first
+    group is split into values, and a value takes the first entry whose pattern
+    fits. Files that no rule's file_pattern wants are dropped before lines are
+    made.
     """
-    wanted = small(rules.where("match_type = 'directive'").select("rule_id", "pattern", "file_pattern", "split", "skip_prefixes", "library", "api"))
-    chosen = files.join(wanted, F.col("file_pattern").isNull() | F.call_function("regexp_like", bare(F.col("path")), F.col("file_pattern")))
-    rows = lines(chosen.select("path", "rule_id", "pattern", "split", "skip_prefixes", "library", "api", "text"))
+    pack = rule_rows(rules.where("match_type = 'directive'").select("rule_id", "pattern", "file_pattern", "split", "skip_prefixes", "library", "api"))
+    wanted = lambda r: bare(F.col("path")).rlike(r["file_pattern"]) if r["file_pattern"] else F.lit(True)
+    rows = lines(files.where(reduce(or_, map(wanted, pack), F.lit(False))).select("path", "text"))
     rows = rows.where(F.length("text") <= T.LONGEST_LINE).withColumn("text", F.regexp_replace("text", r"(^|\s)#.*$", "$1"))
-    value = F.expr("regexp_extract(text, pattern, 1)")
-    rows = rows.where(F.expr("text RLIKE pattern")).withColumn("value", F.explode(F.when(F.col("split").isNotNull(), F.expr("split(regexp_extract(text, pattern, 1), split)")).otherwise(F.array(value))))
-    rows = rows.withColumn("value", F.btrim("value", F.lit("'\";+^ \t"))).where("value <> ''")
-    rows = rows.where(~F.exists("skip_prefixes", lambda p: F.col("value").startswith(p)))
-    picked = rows.select("path", "line", "rule_id", "value", "library", "api", T.evidence(F.col("text")).alias("evidence"))
+
+    def given(r: Row) -> Column:
+        value = F.regexp_extract("text", r["pattern"], 1)
+        values = F.transform(F.split(value, r["split"]) if r["split"] else F.array(value), lambda v: F.btrim(v, F.lit("'\";+^ \t")))
+        kept = F.filter(values, lambda v: reduce(and_, [~v.startswith(p) for p in r["skip_prefixes"] or []], v != ""))
+        return F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["library"]).cast("string").alias("library"), F.lit(r["api"]).cast("string").alias("api"), kept.alias("values"))
+
+    hits = with_rules(rows, pack, lambda r: F.col("text").rlike(r["pattern"]) & wanted(r), given)
+    picked = hits.select("path", "line", "rule.rule_id", F.explode("rule.values").alias("value"), "rule.library", "rule.api", T.evidence(F.col("text")).alias("evidence"))
     found = first_of_rule(picked.select("rule_id", "value").distinct(), entries)
     return picked.join(found, ["rule_id", "value"]).withColumnRenamed("path", "file")
 
@@ -62,10 +83,7 @@ def first_mentions(rows: DataFrame, mentions: DataFrame, text_col: str = "text")
     The pattern list is configuration: each pattern becomes a literal
     predicate, compiled once, where a join would compile it for every row.
     """
-    rows_ = mentions.select("algorithm", "ord", "pattern").limit(BROADCAST_RULES + 1).collect()
-    if len(rows_) > BROADCAST_RULES:
-        raise ValueError(f"more than {BROADCAST_RULES} patterns")
-    known = sorted((r["algorithm"], r["ord"], r["pattern"]) for r in rows_)
+    known = sorted((r["algorithm"], r["ord"], r["pattern"]) for r in rule_rows(mentions.select("algorithm", "ord", "pattern")))
     hits = []
     for algorithm in dict.fromkeys(k[0] for k in known):
         first = F.coalesce(*[F.when(F.col(text_col).rlike(p), F.lit(o)) for a, o, p in known if a == algorithm])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspar.functions import text as T
-from quillspar.operators.matching import BROADCAST_RULES, small
+from quillspar.operators.matching import rule_rows, small
 from quillspar.session import ship
 
 # What starts something that isn't code: comments, strings, text blocks, and in JavaScript templates and regex literals (where a
@@ -112,10 +112,7 @@ def regex_matches(files: DataFrame, rules: DataFrame) -> DataFrame:
     """
     ship(files.sparkSession)
     requires = "file_requires" if "file_requires" in rules.columns else F.lit(None).alias("file_requires")
-    few = rules.where("match_type = 'regex'").select("language", "rule_id", "pattern", requires).limit(BROADCAST_RULES + 1).collect()
-    if len(few) > BROADCAST_RULES:
-        raise ValueError(f"more than {BROADCAST_RULES} rules")
-    pack = [tuple(r) for r in few]
+    pack = [tuple(r) for r in rule_rows(rules.where("match_type = 'regex'").select("language", "rule_id", "pattern", requires))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled: dict[str, list[tuple]] = {}

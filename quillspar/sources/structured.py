@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspar.functions import text as T
-from quillspar.operators.matching import small
-from quillspar.plans.findings import first_of_rule
+from quillspar.operators.matching import rule_rows
+from quillspar.plans.findings import first_of_rule, with_rules
 from quillspar.session import ship
 
 #: Larger documents are refused as a whole.
@@ -70,8 +70,10 @@ def read_values(files: DataFrame) -> DataFrame:
 
 def structured_matches(values: DataFrame, rules: DataFrame, entries: DataFrame) -> DataFrame:
     """Values whose key a `structured` rule's pattern names, with the first entry of that rule that fits the value."""
-    wanted = small(rules.where("match_type = 'structured'").select("rule_id", "pattern", "library", "api"))
-    rows = values.where("error IS NULL").join(wanted, F.expr("key RLIKE pattern")).drop("pattern")
+    pack = rule_rows(rules.where("match_type = 'structured'").select("rule_id", "pattern", "library", "api"))
+    given = lambda r: F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["library"]).cast("string").alias("library"), F.lit(r["api"]).cast("string").alias("api"))
+    rows = with_rules(values.where("error IS NULL"), pack, lambda r: F.col("key").rlike(r["pattern"]), given)
+    rows = rows.select(*values.columns, "rule.rule_id", "rule.library", "rule.api")
     found = first_of_rule(rows.select("rule_id", "value").distinct(), entries)
     shown = T.redacted(T.evidence(F.concat_ws(": ", "key", "value")))
     return rows.join(found, ["rule_id", "value"]).withColumn("evidence", shown)
