@@ -61,11 +61,16 @@ def _per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-def text_features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Bins of the content features."""
-    size = np.diff(offsets)
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of all words, and per row the index of its first."""
     starts, ends, firsts = textkernel.word_spans(data, offsets, textkernel.NON_SPACE)
-    hashes, _ = textkernel.word_hashes(data, offsets, textkernel.NON_SPACE)
+    return starts, ends, textkernel.word_hashes(data, offsets, textkernel.NON_SPACE, (starts, ends, firsts))[0], firsts
+
+
+def text_features(data: np.ndarray, offsets: np.ndarray, found: tuple) -> list[np.ndarray]:
+    """Bins of the content features; found: what _words says."""
+    size = np.diff(offsets)
+    starts, ends, hashes, firsts = found
     words = np.diff(firsts)
     some = np.maximum(words, 1)
     symbol = _SYMBOL[data]
@@ -99,18 +104,20 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     ]
 
 
-def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_features(data: np.ndarray, offsets: np.ndarray, words: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Per row its distinct bins of words and of the three bytes that words begin and end with; and each row's number of them."""
-    starts, ends, firsts = textkernel.word_spans(data, offsets, textkernel.NON_SPACE)
-    hashes, _ = textkernel.word_hashes(data, offsets, textkernel.NON_SPACE)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))
+    starts, ends, hashes, firsts = words
+    # Row and bin in one number, which sorts fastest in 32 bits.
+    kind = np.dtype(np.uint32 if len(offsets) < 1 << (31 - WORD_BITS) else np.uint64)
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=kind) << kind.type(WORD_BITS + 1), np.diff(firsts))
     long = ends - starts >= 3
-    found = [row << (WORD_BITS + 1) | (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
+    top = np.uint64(64 - WORD_BITS)
+    found = [row | (hashes >> top).astype(kind)]
     for tag, at in ((1, starts[long]), (2, ends[long] - 3)):
         three = data[at].astype(np.uint64) | data[at + 1].astype(np.uint64) << np.uint64(8) | data[at + 2].astype(np.uint64) << np.uint64(16)
-        found.append(row[long] << (WORD_BITS + 1) | 1 << WORD_BITS | (textkernel.mix(three | np.uint64(tag << 24)) >> np.uint64(64 - WORD_BITS)).astype(np.int64))
-    every = np.unique(np.concatenate(found))
-    return (every & (WORD_BINS - 1)).astype("<u2"), np.bincount(every >> (WORD_BITS + 1), minlength=len(offsets) - 1)
+        found.append(row[long] | kind.type(1 << WORD_BITS) | (textkernel.mix(three | np.uint64(tag << 24)) >> top).astype(kind))
+    every = textkernel.distinct(np.concatenate(found))
+    return (every & kind.type(WORD_BINS - 1)).astype("<u2"), np.bincount(every >> kind.type(WORD_BITS + 1), minlength=len(offsets) - 1)
 
 
 def _packed(bins: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -142,7 +149,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         for batch in batches:
             for lo, hi, data, offsets in textkernel.chunks(batch.column(1)):
                 rest = [batch.column(i).slice(lo, hi - lo) for i in (0, 2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([*rest, *map(pa.array, text_features(data, offsets)), _packed(*word_features(data, offsets))], names=["id", "source", "lang", "size", *CONTENT, "words"])
+                words = _words(data, offsets)
+                yield pa.RecordBatch.from_arrays([*rest, *map(pa.array, text_features(data, offsets, words)), _packed(*word_features(data, offsets, words))], names=["id", "source", "lang", "size", *CONTENT, "words"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, source int, lang int, size int, " + ", ".join(f"{n} int" for n in CONTENT) + ", words binary")
@@ -292,9 +300,10 @@ def _trained(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, ro
     """The features of all documents, written, and what co-training made of them."""
     space = Workspace(docs.sparkSession)
     told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
-    # Rows without an id have no label; they are dealt out so that they don't meet in one task of the join.
+    # Rows without an id have no label; they are dealt out so that they don't meet in one task of the join. Labels grow with
+    # the corpus, so they aren't broadcast at any size.
     part = F.when(F.col("id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)) + 1).otherwise(F.lit(0))
-    known = features(docs, id_col=id_col, **columns).withColumn("part", part).join(told.withColumn("part", F.lit(0).cast("long")), ["id", "part"], "left").drop("part")
+    known = features(docs, id_col=id_col, **columns).withColumn("part", part).join(told.withColumn("part", F.lit(0).cast("long")).hint("merge"), ["id", "part"], "left").drop("part")
     drawn = F.pmod(F.xxhash64(F.lit("held out"), "id"), F.lit(HELD_OUT)) == 0
     table = known.withColumn("label", F.coalesce("label", F.lit(-1))).withColumn("held", (F.col("label") >= 0) & drawn)
     table = space.write(table, "features")
@@ -339,7 +348,8 @@ def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
             rest = {name: batch.column(n + 1 + i) for i, name in enumerate(("source", "lang", "size"))}
             for lo, hi, data, offsets in textkernel.chunks(batch.column(n)):
                 found = {name: c.slice(lo, hi - lo).to_numpy(zero_copy_only=False) for name, c in rest.items()}
-                found |= dict(zip(CONTENT, text_features(data, offsets), strict=True)) | {"words": word_features(data, offsets)}
+                words = _words(data, offsets)
+                found |= dict(zip(CONTENT, text_features(data, offsets, words), strict=True)) | {"words": word_features(data, offsets, words)}
                 good = pa.array(_scores(found, *model)[2] >= keep)
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in range(n)], names=[f"c{i}" for i in range(n)]).filter(good)
 

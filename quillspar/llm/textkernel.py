@@ -98,13 +98,13 @@ def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix(np.add.reduceat(found, first) + size.astype(np.uint64) * _BASE)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word (A-Z as a-z), and per row the index of its first word.
+def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, spans: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word (A-Z as a-z), and per row the index of its first word; spans: what word_spans said already.
 
     A row longer than CHUNK_BYTES is hashed piece by piece, each piece ending
     between two words, so that memory stays at a few words per piece.
     """
-    starts, ends, firsts = word_spans(data, offsets, inside)
+    starts, ends, firsts = spans or word_spans(data, offsets, inside)
     if len(data) <= CHUNK_BYTES:
         return _hash_spans(data, starts, ends), firsts
     out, at = np.empty(len(starts), np.uint64), 0
@@ -134,13 +134,21 @@ def combine(hashes: np.ndarray, at: list[int], salt: int = 0) -> np.ndarray:
         return mix(total)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; sorting is much faster here than numpy's table of them."""
+    ordered = np.sort(values)
+    keep = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=keep[1:])
+    return ordered[keep]
+
+
 def shingles(hashes: np.ndarray, firsts: np.ndarray, size: int = 5) -> list[np.ndarray]:
     """Per row the sorted distinct hashes of its word shingles; a shorter row's whole sequence counts as one."""
     windows = combine(hashes, list(range(size)))
     out = []
     for lo, hi in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
         if hi - lo >= size:
-            out.append(np.unique(windows[lo : hi - size + 1]))
+            out.append(distinct(windows[lo : hi - size + 1]))
         elif hi > lo:
             out.append(combine(hashes[lo:hi], list(range(hi - lo)), salt=hi - lo))
         else:
