@@ -113,7 +113,9 @@ def class_bitmaps(docs: DataFrame, total: int, id_col: str, text_col: str, words
     rows, _ = _rows(docs, id_col, text_col)
 
     def send(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held) >> np.uint64(64 - COUNT_BITS), return_counts=True)
+        ordered = np.sort(np.concatenate(held) >> np.uint64(64 - COUNT_BITS))
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        keys, counts = ordered[first], np.diff(np.append(first, len(ordered)))
         edges = np.searchsorted(keys, np.arange((1 << depth) + 1, dtype=np.uint64) << np.uint64(COUNT_BITS - depth))
         full = np.flatnonzero(np.diff(edges))
         packed = [_pack(keys[edges[f] : edges[f + 1]]) for f in full]
