@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspar.llm.tables import exclusive_sum, hash_range
+from quillspar.llm.tables import before_range, hash_range
 from quillspar.llm.textkernel import mix
 from quillspar.operators.order import numbered
 from quillspar.session import Workspace, ship
@@ -223,7 +223,7 @@ def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
     source_type = docs.schema[source_col].dataType.simpleString()
     plans = space.write(counted.groupBy("source").applyInPandas(plan, f"source {source_type}, size long, n long, source_size long, target double, passes long, extra long"), "plans")
 
-    before = exclusive_sum(buckets, ["source", "size"], ["bucket"], "n", "before").drop("n").alias("b")
+    before = before_range(buckets, ["source", "size"], "bucket", "n", "before").drop("n").alias("b")
     offsets = before.join(plans.hint("merge").alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")) & (F.col("b.size") == F.col("p.size")))
     offsets = offsets.select("b.source", "b.size", "bucket", "before", "n", "source_size", "target", "passes", "extra").alias("o")
     placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("key", "id"))).alias("r")

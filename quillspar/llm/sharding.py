@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspar.llm.tables import exclusive_sum, hash_range
+from quillspar.llm.tables import before_range, hash_range
 from quillspar.operators.order import numbered
 from quillspar.session import Workspace
 
@@ -40,8 +40,8 @@ def interleaved_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", tex
 
     same_source = F.col("r.source").eqNullSafe(F.col("c.source"))
     counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
-    counts = exclusive_sum(counts, ["source"], ["bucket"], "n", "before")
-    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("source"))).drop("n").hint("merge")
+    totals = counts.groupBy("source").agg(F.sum("n").alias("total")).alias("t")
+    counts = before_range(counts, ["source"], "bucket", "n", "before").alias("b").join(totals, F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.source", "bucket", "before", "total").hint("merge")
     ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("key", "id", "text_crc32", "size")))
     ranked = ranked.alias("r").join(counts.alias("c"), same_source & (F.col("r.bucket") == F.col("c.bucket")))
     rank = F.col("before") + F.col("place")

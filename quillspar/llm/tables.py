@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 #: Columns of the `documents` table.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Rows of a table that are ranked together, at most about so many.
-RANGE_ROWS = 5_000
+#: Rows of a table that are ranked together, at most about so many, and bits of the ranges' numbers that are summed together.
+RANGE_ROWS = 500
+STRETCH_BITS = 10
 WHITE_RUN = r"[\x20\x09-\x0D]+"
 
 
@@ -60,3 +61,15 @@ def exclusive_sum(counts: DataFrame, keys: Iterable[str], order: Iterable[str],
 
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn(to, F.coalesce(F.sum(value).over(before), F.lit(0)))
+
+
+def before_range(counts: DataFrame, keys: list[str], number: str, value: str, to: str) -> DataFrame:
+    """Adds the sum of `value` over the ranges with a lower number, within keys (nulls are a key): sums inside stretches of
+    2**STRETCH_BITS numbers, and over whole stretches before, so that the ranges of one key don't meet in one task."""
+    staged = counts.withColumn("_stretch", F.shiftright(number, STRETCH_BITS))
+    inner = exclusive_sum(staged, [*keys, "_stretch"], [number], value, "_inner").alias("i")
+    whole = exclusive_sum(staged.groupBy(*keys, "_stretch").agg(F.sum(value).alias("_n")), keys, ["_stretch"], "_n", "_outer").drop("_n").alias("o")
+    same = F.col("i._stretch") == F.col("o._stretch")
+    for key in keys:
+        same = same & F.col(f"i.{key}").eqNullSafe(F.col(f"o.{key}"))
+    return inner.join(whole.hint("merge"), same).select(*[f"i.{c}" for c in counts.columns], (F.col("_inner") + F.col("_outer")).alias(to))

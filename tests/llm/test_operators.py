@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspar.llm import chat, decontaminate, exact_dedup, licenses, mixing, ngram_join, quality, sharding, textkernel, token_store, tokens
+from quillspar.llm import chat, decontaminate, exact_dedup, licenses, mixing, ngram_join, quality, sharding, tables, textkernel, token_store, tokens
 from quillspar.operators import order
 from tests.llm.conftest import SCHEMA, rows_of
 
@@ -607,6 +607,16 @@ def test_shards(docs, awkward, shards):
     assert all(abs(by_source[k, s] - n / 4) <= 2 for s, n in per.items() for k in range(4))
 
 
+def test_ranks_over_many_hash_ranges(docs, awkward, monkeypatch):
+    wanted = sorted(map(tuple, mixing.mixed_sources(docs).collect()))
+    monkeypatch.setattr(tables, "RANGE_ROWS", 3)
+    monkeypatch.setattr(tables, "STRETCH_BITS", 2)
+    for df in (docs, awkward):
+        rows = sharding.interleaved_shards(df, 7).collect()
+        assert sorted(((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in rows), key=str) == sorted(brute_shards(df, 7), key=str)
+    assert sorted(map(tuple, mixing.mixed_sources(docs).collect())) == wanted
+
+
 def test_single_row_sources_share_no_task(spark, monkeypatch):
     written = {}
     write = order.Workspace.write
