@@ -232,7 +232,10 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     return checked.groupBy("id", "item_id").agg(best).select(F.col("id").alias(id_col), "item_id", (-F.col("best.at")).alias("first_word"), "best.n_words", "best.matched")
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those that overlap with a passage; rows with one id, null ones too, stay or go together."""
-    leaks = contaminations(docs, items, id_col, **options).select(F.col(id_col).alias("_leak")).distinct()
-    return docs.join(leaks, docs[id_col].eqNullSafe(leaks["_leak"]), "left_anti")
+def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without those that overlap with a passage; each row is judged by its own text, whatever its id, and keeps its columns."""
+    # Rows of one id and text are alike; a row without an id is told by its text.
+    row = F.concat_ws(":", F.col(id_col).cast("string"), F.hex(F.xxhash64(text_col)))
+    leaks = contaminations(docs.select(row.alias("row"), F.col(text_col).alias("text")), items, "row", **options).select("row").distinct()
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), row.alias("row"))
+    return named.join(leaks, "row", "left_anti").select("doc.*")

@@ -225,7 +225,10 @@ def test_overlaps_equal_brute_force(spark, awkward):
     long = max((r["text"] or "" for r in awkward.collect()), key=len).split()
     items = spark.createDataFrame([(1, " ".join(long[30_000:30_020])), (2, "no id"), (3, None)], "item_id long, text string")
     assert sorted(map(tuple, decontaminate.contaminations(awkward, items).collect()), key=str) == sorted([(9, 1, 30_000, 20, 20), (None, 2, 0, 2, 2)], key=str)
-    assert decontaminate.decontaminated(awkward, items).count() == awkward.count() - 2
+    more = awkward.unionByName(awkward.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(awkward.where("doc_id = 7").withColumn("doc_id", F.lit(9).cast("long")))
+    left = decontaminate.decontaminated(more.withColumn("row", F.lit("r")).withColumn("doc", F.lit(1)), items)
+    assert left.columns == [*awkward.columns, "row", "doc"] and left.count() == more.count() - 2
+    assert sorted(str(r["doc_id"]) for r in left.collect()).count("None") == 2 and left.where("doc_id = 9").count() == 1
 
 
 def test_passages_without_an_id_of_their_own(spark):
