@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspar.llm import chat, decontaminate, exact_dedup, licenses, mixing, ngram_join, quality, sharding, token_store, tokens
+from quillspar.llm import chat, decontaminate, exact_dedup, licenses, mixing, negatives, ngram_join, quality, sharding, token_store, tokens, trie, warc
 from quillspar.llm.tables import table
 
 SHARDS = 40
@@ -53,6 +54,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleaved_shards(table(spark, sf_dir, "documents"), SHARDS).drop("source")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(table(spark, sf_dir, "pages"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.usable(table(spark, sf_dir, "embeddings"))
+    return negatives.hard_negatives(rows.withColumn("label", F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -65,6 +79,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_chat": op9_chat,
         "op10_sharding": op10_sharding,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_warc": op12_warc,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -86,6 +103,9 @@ def oracle_sql() -> dict[str, str]:
             FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
         """,
         "op9_chat": chat.REPLY_ORDERED_SQL,
+        "op11_prefix_trie": trie.PREFIX_TRIE_SQL,
+        "op12_warc": warc.PAGE_RECORDS_SQL,
+        "op13_hard_negatives": negatives.HARD_NEGATIVES_SQL,
         "op8_exact_dedup": r"""
             WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
