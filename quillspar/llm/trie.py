@@ -121,7 +121,7 @@ def enumerated(rows: pa.Table) -> pa.Table:
     return pa.table([rows["turn"].take(pa.array(row)) if c is None else pa.array(c) for c in columns], names=_LOCAL)
 
 
-def accumulated(rows: pa.Table) -> pa.Table:
+def accumulated(rows: pa.Table, stretch: int) -> pa.Table:
     """Nodes of one shard (own false) and what nodes add (own true) -> per node the sums over its subtree in this shard, where they aren't 0."""
     own = rows["own"].to_numpy()
     a, b, up_a, up_b, depth, leaves, saved = _ints(rows, "a", "b", "up_a", "up_b", "depth", "leaves", "saved")
@@ -131,7 +131,7 @@ def accumulated(rows: pa.Table) -> pa.Table:
     n = len(at)
     parent, level = np.full(n, -1), np.zeros(n, np.int64)
     parent[slot], level[slot] = table.slots(up_a[at], up_b[at]), depth[at]
-    parent[level == 0] = -1
+    parent[(level == 0) | ((level > 1) & (level % stretch == 1))] = -1  # what a stretch hands on to the one before comes with what nodes add
     to, given = table.slots(a[own], b[own]), np.flatnonzero(own)
     sums = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
     for total, adds in zip(sums, (leaves, saved), strict=True):
@@ -293,10 +293,15 @@ def prefix_trie(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     beyond = Window.partitionBy("conv").orderBy(F.desc("stretch")).rangeBetween(Window.unboundedPreceding, -1)
     carried = both.select("conv", "stretch", "a", "b", F.sum("leaves").over(beyond).alias("leaves"), F.sum("saved").over(beyond).alias("saved")).where("a IS NOT NULL AND leaves IS NOT NULL")
     given = adds.where("leaves <> 0 OR saved <> 0").unionByName(carried.select(*adds.columns)).withColumn("shard", _shard(F.col("conv") - F.col("conv") % FAMILY, F.col("stretch"), shards))
+    stretch = STRETCH
+
+    def accumulate(rows: pa.Table) -> pa.Table:
+        return accumulated(rows, stretch)
+
     zero = F.lit(0).cast("long")
     pieces = local.select("shard", F.lit(False).alias("own"), "a", "b", "up_a", "up_b", "depth", zero.alias("leaves"), zero.alias("saved"))
     pieces = pieces.unionByName(given.select("shard", F.lit(True).alias("own"), "a", "b", zero.alias("up_a"), zero.alias("up_b"), zero.alias("depth"), "leaves", "saved"))
-    sums = pieces.groupBy("shard").applyInArrow(accumulated, "a long, b long, leaves long, saved long").groupBy("a", "b").agg(F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens"))
+    sums = pieces.groupBy("shard").applyInArrow(accumulate, "a long, b long, leaves long, saved long").groupBy("a", "b").agg(F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens"))
 
     parents = meet(nodes.where("depth > 0").select("a", "b", "up_a", "up_b"), nodes.select(F.col("a").alias("up_a"), F.col("b").alias("up_b"), F.col("conv").alias("parent_conv_id")), ["up_a", "up_b"], ["a"]).select("a", "b", "parent_conv_id")
     found = nodes.join(sums.hint("merge"), ["a", "b"]).join(parents.hint("merge"), ["a", "b"], "left").join(ends_digests(ends).hint("merge"), ["a", "b"], "left")

@@ -163,18 +163,15 @@ class Window:
         return self.data[offset - self.start : offset - self.start + n]
 
     def starts(self, offset: int) -> Iterator[int]:
-        """Where a gzip member or a line with a version begins, from offset on."""
+        """Where a gzip member or a version line begins, from offset on; what was cut off may stand right before one."""
         while offset < self.size:
             piece = self.at(offset, PIECE)
             last = max(1, len(piece) - 16) if offset + len(piece) < self.size else len(piece)
             for found in _START.finditer(piece):
-                if found.start() < last and (piece[found.start()] == 0x1F or self._line(offset + found.start())):
+                if found.start() < last:
                     yield offset + found.start()
             offset += last
 
-    def _line(self, offset: int) -> bool:
-        return offset == 0 or self.at(offset - 1, 1) == b"\n"
-
 
 @dataclass
 class Record:
