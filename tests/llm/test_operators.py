@@ -219,8 +219,7 @@ def test_overlaps_equal_brute_force(spark, awkward):
     wanted = {(i, k): found for i, t in enumerate(texts) for k, p in enumerate(passages) if (found := longest_overlap(t, p))}
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminations(docs, items).collect()}
     assert set(got) == set(wanted) and len(got) > 40
-    for k, (n, _, agree) in wanted.items():
-        assert 5 * (got[k]["n_words"] - got[k]["matched"]) <= got[k]["n_words"] and got[k]["matched"] >= agree
+    assert {k: (r["n_words"], -r["first_word"], r["matched"]) for k, r in got.items()} == wanted
     # Awkward rows: a passage that a long text, a copy and a row without an id hold.
     long = max((r["text"] or "" for r in awkward.collect()), key=len).split()
     items = spark.createDataFrame([(1, " ".join(long[30_000:30_020])), (2, "no id"), (3, None)], "item_id long, text string")
@@ -231,6 +230,57 @@ def test_overlaps_equal_brute_force(spark, awkward):
     assert sorted(str(r["doc_id"]) for r in left.collect()).count("None") == 2 and left.where("doc_id = 9").count() == 1
 
 
+def test_overlaps_of_long_passages_equal_brute_force(spark):
+    """Passages of up to 2,000 words, with words replaced one by one or in one block, in the midst of documents, cut, repeated, and at block edges."""
+    rnd = np.random.default_rng(12)
+    say = lambda name, n: [f"{name}{x}" for x in rnd.integers(0, 500, n)]
+    lengths = (1, 13, 40, 129, 300, 600, 1000, 2000)
+    passages = [say(f"p{k}x", n) for k, n in enumerate(lengths)]
+    docs, wanted = [], {}
+    for k, item in enumerate(passages):
+        n = len(item)
+        for share, place in itertools.product((0.0, 0.08, 0.2), ("front", "middle", "end", "spread", "ends")):
+            many, doc = int(share * n), list(item)
+            at = {"front": range(many), "middle": range((n - many) // 2, (n - many) // 2 + many), "end": range(n - many, n), "spread": rnd.permutation(n)[:many], "ends": [*range(many // 2), *range(n - many + many // 2, n)]}[place]
+            for i in at:
+                doc[i] = "other"
+            before = say("d", int(rnd.integers(0, 1500)))
+            lo, hi = (0, n) if share else sorted(rnd.integers(0, n + 1, 2).tolist())
+            docs.append(before + doc[lo:hi] + say("e", 30))
+    docs += [passages[7] + ["x"] * 500 + passages[7][:1990], passages[6] * 3, ["y"] * 1017 + passages[3] + passages[4], passages[5][:300] + ["gone"] + passages[5][300:]]
+    for d, doc in enumerate(docs):
+        doc = np.array(doc, dtype=object)
+        for k, item in enumerate(passages):
+            places = collections.defaultdict(list)
+            for i, w in enumerate(item):
+                places[w].append(i)
+            shifts = {j - i for j, w in enumerate(doc) for i in places.get(w, ())}
+            item = np.array(item, dtype=object)
+            found = [(best[1], -(best[0] + s), best[2]) for s in shifts if (best := plain_longest(doc, item, s))]
+            if found:
+                wanted[d, k] = max(found)
+    items = spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(passages)], "item_id long, text string")
+    rows = spark.createDataFrame(rows_of([" ".join(t) for t in docs] * 2), SCHEMA).withColumn("doc_id", F.col("doc_id") % len(docs))
+    got = {(r["doc_id"], r["item_id"]): (r["n_words"], -r["first_word"], r["matched"]) for r in decontaminate.contaminations(rows, items).collect()}
+    assert got == wanted and len(got) > 100
+
+
+def plain_longest(doc, item, shift):
+    """As decontaminate.overlap, by counting each stretch's replaced words, longest stretches first."""
+    lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+    least = min(decontaminate.OVERLAP_WORDS, len(item))
+    same = np.array([doc[i + shift] == item[i] for i in range(lo, hi)], dtype=int)
+    sums = np.concatenate(([0], np.cumsum(same)))
+    if sums[-1] < 0.8 * least:
+        return None
+    for n in range(hi - lo, least - 1, -1):
+        agree = sums[n:] - sums[: len(sums) - n]
+        good = np.flatnonzero(5 * (n - agree) <= n)
+        if len(good):
+            return lo + int(good[0]), n, int(agree[good[0]])
+    return None
+
+
 def test_passages_without_an_id_of_their_own(spark):
     passages = [" ".join(f"{name}{i}" for i in range(20)) for name in ("a", "b", "c", "d")]
     items = spark.createDataFrame([(None, passages[0]), (1, passages[1]), (1, passages[2]), (None, passages[3]), (2, passages[2])], "item_id long, text string")
