@@ -5,13 +5,15 @@ and what it is made of (case, symbols, repetition, lengths of words and lines).
 The metadata view sees only what is recorded about the page (source, language,
 size). Each is a naive Bayes classifier over binned features, so that training
 is one sum of counts over all documents and a model is a small table. In each
-round a view labels the unlabelled documents that it is sure about for the
-other view's next training. Both are calibrated on labelled documents that
+round either view labels, for the other's next training, the unlabelled
+documents of each class that it is most sure of, unless the other is found to
+lose by it. Both are calibrated on labelled documents that
 neither is trained on, and their log-odds added.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,8 +34,11 @@ WORD_BINS = 2 << WORD_BITS
 #: One labelled document in so many is kept for calibration and never trained on.
 HELD_OUT = 4
 ROUNDS = 3
-#: A view labels documents for the other at this calibrated probability, or at 1 minus it.
-SURE = 0.99
+#: In its first exchange a view labels this share of the unlabelled documents for the other, divided between the classes as
+#: the known labels are: those that it is most sure of, by their calibrated probabilities. In later rounds as much again.
+EXCHANGED = 0.01
+#: A document counts as so many parts, which a probability divides between the classes.
+WHOLE = 1000
 #: Documents that each bin is taken to hold before any is counted.
 SMOOTHING = 0.5
 #: The same for bins of words, of which many are seen once by chance.
@@ -166,6 +171,8 @@ class View:
     curve: np.ndarray | None = None
 
     SPAN = 24
+    #: Places of the exchange for each of those of the calibration.
+    FINE = 16
 
     def train(self, counts: dict[str, np.ndarray], prior: np.ndarray) -> None:
         """counts[name][label, bin]; bins that were hardly seen say nothing."""
@@ -185,8 +192,8 @@ class View:
             total = total + (sums[stops] - sums[stops - sizes]) / np.sqrt(np.maximum(sizes, 1))
         return total
 
-    def place(self, columns: dict[str, np.ndarray]) -> np.ndarray:
-        return (np.clip(self.raw(columns), -self.SPAN + 0.5, self.SPAN - 0.5) + self.SPAN).astype(np.int64)
+    def place(self, columns: dict[str, np.ndarray], fine: int = 1) -> np.ndarray:
+        return ((np.clip(self.raw(columns), -self.SPAN + 0.5, self.SPAN - 0.5) + self.SPAN) * fine).astype(np.int64)
 
     def calibrate(self, counts: np.ndarray) -> None:
         """counts[label, place] of held-out documents -> log-odds that are linear in the sum, fitted by Newton steps.
@@ -212,6 +219,12 @@ class View:
         slope = max(slope, 0.0)
         self.curve = np.clip(slope * x + shift, -LIMIT, LIMIT)
 
+    def loss(self, counts: np.ndarray) -> tuple[float, float]:
+        """Mean logarithmic loss over counts[label, place] and its standard error; 0 of nothing."""
+        each, n = np.log1p(np.exp(np.stack([self.curve, -self.curve]))), max(counts.sum(), 1)
+        mean = float((counts * each).sum() / n)
+        return mean, math.sqrt(max(float((counts * each**2).sum() / n) - mean**2, 0.0) / n)
+
     def log_odds(self, columns: dict[str, np.ndarray]) -> np.ndarray:
         return self.curve[self.place(columns)]
 
@@ -230,14 +243,50 @@ def _columns(batch: pa.RecordBatch) -> dict:
     return plain | {"words": _unpacked(batch.column("words"))}
 
 
-def _told(columns: dict, other: View, sure: float) -> np.ndarray:
-    """The labels that a view trains on: the known ones but those held out, and what the other view is sure of; -1 elsewhere."""
-    label = np.where(columns["held"], -1, columns["label"])
-    if other.curve is None:
-        return label
-    p = _probability(other.log_odds(columns))
-    unknown = columns["label"] < 0
-    return np.where(unknown & (p >= sure), 1, np.where(unknown & (p <= 1 - sure), 0, label))
+@dataclass
+class Picks:
+    """What a view calls bad and good: places up to `low` and from `high` on, how many documents lie there, and what each counts."""
+
+    low: int
+    high: int
+    many: tuple[int, int]
+    weights: tuple[float, float]
+
+
+def _told(columns: dict, other: View, picks: Picks | None, trust: float) -> np.ndarray:
+    """What a view trains on, as parts [bad, good] of WHOLE for each row: known labels but those held out, and, where the other
+    view is asked, its calibrated probabilities of what it picks, as far as it is trusted; 0 elsewhere."""
+    told = np.stack([(columns["label"] == y) & ~columns["held"] for y in (0, 1)]) * WHOLE
+    if picks:
+        place, unknown = other.place(columns, View.FINE), columns["label"] < 0
+        weight = np.where(place <= picks.low, picks.weights[0], np.where(place >= picks.high, picks.weights[1], 0.0))
+        good = _probability(other.log_odds(columns))
+        told += np.where(unknown, np.round(WHOLE * trust * weight * np.stack([1 - good, good])).astype(np.int64), 0)
+    return told
+
+
+def _entropy(counts: np.ndarray) -> float:
+    """The mean logarithmic loss of who only knows how many of each label there are."""
+    share = counts[counts > 0] / max(counts.sum(), 1)
+    return float(-(share * np.log(share)).sum())
+
+
+def picks_of(pool: np.ndarray, share: float, good: float) -> Picks:
+    """pool[place] counts the unlabelled documents of each score.
+
+    From either end whole places are taken up to the class's part of the share.
+    The outermost one that holds any is taken in any case, but never more than
+    half of the pool; documents beyond the part count less, so that together
+    they count as so many.
+    """
+    total, ends = int(pool.sum()), []
+    for part, counts in ((1 - good, pool), (good, pool[::-1])):
+        sums, most = np.cumsum(counts), share * part * total
+        last = int(np.searchsorted(sums, max(most, sums[np.flatnonzero(counts)[0]] if total else 0), side="right")) - 1
+        many = int(sums[last]) if total and 2 * sums[last] <= total else 0
+        ends.append((last, many, min(1.0, most / many)) if many else (-1, 0, 0.0))
+    (low, bad, less), (high, fine, more) = ends
+    return Picks(low, len(pool) - 1 - high, (bad, fine), (less, more))
 
 
 def _summed(table: DataFrame, count, cells: int) -> np.ndarray:
@@ -256,44 +305,96 @@ def _summed(table: DataFrame, count, cells: int) -> np.ndarray:
     return out
 
 
-def co_train(table: DataFrame, rounds: int = ROUNDS, sure: float = SURE) -> tuple[View, View, float]:
-    """Both views and the prior log-odds from features with columns `label` (1, 0, or -1 where unknown) and `held`.
-
-    Two jobs a round: counts of both views' bins under the labels that the
-    other view tells, then counts of the held-out documents' scores.
+@dataclass
+class Exchange:
+    """What a view said to the other in one round: how many documents it called bad and good, whether the other kept to it, and its loss then."""
+
+    round: int
+    teacher: str
+    bad: int
+    good: int
+    kept: bool
+    loss: float
+
+
+def co_train(table: DataFrame, rounds: int = ROUNDS, share: float = EXCHANGED) -> tuple[View, View, float, list[Exchange]]:
+    """Both views, the prior log-odds and what was exchanged, from features with columns `label` (1, 0, or -1 where unknown) and `held`.
+
+    The first round trains on the known labels. In each further one either view
+    labels, for the other, the unlabelled documents that it is most sure of (by
+    class, share of them a round); such a label counts as much as the teacher
+    explains of the held-out documents' labels (1 less its loss over that of
+    their share), so that a view that knows little says little. A view whose loss on the held-out documents
+    such labels raise by more than the standard error of what it was without
+    any stays as it was and asks no more. Three jobs a round: a
+    histogram of the unlabelled documents' scores, counts of both views' bins
+    under the labels told, and counts of the held-out documents' scores.
     """
-    content, metadata = views = View(VIEWS[0]), View(VIEWS[1])
+    views = [View(names) for names in VIEWS]
     stops = np.cumsum([0] + [2 * width for _, _, width in _WIDTHS]).tolist()
-    prior = np.ones(2)
-
-    def bins(columns: dict, sums: np.ndarray) -> None:
-        labels = [_told(columns, other, sure) for other in (metadata, content)]
-        for (view, name, width), at in zip(_WIDTHS, stops, strict=False):
-            label = labels[view]
-            if name == "words":
-                found, sizes = columns["words"]
-                label = np.repeat(label, sizes)
-            else:
+    places, prior = 2 * View.SPAN, np.ones(2)
+
+    def counted(picks: list[Picks | None], models: list[View]) -> list[dict[str, np.ndarray]]:
+        def bins(columns: dict, sums: np.ndarray) -> None:
+            told = [_told(columns, models[1 - view], picks[view], trust[1 - view]) for view in range(2)]
+            for (view, name, width), at in zip(_WIDTHS, stops, strict=False):
                 found = columns[name]
-            use = label >= 0
-            sums[at : at + 2 * width] += np.bincount(label[use] * width + found[use], minlength=2 * width)
+                for label, parts in enumerate(told[view]):
+                    some = parts > 0
+                    if name == "words":
+                        some, parts = (np.repeat(x, found[1]) for x in (some, parts))
+                    bins_of = found[0] if name == "words" else found
+                    sums[at + label * width : at + (label + 1) * width] += np.bincount(bins_of[some], weights=parts[some], minlength=width).astype(np.int64)
+
+        counts = _summed(table, bins, stops[-1]) / WHOLE
+        return [{name: counts[lo:hi].reshape(2, -1) for (owner, name, _), lo, hi in zip(_WIDTHS, stops[:-1], stops[1:], strict=True) if owner == view} for view in range(2)]
 
-    def places(columns: dict, sums: np.ndarray) -> None:
-        for view in range(2):
-            at = view * 4 * View.SPAN
-            sums[at : at + 4 * View.SPAN] += np.bincount(columns["label"] * 2 * View.SPAN + views[view].place(columns), minlength=4 * View.SPAN)
+    def held(models: list[View]) -> np.ndarray:
+        def scored(columns: dict, sums: np.ndarray) -> None:
+            for view, model in enumerate(models):
+                sums[view * 2 * places : (view + 1) * 2 * places] += np.bincount(columns["label"] * places + model.place(columns), minlength=2 * places)
 
+        return _summed(table.where("held"), scored, 4 * places).reshape(2, 2, places)
+
+    def pools(models: list[View]) -> np.ndarray:
+        fine = places * View.FINE
+
+        def scored(columns: dict, sums: np.ndarray) -> None:
+            unknown = columns["label"] < 0
+            for view, model in enumerate(models):
+                sums[view * fine : (view + 1) * fine] += np.bincount(model.place(columns, View.FINE)[unknown], minlength=fine)
+
+        return _summed(table, scored, 2 * fine).reshape(2, fine)
+
+    bounds, trust, asking, said = [0.0, 0.0], [0.0, 0.0], [True, True], []
     for at in range(rounds):
-        counts = _summed(table, bins, stops[-1])
-        by_name = [counts[lo:hi].reshape(2, -1) for lo, hi in zip(stops[:-1], stops[1:], strict=True)]
-        if at == 0:
-            prior = by_name[0].sum(axis=1) + 1
-        for view, model in enumerate(views):
-            model.train({name: table_ for (owner, name, _), table_ in zip(_WIDTHS, by_name, strict=True) if owner == view}, prior / prior.sum())
-        found = _summed(table.where("held"), places, 8 * View.SPAN).reshape(2, 2, -1)
-        for model, seen in zip(views, found, strict=True):
-            model.calibrate(seen)
-    return content, metadata, float(np.log(prior[1] / prior[0]))
+        picks: list[Picks | None] = [None, None]
+        if at:
+            found = [picks_of(pool, share * at, prior[1] / prior.sum()) for pool in pools(views)]
+            for view in range(2):
+                asking[view] = bool(asking[view] and trust[1 - view] and sum(found[1 - view].many))
+                picks[view] = found[1 - view] if asking[view] else None
+            if not any(asking):
+                break
+        counts = counted(picks, views)
+        if not at:
+            prior = counts[0]["upper"].sum(axis=1) + 1
+        trained = [View(names) for names in VIEWS]
+        for model, bins_of in zip(trained, counts, strict=True):
+            model.train(bins_of, prior / prior.sum())
+        seen = held(trained)
+        for view, model in enumerate(trained):
+            model.calibrate(seen[view])
+            loss, error = model.loss(seen[view])
+            if not at:
+                views[view], bounds[view] = model, loss + error
+                trust[view] = max(0.0, 1 - loss / entropy) if (entropy := _entropy(seen[view].sum(axis=1))) else 0.0
+            elif asking[view]:
+                asking[view] = loss <= bounds[view]
+                said.append(Exchange(at, ("metadata", "content")[view], *picks[view].many, asking[view], loss))
+                if asking[view]:
+                    views[view] = model
+    return views[0], views[1], float(np.log(prior[1] / prior[0])), said
 
 
 def _trained(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, rounds: int, columns: dict) -> tuple[DataFrame, tuple[View, View, float]]:
@@ -307,7 +408,7 @@ def _trained(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, ro
     drawn = F.pmod(F.xxhash64(F.lit("held out"), "id"), F.lit(HELD_OUT)) == 0
     table = known.withColumn("label", F.coalesce("label", F.lit(-1))).withColumn("held", (F.col("label") >= 0) & drawn)
     table = space.write(table, "features")
-    return table, co_train(table, rounds)
+    return table, co_train(table, rounds)[:3]
 
 
 def _scores(found: dict, content: View, metadata: View, prior: float) -> list[np.ndarray]:

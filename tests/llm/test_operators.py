@@ -451,51 +451,77 @@ def plain_features(r, hashed):
 
 def plain_co_training(rows, label, held):
     """(p_content, p_metadata, score) of each row by one machine's loops; label and held by row."""
-    span, views = quality.View.SPAN, quality.VIEWS
-    curves, odds, prior = [None, None], [{}, {}], None
-    raw = lambda v, f: sum(odds[v][n][f[n]] for n in views[v] if n != "words") + (sum(odds[v]["words"][w] for w in f["words"]) / max(len(f["words"]), 1) ** 0.5 if "words" in views[v] else 0.0)
-    place = lambda v, f: int(min(max(raw(v, f), 0.5 - span), span - 0.5) + span)
+    span, views, fine = quality.View.SPAN, quality.VIEWS, quality.View.FINE
     sigmoid = lambda x: 1 / (1 + np.exp(-x))
-    for turn in range(quality.ROUNDS):
-        told = []
+    free = [i for i, y in enumerate(label) if y < 0]
+
+    def place(v, odds, f, many=1):
+        raw = sum(odds[n][f[n]] for n in views[v] if n != "words") + (sum(odds["words"][w] for w in f["words"]) / max(len(f["words"]), 1) ** 0.5 if "words" in views[v] else 0.0)
+        return int((min(max(raw, 0.5 - span), span - 0.5) + span) * many)
+
+    def picks(v, odds, many, y):
+        """The unlabelled rows that view v calls y: whole places from the outside in."""
+        groups = collections.defaultdict(list)
+        for i in free:
+            groups[place(v, odds, rows[i], fine)].append(i)
+        found = []
+        for k in sorted(groups, reverse=y == 1):
+            if found and len(found) + len(groups[k]) > many:
+                break
+            found += groups[k]
+        return {i: min(1.0, many / len(found)) for i in found} if 2 * len(found) <= len(free) else {}
+
+    def trained(v, told, weight):
+        odds = {}
+        for name in views[v]:
+            counts = np.zeros((2, quality.WORD_BINS if name == "words" else quality.BINS))
+            for f, y in zip(rows, told):
+                for b in f[name] if name == "words" else [f[name]]:
+                    counts[:, b] += y
+            counts += (quality.WORD_SMOOTHING if name == "words" else quality.SMOOTHING) * weight[:, None]
+            odds[name] = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+        seen = [(place(v, odds, f), y) for f, y, h in zip(rows, label, held) if h]
+        good, bad = sum(y for _, y in seen), sum(1 - y for _, y in seen)
+        aims = [(k - span + 0.5, (good + 1) / (good + 2) if y else 1 / (bad + 2)) for k, y in seen]
+        slope, shift = 0.0, np.log((good + 1) / (bad + 1))
+        for _ in range(50):
+            g, c = np.array([-quality.RIDGE * slope, 0.0]), np.array([[quality.RIDGE, 0.0], [0.0, 1e-9]])
+            for x, aim in aims:
+                p = sigmoid(np.clip(slope * x + shift, -40, 40))
+                g += np.array([x, 1]) * (aim - p)
+                c += p * (1 - p) * np.array([[x * x, x], [x, 1]])
+            slope, shift = np.array([slope, shift]) + np.linalg.solve(c, g)
+        curve = [min(max(max(slope, 0.0) * (k - span + 0.5) + shift, -quality.LIMIT), quality.LIMIT) for k in range(2 * span)]
+        losses = [-np.log(sigmoid(curve[k] if y else -curve[k])) for k, y in seen] or [0.0]
+        return odds, curve, np.mean(losses), np.std(losses) / len(losses) ** 0.5
+
+    known = [np.array([y == 0, y == 1]) * float(not h) for y, h in zip(label, held)]
+    prior = sum(known) + 1.0
+    weight = prior / prior.sum()
+    now = [trained(v, known, weight) for v in range(2)]
+    bounds, asking = [m[2] + m[3] for m in now], [True, True]
+    share = np.mean([y for y, h in zip(label, held) if h] or [0.0])
+    trust = [max(0.0, 1 - m[2] / -(share * np.log(share) + (1 - share) * np.log(1 - share))) if 0 < share < 1 else 0.0 for m in now]
+    for turn in range(1, quality.ROUNDS):
+        new = list(now)
         for v in range(2):
-            known = [y if y >= 0 and not h else -1 for y, h in zip(label, held)]
-            if curves[1 - v] is not None:
-                for i, f in enumerate(rows):
-                    p = sigmoid(curves[1 - v][place(1 - v, f)])
-                    if label[i] < 0 and (p >= quality.SURE or p <= 1 - quality.SURE):
-                        known[i] = int(p >= quality.SURE)
-            told.append(known)
-        if turn == 0:
-            prior = np.array([told[0].count(0) + 1.0, told[0].count(1) + 1.0])
-        weight = prior / prior.sum()
-        new = [{}, {}]
-        for v in range(2):
-            for name in views[v]:
-                counts = np.zeros((2, quality.WORD_BINS if name == "words" else quality.BINS))
-                for f, y in zip(rows, told[v]):
-                    for b in f[name] if name == "words" else [f[name]]:
-                        if y >= 0:
-                            counts[y, b] += 1
-                counts += (quality.WORD_SMOOTHING if name == "words" else quality.SMOOTHING) * weight[:, None]
-                new[v][name] = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-        odds[:] = new
-        for v in range(2):
-            seen = [(place(v, f) - span + 0.5, y) for f, y, h in zip(rows, label, held) if h]
-            good, bad = sum(y for _, y in seen), sum(1 - y for _, y in seen)
-            aims = [(x, (good + 1) / (good + 2) if y else 1 / (bad + 2)) for x, y in seen]
-            slope, shift = 0.0, np.log((good + 1) / (bad + 1))
-            for _ in range(50):
-                g, c = np.array([-quality.RIDGE * slope, 0.0]), np.array([[quality.RIDGE, 0.0], [0.0, 1e-9]])
-                for x, aim in aims:
-                    p = sigmoid(np.clip(slope * x + shift, -40, 40))
-                    g += np.array([x, 1]) * (aim - p)
-                    c += p * (1 - p) * np.array([[x * x, x], [x, 1]])
-                slope, shift = np.array([slope, shift]) + np.linalg.solve(c, g)
-            curves[v] = [min(max(max(slope, 0.0) * (k - span + 0.5) + shift, -quality.LIMIT), quality.LIMIT) for k in range(2 * span)]
+            teacher = now[1 - v][0]
+            bad, good = (picks(1 - v, teacher, quality.EXCHANGED * turn * weight[y] * len(free), y) for y in (0, 1))
+            asking[v] = asking[v] and trust[1 - v] > 0 and bool(bad or good)
+            if asking[v]:
+                told = list(known)
+                for i, part in (bad | good).items():
+                    p = sigmoid(now[1 - v][1][place(1 - v, teacher, rows[i])])
+                    told[i] = np.round(quality.WHOLE * trust[1 - v] * part * np.array([1 - p, p])) / quality.WHOLE
+                model = trained(v, told, weight)
+                asking[v] = model[2] <= bounds[v]
+                new[v] = model if asking[v] else now[v]
+        now = new
+    curves = [m[1] for m in now]
+    place_of = lambda v, f: place(v, now[v][0], f)
     out = []
     for f in rows:
-        one, two = (curves[v][place(v, f)] for v in range(2))
+        one, two = (curves[v][place_of(v, f)] for v in range(2))
         out.append((sigmoid(one), sigmoid(two), sigmoid(one + two - np.log(prior[1] / prior[0]))))
     return out
 
@@ -514,6 +540,33 @@ def test_quality_equals_a_plain_version(docs, spark, data, awkward):
     assert all(g[1:] == pytest.approx(w[1:], abs=1e-6) for g, w in zip(sorted(got, key=lambda g: (g[0] is None, g)), sorted(wanted, key=lambda g: (g[0] is None, g))))
 
 
+def test_views_teach_each_other(spark, monkeypatch):
+    """Either view labels documents for the other and is kept to; scores change by it and are no worse on held-out documents than without."""
+    folder, seen = "/root/testdata/sf0.01", []
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    plain = quality.co_train
+    monkeypatch.setattr(quality, "co_train", lambda table, *a: seen.append((table, plain(table, *a))) or seen[-1][1])
+    found = [{r["doc_id"]: r for r in quality.quality_scores(docs, labels, rounds=n).collect()} for n in (1, quality.ROUNDS)]
+    assert not seen[0][1][3]
+    said = seen[1][1][3]
+    for teacher in ("content", "metadata"):
+        assert any(x.kept and x.bad + x.good > 0 for x in said if x.teacher == teacher), said
+    assert any(x.bad for x in said) and any(x.good for x in said)
+    for column in ("p_content", "p_metadata"):
+        assert any(abs(found[0][i][column] - found[1][i][column]) > 1e-6 for i in found[0])
+    held = [(r["id"], r["label"]) for r in seen[1][0].where("held").collect()]
+    loss = [np.array([-np.log(max(f[i]["score"] if y else 1 - f[i]["score"], 1e-9)) for i, y in held]) for f in found]
+    assert loss[1].mean() <= loss[0].mean() + loss[0].std() / len(held) ** 0.5
+
+
+def test_picks_are_whole_places_from_either_end():
+    pool = np.array([0, 3, 0, 5, 80, 6, 4, 2, 0])
+    assert quality.picks_of(pool, 0.5, 0.2) == quality.Picks(3, 6, (8, 6), (1.0, 1.0))
+    assert quality.picks_of(pool, 0.02, 0.5) == quality.Picks(2, 7, (3, 2), (1 / 3, 0.5))
+    for pool in (np.array([0, 9, 0]), np.zeros(3, int)):
+        assert quality.picks_of(pool, 0.5, 0.5) == quality.Picks(-1, 3, (0, 0), (0.0, 0.0))
+
+
 def test_quality_of_awkward_rows(awkward, spark):
     labels = spark.createDataFrame([(5, 1, 0), (5, 0, 0), (None, 1, 0), (9, None, None)], "doc_id long, quality int, toxic int")
     rows = quality.quality_scores(awkward, labels).collect()
