@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quillspar.functions.scoring import BANDS, band_rank
 from quillspar.operators.aggregates import closed_histogram, merged_edges
-from quillspar.operators.closure import MAX_DEPTH, induced, reverse_closure, two_tier_closure
+from quillspar.operators.closure import MAX_DEPTH, induced, reach, reverse_closure, two_tier_closure
 from quillspar.plans.migration import changes, track
+from quillspar.session import Workspace
 
 _EVIDENCE = ["file", "line", "text", "spec"]
 _SELECTABLE = ("algorithm", "library", "finding", "file")
@@ -33,8 +34,13 @@ def relevant(edges: DataFrame, crypto_files: DataFrame) -> DataFrame:
 
 
 def edges(findings: DataFrame, imports: DataFrame) -> DataFrame:
-    """All edges (type, source, target, confirmed, basis, evidence_count, evidence), each once."""
-    f = F.col
+    """All edges (type, source, target, confirmed, basis, evidence_count, evidence), each once.
+
+    The graph is written: whatever is asked of it reads one table, and neither
+    the findings nor the imports are computed again.
+    """
+    f, space = F.col, Workspace(findings.sparkSession)
+    findings = space.write(findings.select("id", "file", "line_start", "evidence", "api", "rule_id", "algorithm", "library", "service"), "findings")
     ident = F.concat(F.lit("finding:"), "id")
     here = lambda kind, source, target, basis: findings.select(F.lit(kind).alias("type"), source.alias("source"), target.alias("target"), F.lit(True).alias("confirmed"), basis.alias("basis"), "file", f("line_start").alias("line"), f("evidence").alias("text"), F.lit("").alias("spec"))
     used = F.coalesce("api", "rule_id")
@@ -46,41 +52,94 @@ def edges(findings: DataFrame, imports: DataFrame) -> DataFrame:
         imports.where("crypto_library IS NOT NULL").select(F.lit("IMPORTS").alias("type"), F.concat(F.lit("file:"), "file").alias("source"), F.concat(F.lit("library:"), "crypto_library").alias("target"), F.lit(True).alias("confirmed"), F.concat(F.lit("import of "), "spec").alias("basis"), "file", "line", f("evidence").alias("text"), "spec"),
     ]
     crypto = findings.select(f("file").alias("node")).union(imports.where("crypto_library IS NOT NULL").select("file")).distinct()
-    between = relevant(import_edges(imports), crypto)
+    between = relevant(space.write(import_edges(imports), "imports"), crypto)
     parts.append(between.select(F.lit("IMPORTS").alias("type"), F.concat(F.lit("file:"), "source").alias("source"), F.concat(F.lit("file:"), "target").alias("target"), "confirmed", "basis", "file", "line", "text", "spec"))
     rows = reduce(DataFrame.unionByName, parts)
-    return merged_edges(rows, ["type", "source", "target"], "confirmed", "basis", "line", _EVIDENCE)
+    return space.write(merged_edges(rows, ["type", "source", "target"], "confirmed", "basis", "line", _EVIDENCE), "edges")
 
 
 def nodes(findings: DataFrame, graph_edges: DataFrame) -> DataFrame:
-    """(node, type, label, findings, vulnerable, worst_band): every end of an edge, with roll-ups of its findings."""
-    ends = graph_edges.select(F.col("source").alias("node")).union(graph_edges.select("target")).distinct()
+    """(node, type, label, findings, vulnerable, worst_band, importers): every end of an edge, with roll-ups of its findings and the files that import it.
+
+    Edges are distinct, so importers are counted where edges are, in partial
+    sums: no task gets all importers of a hub.
+    """
+    imported = F.col("type") == "IMPORTS"
+    ends = graph_edges.select(F.explode(F.array(F.struct(F.col("source").alias("node"), F.lit(0).alias("n")), F.struct(F.col("target").alias("node"), imported.cast("int").alias("n")))).alias("e"))
+    ends = ends.groupBy("e.node").agg(F.sum("e.n").alias("importers"))
     of = F.explode(F.array(F.concat(F.lit("file:"), "file"), F.concat(F.lit("algorithm:"), "algorithm"), F.concat(F.lit("library:"), "library"), F.concat(F.lit("finding:"), "id")))
     rows = findings.select(of.alias("node"), "quantum_vulnerable", band_rank(F.col("band")).alias("rank")).where("node IS NOT NULL")
     sums = rows.groupBy("node").agg(F.count("*").alias("findings"), F.count_if("quantum_vulnerable").alias("vulnerable"), F.element_at(F.array(*map(F.lit, BANDS)), F.max("rank").cast("int") + 1).alias("worst_band"))
     named = ends.withColumn("type", F.substring_index("node", ":", 1)).withColumn("label", F.expr("substring(node, length(type) + 2)"))
-    return named.join(sums, "node", "left").fillna(0, ["findings", "vulnerable"])
+    return named.join(sums, "node", "left").fillna(0, ["findings", "vulnerable"]).select("node", "type", "label", "findings", "vulnerable", "worst_band", "importers")
 
 
 class NotSelectable(ValueError):
     """Only algorithms, libraries, findings and files have a blast radius."""
 
 
+def impact_seeds(graph_edges: DataFrame, kinds: tuple[str, ...] = ("algorithm", "library")) -> DataFrame:
+    """(seed, node): the files that each node of such kinds touches directly; a library's are also those that import it, a file's is itself."""
+    if unknown := set(kinds) - set(_SELECTABLE):
+        raise NotSelectable(", ".join(sorted(unknown)))
+    f, kind = F.col, F.substring_index("seed", ":", 1)
+    holds = graph_edges.where("type = 'CONTAINS' AND target LIKE 'finding:%'").select(f("target").alias("finding"), f("source").alias("node"))
+    uses = graph_edges.where("type = 'USES'").select(f("target").alias("seed"), f("source").alias("finding"))
+    parts = [
+        uses.where(kind.isin(*kinds)).join(holds, "finding").select("seed", "node"),
+        graph_edges.where("type = 'IMPORTS'").select(f("target").alias("seed"), f("source").alias("node")).where((kind == "library") & kind.isin(*kinds)),
+        holds.select(f("finding").alias("seed"), "node").where(kind.isin(*kinds)),
+        graph_edges.select(F.explode(F.array("source", "target")).alias("seed")).where((kind == "file") & kind.isin(*kinds)).select("seed", f("seed").alias("node")),
+    ]
+    return reduce(DataFrame.union, parts).distinct()
+
+
+def _file_imports(graph_edges: DataFrame) -> DataFrame:
+    return graph_edges.where("type = 'IMPORTS' AND target LIKE 'file:%'")
+
+
+def impacts(graph_edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(seed, node, depth, confirmed) of what every seed's node touches, in one closure, and (seed) of those whose depth was capped.
+
+    seeds has (seed, node), see impact_seeds. What confirmed imports alone
+    reach is confirmed and has its depth from those.
+    """
+    found, capped = reach(_file_imports(graph_edges), seeds, confirmed="confirmed", max_depth=max_depth)
+    return found.select("seed", "node", F.coalesce("sure_depth", "depth").alias("depth"), F.col("sure_depth").isNotNull().alias("confirmed")), capped
+
+
+def impact_summaries(graph_edges: DataFrame, findings: DataFrame, services: DataFrame, kinds: tuple[str, ...] = ("algorithm", "library"), max_depth: int = MAX_DEPTH) -> DataFrame:
+    """One row for each node of such kinds: what its blast radius holds; services has (node, service).
+
+    seed, direct_files, indirect_files, indirect_confirmed, indirect_inferred,
+    direct_services and indirect_services (those without a direct file),
+    components (both), max_depth, depth_capped, findings, vulnerable, hndl.
+    """
+    space = Workspace(graph_edges.sparkSession)
+    seeds = space.write(impact_seeds(graph_edges, kinds), "seeds")
+    reached, capped = impacts(graph_edges, seeds, max_depth)
+    deep, sure = F.col("depth") > 0, F.col("confirmed")
+    # A seed's files are summed by service first, so that services are counted once and a hub's files don't meet in one task.
+    by_service = reached.join(services, "node", "left").groupBy("seed", "service").agg(
+        F.count_if(~deep).alias("direct"), F.count_if(deep & sure).alias("certain"), F.count_if(deep & ~sure).alias("inferred"), F.max("depth").alias("depth"),
+    )
+    named = F.col("service").isNotNull()
+    files = by_service.groupBy("seed").agg(
+        F.sum("direct").alias("direct_files"), F.sum(F.col("certain") + F.col("inferred")).alias("indirect_files"), F.sum("certain").alias("indirect_confirmed"), F.sum("inferred").alias("indirect_inferred"),
+        F.count_if(named & (F.col("direct") > 0)).alias("direct_services"), F.count_if(named & (F.col("direct") == 0)).alias("indirect_services"), F.count_if(named).alias("components"), F.max("depth").alias("max_depth"),
+    )
+    of = F.explode(F.array(*[F.concat(F.lit(f"{k}:"), F.col("id" if k == "finding" else k)) for k in kinds]))
+    counts = findings.select(of.alias("seed"), "quantum_vulnerable", F.coalesce("hndl", F.lit(False)).alias("hndl")).where("seed IS NOT NULL")
+    counts = counts.groupBy("seed").agg(F.count("*").alias("findings"), F.count_if("quantum_vulnerable").alias("vulnerable"), F.count_if("hndl").alias("hndl"))
+    rows = files.join(counts, "seed", "left").join(capped.withColumn("depth_capped", F.lit(True)), "seed", "left")
+    return rows.fillna(0, ["findings", "vulnerable", "hndl"]).fillna(False, ["depth_capped"])
+
+
 def impact(graph_edges: DataFrame, node: str, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, bool]:
     """(file, depth, confirmed, path) of what a node touches: depth 0 directly, deeper through imports; and whether depth was capped."""
     kind = node.split(":", 1)[0]
-    if kind not in _SELECTABLE:
-        raise NotSelectable(node)
-    uses = graph_edges.where((F.col("type") == "USES") & (F.col("target") == node)).select(F.col("source").alias("target"))
-    holds = graph_edges.where("type = 'CONTAINS'").join(uses, "target", "left_semi").select(F.col("source").alias("node"))
-    if kind == "finding":
-        holds = graph_edges.where((F.col("type") == "CONTAINS") & (F.col("target") == node)).select(F.col("source").alias("node"))
-    if kind == "library":
-        holds = holds.union(graph_edges.where((F.col("type") == "IMPORTS") & (F.col("target") == node)).select("source"))
-    if kind == "file":
-        holds = graph_edges.sparkSession.createDataFrame([(node,)], "node string")
-    files = graph_edges.where("type = 'IMPORTS' AND target LIKE 'file:%'")
-    return two_tier_closure(files, holds, "confirmed", max_depth=max_depth, paths=True)
+    holds = graph_edges.sparkSession.createDataFrame([(node,)], "node string") if kind == "file" else impact_seeds(graph_edges, (kind,)).where(F.col("seed") == node).select("node")
+    return two_tier_closure(_file_imports(graph_edges), holds, "confirmed", max_depth=max_depth, paths=True)
 
 
 def impact_summary(reached: DataFrame, services: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def matches(scannable: DataFrame, rules: DataFrame, entries: DataFrame, mentions
     if refinements is not None:
         better = code.refined(hits, refinements).select("file", "at", "rule_id", F.col("operation").alias("_refined"))
         rows = rows.join(better, ["file", "at", "rule_id"], "left").withColumn("operation", F.coalesce("_refined", "operation"))
-    parts.append(plan.as_matches(rows.withColumn("evidence", T.evidence(F.col("found")))))
+    parts.append(plan.as_matches(rows.withColumn("evidence", T.evidence(F.col("call")))))
     if as_of is not None:
         parts.append(plan.as_matches(certificates.certificate_matches(certificates.read_certificates(scannable), as_of)))
     if mentions is not None:

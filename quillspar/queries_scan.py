@@ -335,11 +335,12 @@ def q75_graph_edges(spark, sf_dir):
 
 
 @query(_w("""SELECT n.node, split_part(n.node, ':', 1) AS type, coalesce(count(l.id), 0) AS findings, count(*) FILTER (l.quantum_vulnerable) AS vulnerable,
-    CASE max(CASE l.band WHEN 'Critical' THEN 3 WHEN 'High' THEN 2 WHEN 'Review' THEN 1 WHEN 'Informational' THEN 0 END) WHEN 3 THEN 'Critical' WHEN 2 THEN 'High' WHEN 1 THEN 'Review' WHEN 0 THEN 'Informational' END AS worst_band
+    CASE max(CASE l.band WHEN 'Critical' THEN 3 WHEN 'High' THEN 2 WHEN 'Review' THEN 1 WHEN 'Informational' THEN 0 END) WHEN 3 THEN 'Critical' WHEN 2 THEN 'High' WHEN 1 THEN 'Review' WHEN 0 THEN 'Informational' END AS worst_band,
+    (SELECT count(DISTINCT source) FROM ge WHERE type = 'IMPORTS' AND ge.target = n.node) AS importers
     FROM (SELECT source AS node FROM ge UNION SELECT target FROM ge) n LEFT JOIN live l ON n.node IN ('file:' || l.file, 'algorithm:' || l.algorithm, 'library:' || l.library, 'finding:' || l.id) GROUP BY n.node""", _SQL_IMPORTS, _SQL_EDGES))
 def q76_graph_nodes(spark, sf_dir):
     live, edges = _edges(spark, sf_dir)
-    return graph.nodes(live, edges).select("node", "type", "findings", "vulnerable", "worst_band")
+    return graph.nodes(live, edges).drop("label")
 
 
 _SQL_IMPACT = """
@@ -362,6 +363,27 @@ def q78_blast_summary(spark, sf_dir):
     return graph.impact_summary(reached, reached.select("node", F.substring_index("node", "/", 1).alias("service")))
 
 
+_SQL_IMPACTS = """
+    sd AS (SELECT DISTINCT u.target AS seed, c.source AS node FROM ge c JOIN ge u ON u.source = c.target WHERE c.type = 'CONTAINS' AND u.type = 'USES' UNION SELECT target, source FROM ge WHERE type = 'IMPORTS' AND starts_with(target, 'library:')),
+    fi AS (SELECT source, target, confirmed FROM ge WHERE type = 'IMPORTS' AND starts_with(target, 'file:')),
+    xa AS (SELECT seed, node, 0 AS depth FROM sd UNION SELECT xa.seed, fi.source, xa.depth + 1 FROM xa JOIN fi ON fi.target = xa.node WHERE xa.depth < 4),
+    xs AS (SELECT seed, node, 0 AS depth FROM sd UNION SELECT xs.seed, fi.source, xs.depth + 1 FROM xs JOIN fi ON fi.target = xs.node AND fi.confirmed WHERE xs.depth < 4),
+    xe AS (SELECT a.seed, a.node, coalesce(s.depth, a.depth) AS depth, s.node IS NOT NULL AS confirmed FROM (SELECT seed, node, min(depth) AS depth FROM xa GROUP BY seed, node) a LEFT JOIN (SELECT seed, node, min(depth) AS depth FROM xs GROUP BY seed, node) s ON s.seed = a.seed AND s.node = a.node),
+    xc AS (SELECT DISTINCT a.seed FROM xa a JOIN fi ON fi.target = a.node LEFT JOIN xa b ON b.seed = a.seed AND b.node = fi.source WHERE b.node IS NULL),
+    xd AS (SELECT seed, split_part(split_part(node, ':', 2), '/', 1) AS service, bool_or(depth = 0) AS direct FROM xe GROUP BY 1, 2)"""
+
+
+@query(_w("""SELECT xe.seed, count(*) FILTER (depth = 0) AS direct_files, count(*) FILTER (depth > 0) AS indirect_files, count(*) FILTER (depth > 0 AND confirmed) AS indirect_confirmed, count(*) FILTER (depth > 0 AND NOT confirmed) AS indirect_inferred,
+    (SELECT count(*) FROM xd WHERE xd.seed = xe.seed AND direct) AS direct_services, (SELECT count(*) FROM xd WHERE xd.seed = xe.seed AND NOT direct) AS indirect_services, (SELECT count(*) FROM xd WHERE xd.seed = xe.seed) AS components, max(depth) AS max_depth,
+    (SELECT count(*) FROM live WHERE xe.seed IN ('algorithm:' || algorithm, 'library:' || library)) AS findings, (SELECT count(*) FROM live WHERE xe.seed IN ('algorithm:' || algorithm, 'library:' || library) AND quantum_vulnerable) AS vulnerable,
+    (SELECT count(*) FROM live WHERE xe.seed IN ('algorithm:' || algorithm, 'library:' || library) AND hndl) AS hndl, xe.seed IN (SELECT seed FROM xc) AS depth_capped FROM xe GROUP BY xe.seed""", _SQL_IMPORTS, _SQL_EDGES, _SQL_IMPACTS))
+def q110_blast_summaries(spark, sf_dir):
+    live, edges = _edges(spark, sf_dir)
+    files = edges.select(F.explode(F.array("source", "target")).alias("node")).where("node LIKE 'file:%'").distinct()
+    services = files.withColumn("service", F.substring_index(F.substring_index("node", ":", -1), "/", 1))
+    return graph.impact_summaries(edges, live, services, max_depth=4)
+
+
 @query(_w("""SELECT count(*) AS nodes, count(*) FILTER (t = 'service') AS service_nodes, count(*) FILTER (t = 'file') AS file_nodes, count(*) FILTER (t = 'finding') AS finding_nodes, count(*) FILTER (t = 'algorithm') AS algorithm_nodes, count(*) FILTER (t = 'library') AS library_nodes,
     count(*) FILTER (t = 'file' AND node IN (SELECT 'file:' || file FROM live)) AS crypto_files, count(*) FILTER (t = 'file' AND node NOT IN (SELECT 'file:' || file FROM live)) AS dependent_files,
     (SELECT count(*) FROM ge) AS edges, (SELECT count(*) FROM ge WHERE type = 'IMPORTS' AND starts_with(target, 'file:')) AS import_edges, (SELECT count(*) FROM ge WHERE NOT confirmed) AS inferred_edges
