@@ -189,3 +189,33 @@ def q109_private_keys(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.concat(F.lit("svc"), (key % 50).cast("string"), F.lit("/"), key.cast("string"), F.lit(".pem")).alias("file"), F.posexplode(F.split(body, "\n")).alias("at", "text"))
     hidden = code.without_private_keys(rows.select("file", (F.col("at") + 1).alias("line"), "text")).where(F.col("text") == T.REDACTED)
     return hidden.select("file", (F.col("line") - 1).alias("line"), F.lit("pem_private_key").alias("kind"))
+
+
+# Calls over several lines, with brackets in strings, comments, templates and patterns, and some that never close.
+_CALLS = {
+    "java": [
+        "class A{k} {", "  void m() {", "    seal({k}, // first ) of {k}", "      \"a ) b ( {k % 3}\", f({k % 5}, g()), /* ) */", "      h());", "    after();",
+        "    seal(\"{k}\"); seal(')', '(', {k % 7});", "    seal({k}, {repeat('x, ', 80)}", "    never);", "  }", "}",
+    ],
+    "js": ["function m{k}() {", "  seal({k}, `t ) ${n(`u ) `, {k % 4})} (`,", "    /[)(]/.test(x), // )", "    {k % 9})", "  seal(", "  )", "}"],
+}
+
+
+def _called(spark, sf_dir, kind: str, source: str, key: str) -> DataFrame:
+    lines = [line.replace("${n(", "$\x01n(").replace(")} (`", ")\x02 (`") if kind == "js" else line for line in _CALLS[kind]]
+    lines = [line[:-1] + "\x01" if line.endswith("{") else "\x02" if line.strip() == "}" else line for line in lines]
+    rows = _sources(spark, sf_dir, kind, f"{kind}/f{{k}}.x", lines, source, key)
+    return rows.withColumn("text", F.translate("text", "\x01\x02", "{}"))
+
+
+_SEAL = "concat('seal(', k, ', // first ) of ', k, ' \"a ) b ( ', k % 3, '\", f(', k % 5, ', g()), /* ) */ h())')"
+
+
+@query(f"""WITH j AS (SELECT p_partkey AS k FROM part), c AS (SELECT s_suppkey AS k FROM supplier)
+    SELECT 'java/f' || k || '.x' AS file, 3 AS line_start, 5 AS line_end, {_SEAL} AS evidence FROM j
+    UNION ALL SELECT 'java/f' || k || '.x', 7, 7, 'seal("' || k || '")' FROM j UNION ALL SELECT 'java/f' || k || '.x', 7, 7, 'seal('')'', ''('', ' || k % 7 || ')' FROM j UNION ALL SELECT 'java/f' || k || '.x', 8, 8, 'seal(' FROM j
+    UNION ALL SELECT 'js/f' || k || '.x', 2, 4, 'seal(' || k || ', `t ) ${{n(`u ) `, ' || k % 4 || ')}} (`, /[)(]/.test(x), // ) ' || k % 9 || ')' FROM c UNION ALL SELECT 'js/f' || k || '.x', 5, 6, 'seal( )' FROM c""")
+def q111_call_ends(spark, sf_dir):
+    rules = spark.createDataFrame([("S", kind, "regex", r"\bseal\(") for kind in ("java", "js")], "rule_id string, language string, match_type string, pattern string")
+    files = _called(spark, sf_dir, "java", "part", "p_partkey").unionByName(_called(spark, sf_dir, "js", "supplier", "s_suppkey"))
+    return code.regex_matches(files, rules).select("file", "line_start", "line_end", T.evidence(F.col("call")).alias("evidence"))

@@ -30,10 +30,13 @@ _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{|\Z)")
 MAX_TEMPLATES = 32
 _DECLARED = re.compile(r"\b(?:class|interface|enum|function)\s+([A-Za-z_$][\w$]*)|\b([A-Za-z_$][\w$]*)\s*\([^()\n]{0,200}\)\s*(?:throws [\w., ]+)?\{")
 _WORDS = {"if", "for", "while", "switch", "catch", "synchronized", "return", "new", "else", "do", "try", "function"}
-MATCH_DDL = "file string, line_start int, at int, rule_id string, found string, value string, scope array<string>, after string"
+MATCH_DDL = "file string, line_start int, line_end int, at int, rule_id string, found string, value string, scope array<string>, after string, call string"
 COMMENT_DDL = "file string, line int, text string"
 #: Characters after a match that refinements may look at.
 AFTER = 600
+# Fixed value: characters from a call's first bracket within which its last one is looked for.
+CALL_LENGTH = 200
+_BRACKET = re.compile(r"[()]")
 
 
 def regions(text: str, language: str = "js") -> tuple[list[int], list[int], list[tuple[int, int]]]:
@@ -87,6 +90,24 @@ def _python_comments(text: str) -> list[tuple[int, str]]:
     return out
 
 
+def call_end(text: str, begin: int, end: int, in_code) -> int:
+    """Where the call ends whose opening bracket lies in text[begin:end]: after the bracket that closes it.
+
+    Brackets in strings and comments don't count. Without an opening bracket,
+    or where none closes it within CALL_LENGTH characters, it is the given end.
+    """
+    first = text.find("(", begin, end)
+    if first < 0:
+        return end
+    depth = 0
+    for bracket in _BRACKET.finditer(text, first, first + CALL_LENGTH):
+        if in_code(bracket.start()):
+            depth += 1 if bracket[0] == "(" else -1
+            if not depth:
+                return bracket.end()
+    return end
+
+
 def _matches(path: str, language: str, text: str, rules: list[tuple]) -> Iterator[tuple]:
     starts, ends, _ = regions(text, language)
 
@@ -96,17 +117,21 @@ def _matches(path: str, language: str, text: str, rules: list[tuple]) -> Iterato
 
     declared = [(m.start(), m[1] or m[2]) for m in _DECLARED.finditer(text) if (m[1] or m[2]) not in _WORDS and in_code(m.start())]
     places, lines = [d[0] for d in declared], [0, *(m.end() for m in re.finditer("\n", text))]
+    line_of = lambda at: bisect.bisect_right(lines, at)
     for rule_id, pattern, requires in rules:
         if requires and not requires.search(text):
             continue
         for m in pattern.finditer(text):
             if in_code(m.start()):
                 i = bisect.bisect_right(places, m.start()) - 1
-                yield path, bisect.bisect_right(lines, m.start()), m.start(), rule_id, m[0], m[1] if m.re.groups else m[0], [declared[i][1]] if i >= 0 else [], text[m.end() : m.end() + AFTER]
+                end = call_end(text, m.start(), m.end(), in_code)
+                value = m[1] if m.re.groups else m[0]
+                yield path, line_of(m.start()), line_of(max(end - 1, m.start())), m.start(), rule_id, m[0], value, [declared[i][1]] if i >= 0 else [], text[m.end() : m.end() + AFTER], text[m.start() : end]
 
 
 def regex_matches(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """MATCH_DDL rows: where `regex` rules of a file's language begin in its code, with the nearest declaration before.
+    """MATCH_DDL rows: where `regex` rules of a file's language begin in its code, with the nearest declaration before and,
+    up to its last bracket, the call that they begin.
 
     The rule pack is configuration and goes to tasks with the function.
     """
@@ -120,7 +145,7 @@ def regex_matches(files: DataFrame, rules: DataFrame) -> DataFrame:
             compiled.setdefault(language, []).append((rule_id, re.compile(pattern), re.compile(needed) if needed else None))
         for frame in frames:
             rows = [r for path, kind, text in frame.itertuples(index=False) for r in _matches(path, kind, text, compiled.get(kind, []))]
-            yield pd.DataFrame(rows, columns=["file", "line_start", "at", "rule_id", "found", "value", "scope", "after"])
+            yield pd.DataFrame(rows, columns=["file", "line_start", "line_end", "at", "rule_id", "found", "value", "scope", "after", "call"])
 
     return files.where("kind IN ('java', 'js')").select("path", "kind", "text").mapInPandas(run, MATCH_DDL)
 

@@ -266,7 +266,7 @@ def test_code_matches(spark):
     df = spark.createDataFrame([("p/A.java", "java", java), ("p/B.java", "java", "package p;\nclass B { A a; C c; }"), ("p/C.java", "java", "package p;")], "path string, kind string, text string")
     rules = spark.createDataFrame([("R", "java", "regex", r'Cipher\.getInstance\(\s*"([^"]+)"')], "rule_id string, language string, match_type string, pattern string")
     (r,) = code.regex_matches(df, rules).collect()
-    assert (r["line_start"], r["value"], r["scope"]) == (5, "RSA/ECB", ["make"])
+    assert (r["line_start"], r["line_end"], r["value"], r["scope"], r["call"]) == (5, 5, "RSA/ECB", ["make"], 'Cipher.getInstance("RSA/ECB")')
     refine = spark.createDataFrame([("R", 0, 40, "DECRYPT", "decryption"), ("R", 1, 40, "ENCRYPT", "encryption")], "rule_id string, ord int, window int, pattern string, operation string")
     assert code.refined(code.regex_matches(df, rules), refine).first()["operation"] == "encryption"
     assert [(c["line"], c["text"]) for c in code.comments(df).collect()] == [(2, '// Cipher.getInstance("RSA")')]
