@@ -61,3 +61,17 @@ def accuracy(df: DataFrame, expected: Column, found: Column, kind: str) -> DataF
     sums = df.rollup(kind).agg(F.count_if(expected & found).alias("tp"), F.count_if(~expected & found).alias("fp"), F.count_if(expected & ~found).alias("fn"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return sums.withColumn("precision", one(tp, tp + fp)).withColumn("recall", one(tp, tp + fn)).withColumn("f1", one(2 * tp, 2 * tp + fp + fn))
+
+
+def first_seen_union(df: DataFrame, keys: list[str], items: str, order: list[str], name: str | None = None) -> DataFrame:
+    """(keys, items): the distinct items of each group's arrays, in the order in which they were first seen; `order` puts the rows in order.
+
+    An item's first place is a minimum, so that partial sums merge in any
+    order, and a frequent item is one row before groups meet. Groups are as
+    large as their sets. Null arrays and items say nothing; a group without any
+    has an empty set.
+    """
+    places = df.select(*keys, F.struct(*order).alias("_row"), F.posexplode_outer(items).alias("_at", "_item"))
+    first = places.groupBy(*keys, "_item").agg(F.min(F.struct("_row", "_at")).alias("_first"))
+    kept = F.collect_list(F.when(F.col("_item").isNotNull(), F.struct("_first", "_item")))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(kept), lambda x: x["_item"]).alias(name or items))

@@ -39,3 +39,26 @@ def truncated(df: DataFrame, order: list[str | Column], keep: int) -> DataFrame:
 def top_per_group(df: DataFrame, keys: list[str], order: list[str | Column], k: int, name: str = "place") -> DataFrame:
     """The first k rows of each group in the order, with their place from 1."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col(name) <= k)
+
+
+def budgeted(df: DataFrame, kind: str, kinds: list[str], order: list[str | Column], budget: int, most: dict[str, int] | None = None, name: str = "place") -> tuple[DataFrame, DataFrame]:
+    """The first rows up to a budget, class by class, and what each class leaves out. The limit is the feature.
+
+    Classes (values of column `kind`, in the order of kinds; others take no
+    part) fill the budget one after the other, each by its own order and up to
+    its number in `most`. Returns the rows with their place in the whole
+    selection, from 1, and one row for each class: (kind, total, kept,
+    left_out). Each partition gives at most `budget` rows of a class on, so
+    rows are never sorted as a whole.
+    """
+    spark, most = df.sparkSession, most or {}
+    table = spark.createDataFrame([(k, i, min(budget, most.get(k, budget))) for i, k in enumerate(kinds)], f"`{kind}` string, _turn int, _most long")
+    totals = table.join(df.groupBy(kind).agg(F.count("*").alias("total")), kind, "left").fillna(0, ["total"])
+    # One row for each class: what the classes before may take comes off the budget.
+    may = F.least("total", "_most")
+    before = F.coalesce(F.sum(may).over(Window.orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = totals.withColumn("_before", F.least(before, F.lit(budget))).withColumn("kept", F.least(may, F.lit(budget) - F.col("_before")))
+    shares = taken.select(kind, "total", "kept", (F.col("total") - F.col("kept")).alias("left_out"))
+    first = top_per_group(df.where(F.col(kind).isin(kinds)), [kind], order, budget, "_place")
+    rows = first.join(F.broadcast(taken.select(kind, "kept", "_before")), kind).where(F.col("_place") <= F.col("kept"))  # a row a class
+    return rows.withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).select(*df.columns, name), shares

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspar.functions.scoring import BANDS, band_rank
 from quillspar.operators.aggregates import closed_histogram, merged_edges
 from quillspar.operators.closure import MAX_DEPTH, induced, reach, reverse_closure, two_tier_closure
+from quillspar.operators.order import budgeted
 from quillspar.plans.migration import changes, track
 from quillspar.session import Workspace
 
@@ -152,6 +153,13 @@ def impact_summary(reached: DataFrame, services: DataFrame) -> DataFrame:
     )
 
 
+def diagram(reached: DataFrame, files: int = 40, most: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The files that a diagram of a reach shows, direct ones by name and then the nearest others, with their place; and how many of either kind there are, are shown and are left out."""
+    kinds = F.when(F.col("depth") == 0, "direct").otherwise("indirect")
+    near = F.when(F.col("depth") == 0, F.lit(0)).otherwise(F.col("depth"))
+    return budgeted(reached.withColumn("reach", kinds), "reach", ["direct", "indirect"], [near, (~F.col("confirmed")).cast("int"), F.col("node")], files, most)
+
+
 def severity(findings: DataFrame) -> DataFrame:
     return closed_histogram(findings, "band", list(reversed(BANDS)))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspar.functions.scoring import BROKEN_HASHES, WEAK_CIPHERS
+from quillspar.operators.aggregates import first_seen_union
 
 KEM, SIGNATURE = "ML-KEM (FIPS 203)", "ML-DSA (FIPS 204) or SLH-DSA (FIPS 205)"
 # Fixed values: (rule, what is there now, direction; none where no post-quantum algorithm takes its place).
@@ -34,6 +35,35 @@ TRACK_OPERATIONS = {
 }
 
 
+# Fixed values: (target, what it is for, standard, references), in the order in which targets are offered.
+TARGETS = (
+    ("X25519MLKEM768", "kem", "FIPS 203 + draft-ietf-tls-ecdhe-mlkem", ("FIPS203", "TLS-HYBRID", "SP800-227")),
+    ("ML-KEM-768", "kem", "FIPS 203", ("FIPS203", "SP800-227")),
+    ("ML-KEM-1024", "kem", "FIPS 203", ("FIPS203", "SP800-227")),
+    ("ML-KEM-512", "kem", "FIPS 203", ("FIPS203", "SP800-227")),
+    ("ML-DSA-65", "sig", "FIPS 204", ("FIPS204",)),
+    ("ML-DSA-44", "sig", "FIPS 204", ("FIPS204",)),
+    ("ML-DSA-87", "sig", "FIPS 204", ("FIPS204",)),
+    ("SLH-DSA-SHA2-128s", "sig", "FIPS 205", ("FIPS205",)),
+    ("SLH-DSA-SHA2-128f", "sig", "FIPS 205", ("FIPS205",)),
+    ("SHA-256", "hash", "FIPS 180-4", ("SP800-131A",)),
+    ("SHA3-256", "hash", "FIPS 202", ("SP800-131A",)),
+    ("AES-256-GCM", "legacy", "FIPS 197 + SP 800-38D", ("SP800-131A",)),
+    ("AES-256-GCM", "aes128", "FIPS 197 + SP 800-38D", ("SP800-131A",)),
+)
+# References of what is known about libraries.
+LIBRARY_REFERENCES = (
+    ("cryptography", ("PYCA-CHANGELOG",)),
+    ("java.security", ("JEP496", "JEP497")),
+    ("javax.crypto", ("JEP496",)),
+    ("bouncycastle", ("BC-1.79",)),
+    ("node:crypto", ("NODE-24.7",)),
+    ("webcrypto", ("NODE-24.7",)),
+    ("nginx", ("OPENSSL-3.5", "TLS-HYBRID")),
+    ("openssh", ("OPENSSH-RELEASES",)),
+)
+
+
 def rule_id(algorithm: Column, primitive: Column, role: Column) -> Column:
     agreement = F.when(algorithm == "DH", "R-02").when(algorithm == "RSA", "R-01").otherwise("R-03")
     signing = F.when(algorithm == "RSA", "R-04").when(algorithm == "EdDSA", "R-06").when(algorithm == "DSA", "R-07").otherwise("R-05")
@@ -93,6 +123,33 @@ def track(f) -> Column:
     )
 
 
+def sources_of_rules(planned: DataFrame) -> DataFrame:
+    """(migration_rule, track, findings, targets, references, caveats): what each rule's findings may become in each track, and where to read about it.
+
+    targets stand in the order in which they are offered, references in that of
+    the targets and then of the libraries by name, caveats as the findings
+    (file, line, id) bring them up; each stands once.
+    """
+    spark = planned.sparkSession
+    targets = spark.createDataFrame([(i, *t) for i, t in enumerate(TARGETS)], "ord int, target string, track string, standard string, refs array<string>")
+    libraries = spark.createDataFrame(LIBRARY_REFERENCES, "library string, refs array<string>")
+    rows = planned.where("migration_rule IS NOT NULL").withColumn("track", track(F.col))
+    keys = ["migration_rule", "track"]
+    used = rows.groupBy(*keys, "library").agg(F.count("*").alias("n"))
+    counts = used.groupBy(*keys).agg(F.sum("n").alias("findings"))
+    offered = counts.select(*keys).join(F.broadcast(targets), "track")  # thirteen rows
+    seen = offered.select(*keys, F.lit(0).alias("part"), F.format_string("%04d", "ord").alias("by"), "refs")
+    seen = seen.unionByName(used.join(F.broadcast(libraries), "library").select(*keys, F.lit(1).alias("part"), F.col("library").alias("by"), "refs"))
+    found = counts
+    for name, union in (
+        ("targets", first_seen_union(offered.withColumn("targets", F.array("target")), keys, "targets", ["ord"])),
+        ("references", first_seen_union(seen, keys, "refs", ["part", "by"], "references")),
+        ("caveats", first_seen_union(rows, keys, "caveats", ["file", "line_start", "id"])),
+    ):
+        found = found.join(union, keys, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return found
+
+
 def changes(scored: DataFrame) -> DataFrame:
     """(track, change, findings, files, services): call sites by track and operation, leftovers as `other`."""
     rows = scored.withColumn("track", track(F.col))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspar.functions import text as T
 from quillspar.functions.scoring import BROKEN_HASHES, WEAK_CIPHERS
 from quillspar.operators.aggregates import first_seen_mode
+from quillspar.operators.matching import small
 from quillspar.operators.order import top_per_group
 
 # Rules that find old protocol versions and weak suites.
@@ -49,6 +50,25 @@ def categories(findings: DataFrame) -> DataFrame:
     return rows.groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"), F.count_distinct("service").alias("services"))
 
 
+def category_evidence(findings: DataFrame, names: tuple[str, ...] | None = None, shown: int | None = None) -> DataFrame:
+    """(category, place, id, file, line_start, algorithm, band, service, rule_id, evidence, evidence_total): the first findings of each category by file, line and id, and how many there are.
+
+    Each partition passes on the first rows of a category only, so that no
+    category is sorted in one task; names: those of categories, or all.
+    """
+    rows = classified(findings).withColumn("category", F.explode("classes"))
+    if names is not None:
+        rows = rows.where(F.col("category").isin(*names))
+    totals = rows.groupBy("category").agg(F.count("*").alias("evidence_total"))
+    first = top_per_group(rows, ["category"], [F.col("file"), F.col("line_start"), F.col("id")], shown or SHOWN)
+    return first.join(totals, "category").select("category", "place", "id", "file", "line_start", "algorithm", "band", "service", "rule_id", "evidence", "evidence_total")
+
+
+def blocker_evidence(findings: DataFrame, shown: int | None = None) -> DataFrame:
+    """category_evidence of the categories that stand in the way."""
+    return category_evidence(findings, BLOCKERS, shown)
+
+
 def algorithms(findings: DataFrame) -> DataFrame:
     return classified(findings).select(F.explode("classes").alias("category"), "algorithm").groupBy("category", "algorithm").agg(F.count("*").alias("n"))
 
@@ -140,7 +160,7 @@ SUPPORT = (("cryptography", "by OpenSSL 3.5"), ("liboqs", "yes"), ("bouncycastle
 def library_support(used: DataFrame, support: DataFrame | None = None) -> DataFrame:
     """libraries(...) with `support` from the table, null where it isn't known, and `status`."""
     known = support if support is not None else used.sparkSession.createDataFrame(SUPPORT, "library string, support string")
-    return used.join(F.broadcast(known), "library", "left").withColumn("status", F.when(F.col("support").isNull(), "not verified").otherwise("known"))
+    return used.join(small(known), "library", "left").withColumn("status", F.when(F.col("support").isNull(), "not verified").otherwise("known"))
 
 
 def overview(findings: DataFrame) -> DataFrame:

@@ -581,7 +581,7 @@ def q50_star_join(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from quillspar import queries_scan, queries_sources  # noqa: F401 - register their own
+    from quillspar import queries_plans, queries_scan, queries_sources  # noqa: F401 - register their own
 
     return dict(QUERIES)
 
