@@ -36,7 +36,7 @@ HELD_OUT = 4
 ROUNDS = 3
 #: In its first exchange a view labels this share of the unlabelled documents for the other, divided between the classes as
 #: the known labels are: those that it is most sure of, by their calibrated probabilities. In later rounds as much again.
-EXCHANGED = 0.01
+EXCHANGED = 0.005
 #: A document counts as so many parts, which a probability divides between the classes.
 WHOLE = 1000
 #: Documents that each bin is taken to hold before any is counted.
