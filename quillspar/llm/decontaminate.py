@@ -274,17 +274,18 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     lengths = words.select("key", F.size("item").cast("long").alias("n"))
     size = F.lit(BLOCK_WORDS)
     ranged = F.sequence(F.floor(F.greatest("shift", F.lit(0)) / size), F.floor((F.col("shift") + F.col("n") - 1) / size))
-    pieces = dealt(lines, "a", "shift").join(for_each_part(lengths), ["key", "_part"]).drop("_part").select("a", "b", "key", "shift", F.explode(ranged).alias("block"))
+    # Passages have one row each. Where Spark doesn't send them to all executors it splits those that are found in very many texts.
+    pieces = lines.join(lengths, "key").select("a", "b", "key", "shift", F.explode(ranged).alias("block"))
     blocks = texts.where("block IS NOT NULL").groupBy("a", "b", "block").agg(F.first("words").alias("words"))
-    beside = dealt(pieces.join(blocks.hint("merge"), ["a", "b", "block"]), "a", "shift").join(for_each_part(words), ["key", "_part"])
+    beside = pieces.join(blocks.hint("merge"), ["a", "b", "block"]).join(words, "key")
     agreed = _agreement(beside.select("a", "b", "key", "shift", (F.col("block") * size).alias("begin"), "words", "item")).where("size > 0")
     # One row for each block of a passage's length.
     agreed = agreed.groupBy("a", "b", "key", "shift").agg(F.array_sort(F.collect_list(F.struct("first", "size", "bits"))).alias("parts"))
-    agreed = dealt(agreed, "a", "shift").join(for_each_part(lengths), ["key", "_part"]).select("a", "b", "key", "shift", "n", "parts")
+    agreed = agreed.join(lengths, "key").select("a", "b", "key", "shift", "n", "parts")
     best = F.max(F.struct("n_words", (-F.col("first_word")).alias("at"), "matched")).alias("best")
     columns = [(-F.col("best.at")).alias("first_word"), "best.n_words", "best.matched"]
     checked = _longest_of(agreed).groupBy("a", "b", "key").agg(best).select("a", "b", "key", *columns)
-    checked = dealt(checked, "a").join(for_each_part(whole.select("key", "item_id").distinct()), ["key", "_part"])
+    checked = checked.join(whole.select("key", "item_id").distinct(), "key")
     checked = checked.groupBy("a", "b", "item_id").agg(best).select("a", "b", "item_id", *columns)
     rows = meet(texts.where("block IS NULL").select("id", "a", "b"), checked, ["a", "b"], ["id"])
     return rows.groupBy("id", "item_id").agg(best).select(F.col("id").alias(id_col), "item_id", *columns)
