@@ -11,6 +11,7 @@ from quillspar.functions import scoring
 from quillspar.functions import text as T
 from quillspar.operators.order import numbered
 from quillspar.plans import findings as plan
+from quillspar.session import Workspace
 from quillspar.sources import certificates, code, files, imports, metadata, scopes, structured
 
 
@@ -47,7 +48,8 @@ def scan(tree: DataFrame, rules: DataFrame, entries: DataFrame, repository: str
     all findings (inside a scan by its own order).
     """
     many = "scan_id" in tree.columns
-    assessed = files.assessed(scopes.scoped(tree).drop("scan_id") if many else tree)
+    # Written once: each extractor reads the kept text, and none of them reads or redacts the tree again.
+    assessed = Workspace(tree.sparkSession).write(files.assessed(scopes.scoped(tree).drop("scan_id") if many else tree), "files")
     readable = assessed.where("skip IS NULL").drop("skip")
     services = metadata.read_services(assessed.select("path", "size", "text"))
     rows = plan.as_findings(matches(readable, rules, entries, **options), services, repository, scan_id)

@@ -158,11 +158,10 @@ def q09_facets(spark, sf_dir):
 
 
 @query("""
-    SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND n_chars > 500 AND contains(lower(concat_ws(' ', lang, source, text)), lower('The AND'))
+    SELECT doc_id, lang, source FROM documents WHERE contains(lower(concat_ws(' ', lang, source, text)), lower('The AND'))
 """)
 def q10_filter_search(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").where((F.col("lang") == "en") & (F.col("n_chars") > 500))
-    return searched(rows, "The AND", ["lang", "source", "text"]).select("doc_id", "lang", "source")
+    return searched(_t(spark, sf_dir, "documents"), "The AND", ["lang", "source", "text"]).select("doc_id", "lang", "source")
 
 
 @query(r"SELECT doc_id, CASE WHEN left(text, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || text ELSE text END AS cell FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '=' || text WHEN 1 THEN chr(9) || text WHEN 2 THEN '@' ELSE text END AS text FROM documents)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspar.operators.closure import reverse_closure
+from quillspar.operators.order import numbered
 from quillspar.plans import coverage, graph, inventory, migration, readiness
 from quillspar.queries_scan import _SERVICES, _SQL_CLASSES, _SQL_EDGES, _SQL_IMPACT, _SQL_IMPORTS, _SQL_PLANNED, _derived, _edges, _imports, _scored, _select, _services, _w
 from quillspar.registry import query, table
@@ -136,3 +137,20 @@ def q121_queue_paths(spark, sf_dir):
     links = part.select(F.col("k").alias("source"), F.explode(F.array(*[F.expr(x.replace("//", "div")) for x in _LINKS])).alias("target")).where("target < source AND target > 0")
     seeds = spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("long") for x in (5, 3, 20)])).alias("k"))
     return reverse_closure(links, seeds, paths=True)[0].select("node", "depth", F.array_join("path", ">").alias("path"))
+
+
+@query(_w("""SELECT node, depth, confirmed, CAST(row_number() OVER (ORDER BY depth, NOT confirmed, node) AS BIGINT) AS place, depth AS legs FROM re WHERE depth > 0""", _SQL_IMPORTS, _SQL_EDGES, _SQL_IMPACT))
+def q126_indirect_order(spark, sf_dir):
+    """Places count the rows as they come, so the order itself is compared; each path's steps are as many as its depth."""
+    edges = _edges(spark, sf_dir)[1]
+    rows = graph.indirect(graph.impact(edges, "algorithm:ECDH")[0], edges)
+    return numbered(rows, ["depth", F.desc("confirmed"), "node"], "place").select("node", "depth", "confirmed", "place", F.size("steps").alias("legs"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'root' || p_partkey WHEN p_partkey % 3 = 1 THEN 'a.b' || p_partkey ELSE 'repo' END AS name FROM part")
+def q127_repository_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    root = F.when(k % 3 == 0, F.concat(F.lit(" root"), k, F.lit(" "))).otherwise(F.lit(" "))
+    archive = F.when(k % 3 == 1, F.concat(F.lit("up/load/a.b"), k, F.element_at(F.array(*map(F.lit, (".zip", ".tar.gz", ".TGZ", ".tar"))), (k % 4 + 1).cast("int")))).when(k % 3 == 0, F.lit("other.zip"))
+    return rows.select("p_partkey", inventory.repository_name(root, archive).alias("name"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspar.functions import text as T
-from quillspar.plans import findings, graph
+from quillspar.plans import coverage, findings, graph, scan
 from quillspar.registry import query, table
-from quillspar.sources import code, imports, metadata, structured
+from quillspar.sources import code, files, imports, metadata, structured
 
 
 def _sources(spark, sf_dir, kind: str, path: str, lines: list[str], source: str = "part", key: str = "p_partkey") -> DataFrame:
@@ -219,3 +221,73 @@ def q111_call_ends(spark, sf_dir):
     rules = spark.createDataFrame([("S", kind, "regex", r"\bseal\(") for kind in ("java", "js")], "rule_id string, language string, match_type string, pattern string")
     files = _called(spark, sf_dir, "java", "part", "p_partkey").unionByName(_called(spark, sf_dir, "js", "supplier", "s_suppkey"))
     return code.regex_matches(files, rules).select("file", "line_start", "line_end", T.evidence(F.col("call")).alias("evidence"))
+
+
+# A tree of three scans: configuration, Python, Java, folders that aren't read, files that can't be, and services.
+_rule = lambda id_, language, match_type, pattern, algorithm, primitive, operation, **more: {"rule_id": id_, "rule_version": "1.0.0", "language": language, "match_type": match_type, "pattern": pattern, "algorithm": algorithm, "primitive": primitive, "operation": operation, "confidence": 0.95} | more
+_PACK = {
+    "tls": _rule("CFG-NGINX-TLS-001", "config", "directive", r"^\s*ssl_protocols\s+([^;]+)", "TLS", "protocol", "config", library="nginx", file_pattern=r"\.conf$", split=r"\s+", value_map={"TLSv1": "TLS 1.0"}),
+    "suites": _rule("CFG-SUITES-001", "config", "directive", r"^\s*ssl_ciphers\s+([^;]+)", "ECDH", "public-key", "key_agreement", library="nginx", file_pattern=r"\.conf$", split=":", skip_prefixes=["!"], value_map={"ecdhe-*": "ECDH", "dhe-*": "DH"}),
+    "calls": _rule("PY-CALLS-001", "python", "python_call", r"(generate_private_key|hashlib\.)", "RSA", "public-key", "key_generation", library="cryptography", value_map={"*rsa.generate_private_key": "RSA", "hashlib.md5": {"algorithm": "MD5", "primitive": "hash", "operation": "hashing"}}),
+    "seal": _rule("JAVA-SEAL-001", "java", "regex", r"\bseal\(", "AES", "symmetric", "encryption", confidence=0.6),
+}
+_FILES = (  # (remainder of k by 6, path, lines)
+    (0, "conf/site{k}.conf", ["server <", "  ssl_protocols TLSv1 TLSv1.2;  # TLSv1 too", "  ssl_ciphers ECDHE-RSA-{k}:!DHE-X:DHE-RSA;", ">"]),
+    (1, "app{k % 5}/m{k}.py", ["from cryptography.hazmat.primitives.asymmetric import rsa", "import hashlib", "", "key = rsa.generate_private_key(65537, {1024 * (1 + k % 2)})", "hashlib.md5(b'{k}')", "rsa.other()"]),
+    (2, "app{k % 5}/A{k}.java", ["class A{k} <", "  void make() <", "    seal(", "      {k}, \")\");", "  >", "  // seal(2)", ">"]),
+    (3, "node_modules/p{k}/x.py", ["import hashlib", "hashlib.md5()"]),
+    (4, "app{k % 5}/notes{k}.bin", ["seal(1)"]),
+    (5, "app{k % 5}/wide{k}.js", ["var x = '{repeat('y', 12000)}'"]),
+)
+
+
+def _tree(spark, sf_dir) -> DataFrame:
+    parts = []
+    for rest, path, lines in _FILES:
+        rows = _sources(spark, sf_dir, "", path, lines).where(f"k % 6 = {rest}")
+        parts.append(rows.select(F.concat(F.lit("scan"), F.col("k") % 3).alias("scan_id"), "path", F.translate("text", "<>", "{}").alias("text")))
+    named = table(spark, sf_dir, "part").select(F.concat(F.lit("scan"), F.col("p_partkey") % 3).alias("scan_id"), (F.col("p_partkey") % 5).alias("a")).where("a < 4").distinct()
+    said = F.concat(F.lit("service: shop"), "a", F.lit("\nowner: team\ndata_classification: sensitive\nbusiness_criticality: high\ninternet_exposed: true\ndata_lifetime_years: 12\n"))
+    parts.append(named.select("scan_id", F.concat(F.lit("app"), "a", F.lit("/service.yaml")).alias("path"), said.alias("text")))
+    tree = reduce(DataFrame.unionByName, parts)
+    return tree.select("scan_id", "path", F.octet_length("text").cast("long").alias("size"), F.col("text").cast("binary").alias("content"))
+
+
+_SQL_TREE = """p AS (SELECT p_partkey AS k, 'scan' || p_partkey % 3 AS scan_id, p_partkey % 5 AS a FROM part),
+    w AS (
+      SELECT scan_id, 'conf/site' || k || '.conf' AS file, 2 AS line_start, 2 AS line_end, 'CFG-NGINX-TLS-001' AS rule_id, 'TLS 1.0' AS algorithm, 'repo' AS service, NULL AS key_size, 0.95 AS confidence FROM p WHERE k % 6 = 0
+      UNION ALL SELECT scan_id, 'conf/site' || k || '.conf', 3, 3, 'CFG-SUITES-001', unnest(['ECDH', 'DH']), 'repo', NULL, 0.95 FROM p WHERE k % 6 = 0
+      UNION ALL SELECT scan_id, 'app' || a || '/m' || k || '.py', 4, 4, 'PY-CALLS-001', 'RSA', CASE WHEN a < 4 THEN 'shop' || a ELSE 'repo' END, 1024 * (1 + k % 2), 0.95 FROM p WHERE k % 6 = 1
+      UNION ALL SELECT scan_id, 'app' || a || '/m' || k || '.py', 5, 5, 'PY-CALLS-001', 'MD5', CASE WHEN a < 4 THEN 'shop' || a ELSE 'repo' END, NULL, 0.95 FROM p WHERE k % 6 = 1
+      UNION ALL SELECT scan_id, 'app' || a || '/A' || k || '.java', 3, 4, 'JAVA-SEAL-001', 'AES', CASE WHEN a < 4 THEN 'shop' || a ELSE 'repo' END, NULL, 0.6 FROM p WHERE k % 6 = 2)"""
+
+
+def _whole_scan(spark, sf_dir) -> DataFrame:
+    return scan.scan(_tree(spark, sf_dir), *metadata.rule_tables(spark, _PACK), "repo")
+
+
+@query(f"""WITH {_SQL_TREE} SELECT scan_id, printf('CRYPTO-%03d', row_number() OVER (PARTITION BY scan_id ORDER BY file, line_start, line_end, rule_id, algorithm)) AS id, file, line_start, line_end, rule_id, algorithm, service, CAST(key_size AS INTEGER) AS key_size, CAST(confidence AS DOUBLE) AS confidence FROM w""")
+def q122_whole_scan(spark, sf_dir):
+    return _whole_scan(spark, sf_dir).select("scan_id", "id", "file", "line_start", "line_end", "rule_id", "algorithm", "service", "key_size", "confidence")
+
+
+@query(f"""WITH {_SQL_TREE}, s AS (SELECT *, CASE algorithm WHEN 'DH' THEN 4 WHEN 'ECDH' THEN 4 WHEN 'RSA' THEN 4 WHEN 'MD5' THEN 1 WHEN 'TLS 1.0' THEN 1 ELSE 0 END AS qe, service <> 'repo' AS known FROM w)
+    SELECT scan_id, service, algorithm, count(*) AS findings, count(*) FILTER (algorithm IN ('DH', 'ECDH', 'RSA')) AS vulnerable, min(line_start) AS first_line FROM s GROUP BY scan_id, service, algorithm""")
+def q123_scans_by_service(spark, sf_dir):
+    rows = _whole_scan(spark, sf_dir)
+    return rows.groupBy("scan_id", "service", "algorithm").agg(F.count("*").alias("findings"), F.count_if("quantum_vulnerable").alias("vulnerable"), F.min("line_start").alias("first_line"))
+
+
+_SQL_SKIPS = "k AS (SELECT p_partkey AS k FROM part), sv AS (SELECT count(*) AS n FROM (SELECT DISTINCT p_partkey % 3, p_partkey % 5 FROM part WHERE p_partkey % 5 < 4))"
+
+
+@query(f"""WITH {_SQL_SKIPS} SELECT 'all' AS scan_id, (SELECT count(*) FROM k) + sv.n AS files, 'minified ' || count(*) FILTER (k % 6 = 5) || ', unsupported ' || count(*) FILTER (k % 6 = 4) || ', vendored ' || count(*) FILTER (k % 6 = 3) AS skipped, 'shop0, shop1, shop2, shop3' AS services FROM k, sv GROUP BY sv.n""")
+def q124_manifest(spark, sf_dir):
+    assessed = files.assessed(_tree(spark, sf_dir).drop("scan_id"))
+    row = coverage.manifest(assessed, metadata.read_services(assessed.select("path", "size", "text")), "all")
+    return row.select("scan_id", "files", F.array_join(F.transform("skipped", lambda s: F.concat(s["reason"], F.lit(" "), s["n"].cast("string"))), ", ").alias("skipped"), F.array_join("services", ", ").alias("services"))
+
+
+@query("SELECT 'minified' AS reason, count(*) AS n, 'lines too long to read' AS meaning FROM part WHERE p_partkey % 6 = 5")
+def q125_warnings(spark, sf_dir):
+    return coverage.warnings(files.assessed(_tree(spark, sf_dir).drop("scan_id")))

@@ -105,20 +105,24 @@ def _check_entry(entry: dict, where: str) -> None:
 
 
 def load_rules(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(rules, rule_entries) of the YAML files in a folder: a rule pack is configuration, read where the job is set up.
+    """(rules, rule_entries) of the YAML files in a folder: a rule pack is configuration, read where the job is set up."""
+    return rule_tables(spark, {path.name: yaml.safe_load(path.read_text(encoding="utf-8")) for path in sorted(Path(folder).rglob("*.yaml"))})
+
+
+def rule_tables(spark: SparkSession, pack: dict[str, dict]) -> tuple[DataFrame, DataFrame]:
+    """(rules, rule_entries) of a rule pack: a mapping for each rule, by the name that errors give it.
 
     Packs are strict: unknown or missing keys, bad enumerations, patterns and
     versions and repeated ids raise RuleError. Entries keep their order, for
     the first that matches counts; what an entry leaves out its rule says.
     """
     rules, entries, seen = [], [], set()
-    for path in sorted(Path(folder).rglob("*.yaml")):
-        rule = yaml.safe_load(path.read_text(encoding="utf-8"))
+    for name, rule in pack.items():
         if not isinstance(rule, dict):
-            raise RuleError(f"{path.name}: not a mapping")
-        _check(rule, path.name)
+            raise RuleError(f"{name}: not a mapping")
+        _check(rule, name)
         if rule["rule_id"] in seen:
-            raise RuleError(f"{path.name}: {rule['rule_id']} is there twice")
+            raise RuleError(f"{name}: {rule['rule_id']} is there twice")
         seen.add(rule["rule_id"])
         rules.append([rule["rule_id"], str(rule["rule_version"]), rule["language"], rule.get("library"), rule.get("api"), rule["algorithm"], rule["primitive"], rule["operation"], float(rule["confidence"]), rule["match_type"], rule["pattern"], rule.get("file_pattern"), rule.get("split"), list(rule.get("skip_prefixes") or []), rule.get("value_from") or "name", [(a.get("pos"), a.get("kw")) for a in rule.get("literal_args") or []], dict(rule.get("operation_by_parent") or {}), rule.get("file_requires")])
         for ord_, (pattern, entry) in enumerate((rule.get("value_map") or {}).items()):
