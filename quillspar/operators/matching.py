@@ -48,10 +48,23 @@ def glob_matches(value: Column, pattern: Column) -> Column:
 def first_glob(df: DataFrame, value: str, keys: list[str], rules: DataFrame, pattern: str = "pattern", order: str = "ord", take: list[str] | None = None) -> DataFrame:
     """df's keys and value with the columns of the first rule in order whose pattern matches; no row where none does."""
     take = take or [c for c in rules.columns if c not in (pattern, order)]
-    patterns = small(rules.select(glob_key(pattern).alias("_pattern"), F.col(order).alias("_ord"), *[F.col(c).alias(f"_r_{c}") for c in take]))
+    patterns = rules.select(glob_key(pattern).alias("_pattern"), F.col(order).alias("_ord"), *[F.col(c).alias(f"_r_{c}") for c in take])
     # Distinct values are matched, not rows: a value that many rows share is tried once.
     values = df.select(value).distinct().withColumn("_key", glob_key(value))
-    hits = values.join(patterns, glob_matches(F.col("_key"), F.col("_pattern")))
+    # Whole texts, beginnings and ends are found by equality, however many rules there are; only `*text*` is tried by each.
+    head, tail = F.col("_pattern").startswith("*"), F.col("_pattern").endswith("*")
+    kind = F.when(head & tail, "inside").when(tail, "begins").when(head, "ends").otherwise("whole")
+    patterns = patterns.withColumn("_kind", kind).withColumn("_text", F.regexp_replace("_pattern", r"^\*|\*$", ""))
+    lengths: dict[str, list[int]] = {"begins": [], "ends": []}
+    for row in patterns.where("_kind IN ('begins', 'ends')").select("_kind", F.length("_text").alias("n")).distinct().limit(BROADCAST_RULES).collect():
+        lengths[row["_kind"]].append(row["n"])
+    probe = lambda kind, text: F.struct(F.lit(kind).alias("_kind"), text.alias("_text"))
+    key = F.col("_key")
+    probes = [probe("whole", key), *[probe("begins", F.left(key, F.lit(n))) for n in sorted(lengths["begins"])], *[probe("ends", F.right(key, F.lit(n))) for n in sorted(lengths["ends"])]]
+    tried = values.select(value, F.explode(F.array_distinct(F.array(*probes))).alias("_p")).select(value, "_p.*")
+    result = [value, "_ord", *[f"_r_{c}" for c in take]]
+    hits = tried.join(small(patterns), ["_kind", "_text"]).select(*result)
+    hits = hits.unionByName(values.join(small(patterns.where("_kind = 'inside'")), F.contains("_key", "_text")).select(*result))
     best = hits.groupBy(value).agg(F.min_by(F.struct(*[F.col(f"_r_{c}").alias(c) for c in take]), "_ord").alias("_best"))
     return df.select(*dict.fromkeys([*keys, value])).join(best, value).select(*dict.fromkeys([*keys, value]), *[F.col(f"_best.{c}").alias(c) for c in take])
 

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillspar.operators import aggregates, closure, order
+from quillspar.operators import aggregates, closure, matching, order
 from quillspar.plans import coverage, graph
 from quillspar.sources import ledger
 
@@ -147,3 +147,26 @@ def test_nothing_reaches_nothing(spark):
     assert not found.collect() and not over.collect()
     with pytest.raises(graph.NotSelectable):
         graph.impact_seeds(df, ("service",))
+
+
+def test_patterns_by_kind(spark):
+    """Whole texts, beginnings, ends and insides, with ties of order and lengths beyond the values'."""
+    rnd = random.Random(11)
+    word = lambda n: "".join(rnd.choice("ab ") for _ in range(n))
+    rules = [(i, rnd.choice(["", "*"]) + word(rnd.randrange(4)) + rnd.choice(["", "*"]), f"r{i}") for i in range(40)] + [(50, "a*b", "star"), (51, "abababab*", "long")]
+    rules = rnd.sample(rules, len(rules))
+    values = [word(rnd.randrange(7)).upper() for _ in range(120)] + ["", "A*B", None]
+
+    def fits(text, pattern):
+        body = pattern[1:] if pattern.startswith("*") else pattern
+        body = body[:-1] if body.endswith("*") else body
+        head, tail = pattern.startswith("*"), pattern.endswith("*")
+        return body in text if head and tail else text.startswith(body) if tail else text.endswith(body) if head else text == pattern
+
+    bare = lambda x: "".join(x.lower().split())
+    table = spark.createDataFrame(rules, "ord int, pattern string, name string")
+    for chosen in (table, table.where("pattern NOT LIKE '*%*'"), table.limit(0)):
+        left = [tuple(r) for r in chosen.collect()]
+        want = sorted((i, v, min(h)[1]) for i, v in enumerate(values) if v is not None and (h := [(o, n) for o, p, n in left if fits(bare(v), bare(p))]))
+        df = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+        assert sorted(map(tuple, matching.first_glob(df, "v", ["i"], chosen).collect())) == want
