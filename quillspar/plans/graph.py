@@ -13,6 +13,7 @@ from quillspar.operators.closure import MAX_DEPTH, induced, reach, reverse_closu
 from quillspar.operators.order import budgeted
 from quillspar.plans.migration import changes, track
 from quillspar.session import Workspace
+from quillspar.sources.scopes import within
 
 _EVIDENCE = ["file", "line", "text", "spec"]
 _SELECTABLE = ("algorithm", "library", "finding", "file")
@@ -59,6 +60,17 @@ def edges(findings: DataFrame, imports: DataFrame) -> DataFrame:
     return space.write(merged_edges(rows, ["type", "source", "target"], "confirmed", "basis", "line", _EVIDENCE), "edges")
 
 
+def edges_of_scans(findings: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, findings) of many scans in one graph: findings and imports have a scan_id, and nodes are each scan's own.
+
+    Every name is scoped by its scan (sources.scopes; node_scan and node_bare
+    take it off again), so whatever is asked of a graph is asked of all scans at
+    once: a closure or a roll-up is one job series, not one for each scan.
+    """
+    found = within(findings, ["id", "file", "algorithm", "library", "service"])
+    return edges(found, within(imports, ["file", "targets", "crypto_library"])), found
+
+
 def nodes(findings: DataFrame, graph_edges: DataFrame) -> DataFrame:
     """(node, type, label, findings, vulnerable, worst_band, importers): every end of an edge, with roll-ups of its findings and the files that import it.
 

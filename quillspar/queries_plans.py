@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillspar.operators.closure import reverse_closure
 from quillspar.operators.order import numbered
 from quillspar.plans import coverage, graph, inventory, migration, readiness
-from quillspar.queries_scan import _SERVICES, _SQL_CLASSES, _SQL_EDGES, _SQL_IMPACT, _SQL_IMPORTS, _SQL_PLANNED, _derived, _edges, _imports, _scored, _select, _services, _w
+from quillspar.queries_scan import _SERVICES, _SQL_CLASSES, _SQL_EDGES, _SQL_IMPACT, _SQL_IMPACTS, _SQL_IMPORTS, _SQL_PLANNED, _derived, _edges, _imports, _scored, _select, _services, _w
 from quillspar.registry import query, table
 from quillspar.session import Workspace
-from quillspar.sources import ledger
+from quillspar.sources import ledger, scopes
 
 # Changes of suppressions, one for each event: said by its user about one of 40 findings in one of 7 scans; errors clear.
 _CHANGES = {
@@ -154,3 +156,19 @@ def q127_repository_names(spark, sf_dir):
     root = F.when(k % 3 == 0, F.concat(F.lit(" root"), k, F.lit(" "))).otherwise(F.lit(" "))
     archive = F.when(k % 3 == 1, F.concat(F.lit("up/load/a.b"), k, F.element_at(F.array(*map(F.lit, (".zip", ".tar.gz", ".TGZ", ".tar"))), (k % 4 + 1).cast("int")))).when(k % 3 == 0, F.lit("other.zip"))
     return rows.select("p_partkey", inventory.repository_name(root, archive).alias("name"))
+
+
+# The graphs of three scans at once: names are scoped by the scan, else the SQL is that of one graph.
+_scans = lambda sql: re.sub(r"\bim\b", "iz", re.sub(r"\blive\b", "lz", sql))
+_SQL_SCANS = """lz AS (SELECT * REPLACE (sn || '|' || id AS id, sn || '|' || file AS file, sn || '|' || algorithm AS algorithm, sn || '|' || library AS library, sn || '|' || service AS service) FROM (SELECT *, 's' || CAST(substr(id, 3) AS BIGINT) % 3 AS sn FROM live)),
+    iz AS (SELECT * REPLACE (sn || '|' || source AS source, sn || '|' || target AS target, sn || '|' || crypto_library AS crypto_library) FROM (SELECT *, 's' || line % 3 AS sn FROM im))"""
+
+
+@query(_w(_scans("""SELECT substr(split_part(xe.seed, '|', 1), instr(xe.seed, ':') + 1) AS scan_id, split_part(xe.seed, ':', 1) || ':' || split_part(xe.seed, '|', 2) AS seed, count(*) FILTER (depth = 0) AS direct_files, count(*) FILTER (depth > 0 AND confirmed) AS indirect_confirmed, count(*) FILTER (depth > 0 AND NOT confirmed) AS indirect_inferred,
+    max(depth) AS max_depth, (SELECT count(*) FROM live WHERE xe.seed IN ('algorithm:' || algorithm, 'library:' || library)) AS findings FROM xe GROUP BY xe.seed"""), _SQL_IMPORTS, _SQL_SCANS, _scans(_SQL_EDGES), _SQL_IMPACTS))
+def q128_scans_in_one_graph(spark, sf_dir):
+    live = inventory.live(_scored(spark, sf_dir)).withColumn("scan_id", F.concat(F.lit("s"), F.substring("id", 3, 20).cast("long") % 3))
+    edges, found = graph.edges_of_scans(live, _imports(spark, sf_dir).withColumn("scan_id", F.concat(F.lit("s"), F.col("line") % 3)))
+    services = spark.createDataFrame([], "node string, service string")
+    rows = graph.impact_summaries(edges, found, services, max_depth=4)
+    return rows.select(scopes.node_scan(F.col("seed")).alias("scan_id"), scopes.node_bare(F.col("seed")).alias("seed"), "direct_files", "indirect_confirmed", "indirect_inferred", "max_depth", "findings")

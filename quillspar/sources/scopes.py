@@ -27,3 +27,20 @@ def scan_of(path: Column) -> Column:
 def bare(path: Column) -> Column:
     """The path inside its scan."""
     return F.when(F.contains(path, F.lit(MARK)), F.substring(F.substring_index(path, MARK, -1), 2, 1 << 30)).otherwise(path)
+
+
+def within(df: DataFrame, columns: list[str], scan: str = "scan_id") -> DataFrame:
+    """df with the values of such columns (texts or arrays of texts) scoped by its scan, so that equal ones of two scans differ; nulls stay."""
+    top = F.concat(F.col(scan).cast("string"), F.lit(MARK + "/"))
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.transform(c, lambda x: F.concat(top, x)) if kinds[c].startswith("array") else F.concat(top, F.col(c)) for c in columns})
+
+
+def node_scan(node: Column) -> Column:
+    """The scan of a graph's node that was made of scoped values: `algorithm:` + scan + mark + name."""
+    return scan_of(F.regexp_replace(node, "^[a-z]+:", ""))
+
+
+def node_bare(node: Column) -> Column:
+    """The node as it is called inside its scan."""
+    return F.concat(F.substring_index(node, ":", 1), F.lit(":"), bare(F.regexp_replace(node, "^[a-z]+:", "")))
