@@ -47,6 +47,8 @@ WORD_SMOOTHING = 4.0
 LIMIT = 9.0
 #: Weight of the calibration's pull towards the share of good documents.
 RIDGE = 10.0
+#: Rows that are counted at once: their words' numbers stand in memory side by side.
+SLICE_ROWS = 1 << 11
 #: A document is kept at this score.
 KEEP = 0.5
 _SHARES = np.array([0.0, 0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3, 0.5, 0.7, 0.9])
@@ -295,7 +297,8 @@ def _summed(table: DataFrame, count, cells: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(cells, np.int64)
         for batch in batches:
-            count(_columns(batch), sums)
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                count(_columns(batch.slice(lo, SLICE_ROWS)), sums)
         cell = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(sums[cell])], names=["cell", "n"])
 

@@ -559,6 +559,13 @@ def test_views_teach_each_other(spark, monkeypatch):
     assert loss[1].mean() <= loss[0].mean() + loss[0].std() / len(held) ** 0.5
 
 
+def test_batches_may_be_counted_in_slices(docs, spark, data, monkeypatch):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    whole = sorted(map(tuple, quality.quality_scores(docs, labels).collect()))
+    monkeypatch.setattr(quality, "SLICE_ROWS", 7)
+    assert sorted(map(tuple, quality.quality_scores(docs, labels).collect())) == whole
+
+
 def test_picks_are_whole_places_from_either_end():
     pool = np.array([0, 3, 0, 5, 80, 6, 4, 2, 0])
     assert quality.picks_of(pool, 0.5, 0.2) == quality.Picks(3, 6, (8, 6), (1.0, 1.0))
