@@ -26,10 +26,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillspar.llm import textkernel
 from quillspar.llm.components import components
-from quillspar.llm.tables import WHITE_RUN, dealt, for_each_part, meet, text_or_empty
+from quillspar.llm.tables import dealt, for_each_part, meet
 from quillspar.session import Workspace, ship
 
 WORDS = 5
@@ -290,6 +291,17 @@ def node_classes(docs: DataFrame, total: int, id_col: str = "doc_id", text_col:
     return components(links.unionByName(new))
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """known (id, n, node) of every row, and placed (node, least_id, label) of every node."""
+    ship(docs.sparkSession)
+    space = Workspace(docs.sparkSession)
+    known = space.write(nodes(docs, id_col, text_col, words), "known")
+    total = known.agg(F.sum("n")).first()[0] or 0
+    classes = node_classes(docs, total, id_col, text_col, words, percent)
+    least = known.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least_id"))
+    return known, least.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row: id, n_shingles and component_id, the smallest id that links reach from it, itself included.
 
@@ -302,32 +314,51 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same answer as if they were two documents with that id. Shingles are
     compared by 64-bit hashes, sets of equal size by the hash of all of them.
     """
-    ship(docs.sparkSession)
-    space = Workspace(docs.sparkSession)
-    known = space.write(nodes(docs, id_col, text_col, words), "known")
-    total = known.agg(F.sum("n")).first()[0] or 0
-    classes = node_classes(docs, total, id_col, text_col, words, percent)
-    least = known.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least_id"))
-    placed = least.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known, placed = _placed(docs, id_col, text_col, words, percent)
     reached = placed.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = meet(placed, reached, ["label"], ["node"]).select("node", "component_id")
     # The copies of one set of shingles are many rows of one node.
     return meet(known, named, ["node"], ["id"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that reach a smaller id by links; of rows that repeat an id and its words, one stays.
+def _with_node(docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """docs, all columns as they are, with `_node`, the identity of each row's set (null where it is empty)."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_node(s) if len(s) else None for _, sets in _sets(iter([pa.RecordBatch.from_arrays([batch.column(at)] * 2, names=["id", "text"])]), words) for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*batch.schema.names, "_node"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_node", LongType())]))
+
 
-    Rows of different words under one id are dropped or kept together, and rows
-    without an id are kept, for what is dropped is told by id.
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each group that links connect: the one with the smallest id (null last), of equal ids that with the smallest identity of its set.
+
+    Rows are judged one by one, whatever ids they have: of rows that repeat an
+    id each stays or goes with its own text, and rows without an id go where
+    their group has another row. Of rows with the id and the set of the one
+    that stays, any one stays. Null and wordless texts link with nothing and
+    all stay.
     """
-    classes = ngram_classes(docs, id_col, text_col, **options)
-    dropped = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped")).distinct()
-    left = docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
-    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_repeated")).count().where("count > 1").select("_repeated")
-    if repeated.isEmpty():
-        return left
-    same = left[id_col] == repeated["_repeated"]
-    words = F.lower(F.btrim(F.regexp_replace(text_or_empty(text_col), WHITE_RUN, " "), F.lit(" ")))
-    once = left.join(repeated, same, "left_semi").withColumn("_words", words).dropDuplicates([id_col, "_words"]).drop("_words")
-    return left.join(repeated, same, "left_anti").unionByName(once)
+    known, placed = _placed(docs, id_col, text_col, words, percent)
+    first = F.min(F.struct(F.col("least_id").isNull().alias("none"), F.col("least_id").alias("id"), "node")).alias("first")
+    stays = meet(placed, placed.groupBy("label").agg(first), ["label"], ["node"]).select("node", F.col("first.node").alias("_first"), F.col("first.id").alias("_first_id"))
+    goes = (F.col("node") != F.col("_first")) | ~F.col("id").eqNullSafe(F.col("_first_id"))
+    space = Workspace(docs.sparkSession)
+    rows = known.where("node IS NOT NULL").groupBy("id", "node").agg(F.count("*").alias("many"))
+    judged = space.write(meet(rows, stays, ["node"], ["id"]).select("id", "node", "many", goes.alias("goes")), "judged")
+    # An id that one row has tells it; the others are told by id and set.
+    shared = space.write(known.groupBy("id").count().where("id IS NULL OR count > 1").select(F.col("id").alias("_shared")), "shared")
+    dropped = judged.where("goes").select(F.col("id").alias("_id"), F.col("node").alias("_of"))
+    if shared.isEmpty():
+        return docs.join(dropped, docs[id_col] == dropped["_id"], "left_anti")
+    own = docs.join(shared, docs[id_col].eqNullSafe(shared["_shared"]), "left_anti")
+    own = own.join(dropped, own[id_col] == dropped["_id"], "left_anti")
+    told = _with_node(docs.join(shared, docs[id_col].eqNullSafe(shared["_shared"]), "left_semi"), text_col, words)
+    told = told.join(dropped, told[id_col].eqNullSafe(dropped["_id"]) & (told["_node"] == dropped["_of"]), "left_anti")
+    repeats = judged.where("NOT goes AND many > 1").select(F.col("id").alias("_id"), F.col("node").alias("_of"))
+    same = told[id_col].eqNullSafe(repeats["_id"]) & (told["_node"] == repeats["_of"])
+    once = told.join(repeats, same, "left_semi").dropDuplicates([id_col, "_node"])
+    return own.unionByName(told.join(repeats, same, "left_anti").unionByName(once).drop("_node"))
