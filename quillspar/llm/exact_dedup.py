@@ -2,9 +2,9 @@
 
 Texts are equal when they are identical after each run of ASCII white space
 became one space. A directory of 2**depth slots points, by the first bits of a
-text's hash, to buckets. A bucket with more hashes than it may hold is split by
-one more bit, and the directory doubles when that bucket had as many bits as
-the directory. Every row finds its bucket through the directory; the task that
+text's hash, to buckets. It begins with one bit; a bucket with more hashes than
+it may hold is split by one more bit, and the directory doubles when that
+bucket had as many bits as the directory. Every row finds its bucket through the directory; the task that
 owns the bucket's key range compares whole texts, gives each different text of
 a hash a place in the hash's chain, and tells which id stays. Rows then look
 their chain entry up in their bucket.
@@ -18,11 +18,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspar.llm.tables import WHITE_RUN, text_or_empty
+from quillspar.llm.tables import PARTS, WHITE_RUN, for_each_part, text_or_empty
 from quillspar.session import Workspace
 
 #: Hashes that a bucket may hold.
-BUCKET_ENTRIES = 4096
+BUCKET_ENTRIES = 256
+#: Bits beyond those that even hashes need, to which hashes are counted once; doublings up to there add these counts up.
+SPARE_BITS = 2
 #: A bucket with a hash of more rows than this is dealt over several tasks, whose results are merged.
 SHARE_ROWS = 1 << 16
 #: A directory of at most so many slots (some 32 MB) is sent to all tasks; a larger one is joined by slot.
@@ -48,9 +50,10 @@ class Directory:
     def __init__(self, keys: DataFrame, space: Workspace, capacity: int, share_rows: int):
         """keys: (key, rows), one row for each hash."""
         total = keys.count()
-        self.doublings = 0
-        self.depth = min(64, max(1, math.ceil(math.log2(max(total / capacity, 1)))))  # as deep as even hashes need
-        state = space.write(self._counts(keys).select("*", self._bucket(F.lit(self.depth)).alias("bucket"), F.lit(self.depth).alias("local")), "directory0")
+        self.keys, self.doublings, self.depth = keys, 0, 1
+        self.counted = min(64, max(1, math.ceil(math.log2(max(total / capacity, 1)))) + SPARE_BITS)
+        self.cells = space.write(self._counted(self.counted), "cells")
+        state = space.write(self._counts().select("*", self._bucket(F.lit(1)).alias("bucket"), F.lit(1).alias("local")), "directory0")
         while self.depth < 64:
             sizes = state.groupBy("bucket").agg(F.sum("entries").alias("entries"), F.min("low").alias("low"), F.max("high").alias("high"))
             overfull = sizes.where((F.col("entries") > capacity) & (F.col("low") != F.col("high"))).select("bucket", F.lit(1).alias("overfull"))
@@ -60,7 +63,7 @@ class Directory:
             old = state.join(overfull, "bucket", "left").select(F.explode(F.array(F.col("slot") * 2, F.col("slot") * 2 + 1)).alias("slot"), "bucket", "local", "overfull")
             self.depth += 1
             self.doublings += 1
-            doubled = self._counts(keys).join(old, "slot")
+            doubled = self._counts().join(old, "slot")
             split = F.col("overfull").isNotNull()
             state = doubled.select("slot", "entries", "low", "high", "most", F.when(split, self._bucket(F.lit(self.depth))).otherwise(F.col("bucket")).alias("bucket"), F.when(split, F.lit(self.depth)).otherwise(F.col("local")).alias("local"))
             state = space.write(state, f"directory{self.doublings}")
@@ -68,8 +71,15 @@ class Directory:
         self.slots = space.write(state.select("slot", "bucket", "local").join(shares, "bucket"), "directory")
         self.small = self.slots.count() <= BROADCAST_SLOTS
 
-    def _counts(self, keys: DataFrame) -> DataFrame:
-        return keys.groupBy(_slot(self.depth).alias("slot")).agg(F.count("*").alias("entries"), F.min("key").alias("low"), F.max("key").alias("high"), F.max("rows").alias("most"))
+    def _counted(self, depth: int) -> DataFrame:
+        return self.keys.groupBy(_slot(depth).alias("slot")).agg(F.count("*").alias("entries"), F.min("key").alias("low"), F.max("key").alias("high"), F.max("rows").alias("most"))
+
+    def _counts(self) -> DataFrame:
+        """What falls in each slot: the cells added up, or, deeper than these, the hashes counted anew."""
+        if self.depth > self.counted:
+            return self._counted(self.depth)
+        slot = F.shiftrightunsigned("slot", self.counted - self.depth).alias("slot")
+        return self.cells.groupBy(slot).agg(F.sum("entries").alias("entries"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("most").alias("most"))
 
     def _bucket(self, local: Column) -> Column:
         return F.call_function("shiftleft", F.col("slot"), (F.lit(64) - local).cast("int"))
@@ -77,7 +87,12 @@ class Directory:
     def route(self, rows: DataFrame) -> DataFrame:
         """rows (with their `key`) with bucket, shares and the share that each falls in."""
         slots = self.slots.select("slot", "bucket", "shares")
-        found = rows.withColumn("slot", _slot(self.depth)).join(F.broadcast(slots) if self.small else slots, "slot").drop("slot")
+        rows = rows.withColumn("slot", _slot(self.depth))
+        if self.small:
+            found = rows.join(F.broadcast(slots), "slot").drop("slot")
+        else:  # a frequent text is many rows of one slot
+            part = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(PARTS)).cast("int")
+            found = rows.withColumn("_part", part).join(for_each_part(slots), ["slot", "_part"]).drop("slot", "_part")
         return found.withColumn("share", F.when(F.col("shares") > 1, F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("shares"))).otherwise(F.lit(0)))
 
 
