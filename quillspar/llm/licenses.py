@@ -5,9 +5,12 @@ pieces unchanged (pigeonhole), so exact search for the pieces finds all places
 that can hold it. Around them the regex library's bounded-error matching
 counts the edits. The words that name the license are compared apart from the
 sentence around them: short names exactly, long ones with an edit of their own,
-for the edits of a sentence would turn one license's name into another's.
-Matches begin and end with words. Texts are compared as words: A-Z in lower
-case, everything that is no word character as one space.
+for the edits of a sentence would turn one license's name into another's. In
+most sentences, and behind an SPDX tag, the name may stand in a list of names
+and may have a version. Where a longer name stands at the same place ("cc by nc
+sa"), the shorter one ("cc by nc") doesn't count. Matches begin and end with
+words. Texts are compared as words: A-Z in lower case, everything that is no
+word character as one space; notices read "licence" as "license".
 """
 
 from __future__ import annotations
@@ -48,12 +51,28 @@ NAMES = {
     "business source": "busl",
     "zlib": "zlib",
     "artistic": "artistic",
+    "eupl": "eupl",
     "european union public": "eupl",
     "creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noncommercial sharealike": "cc-by-nc-sa",
+    "creative commons attribution noncommercial noderivatives": "cc-by-nc-nd",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "cc by": "cc-by",
+    "cc by sa": "cc-by-sa",
+    "cc by nc": "cc-by-nc",
+    "cc by nc sa": "cc-by-nc-sa",
+    "cc by nc nd": "cc-by-nc-nd",
+    "cc by nd": "cc-by-nd",
+    "cc0": "cc0",
 }
+#: Names that only SPDX tags give.
+TAG_NAMES = {"bsl": "bsl-1", "unlicense": "unlicense", "0bsd": "bsd"}
 #: Sentences around a name, whose place is marked by braces.
 SENTENCES = ("licensed under the {} license", "released under the {} license", "distributed under the {} license", "under the terms of the {} license", "available under the {} license")
-#: Notices with names of their own, which braces enclose.
+TAG = "spdx license identifier {}"
+#: Notices with names of their own: in braces as they are, in brackets with versions and among other names too.
 NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "redistribution and use in source and binary forms": "bsd",
@@ -67,12 +86,18 @@ NOTICES = {
     "licensed under {cc by nc}": "cc-by-nc",
     "licensed under {cc by sa}": "cc-by-sa",
     "licensed under {cc by nd}": "cc-by-nd",
+    "licensed under {cc by nc sa}": "cc-by-nc-sa",
+    "licensed under {cc by nc nd}": "cc-by-nc-nd",
     "{creative commons attribution} 4 0 international": "cc-by",
     "{creative commons attribution noncommercial}": "cc-by-nc",
+    "{creative commons attribution noncommercial sharealike}": "cc-by-nc-sa",
+    "{creative commons attribution noncommercial noderivatives}": "cc-by-nc-nd",
     "{creative commons attribution sharealike}": "cc-by-sa",
+    "{creative commons attribution noderivatives}": "cc-by-nd",
     "{creative commons zero}": "cc0",
 }
-NOTICES |= {sentence.format("{" + name + "}"): label for name, label in NAMES.items() for sentence in SENTENCES}
+NOTICES |= {sentence.format("[" + name + "]"): label for name, label in NAMES.items() for sentence in SENTENCES}
+NOTICES |= {TAG.format("[" + name + "]"): label for name, label in (NAMES | TAG_NAMES).items()}
 #: A piece has about this many bytes, so that the n bytes around a name may have n // PIECE_BYTES - 1 edits, one at least.
 PIECE_BYTES = 10
 #: A name with a word of at least so many bytes may have one edit.
@@ -80,6 +105,14 @@ LONG_WORD = 6
 #: What a bare phrase without a notice around it scores.
 PHRASE_SCORE = 0.5
 
+_ITEM = "(?:" + "|".join(sorted(NAMES | TAG_NAMES, key=len, reverse=True)) + ")"
+_VERSION = r"(?: ?(?:version |v)?\d{1,2}(?: \d{1,2})?(?: clause)?(?: international)?)?(?: only| or later| or any later version)?"
+_AND = "(?: and or| or| and)?(?: the)?"
+#: What may stand between a sentence and its name, and between the name and the rest; and how many bytes more that makes at most.
+BEFORE_NAME = f"(?:{_ITEM}{_VERSION}(?: license)?{_AND} ){{0,3}}"
+BEHIND_NAME = f"{_VERSION}(?:{_AND} {_ITEM}{_VERSION}){{0,3}}"
+GAP_BYTES = 7 * 120
+
 _SPACED = np.where(textkernel.ALNUM, textkernel.LOWER, 0x20).astype(np.uint8)
 
 
@@ -96,20 +129,32 @@ class Notice:
     after: str
     edits: int
     name_edits: int
+    #: Whether versions and other names may stand beside the name.
+    listed: bool = False
 
     @classmethod
     def of(cls, template: str, label: str, piece_bytes: int = PIECE_BYTES) -> Notice:
-        before, _, rest = template.partition("{")
-        name, _, after = rest.partition("}") if rest else ("", "", "")
+        listed = "[" in template
+        before, _, rest = template.partition("[" if listed else "{")
+        name, _, after = rest.partition("]" if listed else "}") if rest else ("", "", "")
         edits = max(1, (len(before) + len(after)) // piece_bytes - 1)
-        return cls(before + name + after, label, before.rstrip(), name, after.lstrip(), edits, int(max(map(len, name.split()), default=0) >= LONG_WORD))
+        return cls(before + name + after, label, before.rstrip(), name, after.lstrip(), edits, int(max(map(len, name.split()), default=0) >= LONG_WORD), listed)
 
     @property
     def pieces(self) -> list[tuple[int, str]]:
-        """(place, piece): one more than all edits, so that one of them is free of any."""
-        n = self.edits + self.name_edits + 1
-        cuts = [round(i * len(self.text) / n) for i in range(n + 1)]
-        return [(lo, self.text[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        """(place, piece): one more than all edits, so that one of them is free of any; with a list, of what stands before it."""
+        n = self.edits + 1 if self.listed else self.edits + self.name_edits + 1
+        text = self.before if self.listed else self.text
+        cuts = [round(i * len(text) / n) for i in range(n + 1)]
+        return [(lo, text[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    @property
+    def told(self) -> list[str]:
+        """Of which one stands wherever the name does; none where the notice's own pieces tell enough."""
+        if not self.name or (self.name_edits and not self.listed):
+            return []
+        half = len(self.name) // 2
+        return [self.name[:half], self.name[half:]] if self.name_edits else [f" {self.name}"]
 
     @property
     def pattern(self) -> regex.Pattern:
@@ -117,11 +162,13 @@ class Notice:
         part = lambda text, most: f"(?:{_literal(text)}){{e<={most}}}" if most else _literal(text)
         if not self.name:
             ways = [part(self.before, self.edits)]
-        elif not self.before or not self.after:
-            name = part(self.name, self.name_edits)
-            ways = [f"{part(self.before, self.edits)} {name}" if self.before else f"{name} {part(self.after, self.edits)}" if self.after else name]
-        else:  # the edits are shared out between both sides
-            ways = [f"{part(self.before, i)} {part(self.name, self.name_edits)} {part(self.after, self.edits - i)}" for i in range(self.edits + 1)]
+        else:
+            name = f"(?P<name>{part(self.name, self.name_edits)})"
+            name = f"{BEFORE_NAME}{name}{BEHIND_NAME}" if self.listed else name
+            if not self.before or not self.after:
+                ways = [f"{part(self.before, self.edits)} {name}" if self.before else f"{name} {part(self.after, self.edits)}" if self.after else name]
+            else:  # the edits are shared out between both sides
+                ways = [f"{part(self.before, i)} {name} {part(self.after, self.edits - i)}" for i in range(self.edits + 1)]
         return regex.compile(f"(?e)(?<= )(?:{'|'.join(ways)})(?= )")
 
 
@@ -131,49 +178,56 @@ class Scanner:
     def __init__(self, items: tuple[tuple[str, str], ...], piece_bytes: int):
         self.notices = [Notice.of(text, label, piece_bytes) for text, label in items]
         self.patterns = [n.pattern for n in self.notices]
-        found: dict[str, list[tuple[int, int]]] = {}
-        for i, notice in enumerate(self.notices):
-            for place, piece in notice.pieces:
-                found.setdefault(piece, []).append((i, place))
+        words = {piece for n in self.notices for piece in [*(piece for _, piece in n.pieces), *n.told]}
         self.automaton = ahocorasick.Automaton()
-        for piece, where in found.items():
-            self.automaton.add_word(piece, (len(piece), where))
-        if found:
+        for piece in words:
+            self.automaton.add_word(piece, piece)
+        if words:
             self.automaton.make_automaton()
-        self.empty = not found
+        self.empty = not words
 
     def windows(self, text: str) -> dict[int, list[tuple[int, int]]]:
         """For each notice that may stand in the text, the stretches that hold all its places."""
         if self.empty:
             return {}
-        starts: dict[int, list[int]] = {}
-        for end, (size, where) in self.automaton.iter(text):
-            for i, place in where:
-                starts.setdefault(i, []).append(end + 1 - size - place)
-        out = {}
-        for i, at in starts.items():
-            notice = self.notices[i]
+        starts: dict[str, list[int]] = {}
+        for end, piece in self.automaton.iter(text):
+            starts.setdefault(piece, []).append(end + 1 - len(piece))
+        seen, out = {piece: np.array(at, np.int64) for piece, at in starts.items()}, {}
+        for i, notice in enumerate(self.notices):
+            at = [seen[piece] - place for place, piece in notice.pieces if piece in seen]
+            if not at or (notice.told and not any(piece in seen for piece in notice.told)):
+                continue
             slack = notice.edits + notice.name_edits + 1
-            short = notice.name and not notice.name_edits
-            name, found = f" {notice.name} ", []
-            for s in sorted(set(at)):
-                lo, hi = max(s - slack, 0), s + len(notice.text) + slack
-                if short and text.find(name, lo, hi) < 0:
-                    continue
-                if found and lo <= found[-1][1]:
-                    found[-1] = (found[-1][0], hi)
-                else:
-                    found.append((lo, hi))
-            if found:
-                out[i] = found
+            at = np.unique(np.concatenate(at))
+            lo, hi = np.maximum(at - slack, 0), at + len(notice.text) + slack + GAP_BYTES * notice.listed
+            if notice.told:  # a piece of the name stands between
+                named = np.zeros(len(at), bool)
+                for piece in notice.told:
+                    if piece in seen:
+                        next_one = np.append(seen[piece], len(text) + GAP_BYTES + len(notice.text) + 2 * slack)[np.searchsorted(seen[piece], lo)]
+                        named |= next_one + len(piece) <= hi
+                lo, hi = lo[named], hi[named]
+            if len(lo):
+                first = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1])))
+                out[i] = list(zip(lo[first].tolist(), hi[np.append(first[1:], len(hi)) - 1].tolist(), strict=True))
         return out
 
     def spans(self, text: str) -> Iterator[tuple[Notice, int, int, int]]:
-        """(notice, start, end, edits) of the places where notices stand; overlapping places of one notice give one."""
+        """(notice, start, end, edits) of the places where notices stand; overlapping places of one notice give one, and a name
+        gives way to a longer one that begins at its place."""
+        found, names = [], {}
         for i, stretches in self.windows(text).items():
+            notice = self.notices[i]
             for lo, hi in stretches:
                 for m in self.patterns[i].finditer(text, lo, min(hi, len(text))):
-                    yield self.notices[i], m.start(), m.end(), sum(m.fuzzy_counts)
+                    at = m.start("name") if notice.name else -1
+                    found.append((notice, m.start(), m.end(), sum(m.fuzzy_counts), at))
+                    if notice.name:
+                        names.setdefault(at, set()).add(notice.name)
+        for notice, lo, hi, edits, at in found:
+            if not any(other.startswith(f"{notice.name} ") for other in names.get(at, ())):
+                yield notice, lo, hi, edits
 
 
 @lru_cache(maxsize=4)
@@ -225,7 +279,7 @@ def scan_chunk(data: np.ndarray, offsets: np.ndarray, phrases: dict[str, str], s
     scores: dict[int, float] = {}
     # Rows are searched as one text; a run of line feeds between them is longer than all edits of any notice can bridge.
     gap = max((n.edits + n.name_edits for n in scanner.notices), default=0) + 1
-    text = np.insert(clean, np.repeat(bounds[1:-1], gap), 0x0A).tobytes().decode("latin-1")
+    text = np.insert(clean, np.repeat(bounds[1:-1], gap), 0x0A).tobytes().decode("latin-1").replace("licenc", "licens")
     begins = bounds + gap * np.arange(len(bounds))
     for notice, lo, hi, edits in scanner.spans(text):
         row = int(np.searchsorted(begins, lo, side="right")) - 1

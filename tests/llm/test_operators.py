@@ -111,6 +111,13 @@ def test_directory_splits_overfull_buckets_and_rows_go_through_it(docs):
     assert index.classes().count() == 0
 
 
+def test_directory_doubles_at_its_own_capacity_and_may_be_joined(spark, awkward, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert exact_dedup.ExactIndex(docs).directory.doublings > 0
+    monkeypatch.setattr(exact_dedup, "BROADCAST_SLOTS", 0)
+    assert collections.Counter(map(tuple, exact_dedup.exact_duplicates(awkward, capacity=2, share_rows=2).collect())) == wanted_copies(awkward)
+
+
 def test_copies_go(awkward):
     left = exact_dedup.drop_exact_duplicates(awkward)
     assert left.columns == awkward.columns
@@ -177,7 +184,7 @@ def test_rows_of_one_id_are_judged_apart(spark):
     base = [f"t{i}" for i in range(60)]
     near, other = " ".join([*base[:-1], "changed"]), " ".join(f"o{i}" for i in range(30))
     texts = [(1, " ".join(base)), (2, near), (2, other), (2, other), (None, near), (None, "words of its own here it is"), (None, "Words of its own here it is"), (3, None), (3, ""), (4, other)]
-    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], SCHEMA)
+    df = spark.createDataFrame([(i, t, "en", "s", 1, 7, "s", "k", "l") for i, t in texts], SCHEMA)
     left = collections.Counter((r["doc_id"], low(r["text"] or "")) for r in ngram_join.distinct_documents(df).collect())
     assert left == collections.Counter({(1, " ".join(base)): 1, (2, other): 1, (None, "words of its own here it is"): 1, (3, ""): 2})
 
@@ -369,11 +376,11 @@ def stands_in(notice, words):
 
 def test_notices_equal_brute_force(spark):
     rnd = np.random.default_rng(4)
-    templates = ["licensed under the {mit} license", "licensed under the {apache} license", "licensed under {cc by nc}", "{mozilla} public license version", "this is free and unencumbered software"]
+    templates = ["licensed under the [mit] license", "licensed under the [apache] license", "spdx license identifier [zlib]", "licensed under {cc by nc}", "{mozilla} public license version", "this is free and unencumbered software"]
     notices = {t: licenses.NOTICES[t] for t in templates}
     texts = []
     for k in range(120):
-        letters = list(templates[k % len(templates)].replace("{", "").replace("}", ""))
+        letters = list(re.sub(r"[][{}]", "", templates[k % len(templates)]))
         for at in rnd.integers(0, len(letters), rnd.integers(0, 5)):
             letters[at] = ["", "x", " ", letters[at] + "y"][rnd.integers(0, 4)]
         texts.append("ab " * rnd.integers(0, 2) + "".join(letters) + " cd" * rnd.integers(0, 2))
@@ -406,6 +413,22 @@ def test_fuzzy_notices(spark):
         "licensed under the limit license": "",
         "the licensed under": "",
         "(see the Mozila Public License, version 2)": "mpl",
+        "Licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa",
+        "licensed under CC BY-NC-ND": "cc-by-nc-nd",
+        "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International": "cc-by-nc-sa",
+        "SPDX-License-Identifier: MIT": "mit",
+        "SPDX-License-Identifer: (GPL-2.0-or-later OR BSD-3-Clause) AND Zlib\nint x;": "bsd,gpl,zlib",
+        "SPDX-License-Identifier: CC-BY-NC-SA-4.0 OR CC-BY-4.0": "cc-by,cc-by-nc-sa",
+        "SPDX-License-Identifier: Permit": "",
+        "licensed under the Apache 2.0 license": "apache",
+        "Licenced under the Apache Licence": "apache",
+        "under the terms of the MIT or Apache license": "apache,mit",
+        "under the terms of the MIT, BSD 3-Clause and/or GPLv3 licenses": "bsd,gpl,mit",
+        "distributed under the BSD 2-Clause License": "bsd",
+        "available under the MIT, BSD 3-Clause and/or GPLv3 license": "bsd,gpl,mit",
+        "released under the GNU Lesser General Public Licence": "lgpl",
+        "licensed under the 2.0 license": "",
+        "the driver is licensed under the law of Apache county, and has a license": "",
     }
     rows = licenses.license_scan(spark.createDataFrame(rows_of(told), SCHEMA)).orderBy("doc_id").collect()
     assert [r["labels"] for r in rows] == list(told.values())
