@@ -87,7 +87,7 @@ def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         for ids, sets in _sets(batches, words):
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64())], names=["id", "n", "node"])
 
-    return rows.mapInArrow(run, f"id {kind}, n long, node long")
+    return rows.mapInArrow(textkernel.giving_back(run), f"id {kind}, n long, node long")
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -159,7 +159,7 @@ def class_bitmaps(docs: DataFrame, total: int, id_col: str, text_col: str, words
             out.append(pa.array([zstandard.ZstdCompressor(level=1).compress(np.packbits(flags, bitorder="little").tobytes())], pa.binary()))
         return pa.Table.from_arrays([pa.array([fragment], pa.int64()), *out], names=["fragment", "seen", "often"])
 
-    sent = rows.mapInArrow(run, "fragment long, keys binary, counts binary")
+    sent = rows.mapInArrow(textkernel.giving_back(run), "fragment long, keys binary, counts binary")
     merged = sent.groupBy("fragment").applyInArrow(merge, "fragment long, seen binary, often binary")
     seen, often = (np.zeros(1 << bits >> 3, np.uint8) for _ in range(2))
     width = 1 << (bits - depth) >> 3
@@ -223,7 +223,7 @@ def candidates(docs: DataFrame, bitmaps: tuple[np.ndarray, np.ndarray, int], id_
                     names=["node", "n", "own", "keys", "parts"],
                 )
 
-    return rows.mapInArrow(run, "node long, n long, own long, keys array<bigint>, parts array<binary>")
+    return rows.mapInArrow(textkernel.giving_back(run), "node long, n long, own long, keys array<bigint>, parts array<binary>")
 
 
 def verified(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -241,7 +241,7 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> Data
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(found)], names=["a", "b", "n_a", "n_b", "partial"])
 
     beside = meet(pairs, right, ["b"], ["a"]).join(left, ["a", "fragment"]).select("a", "b", "n_a", "n_b", "part_a", "part_b")
-    sums = beside.mapInArrow(run, "a long, b long, n_a long, n_b long, partial long").groupBy("a", "b", "n_a", "n_b").agg(F.sum("partial").alias("shared"))
+    sums = beside.mapInArrow(textkernel.giving_back(run), "a long, b long, n_a long, n_b long, partial long").groupBy("a", "b", "n_a", "n_b").agg(F.sum("partial").alias("shared"))
     return sums.where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
@@ -294,6 +294,7 @@ def node_classes(docs: DataFrame, total: int, id_col: str = "doc_id", text_col:
 def _placed(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """known (id, n, node) of every row, and placed (node, least_id, label) of every node."""
     ship(docs.sparkSession)
+    textkernel.small_batches(docs.sparkSession)
     space = Workspace(docs.sparkSession)
     known = space.write(nodes(docs, id_col, text_col, words), "known")
     total = known.agg(F.sum("n")).first()[0] or 0
@@ -330,7 +331,7 @@ def _with_node(docs: DataFrame, text_col: str, words: int) -> DataFrame:
             found = [_node(s) if len(s) else None for _, sets in _sets(iter([pa.RecordBatch.from_arrays([batch.column(at)] * 2, names=["id", "text"])]), words) for s in sets]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*batch.schema.names, "_node"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_node", LongType())]))
+    return docs.mapInArrow(textkernel.giving_back(run), StructType([*docs.schema.fields, StructField("_node", LongType())]))
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

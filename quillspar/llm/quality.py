@@ -160,7 +160,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 yield pa.RecordBatch.from_arrays([*rest, *map(pa.array, text_features(data, offsets, words)), _packed(*word_features(data, offsets, words))], names=["id", "source", "lang", "size", *CONTENT, "words"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, source int, lang int, size int, " + ", ".join(f"{n} int" for n in CONTENT) + ", words binary")
+    return rows.mapInArrow(textkernel.giving_back(run), f"id {kind}, source int, lang int, size int, " + ", ".join(f"{n} int" for n in CONTENT) + ", words binary")
 
 
 @dataclass
@@ -302,7 +302,7 @@ def _summed(table: DataFrame, count, cells: int) -> np.ndarray:
         cell = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(sums[cell])], names=["cell", "n"])
 
-    found = table.select("label", "held", *CONTENT, *METADATA, "words").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = table.select("label", "held", *CONTENT, *METADATA, "words").mapInArrow(textkernel.giving_back(run), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(cells)
     out[found["cell"].to_numpy()] = found["n"].to_numpy()
     return out
@@ -402,6 +402,7 @@ def co_train(table: DataFrame, rounds: int = ROUNDS, share: float = EXCHANGED) -
 
 def _trained(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, rounds: int, columns: dict) -> tuple[DataFrame, tuple[View, View, float]]:
     """The features of all documents, written, and what co-training made of them."""
+    textkernel.small_batches(docs.sparkSession)
     space = Workspace(docs.sparkSession)
     told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     # Rows without an id have no label; they are dealt out so that they don't meet in one task of the join. Labels grow with
@@ -436,7 +437,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, _scores(_columns(batch), *model))], names=[id_col, "p_content", "p_metadata", "score"])
 
-    scored = table.drop("label", "held").mapInArrow(score, f"`{id_col}` {kind}, p_content double, p_metadata double, score double")
+    scored = table.drop("label", "held").mapInArrow(textkernel.giving_back(score), f"`{id_col}` {kind}, p_content double, p_metadata double, score double")
     return scored.withColumn("kept", F.col("score") >= keep)
 
 
@@ -457,5 +458,5 @@ def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
                 good = pa.array(_scores(found, *model)[2] >= keep)
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in range(n)], names=[f"c{i}" for i in range(n)]).filter(good)
 
-    kept = beside.mapInArrow(judge, ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(docs.columns)))
+    kept = beside.mapInArrow(textkernel.giving_back(judge), ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(docs.columns)))
     return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -8,7 +8,8 @@ neighbours, word hashes from mixed blocks of eight bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 2 << 20
+#: Arrow batches that tasks send to Python hold about so many bytes.
+BATCH_BYTES = 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,6 +59,29 @@ def chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def small_batches(spark) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch to BATCH_BYTES, where it is larger; it stays so, for results are computed later."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which ends by giving freed memory back to the system: Python workers live on, and what they hold counts beside the JVM's."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and per row the index of its first word (one entry more than rows)."""
     if not len(data):
