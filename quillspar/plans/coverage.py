@@ -112,11 +112,13 @@ def evaluated(expected: DataFrame, found: DataFrame, cases: DataFrame) -> DataFr
     Rows are compared as multisets: what is found twice and expected once is
     right once and wrong once. A measure of nothing is 1.
     """
-    columns = ["case", "line", "algorithm"]
-    expected, found = expected.select(*columns), found.select(*columns)
-    tagged = lambda rows, name: rows.select("case", F.lit(name).alias("outcome"))
-    rows = tagged(expected.intersectAll(found), "tp").unionByName(tagged(found.exceptAll(expected), "fp")).unionByName(tagged(expected.exceptAll(found), "fn"))
+    columns, outcomes = ["case", "line", "algorithm"], ["tp", "fp", "fn"]
+    tagged = lambda rows, wanted: rows.select(*columns, F.lit(wanted).alias("_wanted"))
+    # Equal rows are counted, not listed: a multiset's intersection and differences are the least and the rests of two counts.
+    counts = tagged(expected, True).unionByName(tagged(found, False)).groupBy(*columns).agg(F.count_if("_wanted").alias("_e"), F.count_if(~F.col("_wanted")).alias("_f"))
+    both = F.least("_e", "_f")
+    by_case = counts.groupBy("case").agg(F.sum(both).alias("tp"), F.sum(F.col("_f") - both).alias("fp"), F.sum(F.col("_e") - both).alias("fn"))
     share = lambda top, low: F.when(low == 0, F.lit(1.0)).otherwise(top / low)
-    sums = cases.select("case", "kind").join(rows, "case", "left").rollup("kind").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("tp", "fp", "fn")])
+    sums = cases.select("case", "kind").join(by_case, "case", "left").rollup("kind").agg(*[F.coalesce(F.sum(o), F.lit(0).cast("long")).alias(o) for o in outcomes])
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return sums.withColumns({"precision": share(tp, tp + fp), "recall": share(tp, tp + fn), "f1": share(2 * tp, 2 * tp + fp + fn)})

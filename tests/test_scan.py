@@ -354,6 +354,16 @@ def test_accuracy_counts_multisets(spark):
     assert rows[None] == (2, 1, 1, pytest.approx(2 / 3)) and rows["none"] == (0, 0, 0, 1.0)
 
 
+def test_accuracy_lists_no_equal_rows(spark):
+    ddl = "case string, line int, algorithm string"
+    want = spark.range(30).selectExpr("'a' AS case", "CAST(NULL AS INT) AS line", "'RSA' AS algorithm")
+    got = spark.range(50).selectExpr("IF(id < 1, NULL, 'a') AS case", "CAST(NULL AS INT) AS line", "'RSA' AS algorithm").unionByName(spark.createDataFrame([("a", 1, None)] * 3, ddl))
+    rows = coverage.evaluated(want, got, spark.createDataFrame([("a", "x"), ("a", "y"), (None, "y")], "case string, kind string"))
+    assert {r["kind"]: (r["tp"], r["fp"], r["fn"]) for r in rows.collect()} == {"x": (30, 22, 0), "y": (30, 22, 0), None: (60, 44, 0)}
+    # Were they listed, the list would be broadcast by its counts' size.
+    assert "replicaterows" not in rows._jdf.queryExecution().toString().lower()
+
+
 # ---- what may be kept, and what names mean
 
 
