@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +50,8 @@ def budgeted(df: DataFrame, kind: str, kinds: list[str], order: list[str | Colum
     part) fill the budget one after the other, each by its own order and up to
     its number in `most`. Returns the rows with their place in the whole
     selection, from 1, and one row for each class: (kind, total, kept,
-    left_out). Each partition gives at most `budget` rows of a class on, so
-    rows are never sorted as a whole.
+    left_out). A class is cut before it is ranked: each partition gives on at
+    most as many of its rows as it may keep, so rows are never sorted as a whole.
     """
     spark, most = df.sparkSession, most or {}
     table = spark.createDataFrame([(k, i, min(budget, most.get(k, budget))) for i, k in enumerate(kinds)], f"`{kind}` string, _turn int, _most long")
@@ -59,6 +61,7 @@ def budgeted(df: DataFrame, kind: str, kinds: list[str], order: list[str | Colum
     before = F.coalesce(F.sum(may).over(Window.orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     taken = totals.withColumn("_before", F.least(before, F.lit(budget))).withColumn("kept", F.least(may, F.lit(budget) - F.col("_before")))
     shares = taken.select(kind, "total", "kept", (F.col("total") - F.col("kept")).alias("left_out"))
-    first = top_per_group(df.where(F.col(kind).isin(kinds)), [kind], order, budget, "_place")
+    cut = [df.where(F.col(kind) == k).orderBy(*order).limit(min(budget, most.get(k, budget))) for k in kinds]
+    first = top_per_group(reduce(DataFrame.unionByName, cut), [kind], order, budget, "_place")
     rows = first.join(F.broadcast(taken.select(kind, "kept", "_before")), kind).where(F.col("_place") <= F.col("kept"))  # a row a class
     return rows.withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).select(*df.columns, name), shares

@@ -170,3 +170,13 @@ def test_patterns_by_kind(spark):
         want = sorted((i, v, min(h)[1]) for i, v in enumerate(values) if v is not None and (h := [(o, n) for o, p, n in left if fits(bare(v), bare(p))]))
         df = spark.createDataFrame(list(enumerate(values)), "i int, v string")
         assert sorted(map(tuple, matching.first_glob(df, "v", ["i"], chosen).collect())) == want
+
+
+def test_a_large_budget_cuts_each_class_before_ranking(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(20_000, numPartitions=4).select(F.lit("x").alias("c"), (F.col("id") * 7919 % 20_000).alias("v"))
+    kept, shares = order.budgeted(df, "c", ["x"], ["v"], 5000)
+    assert "TakeOrderedAndProject" in kept._jdf.queryExecution().executedPlan().toString()
+    assert [(r["v"], r["place"]) for r in kept.orderBy("v").collect()] == [(i, i + 1) for i in range(5000)]
+    assert [tuple(r) for r in shares.collect()] == [("x", 20_000, 5000, 15_000)]
