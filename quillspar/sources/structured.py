@@ -17,6 +17,11 @@ from quillspar.session import ship
 
 #: Larger documents are refused as a whole.
 MAX_NODES = 200_000
+#: Nodes nested deeper are left to the loader whose recursion Python bounds.
+MAX_DEPTH = 250
+_FAST = getattr(yaml, "CSafeLoader", None)
+# Tabs, lone question marks and rare line ends: the two loaders differ in them.
+_ODD = re.compile("[\t\x85\u2028\u2029]|[?](?=\\s|\\Z)")
 VALUES_DDL = "file string, key_path string, key string, value string, line int, error string"
 _COMMENTS = re.compile(r'"(?:[^"\\\n]|\\.)*"|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|,(?=\s*[}\]])')
 
@@ -44,11 +49,40 @@ def _walk(node: yaml.Node) -> Iterator[tuple[str, str, str, int]]:
             stack += [((*path, k.value), k.value, v) for k, v in reversed(at.value) if isinstance(k, yaml.ScalarNode)]
 
 
+def _shallow(text: str) -> bool:
+    """Whether nodes are nested no deeper than MAX_DEPTH; a text of few characters can't nest deeper than twice that."""
+    if len(text) <= 2 * MAX_DEPTH:
+        return True
+    depth = 0
+    for event in yaml.parse(text, Loader=_FAST):
+        if isinstance(event, yaml.CollectionStartEvent):
+            depth += 1
+            if depth > MAX_DEPTH:
+                return False
+        elif isinstance(event, yaml.CollectionEndEvent):
+            depth -= 1
+    return True
+
+
+def _documents(text: str) -> list[yaml.Node]:
+    """The nodes of a text's documents, by libyaml where it is there; what libyaml refuses or reads otherwise, and what is
+    nested so deep that its recursion has no bound, is left to the plain loader."""
+    if _FAST and not _ODD.search(text):
+        try:
+            nodes = list(yaml.compose_all(text, Loader=_FAST)) if _shallow(text) else []
+            # An empty document has another line there.
+            if nodes and all(node.value for node in nodes):
+                return nodes
+        except (yaml.YAMLError, ValueError):
+            pass
+    return list(yaml.compose_all(text, Loader=yaml.SafeLoader))
+
+
 def _values(path: str, kind: str, text: str) -> list[tuple]:
     text = plain_json(text) if kind == "json" else text
-    for attempt in (text, text.replace("\t", "  ")):
+    for attempt in dict.fromkeys((text, text.replace("\t", "  "))):
         try:
-            return [(path, *row, None) for node in yaml.compose_all(attempt, Loader=yaml.SafeLoader) if node is not None for row in _walk(node)]
+            return [(path, *row, None) for node in _documents(attempt) if node is not None for row in _walk(node)]
         except OverflowError:
             return [(path, None, None, None, None, "too_complex")]
         except (yaml.YAMLError, RecursionError, ValueError):

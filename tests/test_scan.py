@@ -474,3 +474,47 @@ def test_many_scans_do_not_mix(spark, tree, pack):
     targets = {(r["file"], r["spec"]): r["targets"] for r in found.collect()}
     for name in ("auth1", "two"):
         assert targets[f"{name}\x01/app/api.py", "app"] == [f"{name}\x01/app/keys.py"] and targets[f"{name}\x01/app/util.py", ".keys"] == [f"{name}\x01/app/keys.py"]
+
+
+def test_made_files_are_dealt_over_all_cores(spark, data):
+    from quillspar import queries_sources as made
+
+    least = 3 * spark.sparkContext.defaultParallelism
+    for rows in (made._python(spark, data), made._java(spark, data), made._yaml(spark, data), made._called(spark, data, "js", "supplier", "s_suppkey")):
+        assert rows.rdd.getNumPartitions() >= least
+    assert made._tree(spark, data).count() == 200 + 12
+
+
+def test_fast_yaml_reads_as_the_plain_loader(monkeypatch):
+    texts = ["a: 1\nb:\n  - x\n  - {c: 'd', e: \"f\\u00e9\"}\n", "a:\n\tb: 1\n", "---\n#c", "---\n\n", "? a\n", "x: &k [1, 2]\ny: *k\n", "a: b: c", "\"\\ud83d\\ude00\"", "[" * 300 + "]" * 300, "[" * 9000 + "]" * 9000, "- " * 9000 + "a", "a: x\x85b: y", ""]
+    rows = lambda: [structured._values("f", kind, t) for t in texts for kind in ("yaml", "json")]
+    fast = rows()
+    assert structured._FAST and not structured._shallow(texts[-4]) and fast[0][0][1:] == ("a", "a", "1", 1, None)
+    monkeypatch.setattr(structured, "_FAST", None)
+    assert fast == rows()
+
+
+def test_fast_yaml_is_used(monkeypatch):
+    monkeypatch.setattr(structured.yaml, "SafeLoader", None)
+    assert structured._values("f", "yaml", "a: 1\nb: [2]\n") == [("f", "a", "a", "1", 1, None), ("f", "b", "b", "2", 2, None)]
+
+
+def test_segments_and_nested_imports():
+    import ast
+
+    source = "import a;y = a.b('é', a.c(1,\r\n  2), a.d('\x0c'))\nif y:\n  from q import r\nelse:\n  import s\ntry:\n  import t\nexcept E:\n  from . import u\nmatch y:\n  case 1:\n    import v\ndef f():\n  a.g('''x\n\x0cy\n''')"
+    segments = imports._Segments(source)
+    calls = [n for n in ast.walk(ast.parse(source)) if isinstance(n, ast.Call)]
+    assert [segments.of(n) for n in calls] == [ast.get_source_segment(source, n) for n in calls] and len(calls) == 4
+    assert sorted(x[2] for x in imports._python_imports(source)) == [".", "a", "q", "s", "t", "v"]
+
+
+def test_files_are_read_once_for_manifest_and_warnings(spark, tree):
+    assessed = files.assessed(tree.unionByName(spark.createDataFrame([("big.yaml", 2 << 20, b"a: 1")], tree.schema)))
+    rows = coverage.warnings(assessed)
+    assert [tuple(r) for r in rows.collect()] == [("too_large", 1, "larger than the file limit")]
+    none = spark.createDataFrame([], "service string")
+    plans = [df._jdf.queryExecution().sparkPlan().toString() for df in (coverage.warnings(assessed), coverage.manifest(assessed, none, "s"))]
+    assert [p.count("ArrowEvalPython") for p in plans] == [2, 2]  # the union's two branches
+    empty = coverage.manifest(assessed.limit(0), none, "s").first()
+    assert (empty["files"], empty["bytes"], empty["skipped"], empty["services"], empty["kinds"]) == (0, 0, [], [], [])
