@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import bisect
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,7 +31,13 @@ _JAVA = re.compile(r"^\s*import\s+(static\s+)?([\w.]+?)(\.\*)?\s*;", re.M)
 
 
 def _python_imports(source: str) -> Iterator[tuple]:
-    for node in ast.walk(ast.parse(source)):
+    # Statements hold imports, and expressions hold no statements.
+    waiting = deque([ast.parse(source)])
+    while waiting:
+        node = waiting.popleft()
+        for name in ("body", "handlers", "orelse", "finalbody", "cases"):
+            if isinstance(inner := getattr(node, name, None), list):
+                waiting.extend(inner)
         if isinstance(node, ast.Import):
             for alias in node.names:
                 yield node.lineno, "import", alias.name, []
@@ -175,7 +182,8 @@ class _Calls(ast.NodeVisitor):
     def __init__(self, tree: ast.Module):
         self.names: dict[str, str] = {}
         bound: dict[str, list[str | None]] = {}
-        for node in ast.walk(tree):
+        nodes = list(ast.walk(tree))
+        for node in nodes:
             if isinstance(node, ast.Import):
                 for a in node.names:
                     self.names[a.asname or a.name.split(".")[0]] = a.name if a.asname else a.name.split(".")[0]
@@ -185,7 +193,7 @@ class _Calls(ast.NodeVisitor):
                 bound.setdefault(node.id, []).append(None)
             elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 bound.setdefault(node.name, []).append(None)
-        for node in ast.walk(tree):
+        for node in nodes:
             if isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
                 name, value = node.targets[0].id, _dotted(node.value)
                 if value and len(bound[name]) == 1 and name not in self.names and (full := self.full(value)):
@@ -223,6 +231,22 @@ class _Calls(ast.NodeVisitor):
         self.generic_visit(node)
 
 
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
+
+
+class _Segments:
+    """Texts of nodes; the source is cut into lines once, where ast.get_source_segment cuts it anew for each node."""
+
+    def __init__(self, source: str):
+        self.lines = [line.encode() for line in _LINE.findall(source)]
+
+    def of(self, node: ast.expr) -> str:
+        first, last = node.lineno - 1, node.end_lineno - 1
+        if first == last:
+            return self.lines[first][node.col_offset : node.end_col_offset].decode()
+        return b"".join([self.lines[first][node.col_offset :], *self.lines[first + 1 : last], self.lines[last][: node.end_col_offset]]).decode()
+
+
 def read_calls(files: DataFrame) -> DataFrame:
     """CALL_DDL rows of Python files(path, kind, text): one for each call of an imported name, with literal arguments.
 
@@ -240,8 +264,9 @@ def read_calls(files: DataFrame) -> DataFrame:
                     calls.visit(tree)
                 except (SyntaxError, ValueError, RecursionError):
                     continue
+                segments = _Segments(source)
                 for node, name, parent, scope, ints, texts in calls.found:
-                    rows.append((path, node.lineno, node.end_lineno, name, parent, scope, [i for i in ints if abs(i[2]) < 1 << 62], texts, ast.get_source_segment(source, node) or ""))
+                    rows.append((path, node.lineno, node.end_lineno, name, parent, scope, [i for i in ints if abs(i[2]) < 1 << 62], texts, segments.of(node)))
             yield pd.DataFrame(rows, columns=["file", "line_start", "line_end", "name", "parent", "scope", "ints", "texts", "evidence"])
 
     found = files.where("kind = 'python'").select("path", "text").mapInPandas(run, CALL_DDL)
