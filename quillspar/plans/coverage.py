@@ -14,11 +14,15 @@ REASONS = {"too_large": "larger than the file limit", "minified": "lines too lon
 
 def manifest(assessed: DataFrame, services: DataFrame, scan_id: str) -> DataFrame:
     """One row about a scan, from files with kind and skip; its lists have a row for each reason, kind or service."""
-    pairs = lambda column, name: assessed.where(f"{column} IS NOT NULL").groupBy(F.col(column).alias(name)).agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct(name, "n"))).alias(f"{name}s"))
-    sums = assessed.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
+    # Files are read once: sums by reason and kind are a few rows, of which all lists are made.
+    cells = assessed.groupBy("skip", "kind").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    said = lambda what, name: F.struct(F.lit(what).alias("what"), name.alias("name"))
+    parts = cells.select("n", "size", F.explode(F.array(said("all", F.lit("")), said("skip", F.col("skip")), said("kind", F.col("kind")))).alias("p")).where("p.name IS NOT NULL")
+    parts = parts.groupBy("p.what", "p.name").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    pairs = lambda what, name: F.array_sort(F.collect_list(F.when(F.col("what") == what, F.struct(F.col("name").alias(name), "n")))).alias(f"{name}s")
+    total = lambda column, name: F.coalesce(F.max(F.when(F.col("what") == "all", F.col(column))), F.lit(0)).cast("long").alias(name)
     names = services.where("service IS NOT NULL").agg(F.array_sort(F.collect_set("service")).alias("services"))
-    one = F.lit(1).alias("_one")
-    row = sums.select("*", one).join(pairs("skip", "reason").select("*", one), "_one").join(pairs("kind", "kind").select("*", one), "_one").join(names.select("*", one), "_one")
+    row = parts.agg(total("n", "files"), total("size", "bytes"), pairs("skip", "reason"), pairs("kind", "kind")).crossJoin(names)  # one row each
     return row.select(F.lit(scan_id).alias("scan_id"), "files", "bytes", F.col("reasons").alias("skipped"), "services", "kinds")
 
 
@@ -32,8 +36,10 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def warnings(assessed: DataFrame) -> DataFrame:
     """(reason, n, meaning) of what kept files from being read."""
-    meaning = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
-    return assessed.where(F.col("skip").isin(*REASONS)).groupBy(F.col("skip").alias("reason")).agg(F.count("*").alias("n")).withColumn("meaning", F.try_element_at(meaning, F.col("reason")))
+    # Counted without a filter: one on `skip` would sink to the scan and read each file's text there, a second time and in as few tasks as the scan has.
+    counts = assessed.agg(*[F.count_if(F.col("skip") == reason).alias(reason) for reason in REASONS])
+    rows = F.array(*[F.struct(F.lit(reason).alias("reason"), F.col(reason).alias("n"), F.lit(meaning).alias("meaning")) for reason, meaning in REASONS.items()])
+    return counts.select(F.explode(rows).alias("w")).select("w.*").where("n > 0")
 
 
 #: (area, predicate over one row of facts, message); `{name}` in a message is the fact's value. A message without a predicate is always said.
