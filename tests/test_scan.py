@@ -518,3 +518,13 @@ def test_files_are_read_once_for_manifest_and_warnings(spark, tree):
     assert [p.count("ArrowEvalPython") for p in plans] == [2, 2]  # the union's two branches
     empty = coverage.manifest(assessed.limit(0), none, "s").first()
     assert (empty["files"], empty["bytes"], empty["skipped"], empty["services"], empty["kinds"]) == (0, 0, [], [], [])
+
+
+def test_equal_matches_leave_no_choice(spark):
+    ddl = "file string, line_start int, line_end int, rule_id string, algorithm string, primitive string, operation string, library string, api string, scope array<string>, evidence string, confidence double, key_size int, comment_only boolean"
+    row = lambda comment, api, size=None: ("a.py", 1, 1, "R", "RSA", "public-key", "encryption", None, api, [], "x", 0.9, size, comment)
+    rows = [row(True, "a"), row(False, "c"), row(False, "b"), row(False, "a", 1024)]
+    none = spark.createDataFrame([], "root string, service string, metadata_file string")
+    for order in (rows, rows[::-1]):
+        (found,) = plan.as_findings(spark.createDataFrame(order, ddl).coalesce(1), none, "repo").collect()
+        assert (found["comment_only"], found["api"], found["confidence"], found["key_size"]) == (False, "b", 0.9, None)
