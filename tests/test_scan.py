@@ -528,3 +528,14 @@ def test_equal_matches_leave_no_choice(spark):
     for order in (rows, rows[::-1]):
         (found,) = plan.as_findings(spark.createDataFrame(order, ddl).coalesce(1), none, "repo").collect()
         assert (found["comment_only"], found["api"], found["confidence"], found["key_size"]) == (False, "b", 0.9, None)
+
+
+def test_findings_are_made_once_before_they_are_ordered(spark):
+    made = spark.sparkContext.accumulator(0)
+    repository = F.udf(lambda file: (made.add(1), "repo")[1], "string").asNondeterministic()(F.col("file"))
+    columns = "file string, line_start int, line_end int, rule_id string, algorithm string, primitive string, operation string, library string, api string, scope array<string>, evidence string, confidence double, key_size int, comment_only boolean"
+    rows = [(f"a/m{i}.py", 1, 1, "R", "RSA", "public-key", "encryption", None, None, [], f"e{i}", 0.9, None, False) for i in range(40)]
+    services = spark.createDataFrame([("b", "shop", "b/service.yaml")], "root string, service string, metadata_file string")
+    found = plan.as_findings(spark.createDataFrame(rows, columns), services, repository).select("id", "file", "service").collect()
+    assert {(r["id"], r["service"]) for r in found} == {(f"CRYPTO-{i + 1:03d}", "repo") for i in range(40)}
+    assert made.value == 40
