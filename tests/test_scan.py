@@ -539,3 +539,16 @@ def test_findings_are_made_once_before_they_are_ordered(spark):
     found = plan.as_findings(spark.createDataFrame(rows, columns), services, repository).select("id", "file", "service").collect()
     assert {(r["id"], r["service"]) for r in found} == {(f"CRYPTO-{i + 1:03d}", "repo") for i in range(40)}
     assert made.value == 40
+
+
+def test_entries_are_tried_without_a_shuffle(spark, monkeypatch):
+    """Rows of one value stay where they are made, and many entries, which are joined, give the same."""
+    entries = spark.createDataFrame([("R", 2, "*", "other"), ("R", 0, "Mit*", "begins"), ("R", 1, "*ed", "ends"), ("S", 0, "**", "any"), ("T", 0, "", "empty"), ("T", 1, "a b", "whole")], "rule_id string, ord int, pattern string, algorithm string")
+    values = ["mit", "MIT x", "mited", "used", "zed ", "", "ab", "A B", "none", "*"]
+    rows = spark.createDataFrame([(r, v, i) for r in "RSTU" for i, v in enumerate(values * 3)], "rule_id string, value string, line int")
+    found = plan.with_first_of_rule(rows, entries)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(plan, "LITERAL_ENTRIES", 2)
+    joined = plan.with_first_of_rule(rows, entries)
+    assert found.columns == joined.columns and sorted(map(tuple, found.collect())) == sorted(map(tuple, joined.collect()))
+    assert {tuple(r) for r in found.select("value", "algorithm").where("rule_id = 'R' AND value IN ('mited', 'zed ', '')").collect()} == {("mited", "begins"), ("zed ", "ends"), ("", "other")}
