@@ -5,9 +5,11 @@ import io
 import tarfile
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quillspar import queries
 from quillspar.functions import scoring
 from quillspar.functions import text as T
 from quillspar.operators.order import numbered
@@ -552,3 +554,32 @@ def test_entries_are_tried_without_a_shuffle(spark, monkeypatch):
     joined = plan.with_first_of_rule(rows, entries)
     assert found.columns == joined.columns and sorted(map(tuple, found.collect())) == sorted(map(tuple, joined.collect()))
     assert {tuple(r) for r in found.select("value", "algorithm").where("rule_id = 'R' AND value IN ('mited', 'zed ', '')").collect()} == {("mited", "begins"), ("zed ", "ends"), ("", "other")}
+
+
+def test_repeated_values_are_counted_in_their_line(spark):
+    """Counted rows are the others summed up, and are made where their line is; lines that repeat no value count one each."""
+    texts = [("a.conf", "b a b b # b\n\nx"), ("a.conf", "b"), ("b.conf", "thb c  thb\n# all\n" + "e f " * 40), ("c.txt", "b b")]
+    rules = spark.createDataFrame([("D", "directive", "^(.+)$", r"\.conf$", " ", ["th"], None, "api"), ("E", "directive", "^(.+)$", None, None, None, "lib", None)], "rule_id string, match_type string, pattern string, file_pattern string, split string, skip_prefixes array<string>, library string, api string")
+    entries = spark.createDataFrame([("D", 0, "b", "first"), ("D", 1, "*", "rest"), ("E", 0, "b*", "whole")], "rule_id string, ord int, pattern string, algorithm string")
+    files = spark.createDataFrame(texts, "path string, text string")
+    each, counted = plan.directive_matches(files, rules, entries), plan.directive_matches(files, rules, entries, counted=True)
+    assert "Exchange hashpartitioning" not in counted._jdf.queryExecution().executedPlan().toString()
+    said = ["file", "line", "rule_id", "value", "algorithm", "library", "api", "evidence"]
+    summed = sorted(map(tuple, counted.groupBy(*said).agg(F.sum("n")).select(*said, "sum(n)").fillna("").collect()))
+    assert summed == sorted(map(tuple, each.groupBy(*said).count().fillna("").collect()))
+    assert sorted(tuple(r) for r in counted.where("rule_id = 'D'").select("file", "line", "value", "n").collect()) == [
+        ("a.conf", 1, "a", 1), ("a.conf", 1, "b", 1), ("a.conf", 1, "b", 3), ("a.conf", 3, "x", 1), ("b.conf", 1, "c", 1), ("b.conf", 3, "e", 40), ("b.conf", 3, "f", 40)
+    ]
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_values_of_documents_are_grouped_only_where_ids_repeat(spark, tmp_path, shared):
+    """q15: rows of documents with an id of their own meet no aggregate; rows that repeat an id are summed up, as its SQL does."""
+    ids = [1, 2, 2, 3, 2] if shared else [1, 2, 4, 3, 5]
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip(ids, ["mit the mit\nused a", "Mit, token", "mit mit\n  'x", "zz # mit", "none\nthem a b a"])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.q15_directive_values(spark, str(tmp_path))
+    assert shared == ("sum(n" in found._jdf.queryExecution().executedPlan().toString())
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert sorted(map(tuple, found.collect())) == sorted(db.sql(queries.SQL["q15_directive_values"]).fetchall())
