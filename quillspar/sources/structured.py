@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspar.functions import text as T
 from quillspar.operators.matching import rule_rows
-from quillspar.plans.findings import first_of_rule, with_rules
+from quillspar.plans.findings import with_first_of_rule, with_rules
 from quillspar.session import ship
 
 #: Larger documents are refused as a whole.
@@ -108,9 +108,8 @@ def structured_matches(values: DataFrame, rules: DataFrame, entries: DataFrame)
     given = lambda r: F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["library"]).cast("string").alias("library"), F.lit(r["api"]).cast("string").alias("api"))
     rows = with_rules(values.where("error IS NULL"), pack, lambda r: F.col("key").rlike(r["pattern"]), given)
     rows = rows.select(*values.columns, "rule.rule_id", "rule.library", "rule.api")
-    found = first_of_rule(rows.select("rule_id", "value").distinct(), entries)
     shown = T.redacted(T.evidence(F.concat_ws(": ", "key", "value")))
-    return rows.join(found, ["rule_id", "value"]).withColumn("evidence", shown)
+    return with_first_of_rule(rows, entries).withColumn("evidence", shown)
 
 
 def read_tsconfigs(files: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillspar import queries
+from quillspar import queries, queries_sources
 from quillspar.functions import scoring
 from quillspar.functions import text as T
 from quillspar.operators.order import numbered
@@ -579,7 +579,41 @@ def test_values_of_documents_are_grouped_only_where_ids_repeat(spark, tmp_path,
     rows = [(i, t, "en", "s", len(t)) for i, t in zip(ids, ["mit the mit\nused a", "Mit, token", "mit mit\n  'x", "zz # mit", "none\nthem a b a"])]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     found = queries.q15_directive_values(spark, str(tmp_path))
-    assert shared == ("sum(n" in found._jdf.queryExecution().executedPlan().toString())
+    assert shared == ("HashAggregate" in found._jdf.queryExecution().executedPlan().toString())
     with duckdb.connect() as db:
         db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
         assert sorted(map(tuple, found.collect())) == sorted(db.sql(queries.SQL["q15_directive_values"]).fetchall())
+
+
+def test_calls_and_values_are_not_sent_through_the_driver(spark, tmp_path, monkeypatch):
+    """What Python readers yield looks small, however much it is: no join may broadcast it. Many rules and entries, which are joined, give the same."""
+    spark.range(0, 40).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(0, 40).select(F.col("id").alias("c_custkey"), F.concat(F.lit("c"), "id").alias("c_name")).write.parquet(f"{tmp_path}/customer.parquet")
+
+    def below_broadcasts(frame):
+        plans, found = [frame._jdf.queryExecution().sparkPlan()], []
+        while plans:
+            node = plans.pop()
+            said = node.toString()
+            if node.nodeName() in ("BroadcastHashJoin", "BroadcastNestedLoopJoin"):
+                found.append((node.left() if "BuildLeft" in said.split("\n")[0] else node.right()).toString())
+            plans += [node.children().apply(i) for i in range(node.children().size())]
+        return found
+
+    results = []
+    for literal in (plan.LITERAL_ENTRIES, 1):
+        monkeypatch.setattr(plan, "LITERAL_ENTRIES", literal)
+        for name in ("q98_call_matches", "q106_structured_matches"):
+            frame = getattr(queries_sources, name)(spark, str(tmp_path))
+            assert below_broadcasts(frame) and not [p for p in below_broadcasts(frame) if "MapInPandas" in p or "MapInArrow" in p]
+            results.append(sorted(map(tuple, frame.fillna(-1).collect())))
+    assert results[:2] == results[2:] and len(results[0]) == 120 and len(results[1]) == 40
+
+
+def test_call_rules_keep_their_own_columns(spark):
+    """Several rules on one call, a rule without pattern, and none at all."""
+    rules = spark.createDataFrame([("A", "^a[.]", [(0, None)], {"k": "v"}), ("B", "b$", [], {}), ("C", None, None, None)], "rule_id string, pattern string, literal_args array<struct<place: int, keyword: string>>, operation_by_parent map<string, string>")
+    calls = spark.createDataFrame([("a.b", 1), ("a.c", 2), ("x.b", 3), ("x", 4)], "name string, at int")
+    got = sorted((r["at"], r["rule_id"], r["literal_args"], r["operation_by_parent"]) for r in plan.with_call_rules(calls, rules).collect())
+    assert got == [(1, "A", [(0, None)], {"k": "v"}), (1, "B", [], {}), (2, "A", [(0, None)], {"k": "v"}), (3, "B", [], {})]
+    assert plan.with_call_rules(calls, rules.where("rule_id = 'C'")).isEmpty()
